@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperquay.functions.text import clean_text, lookup
+from paperquay.functions.text import clean_text, let, lookup
 
 # English month names.
 MONTHS = [
@@ -42,7 +42,10 @@ def _named(v: Column, pattern: str) -> Column:
 
 def to_iso_date(c: Column) -> Column:
     """ISO date of ten accepted spellings, day before month where both fit; else unchanged."""
-    v = clean_text(c)
+    return let(clean_text(c), _iso)
+
+
+def _iso(v: Column) -> Column:
     return F.coalesce(
         _numeric(v, f"^{_D}/{_M}/{_Y}$", 3, 2, 1),
         _numeric(v, f"^{_D}-{_M}-{_Y}$", 3, 2, 1),
@@ -50,8 +53,7 @@ def to_iso_date(c: Column) -> Column:
         _numeric(v, f"^{_M}-{_D}-{_Y}$", 3, 1, 2),
         _numeric(v, f"^{_Y}-{_M}-{_D}$", 1, 2, 3),
         _numeric(v, f"^{_Y}{_M}{_D}$", 1, 2, 3),
-        _named(v, f"^{_D} ([A-Za-z]+), {_Y}$"),
-        _named(v, f"^{_D} ([A-Za-z]+) {_Y}$"),
+        _named(v, f"^{_D} ([A-Za-z]+),? {_Y}$"),
         v,
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperquay.functions.text import strip
+from paperquay.functions.text import let, strip
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -24,20 +24,45 @@ def js_number(c: Column) -> Column:
     )
 
 
-def fixed1(x: Column) -> Column:
-    """One-decimal text of the exact binary value of ``x``; an exact half goes up.
+def _scaled(x: Column, factor: int) -> tuple[Column, Column]:
+    """(p, e) with p + e equal to ``x * factor`` exactly: the product and its rounding error.
 
-    16x and 4x are exact, and the two-sum below gives their sum's rounding error, so
-    floor(20x) is known exactly although 20x may not be representable.
+    Each factor is split in a high and a low half, whose products are exact.
     """
-    a, b = F.abs(x) * 16, F.abs(x) * 4
-    s = a + b
-    bb = s - a
-    err = (a - (s - bb)) + (b - bb)
-    twentieths = F.floor(s) - F.when((s == F.floor(s)) & (err < 0), 1).otherwise(0)
-    tenths = F.floor((twentieths + 1) / 2).cast("long")
-    text = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
-    return F.concat(F.when((x < 0), "-").otherwise(""), text)
+    split = float((1 << 27) + 1)
+    c = x * split
+    hi = c - (c - x)
+    lo = x - hi
+    p = x * float(factor)
+    return p, (hi * float(factor) - p) + lo * float(factor)
+
+
+def exact_round(x: Column, digits: int, half_up: bool) -> Column:
+    """Integer nearest to the exact binary value of ``x * 10**digits``, for x >= 0.
+
+    A true half goes up, or to the even neighbour.
+    """
+    p, e = _scaled(x, 10**digits)
+    low = F.floor(p)
+    rest = p - low
+    tie_up = F.lit(True) if half_up else (low % 2 == 1)
+    up = (rest > 0.5) | ((rest == 0.5) & ((e > 0) | ((e == 0) & tie_up)))
+    return (low + F.when(up, 1).otherwise(0)).cast("long")
+
+
+def fixed1(x: Column) -> Column:
+    """One-decimal text of the exact binary value of ``x``; an exact half goes away from zero."""
+
+    def text(tenths: Column) -> Column:
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+    return F.concat(F.when(x < 0, "-").otherwise(""), let(exact_round(F.abs(x), 1, half_up=True), text))
+
+
+def round_even(x: Column, digits: int) -> Column:
+    """Round by the exact binary value, an exact half to the even neighbour."""
+    n = exact_round(F.abs(x), digits, half_up=False) / float(10**digits)
+    return F.when(x < 0, -n).otherwise(n)
 
 
 def half_up(x: Column) -> Column:
@@ -61,16 +86,16 @@ def readable_duration(x: Column) -> Column:
 
 def format_bytes(x: Column) -> Column:
     """``x`` bytes in the largest fitting unit of B..TB (steps of 1024)."""
-    units = ["B", "KB", "MB", "GB", "TB"]
-    out = F.lit("Unknown")
-    for i, unit in enumerate(units):
-        v = x / float(1024**i)
-        whole = half_up(v).cast("string")
-        shown = whole if i == 0 else F.when(v >= 10, whole).otherwise(fixed1(v))
-        floor = 0.0 if i == 0 else float(1024**i)
-        fits = (x > 0) if i == 0 else (x >= floor)
-        out = F.when(fits, F.concat(shown, F.lit(" " + unit))).otherwise(out)
-    return out
+    units = F.array(*[F.lit(u) for u in ["B", "KB", "MB", "GB", "TB"]])
+    steps = sum((F.when(x >= float(1024**i), 1).otherwise(0) for i in range(1, 5)), F.lit(0))
+
+    def shown(r: Column) -> Column:
+        v, step = r["v"], r["step"]
+        number = F.when((v >= 10) | (step == 0), half_up(v).cast("string")).otherwise(fixed1(v))
+        return F.concat(number, F.lit(" "), F.get(units, step))
+
+    scaled = F.struct((x / F.pow(F.lit(1024.0), steps)).alias("v"), steps.alias("step"))
+    return F.when(F.coalesce(x, F.lit(0.0)) <= 0, "Unknown").otherwise(let(scaled, shown))
 
 
 def percent_of(part: Column, whole: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,6 +88,11 @@ KEY_LABELS = {
 HEADER_KEYS = ["carrier", "contractId", "effectiveDate", "expirationDate"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def lookup(mapping: Mapping[str, str], c: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     return F.try_element_at(table, c)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperquay.functions.numbers import round_even
 from paperquay.functions.text import markdown_row, normalize_loose, normalize_text, strip
 from paperquay.operators.ordered import block, carry_forward, join_in_order, look_ahead, running_sums
 
@@ -58,7 +59,7 @@ def markdown(blocks: DataFrame, rows: DataFrame) -> DataFrame:
 
 def confidence_mean(blocks: DataFrame) -> DataFrame:
     sure = F.when(F.col("confidence") > 0, F.col("confidence"))
-    return blocks.groupBy("doc_id").agg(F.coalesce(F.round(F.avg(sure), 2), F.lit(0.0)).alias("avg_confidence"))
+    return blocks.groupBy("doc_id").agg(F.coalesce(round_even(F.avg(sure), 2), F.lit(0.0)).alias("avg_confidence"))
 
 
 def page_count(blocks: DataFrame, default: int = 1) -> DataFrame:

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from paperquay.plans import document_queries  # noqa: F401
+from paperquay.plans import contract_queries, document_queries, text_queries  # noqa: F401
 from paperquay.plans.registry import ORACLE, QUERIES  # noqa: F401

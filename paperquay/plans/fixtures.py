@@ -78,7 +78,7 @@ DUCK = {
     "v2": """
 select doc_id, cast(i - 1 as bigint) as idx, cast((i - 1) // 20 + 1 as bigint) as page,
   case when i = 1 then 'heading' else 'paragraph' end as block_type,
-  cast((length(parts[i]) * 13) % 1001 as double) / 10 as confidence,
+  cast((length(parts[i]) * 13) % 801 as double) / 8 as confidence,
   (i - 1) % 13 <> 12 as has_box, 0 as x1, 12 * (i - 1) as y1, 6 * length(parts[i]) as x2, 12 * (i - 1) + 10 as y2,
   parts[i] as text
 from (select doc_id, string_split(text, chr(10)) as parts from documents) d, unnest(range(1, len(parts) + 1)) as u(i)""",
@@ -108,14 +108,14 @@ select cast(floor(vec_id / 5) as bigint) as doc_id, cast(vec_id % 5 as bigint) a
 NEEDS = {"v5": ["v1"], "v3r": ["v2r"], "v3": ["v3r", "v2r"]}
 
 
-def with_views(names: list[str], body: str, extra: dict[str, str] | None = None) -> str:
+def with_views(names: list[str], body: str, tail: str = "") -> str:
     """Checking SQL: ``body`` after the views it needs."""
     order = ["v0", "v1", "v2", "v2r", "v3r", "v3", "v4b", "v5", "v6", "v7"]
     wanted = set(names)
     for n in names:
         wanted |= set(NEEDS.get(n, []))
     ctes = [f"{n} as ({DUCK[n]})" for n in order if n in wanted]
-    ctes += [f"{n} as ({t})" for n, t in (extra or {}).items()]
+    ctes += [tail] if tail else []
     return ("with " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
@@ -158,7 +158,7 @@ class Lake:
         return d.select(
             "doc_id", idx.alias("idx"), (F.floor(idx / 20) + 1).alias("page"),
             F.when(idx == 0, "heading").otherwise("paragraph").alias("block_type"),
-            ((n * 13 % 1001) / 10).alias("confidence"), F.when(idx % 13 != 12, box).alias("bbox"), "text",
+            ((n * 13 % 801) / 8).alias("confidence"), F.when(idx % 13 != 12, box).alias("bbox"), "text",
         )
 
     @cached_property
@@ -208,31 +208,54 @@ class Lake:
 
     @cached_property
     def contract_pages(self) -> DataFrame:
-        """Printed pages: section titles on some pages, sparse labels, some validity ranges."""
-        key, page = F.col("o_orderkey"), F.col("page")
+        """Printed pages with section titles, sparse labels, scopes and validity ranges.
+
+        Some documents have no titles, some end in a section that is not read, and in some a title
+        names two sections.
+        """
+        key, page, doc, nation = F.col("o_orderkey"), F.col("page"), F.col("doc_id"), F.col("n_name")
         title = (
-            F.when(page == 1, "6-1 GENERAL RATE").when(page == 5, "6-3 ORIGIN ARBITRARY")
-            .when(page == 9, "6-4 DESTINATION ARBITRARY")
+            F.when(doc % 10 == 7, "NO TITLES HERE").when(page == 1, "6-1 GENERAL RATE")
+            .when((page == 3) & (doc % 10 == 3), "origin  arbitrary and general rate").when(page == 5, "6 . 3 ORIGIN ARBITRARY")
+            .when(page == 9, "6-4 DESTINATION ARBITRARY").when((page == 13) & (doc % 5 == 0), "6-5 G.O.H").otherwise("CONTINUED")
         )
         lines = F.array(
-            F.coalesce(title, F.lit("CONTINUED")),
-            F.when(page == 2, F.concat(F.lit("CONTRACT NO atl"), F.col("doc_id").cast("string"))),
-            F.when(key % 3 == 0, F.concat(F.lit("ORIGIN : "), F.col("n_name"), F.lit(", XX"))),
-            F.when(key % 6 == 1, F.concat(F.lit("ORIGIN VIA : "), F.col("n_name"), F.lit(" via, YY"))),
-            F.when(key % 5 == 0, F.concat(F.lit("RATE APPLICABLE OVER : "), F.col("n_name"))),
+            title,
+            F.when(page == 2, F.concat(F.lit("CONTRACT NO atl"), doc.cast("string"))),
+            F.when(key % 3 == 0, F.concat(F.lit("ORIGIN : "), nation, F.lit(", XX"))),
+            F.when(key % 6 == 1, F.concat(F.lit("ORIGIN VIA : "), nation, F.lit(" via, YY"))),
+            F.when(key % 5 == 0, F.concat(F.lit("RATE  APPLICABLE OVER : "), nation)),
             F.when(key % 4 == 0, F.concat(F.lit("COMMODITY : "), F.col("o_orderpriority"), F.lit(" (BULK)"))),
-            F.when(key % 7 == 0, "valid from 2024-01-01 to 2024-06-30"),
-            F.when(key % 9 == 0, "[NORTH AMERICA - ASIA (WB)]").when(key % 9 == 4, "[NORTH AMERICA - WEST ASIA AND AFRICA (WB)]"),
+            F.when(key % 7 == 0, "valid from 2024-01-01 to 2024-07-31"),
+            F.when(key % 14 == 0, "valid 20250101 through 2 Feb, 2025"),
+            F.when(key % 9 == 0, "[NORTH AMERICA - ASIA (WB)]").when(key % 9 == 4, "[ NORTH AMERICA - WEST ASIA AND AFRICA  (WB) ]"),
+            F.when(page == 3, "Effective Date: 1 Mar, 2023").when(page == 4, "expiry date - 20231231"),
+            F.when(key % 12 == 0, F.concat(F.lit("ORIGIN : "), F.replace(nation, F.lit("NATION"), F.lit("SECOND")), F.lit(", XX"))),
         )
         return self.contract_base.select("doc_id", "page", F.array_join(lines, "\n").alias("text"))
 
     @cached_property
     def contract_tables(self) -> DataFrame:
-        """Rows of the table on each page; a page's table stands below all its labels."""
+        """Rows of the table on each page; some tables have no header, some stand above labels."""
         at = self.contract_base.select("doc_id", "page", F.col("o_orderkey").alias("table_id"))
-        return self.table_rows.withColumnRenamed("row", "row_no").join(at, "table_id").select(
-            "doc_id", "page", "table_id", F.lit(100).alias("y"), "row_no", "cells"
+        at = at.withColumn("y", F.when(F.col("table_id") % 8 == 0, 25).otherwise(200))
+        row, name = F.col("row_no"), F.col("destination_city")
+        data = self.rates.select(
+            F.col("l_orderkey").alias("table_id"), "row_no",
+            F.array(
+                F.when(row % 4 == 3, "").otherwise(F.concat(name, F.lit(", XX"))), F.col("destination_via_city"),
+                F.when(row % 3 == 0, "CN").when(row % 3 == 1, "jp").otherwise("US"),
+                F.when(row % 7 == 2, "HEA included").when(row % 7 == 4, "AGW included").otherwise(F.col("commodity")),
+                F.col("direct_call"), F.col("rate20"), F.when(row % 5 == 1, "n/a").otherwise(F.col("rate40")),
+            ).alias("cells"),
+        ).join(at, "table_id")
+        tail = [F.lit(h) for h in ["Cntry", "Cmdt", "Direct Call", "20'", "40'"]]
+        first = F.when(F.col("page") < 5, F.array(F.lit("Destination"), F.lit("Destination Via"))).otherwise(F.array(F.lit("Point"), F.lit("Via")))
+        printed = self.table("lineitem").select(F.col("l_orderkey").alias("table_id")).distinct()
+        head = at.filter(F.col("table_id") % 10 != 3).join(printed, "table_id", "left_semi").select(
+            "table_id", F.lit(0).cast("long").alias("row_no"), F.concat(first, F.array(*tail)).alias("cells"), "doc_id", "page", "y"
         )
+        return data.unionByName(head).select("doc_id", "page", "table_id", "y", "row_no", "cells")
 
     @cached_property
     def logits(self) -> DataFrame:

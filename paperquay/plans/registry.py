@@ -12,8 +12,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, views: str = "", sql: str | None = None, **extra: str):
-    """Register ``build(lake) -> DataFrame``; ``views`` names the views its SQL reads."""
+def query(name: str, views: str = "", sql: str | None = None, tail: str = ""):
+    """Register ``build(lake) -> DataFrame``.
+
+    ``views`` names the views its SQL reads; ``tail`` holds further common table expressions.
+    """
 
     def add(build: Callable[[Lake], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +25,7 @@ def query(name: str, views: str = "", sql: str | None = None, **extra: str):
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = with_views(views.split(), sql, extra)
+            ORACLE[name] = with_views(views.split(), sql, tail)
         return build
 
     return add

@@ -63,7 +63,7 @@ def main() -> int:
 
     folder, prefixes = sys.argv[1], sys.argv[2:]
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con, failed = connect(folder), 0
     for name in QUERIES:
         if prefixes and not name.startswith(tuple(prefixes)):
@@ -72,7 +72,7 @@ def main() -> int:
         try:
             problem = check(spark, con, folder, name)
         except Exception as exc:
-            problem = f"{type(exc).__name__}: {str(exc)[:1500]}"
+            problem = f"{type(exc).__name__}: {str(exc)[:700]}"
         failed += bool(problem)
         print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s {problem}", flush=True)
     print("failed:", failed)
