@@ -135,18 +135,20 @@ def short_commodity(c: Column) -> Column:
 
 def normalize_header(c: Column) -> Column:
     key = F.regexp_replace(F.replace(F.lower(clean_text(c)), F.lit("_"), F.lit(" ")), WS, " ")
-    return F.coalesce(lookup(HEADER_FIELDS, key), key)
+    return let(key, lambda k: F.coalesce(lookup(HEADER_FIELDS, k), k))
 
 
 def dedupe_headers(cells: Column) -> Column:
     """Field names of a header row; the n-th repeat of a name gets the suffix ``_n``."""
-    names = F.transform(cells, normalize_header)
 
-    def numbered(name: Column, i: Column) -> Column:
-        nth = F.size(F.filter(F.slice(names, F.lit(1), i + 1), lambda other: other == name))
-        return F.when(nth == 1, name).otherwise(F.concat(name, F.lit("_"), nth.cast("string")))
+    def body(names: Column) -> Column:
+        def numbered(name: Column, i: Column) -> Column:
+            nth = F.size(F.filter(F.slice(names, F.lit(1), i + 1), lambda other: other == name))
+            return F.when(nth == 1, name).otherwise(F.concat(name, F.lit("_"), nth.cast("string")))
 
-    return F.transform(names, numbered)
+        return F.transform(names, numbered)
+
+    return let(F.transform(cells, normalize_header), body)
 
 
 def normalize_text(c: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperquay.functions.text import dedupe_headers, strip
+from paperquay.functions.text import dedupe_headers, let, strip
 from paperquay.operators.ordered import block, join_in_order
 
 
@@ -102,13 +102,15 @@ def named_headers(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def row_map(headers: Column, cells: Column) -> Column:
     """Map header -> cell text; a missing cell is '', of a repeated header the last cell counts."""
-    names = F.array_distinct(headers)
 
-    def value(name: Column) -> Column:
-        last = F.size(headers) - F.array_position(F.reverse(headers), name) + 1
-        return F.coalesce(F.try_element_at(cells, last.cast("int")), F.lit(""))
+    def body(x: Column) -> Column:
+        def value(name: Column) -> Column:
+            last = F.size(x["h"]) - F.array_position(F.reverse(x["h"]), name) + 1
+            return F.coalesce(F.try_element_at(x["c"], last.cast("int")), F.lit(""))
 
-    return F.map_from_arrays(names, F.transform(names, value))
+        return F.map_from_arrays(x["n"], F.transform(x["n"], value))
+
+    return let(F.struct(headers.alias("h"), F.array_distinct(headers).alias("n"), cells.alias("c")), body)
 
 
 # HTML entities decoded in cell texts (the ampersand last).

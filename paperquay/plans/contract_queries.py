@@ -113,8 +113,13 @@ def _tail(last: str) -> str:
     return parts
 
 
-def _contract(lake, rows: bool = True):
-    return lake.contract_pages, lake.contract_tables
+def _contract(lake):
+    """Pages and table rows, stored once as an extraction run would leave them."""
+    return cut_lineage(lake.contract_pages), cut_lineage(lake.contract_tables)
+
+
+def _facts(lake):
+    return C.page_facts(lake.contract_pages)
 
 
 @query(
@@ -150,7 +155,7 @@ def _(lake):
 
 @query("AGG14_header_resolve", "v4b", "select doc_id, 'OLTEK' as carrier, contract_id, effective_date, expiration_date from hd", tail=_tail("hd"))
 def _(lake):
-    return C.document_header(lake.contract_pages)
+    return C.document_header(_facts(lake))
 
 
 @query(
@@ -159,7 +164,8 @@ def _(lake):
     tail=_tail("ctx"),
 )
 def _(lake):
-    ctx = C.page_context(lake.contract_pages).join(C.document_header(lake.contract_pages), "doc_id")
+    facts = cut_lineage(_facts(lake))
+    ctx = C.page_context(facts).join(C.document_header(facts), "doc_id")
     return ctx.select(
         "doc_id", "page", *C.CONTEXT, F.coalesce("start", "effective_date").alias("effective_date"), F.coalesce("end", "expiration_date").alias("expiration_date")
     )
@@ -171,14 +177,14 @@ def _(lake):
   when page = 3 and doc_id % 10 = 3 then 'ORIGIN_ARB' when page = 9 then 'DEST_ARB' when page = 13 and doc_id % 5 = 0 then 'STOP' end as section from v4b) t where section is not null group by doc_id, section""",
 )
 def _(lake):
-    b = C.section_boundaries(lake.contract_pages)
+    b = C.section_boundaries(_facts(lake))
     return b.select("doc_id", F.explode("boundaries").alias("b")).select("doc_id", "b.page", "b.y", "b.section")
 
 
 @query("JON05_section_as_of", "v4b", "select doc_id, page, table_id, section from tb", tail=_tail("tb"))
 def _(lake):
     tables = C.tables_of_rows(lake.contract_tables)
-    return C.with_section(tables, C.section_boundaries(lake.contract_pages)).select("doc_id", "page", "table_id", "section")
+    return C.with_section(tables, C.section_boundaries(_facts(lake))).select("doc_id", "page", "table_id", "section")
 
 
 @query(
@@ -188,8 +194,7 @@ from tb t join ctx c on c.doc_id = t.doc_id and c.page = t.page""",
     tail=_tail("tb"),
 )
 def _(lake):
-    pages = lake.contract_pages
-    d = C.with_labels(C.tables_of_rows(lake.contract_tables), C.page_labels(pages), C.page_context(pages))
+    d = C.with_labels(C.tables_of_rows(lake.contract_tables), cut_lineage(_facts(lake)))
     return d.select("doc_id", "page", "table_id", "origin", "origin_via", "rate_over")
 
 
@@ -200,15 +205,15 @@ def _(lake):
 )
 def _(lake):
     tables = C.tables_of_rows(lake.contract_tables).filter("n_rows >= 2 and first_cells is not null")
-    placed = C.with_section(tables, C.section_boundaries(lake.contract_pages)).filter("section not in ('UNKNOWN', 'STOP')")
+    placed = C.with_section(tables, C.section_boundaries(_facts(lake))).filter("section not in ('UNKNOWN', 'STOP')")
     return C.with_headers(cut_lineage(placed)).select(
         "doc_id", "page", "table_id", "section", F.try_element_at("headers", F.lit(1)).alias("first_field")
     )
 
 
 def _merged(lake):
-    pages, rows = lake.contract_pages, lake.contract_tables
-    tables = C.with_headers(cut_lineage(C.table_context(pages, rows)))
+    pages, rows = _contract(lake)
+    tables = C.with_headers(cut_lineage(C.table_context(cut_lineage(C.page_facts(pages)), rows)))
     return C.merge_continuations(cut_lineage(C.parsed_rows(rows, tables)))
 
 
