@@ -36,7 +36,12 @@ def _with_levels(df: DataFrame, levels: Sequence[Column]) -> tuple[DataFrame, li
 
 
 def _starts(tails: DataFrame, keys, names, cols, fold, scan, merge) -> DataFrame:
-    """State at the start of every finest level, from the per-level summaries in ``tails``."""
+    """State at the start of every finest level, from the per-level summaries in ``tails``.
+
+    With several levels the summaries are read once per level, so they are written out first.
+    """
+    if len(names) > 1:
+        tails = cut_lineage(tails)
     summaries = {len(names): tails}
     for depth in range(len(names) - 1, 0, -1):
         finer = names[depth]

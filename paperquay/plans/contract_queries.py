@@ -115,7 +115,8 @@ def _tail(last: str) -> str:
 
 def _contract(lake):
     """Pages and table rows, stored once as an extraction run would leave them."""
-    return cut_lineage(lake.contract_pages), cut_lineage(lake.contract_tables)
+    n = lake.spark.sparkContext.defaultParallelism
+    return cut_lineage(lake.contract_pages.repartition(n)), cut_lineage(lake.contract_tables)
 
 
 def _facts(lake):

@@ -43,7 +43,8 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     """Quoted values with doubled quotes, a header line per file."""
-    rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.mode("overwrite").options(header=True, quoteAll=True, escape='"', **keep).csv(path)
 
 
 def read_csv(spark, path: str, schema: str) -> DataFrame:

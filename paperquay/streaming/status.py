@@ -22,8 +22,16 @@ LATEST = "doc_id bigint, event_id bigint, ts timestamp, status string, line stri
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
-def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Events of the parquet files that appear in a folder.
+
+    Batches must bring the events of a document in order, so files limit a batch only where they
+    are written one after the other.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def _exists(spark: SparkSession, path: str):
