@@ -12,15 +12,26 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 def js_number(c: Column) -> Column:
     """Finite number written in ``c``; blank is 0, anything else that is no number is null."""
-    t = strip(F.coalesce(c, F.lit("")))
-    based = F.lower(F.substring(t, 1, 2))
+    return let(strip(F.coalesce(c, F.lit(""))), parse_number)
+
+
+def parse_number(t: Column) -> Column:
+    """``js_number`` of a text that is already stripped and not null."""
+
+    def finite(n: Column) -> Column:
+        return F.when(F.abs(n) < float("inf"), n)
+
     digits = F.substring(t, 3, 64)
+
+    def based(pattern: str, base: int) -> Column:
+        return F.when(digits.rlike(pattern), F.conv(digits, base, 10).try_cast("double"))
+
     return (
         F.when(t == "", F.lit(0.0))
-        .when(t.rlike(NUMBER), F.when(F.abs(t.try_cast("double")) < float("inf"), t.try_cast("double")))
-        .when((based == "0x") & digits.rlike("^[0-9a-fA-F]+$"), F.conv(digits, 16, 10).try_cast("double"))
-        .when((based == "0o") & digits.rlike("^[0-7]+$"), F.conv(digits, 8, 10).try_cast("double"))
-        .when((based == "0b") & digits.rlike("^[01]+$"), F.conv(digits, 2, 10).try_cast("double"))
+        .when(t.rlike(NUMBER), let(t.try_cast("double"), finite))
+        .when(t.rlike("^0[xX]"), based("^[0-9a-fA-F]+$", 16))
+        .when(t.rlike("^0[oO]"), based("^[0-7]+$", 8))
+        .when(t.rlike("^0[bB]"), based("^[01]+$", 2))
     )
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
@@ -10,7 +12,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperquay.functions.numbers import js_number
+from paperquay.functions.numbers import NUMBER, js_number
 from paperquay.functions.text import HEADER_KEYS, strip
 from paperquay.operators.ordered import global_rank
 
@@ -19,23 +21,36 @@ def cell(name: str) -> Column:
     return strip(F.coalesce(F.col(name).cast("string"), F.lit("")))
 
 
+def _finite(text: str | None) -> float | None:
+    """``js_number`` of a filter value, on the driver: blank is 0, no number is None."""
+    t = (text or "").strip()
+    if not t:
+        return 0.0
+    if re.match(NUMBER, t):
+        return float(t) if math.isfinite(float(t)) else None
+    m = re.match(r"^0([xXoObB])([0-9a-fA-F]+)$", t)
+    try:
+        return float(int(m.group(2), {"x": 16, "o": 8, "b": 2}[m.group(1).lower()])) if m else None
+    except ValueError:
+        return None
+
+
 def _op(name: str, op: str, value: str, value_to: str | None) -> Column:
-    raw, text = cell(name), F.lower(cell(name))
-    want, num = (value or "").lower(), js_number(cell(name))
-    a, b = js_number(F.lit(value or "")), js_number(F.lit(value_to or ""))
+    """One test of a cell. Filter values are parsed here, once, so the plan holds plain literals."""
+    text, want = F.lower(cell(name)), (value or "").lower()
     if op == "contains":
         return text.contains(want)
     if op == "equals":
         return text == want
     if op == "startsWith":
         return text.startswith(want)
-    if op == "gt":
-        return F.coalesce(num > a, F.lit(False))
-    if op == "lt":
-        return F.coalesce(num < a, F.lit(False))
-    if op == "between":
-        bounded = a.isNotNull() & b.isNotNull()
-        return F.coalesce(bounded & (num >= F.least(a, b)) & (num <= F.greatest(a, b)), F.lit(False))
+    if op in ("gt", "lt", "between"):
+        a, b = _finite(value), _finite(value_to)
+        if a is None or (op == "between" and b is None):
+            return F.lit(False)
+        num = js_number(F.col(name).cast("string"))
+        test = num > a if op == "gt" else num < a if op == "lt" else num.between(min(a, b), max(a, b))
+        return F.coalesce(test, F.lit(False))
     if op == "in":
         items = [s.strip().lower() for s in (value or "").split(",") if s.strip()]
         return text.isin(items) if items else F.lit(True)
@@ -77,16 +92,26 @@ def search_filter(text: str, columns: Sequence[str]) -> Column:
     return reduce(or_, [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).contains(q) for c in columns])
 
 
-def mixed_order(name: str, desc: bool = False) -> list[Column]:
-    """Numbers first by value, then texts without regard to case and accents.
+def with_mixed_keys(df: DataFrame, name: str, desc: bool = False) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the sort keys of a column of numbers and texts, and the order over them.
 
-    The order is total and the same on every engine: texts compare by their folded form (accents
-    removed, lower case), equal ones by nothing further.
+    Numbers come first by value, then texts without regard to case and accents. The order is
+    total and the same on every engine: texts compare by their folded form. The keys are columns,
+    so that sampling, shuffling and sorting do not parse the cells again.
     """
-    num = js_number(cell(name))
-    text = F.when(num.isNull(), fold(cell(name)))
-    keys = [num.isNull(), num, text]
-    return [k.desc_nulls_last() if desc and i else k.asc_nulls_first() for i, k in enumerate(keys)]
+    keyed = df.withColumn("__num", js_number(F.col(name).cast("string"))).withColumn(
+        "__text", F.when(F.col("__num").isNull(), fold(cell(name)))
+    )
+    num, text = F.col("__num"), F.col("__text")
+    if desc:
+        return keyed, [num.desc_nulls_last(), text.desc_nulls_last()]
+    return keyed, [num.asc_nulls_last(), text.asc_nulls_first()]
+
+
+def mixed_sort(df: DataFrame, name: str, tiebreak: Sequence[str], desc: bool = False) -> DataFrame:
+    """Rows with their position ``pos`` in the mixed order of a column."""
+    keyed, order = with_mixed_keys(df, name, desc)
+    return global_rank(keyed, order + [F.col(t).asc() for t in tiebreak]).drop("__num", "__text")
 
 
 # Accented Latin letters and what they fold to.
@@ -115,8 +140,7 @@ def apply_view(
     key = spec.get("sortKey")
     if not key:
         return kept
-    order = mixed_order(key, spec.get("sortDir", "asc") == "desc") + [F.col(t).asc() for t in tiebreak]
-    return global_rank(kept, order)
+    return mixed_sort(kept, key, tiebreak, spec.get("sortDir", "asc") == "desc")
 
 
 def derive_columns(rows: DataFrame, fields: str, order: Sequence[str]) -> DataFrame:

@@ -558,8 +558,8 @@ def _(lake):
 @query(
     "STR17_format_bytes", "",
     """select event_id, case when v = 0 then 'Unknown' when v < 1024 then concat(cast(cast(floor(v + 0.5) as bigint) as varchar), ' B')
-  when v < 1048576 then concat(case when v / 1024 >= 10 then cast(cast(floor(v / 1024 + 0.5) as bigint) as varchar) else printf('%.1f', v / 1024) end, ' KB')
-  else concat(case when v / 1048576 >= 10 then cast(cast(floor(v / 1048576 + 0.5) as bigint) as varchar) else printf('%.1f', v / 1048576) end, ' MB') end as shown
+  when v < 1048576 then concat(case when v / 1024 >= 10 then cast(cast(floor(v / 1024 + 0.5) as bigint) as varchar) else printf('%.1f', v / 1024 + 1e-9) end, ' KB')
+  else concat(case when v / 1048576 >= 10 then cast(cast(floor(v / 1048576 + 0.5) as bigint) as varchar) else printf('%.1f', v / 1048576 + 1e-9) end, ' MB') end as shown
 from (select event_id, case when event_id % 50 = 0 then 0 else floor(value * 1000) * 10 end as v from events) t""",
 )
 def _(lake):
@@ -679,5 +679,4 @@ def _(lake):
     f"""select {OUT}, row_number() over (order by ({NUM20}) is null, ({NUM20}), case when ({NUM20}) is null then lower(rate20) end, l_orderkey, row_no) as pos from v2r""",
 )
 def _(lake):
-    order = V.mixed_order("rate20") + [F.col(k).asc() for k in KEYS]
-    return global_rank(lake.rates.select(*KEYS, "rate20"), order).select(*KEYS, "pos")
+    return V.mixed_sort(lake.rates.select(*KEYS, "rate20"), "rate20", KEYS).select(*KEYS, "pos")
