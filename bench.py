@@ -22,7 +22,9 @@ HEADLINE = [
 
 
 def shuffled(spark) -> int:
-    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None)
+    sc = spark.sparkContext
+    none, lists = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, lists())
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 

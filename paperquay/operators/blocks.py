@@ -101,61 +101,80 @@ def merge_consecutive(blocks: DataFrame) -> DataFrame:
     return join_in_order(numbered, keys, ["idx"], F.col("text"), " ", block("idx", 4096), "text")
 
 
+def _on_page(ahead: str) -> Column:
+    """How many of the blocks ahead stand on the page of the first."""
+    other = F.array_position(F.transform(ahead, lambda b: b["page"] != F.col("page")), True)
+    return F.when(other > 0, other - 1).otherwise(F.size(ahead)).cast("int")
+
+
 def block_runs(blocks: DataFrame, width: int = RUN) -> DataFrame:
     """All runs of 1..width following blocks on one page: doc_id, start, len, run array<struct>."""
     ahead = look_ahead(
         blocks.select("doc_id", "idx", "page", "bbox", "text"), ["doc_id"], "idx", width, "ahead"
     )
-    other = F.array_position(F.transform("ahead", lambda b: b["page"] != F.col("page")), True)
-    fits = F.when(other > 0, other - 1).otherwise(F.size("ahead")).cast("int")
     return (
-        ahead.withColumn("len", F.explode(F.sequence(F.lit(1), fits)))
+        ahead.withColumn("len", F.explode(F.sequence(F.lit(1), _on_page("ahead"))))
         .withColumn("run", F.slice("ahead", F.lit(1), F.col("len")))
         .select("doc_id", F.col("idx").alias("start"), "page", "bbox", "len", "run")
     )
 
 
+# Bits of start and len in a packed rank.
+_START, _LEN = 44, 3
+
+
 def match_fields(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """Best run of blocks for every (doc_id, key, ord, answer): score, start, len, merged box.
 
-    Runs and answers meet by document *and* block range, so a long document is spread over many
-    tasks; the best run per answer is a map-side combined aggregate.
+    Texts are normalised once per block: a run's text is the joined texts of its blocks in both
+    forms. Answers meet the blocks by document *and* block range, on the partitioning of the
+    run window, so a long document is spread over many tasks. Score, start and len are packed in
+    one number, which makes the choice of the best a plain hash aggregate. Boxes are looked up
+    for the winners only.
     """
+    size = 8192
     wanted = answers.withColumn("answer", strip(F.col("answer"))).select(
-        "doc_id", "key", "ord", "answer",
+        "doc_id", "key", "ord",
         normalize_text(F.col("answer")).alias("target"), normalize_loose(F.col("answer")).alias("loose"),
     ).filter(F.col("loose") != "")
-    runs = block_runs(blocks).filter(F.col("bbox").isNotNull()).withColumn("part", block("start", 8192))
-    joined = F.array_join(F.transform("run", lambda b: b["text"]), " ")
-    runs = runs.withColumn("r_norm", normalize_text(joined)).withColumn("r_loose", normalize_loose(joined))
-    parts = blocks.select("doc_id", block("idx", 8192).alias("part")).distinct()
-    spread = wanted.join(parts, "doc_id")
-    pairs = runs.join(spread, ["doc_id", "part"])
+    forms = blocks.select(
+        "doc_id", "idx", "page", F.col("bbox").isNotNull().alias("boxed"),
+        normalize_text(F.col("text")).alias("norm"), normalize_loose(F.col("text")).alias("bare"),
+    )
+    ahead = look_ahead(forms, ["doc_id"], "idx", RUN, "ahead", size, "part").filter("boxed")
+    ahead = ahead.withColumn("ahead", F.slice("ahead", F.lit(1), _on_page("ahead"))).drop("norm", "bare", "boxed", "page")
+    parts = blocks.select("doc_id", block("idx", size).alias("part")).distinct()
+    pairs = ahead.join(wanted.join(parts, "doc_id"), ["doc_id", "part"])
+
+    def run_text(form: str, sep: str, n: Column) -> Column:
+        pieces = F.transform(F.slice("ahead", F.lit(1), n), lambda b: b[form])
+        return F.array_join(F.filter(pieces, lambda t: t != ""), sep)
+
+    runs = pairs.withColumn("len", F.explode(F.sequence(F.lit(1), F.size("ahead")))).select(
+        "doc_id", "key", "ord", "target", "loose", F.col("idx").alias("start"), "len",
+        run_text("norm", " ", F.col("len")).alias("r_norm"), run_text("bare", "", F.col("len")).alias("r_loose"),
+    )
     n = F.col("len")
     score = (
         F.when((F.col("r_loose") == F.col("loose")) | (F.col("r_norm") == F.col("target")), 1000 - n)
         .when(F.col("r_loose").contains(F.col("loose")) | F.col("r_norm").contains(F.col("target")), 850 - n)
         .when(
-            F.col("loose").contains(F.col("r_loose"))
-            & (F.length("r_loose") >= F.least(F.lit(10), F.length("loose"))),
+            (F.length("r_loose") >= F.least(F.lit(10), F.length("loose"))) & F.col("loose").contains(F.col("r_loose")),
             700 - n,
         )
     )
-    boxes = F.filter(F.transform("run", lambda b: b["bbox"]), lambda b: b.isNotNull())
-    pairs = pairs.withColumn("score", score).filter(F.col("score").isNotNull())
-    best = F.struct(
-        "score", "start", "len",
-        F.array_min(F.transform(boxes, lambda b: b["x1"])).alias("x1"),
-        F.array_min(F.transform(boxes, lambda b: b["y1"])).alias("y1"),
-        F.array_max(F.transform(boxes, lambda b: b["x2"])).alias("x2"),
-        F.array_max(F.transform(boxes, lambda b: b["y2"])).alias("y2"),
-    )
-    rank = F.struct(F.col("score"), -F.col("start"), -F.col("len"))
-    return (
-        pairs.groupBy("doc_id", "key", "ord")
-        .agg(F.max_by(best, rank).alias("m"))
-        .select("doc_id", "key", "ord", "m.*")
+    first = F.lit((1 << _START) - 1) - F.col("start")
+    rank = F.shiftleft(F.shiftleft(score.cast("long"), _START) + first, _LEN) + (F.lit(7) - n)
+    best = runs.groupBy("doc_id", "key", "ord").agg(F.max(rank).alias("rank")).filter(F.col("rank").isNotNull())
+    high = F.shiftright("rank", _LEN)
+    found = best.select(
+        "doc_id", "key", "ord", F.shiftright(high, _START).cast("int").alias("score"),
+        (F.lit((1 << _START) - 1) - high.bitwiseAND(F.lit((1 << _START) - 1))).alias("start"),
+        (F.lit(7) - F.col("rank").bitwiseAND(F.lit(7))).cast("int").alias("len"),
     )
+    covered = found.withColumn("idx", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)))
+    boxes = bbox_union(covered.join(blocks.select("doc_id", "idx", "bbox"), ["doc_id", "idx"]), ["doc_id", "key", "ord"])
+    return found.join(boxes, ["doc_id", "key", "ord"])
 
 
 def block_fields(matches: DataFrame) -> DataFrame:

@@ -157,12 +157,13 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "pos") -> Da
 
 
 def look_ahead(
-    df: DataFrame, keys: Sequence[str], idx: str, width: int, into: str, size: int = BLOCK
+    df: DataFrame, keys: Sequence[str], idx: str, width: int, into: str, size: int = BLOCK, part: str | None = None
 ) -> DataFrame:
     """Add the array of this row and up to ``width - 1`` following rows of the key, in ``idx`` order.
 
     ``idx`` must be dense per key. The first rows of a block are copied to the block before, so
-    the frame can cross the block edge while each task still sees a bounded block.
+    the frame can cross the block edge while each task still sees a bounded block. ``part`` keeps
+    the block number as a column; rows stay partitioned by it and the keys.
     """
     keys = list(keys)
     payload = [c for c in df.columns if c not in keys]
@@ -171,11 +172,8 @@ def look_ahead(
     blocks = F.when(edge & (own > 0), F.array(own, own - size)).otherwise(F.array(own))
     placed = df.withColumn("__home", own).withColumn("__blk", F.explode(blocks))
     w = W.partitionBy(*keys, "__blk").orderBy(idx).rowsBetween(0, width - 1)
-    return (
-        placed.withColumn(into, F.collect_list(F.struct(*payload)).over(w))
-        .filter(F.col("__blk") == F.col("__home"))
-        .drop("__blk", "__home")
-    )
+    out = placed.withColumn(into, F.collect_list(F.struct(*payload)).over(w)).filter(F.col("__blk") == F.col("__home"))
+    return (out.withColumnRenamed("__blk", part) if part else out.drop("__blk")).drop("__home")
 
 
 def join_in_order(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperquay.operators import contract as C
 from paperquay.plans.registry import query
-from paperquay.session import cut_lineage
+from paperquay.session import cut_lineage, spread
 from paperquay.sinks import export as E
 
 ASIA, AFRICA = C.AMS_SCOPE, C.RED_SEA_SCOPE
@@ -115,12 +115,11 @@ def _tail(last: str) -> str:
 
 def _contract(lake):
     """Pages and table rows, stored once as an extraction run would leave them."""
-    n = lake.spark.sparkContext.defaultParallelism
-    return cut_lineage(lake.contract_pages.repartition(n)), cut_lineage(lake.contract_tables)
+    return spread(cut_lineage(lake.contract_pages)), cut_lineage(lake.contract_tables)
 
 
 def _facts(lake):
-    return C.page_facts(lake.contract_pages)
+    return C.page_facts(spread(cut_lineage(lake.contract_pages)))
 
 
 @query(
@@ -326,7 +325,7 @@ def stored_contracts(lake):
         F.when(F.col("doc_id") % 3 != 0, "CONTRACT").otherwise("OTHER").alias("type"), F.struct(F.lit("C1").alias("contractId"), F.col("source").alias("carrier")).alias("header"),
         rates.alias("rates"), arbs.alias("originArbs"), F.array().cast("array<struct<Carrier:string>>").alias("destArbs"), pages.alias("rawPages"),
     )
-    return lake.table("documents").select("doc_id", F.to_json(body).alias("extracted_json"))
+    return lake.texts.select("doc_id", F.to_json(body).alias("extracted_json"))
 
 
 @query(

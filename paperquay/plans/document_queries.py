@@ -412,7 +412,7 @@ DENSITY_SQL = """select doc_id, case when length(trim(text, ' ' || chr(10))) >=
 
 
 def _densities(lake):
-    return O.text_density(lake.table("documents").select("doc_id", F.lit(1).alias("page"), "text"))
+    return O.text_density(lake.texts.select("doc_id", F.lit(1).alias("page"), "text"))
 
 
 @query("MTH05_text_density_class", "", DENSITY_SQL)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperquay.operators.ordered import block, ranked
-from paperquay.operators.tables import rows_of_cells
+from paperquay.session import spread
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -128,6 +128,11 @@ class Lake:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """The documents, spread over the task slots for work on their texts."""
+        return spread(self.table("documents"))
+
     def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
         for name, df in frames.items():
             df.createOrReplaceTempView(name)
@@ -152,7 +157,7 @@ class Lake:
 
     @cached_property
     def blocks(self) -> DataFrame:
-        d = self.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+        d = self.texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
         idx, n = F.col("idx").cast("long"), F.length("text")
         box = F.struct(F.lit(0).alias("x1"), (idx * 12).cast("int").alias("y1"), (n * 6).alias("x2"), (idx * 12 + 10).cast("int").alias("y2"))
         return d.select(

@@ -13,6 +13,7 @@ from paperquay.operators import blocks as B
 from paperquay.operators import tables as T
 from paperquay.operators.ordered import block, join_in_order
 from paperquay.plans.registry import query
+from paperquay.session import spread
 
 # -- blocks ------------------------------------------------------------------------------------
 
@@ -209,7 +210,7 @@ def _(lake):
 where part <> ''""",
 )
 def _(lake):
-    d = lake.table("documents").select("doc_id", F.posexplode(X.paragraphs(F.col("text"), "\n")).alias("idx", "part"))
+    d = lake.texts.select("doc_id", F.posexplode(X.paragraphs(F.col("text"), "\n")).alias("idx", "part"))
     return d.withColumn("idx", F.col("idx").cast("long"))
 
 
@@ -220,7 +221,7 @@ from (select *, unnest(case when n <= 850 then range(0, 1) else range(0, (n - 1)
   from (select doc_id, text, regexp_extract_all(text, '[^ \\n]+') as words, len(regexp_extract_all(text, '[^ \\n]+')) as n from documents) a) b""",
 )
 def _(lake):
-    d = lake.table("documents").select("doc_id", F.posexplode(X.word_chunks(F.col("text"))).alias("chunk_no", "chunk"))
+    d = lake.texts.select("doc_id", F.posexplode(X.word_chunks(F.col("text"))).alias("chunk_no", "chunk"))
     return d.withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
@@ -355,7 +356,7 @@ def _(lake):
     tr = F.concat(F.lit("<tr>"), F.array_join(td, "\n"), F.lit("</TR>"))
     body = join_in_order(lake.table_rows, ["table_id"], ["row"], tr, "\n", block("row", 4096), "rows")
     html = body.select(F.lit("table").alias("kind"), F.col("table_id").alias("id"), F.concat(F.lit("<table>"), F.col("rows"), F.lit("</table>")).alias("html"))
-    lists = lake.table("pages").select(F.lit("list").alias("kind"), F.col("page_id").alias("id"), "html")
+    lists = spread(lake.table("pages")).select(F.lit("list").alias("kind"), F.col("page_id").alias("id"), "html")
     found = T.html_rows(html, "html").unionByName(T.html_rows(lists, "html", "ul", "li"))
     return found.select("kind", "id", F.col("row").cast("long").alias("row"), F.array_join("cells", "|").alias("cells"))
 
@@ -575,7 +576,7 @@ def _(lake):
 )
 def _(lake):
     cols = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in c.items()]) for c in COLUMNS])
-    return lake.table("documents").select("doc_id", F.md5(X.question_prompt(F.col("text"), cols)).alias("prompt"))
+    return lake.texts.select("doc_id", F.md5(X.question_prompt(F.col("text"), cols)).alias("prompt"))
 
 
 @query(

@@ -50,3 +50,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage so later branches share one evaluation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are task slots.
+
+    Text work is bound by CPU, not bytes, so a few small files would leave slots idle. An input
+    that has enough splits (any large one) is returned as it is, without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
