@@ -293,7 +293,7 @@ def log_metrics(c: Column) -> dict[str, Column]:
     percent = F.coalesce(said, derived)
     eta = F.regexp_extract(c, r"(?i)\b(\d+h\d+m\d+s|\d+m\d+s|\d+s)\b", 1)
     return {
-        "percent": F.greatest(F.lit(0), F.least(F.lit(100), percent)),
+        "percent": F.when(percent > 100, 100).otherwise(percent),
         "downloaded_mb": F.when(done > 0, F.round(done / mb, 1)),
         "total_mb": F.when(total > 0, F.round(total / mb, 1)),
         "speed_mbps": F.when(rate > 0, F.round(rate / mb, 2)),

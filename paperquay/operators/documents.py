@@ -99,12 +99,18 @@ def sorted_by(docs: DataFrame, by: str = "created_at", desc: bool = True, tiebre
     return global_rank(docs, [F.col(by).desc() if desc else F.col(by).asc(), F.col(tiebreak).asc()])
 
 
-def page_of(docs: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
+# A page this deep is taken by position instead of by a sorted head of offset + size rows.
+DEEP_OFFSET = 100_000
+
+
+def page_of(docs: DataFrame, order: Sequence[Column], page: int, size: int, deep: int = DEEP_OFFSET) -> DataFrame:
     """One 1-based page; a page past the end gives the last page."""
     total = docs.agg(F.count(F.lit(1))).first()[0]
     last = max(1, -(-total // size))
-    at = min(max(page, 1), last)
-    return docs.orderBy(*order).offset((at - 1) * size).limit(size)
+    skip = (min(max(page, 1), last) - 1) * size
+    if skip <= deep:
+        return docs.orderBy(*order).offset(skip).limit(size)
+    return global_rank(docs, order, "__pos").filter(F.col("__pos").between(skip + 1, skip + size)).drop("__pos")
 
 
 def page_after(docs: DataFrame, key: str, last_seen, size: int) -> DataFrame:

@@ -18,6 +18,8 @@ def build_session(app: str = "paperquay", master: str | None = None, **conf: str
         # A split of a hot key is worth an extra shuffle in a downstream aggregate.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Written intermediate results go away with the last plan that reads them.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     builder = SparkSession.builder.appName(app)
