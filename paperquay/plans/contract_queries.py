@@ -126,13 +126,11 @@ def _facts(lake):
     "STR13_regex_fields", "v4b",
     """select doc_id, page, case when page = 2 then concat('ATL', cast(doc_id as varchar)) end as contract_id, case when k % 4 = 0 then pr end as commodity,
   case when k % 3 = 0 then city end as origin, case when k % 6 = 1 then concat(city, ' Via') end as origin_via, case when k % 5 = 0 then city end as rate_over,
-  sc as scope, concat('[', sc, ']') as scope_bracketed from (select *, sc is null as no from pg) t""".replace("concat('[', sc, ']')", "case when sc is not null then concat('[', sc, ']') end"),
+  sc as scope from pg""",
     tail=_tail("pg"),
 )
 def _(lake):
-    fields = C.page_fields(F.col("text"))
-    names = ["contract_id", *C.CONTEXT]
-    return lake.contract_pages.select("doc_id", "page", *[fields[n].alias(n) for n in names])
+    return C.page_facts(lake.contract_pages).select("doc_id", "page", "contract_id", *C.CONTEXT)
 
 
 @query(
@@ -160,7 +158,7 @@ def _(lake):
 
 @query(
     "WIN03_page_context_fill", "v4b",
-    "select doc_id, page, commodity, origin, origin_via, rate_over, scope, case when scope = '' then '' else concat('[', scope, ']') end as scope_bracketed, eff as effective_date, exp as expiration_date from ctx",
+    "select doc_id, page, commodity, origin, origin_via, rate_over, scope, eff as effective_date, exp as expiration_date from ctx",
     tail=_tail("ctx"),
 )
 def _(lake):
