@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # Every white space character, written out (faster than the Unicode class flag).
 _SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WS = _SPACE + "+"
+_NOT_SPACE = "[^" + _SPACE[1:]
+# Needs cleaning: white space at an end, two in a row, or any but the plain space.
+_UNCLEAN = f"^{_SPACE}|{_SPACE}$|{_SPACE}{{2}}|[" + _SPACE[1:-1] + "&&[^ ]]"
 
 # Table header spelling -> field name.
 HEADER_FIELDS = {
@@ -197,8 +200,17 @@ def has_digit(c: Column) -> Column:
     return F.coalesce(c, F.lit("")).rlike("[0-9]")
 
 
+def clean_cells(cells: Column) -> Column:
+    """``clean_text`` of every cell; most need no change, which one search tells."""
+
+    def clean(c: Column) -> Column:
+        return F.when(c.rlike(_UNCLEAN), collapse(c)).otherwise(F.coalesce(c, F.lit("")))
+
+    return F.transform(cells, clean)
+
+
 def is_blank_row(cells: Column) -> Column:
-    return F.forall(cells, lambda c: clean_text(c) == "")
+    return ~F.exists(cells, lambda c: F.coalesce(c, F.lit("")).rlike(_NOT_SPACE))
 
 
 def is_header_row(cells: Column) -> Column:

@@ -82,6 +82,15 @@ def test_headers(spark):
     assert got == [["destination_city", "rate20", "rate20_2", "direct_call", "rate40h", "x", "rate20_3"]]
 
 
+def test_cells(spark):
+    row = ["a", " a", "a\u00a0", "a  b", "a\tb", "a\nb c", "", None, "a b", "\u2003", "\x1c"]
+    assert apply(spark, X.clean_cells, [row], "array<string>") == [["a", "a", "a", "a b", "a b", "a b c", "", "", "a b", "", ""]]
+    rows = [[], ["", None], ["\u00a0 \t", "\n"], ["", "x"], [None, " . "]]
+    assert apply(spark, X.is_blank_row, rows, "array<string>") == [True, True, True, False, False]
+    heads = [[" DESTINATION x"], ["Point"], ["the point"], [None], []]
+    assert apply(spark, lambda c: F.coalesce(X.is_header_row(c), F.lit(False)), heads, "array<string>") == [True, True, False, False, False]
+
+
 def test_word_chunks(spark):
     long = " ".join(str(i) for i in range(1500))
     got = apply(spark, X.word_chunks, ["a  b", "", long])
