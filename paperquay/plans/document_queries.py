@@ -542,7 +542,7 @@ def _(lake):
 @query(
     "STR16_log_line_metrics", "v6",
     """select event_id, case when event_id % 2 = 0 then event_id % 101 else cast(floor((event_id % 50) * 100.0 / 64 + 0.5) as bigint) end as percent,
-  case when event_id % 50 > 0 then round((event_id % 50) * 1024.0, 1) end as downloaded_mb, 65536.0 as total_mb, round((event_id % 9) + 0.5, 2) as speed_mbps,
+  case when event_id % 50 > 0 then cast((event_id % 50) * 1024 as double) end as downloaded_mb, cast(65536 as double) as total_mb, cast((event_id % 9) + 0.5 as double) as speed_mbps,
   concat(cast(event_id % 60 as varchar), 's') as eta from v6""",
 )
 def _(lake):

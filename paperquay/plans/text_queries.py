@@ -528,7 +528,7 @@ def _(lake):
 @query(
     "JSN02_reply_parse", "v5",
     " union all ".join(
-        f"select doc_id, '{k}' as key, {v} as answer, case when {v} = '' then 0.0 else 1.0 end as score from v5" for k, v in REPLY.items()
+        f"select doc_id, '{k}' as key, {v} as answer, cast(case when {v} = '' then 0 else 1 end as double) as score from v5" for k, v in REPLY.items()
     ),
 )
 def _(lake):
@@ -553,9 +553,9 @@ def _(lake):
 
 @query(
     "JSN04_field_override", "v5",
-    """select doc_id, 'lang' as key, concat(notes, case when doc_id % 2 = 0 then '!' else '' end) as answer, case when doc_id % 2 = 0 then 1.0 else 0.5 end as score from v5
-union all select doc_id, 'size', cast(page_count as varchar), 0.25 from v5
-union all select doc_id, 'fresh', 'x', 1.0 from v5 union all select doc_id, 'empty', '', 0.0 from v5""",
+    """select doc_id, 'lang' as key, concat(notes, case when doc_id % 2 = 0 then '!' else '' end) as answer, cast(case when doc_id % 2 = 0 then 1.0 else 0.5 end as double) as score from v5
+union all select doc_id, 'size', cast(page_count as varchar), cast(0.25 as double) from v5
+union all select doc_id, 'fresh', 'x', cast(1 as double) from v5 union all select doc_id, 'empty', '', cast(0 as double) from v5""",
 )
 def _(lake):
     def got(text, score):
@@ -581,8 +581,8 @@ def _(lake):
 
 @query(
     "UDF02_qa_plugin", "v1",
-    """select doc_id, 'lang' as key, notes as answer, 1.0 as score from v1 union all select doc_id, 'size', cast(page_count as varchar), 1.0 from v1
-union all select doc_id, 'other', '', 0.0 from v1""",
+    """select doc_id, 'lang' as key, notes as answer, cast(1 as double) as score from v1 union all select doc_id, 'size', cast(page_count as varchar), cast(1 as double) from v1
+union all select doc_id, 'other', '', cast(0 as double) from v1""",
 )
 def _(lake):
     context = F.concat(F.lit("x\nLanguage: "), F.col("notes"), F.lit("\nsize :  "), F.col("page_count").cast("string"), F.lit("\nother:\n"))
