@@ -29,6 +29,19 @@ def added(schema: T.StructType, **columns: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(k, v) for k, v in columns.items())])
 
 
+def renamed(docs: DataFrame, *names: str) -> tuple[DataFrame, ...]:
+    """``docs`` with columns c0, c1, ... and the new names of ``names``.
+
+    Working columns can then have any name; ``restored`` gives the old names back.
+    """
+    return (docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), *(f"c{docs.columns.index(n)}" for n in names))
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from a frame made of its renamed form, under their own names."""
+    return df.select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of partitions that shuffles are given."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

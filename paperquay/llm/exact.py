@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from paperquay.llm.common import added, parallelism, written
+from paperquay.llm.common import added, parallelism, renamed, restored, written
 
 #: Parts into which rows of one fingerprint are dealt for the byte check, before AQE splits further.
 SALTS = 8
@@ -149,9 +149,10 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that an equal text with a larger key replaces; all columns stay."""
-    kept = exact_groups(docs, key, text).filter("kept").select(F.col(key).alias("__id"), F.col("text_sha256").alias("__s"))
-    rows = fingerprinted(docs, text)
-    match = F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__s"))
-    first = W.partitionBy("__sha", f"`{key}`").orderBy("__fp")
-    stay = rows.join(kept, match, "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1")
-    return stay.select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, id_, body = renamed(docs, key, text)
+    kept = exact_groups(docs, key, text).filter("kept").select(F.col(key).alias("id"), F.col("text_sha256").alias("sha"))
+    rows = fingerprinted(rows, body)
+    match = F.col(id_).eqNullSafe(F.col("id")) & (F.col("__sha") == F.col("sha"))
+    first = W.partitionBy("__sha", id_).orderBy("__fp")
+    stay = rows.join(kept, match, "left_semi").withColumn("n", F.row_number().over(first)).filter("n = 1")
+    return restored(stay, docs)

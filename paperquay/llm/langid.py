@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperquay.llm.common import added
+from paperquay.llm.common import added, renamed, restored
 
 #: Bytes of context at most.
 ORDER = 3
@@ -183,10 +183,8 @@ def learned(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return Trees.grown([tuple(x) for x in rows]) if rows else None
 
 
-def predicted(
-    docs: DataFrame, trees: Trees | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")
-) -> DataFrame:
-    """``docs`` with the language predicted for each whole text and its score, under ``names``.
+def predicted(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, the language predicted for each whole text.
 
     The score is the winner's share of probability when every language is as likely before the
     text. A text that is null or has no letter is ``und`` with score 0, as is any text if nothing
@@ -206,10 +204,10 @@ def predicted(
                 scores[known] = 1 / np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000)).sum(axis=1)
                 for i, b in zip(known, best, strict=True):
                     langs[i] = trees.langs[b]
-            out = batch.append_column(names[0], pa.array(langs, pa.string()))
-            yield out.append_column(names[1], pa.array(scores, pa.float64()))
+            out = batch.append_column("lang_pred", pa.array(langs, pa.string()))
+            yield out.append_column("score", pa.array(scores, pa.float64()))
 
-    return docs.mapInArrow(add, added(docs.schema, **{names[0]: T.StringType(), names[1]: T.DoubleType()}))
+    return docs.mapInArrow(add, added(docs.schema, lang_pred=T.StringType(), score=T.DoubleType()))
 
 
 def fold(key: str = "doc_id") -> Column:
@@ -230,5 +228,5 @@ def train_and_predict(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose language can't be told; all columns stay."""
-    known = predicted(docs, learned(docs.filter(fold() != 1)), names=("__lang", "__score"))
-    return known.filter(F.col("__lang") != UNKNOWN).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, body = renamed(docs, "text")
+    return restored(predicted(rows, learned(docs.filter(fold() != 1)), body).filter(F.col("lang_pred") != UNKNOWN), docs)

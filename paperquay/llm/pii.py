@@ -9,198 +9,219 @@ Characters are permuted by a Feistel network over the two halves of a value: eac
 characters of one half, digits among digits and letters among letters of their case, by a keyed
 hash of the other half. Dates and addresses are numbers below a product a*b and are permuted by
 the same network with its halves below a and below b.
+
+The functions below return SQL text: one expression holds the whole network, and Spark reads it at
+once, where building it call by call would take longer than many a run.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count as counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperquay.llm.common import renamed, restored
+
 ROUNDS = 6
-OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Formats, in the order in which they are tried at a place.
+OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Formats, in the order in which they are tried at a place. None has a group of its own.
 FORMATS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "address": rf"(?<![A-Za-z0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![A-Za-z0-9]|\.[0-9])",
-    "iso_date": r"(?<![A-Za-z0-9/.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![A-Za-z0-9])",
-    "day_date": r"(?<![A-Za-z0-9/.-])[0-9]{2}([/.-])[0-9]{2}\1[0-9]{4}(?![A-Za-z0-9])",
-    "phone": r"(?<![A-Za-z0-9.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])",
-    "tax_id": r"(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "number": r"(?<![A-Za-z0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
+    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:[.][A-Za-z0-9-]++)++",
+    "address": f"(?<![A-Za-z0-9.]){OCTET}(?:[.]{OCTET}){{3}}(?![A-Za-z0-9]|[.][0-9])",
+    "iso_date": "(?<![A-Za-z0-9/.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![A-Za-z0-9])",
+    "day_date": "(?<![A-Za-z0-9/.-])[0-9]{2}(?:/[0-9]{2}/|[.][0-9]{2}[.]|-[0-9]{2}-)[0-9]{4}(?![A-Za-z0-9])",
+    "phone": "(?<![A-Za-z0-9.])(?:[+][0-9]{1,3}[ .-]?)?(?:[(][0-9]{3}[)] ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])",
+    "tax_id": "(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
+    "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "number": "(?<![A-Za-z0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
+    "key": "(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
 }
 ANY = "|".join(f"(?:{x})" for x in FORMATS.values())
 #: Days of the calendar's 400-year cycle, 1800-01-01 to 2199-12-31: 189 * 773.
 FIRST_DAY, DAY_HALVES = "1800-01-01", (189, 773)
 
+_NAMES = counter()
+
+
+def _name() -> str:
+    """A lambda variable that no other expression has."""
+    return f"v{next(_NAMES)}"
+
 
-def _let(value: Column, use) -> Column:
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _let(value: str, use) -> str:
     """``use(value)`` with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), 0)
+    v = _name()
+    return f"transform(array({value}), {v} -> {use(v)})[0]"
 
 
-def _hash(key: str, round_: int, other: Column) -> Column:
-    return F.sha2(F.concat(F.lit(f"{key}|{round_}|"), other.cast("string")), 256)
+def _hash(key: str, round_: int, other: str) -> str:
+    return f"sha2(concat({_quoted(f'{key}|{round_}|')}, cast({other} as string)), 256)"
 
 
-def _shifted(part: Column, other: Column, key: str, round_: int, letters: int) -> Column:
+def _shifted(part: str, other: str, key: str, round_: int, letters: int) -> str:
     """Characters of ``part`` moved within their class by a keyed hash of ``other``."""
 
-    def moved(stream: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            by = F.conv(F.substring(stream, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
-            code = F.ascii(c)
-            turn = lambda low, n: F.char(low + (code - low + by) % n)
-            return (
-                F.when(c.between("0", "9"), turn(48, 10))
-                .when(c.between("a", chr(96 + letters)), turn(97, letters))
-                .when(c.between("A", chr(64 + letters)), turn(65, letters))
-                .otherwise(c)
-            )
+    def moved(stream: str) -> str:
+        c, i = _name(), _name()
+        by = f"cast(conv(substring({stream}, ({i} % 16) * 4 + 1, 4), 16, 10) as int)"
+        turns = " ".join(
+            f"when {c} between '{chr(low)}' and '{chr(low + n - 1)}' then char({low} + (ascii({c}) - {low} + {by}) % {n})"
+            for low, n in ((48, 10), (97, letters), (65, letters))
+        )
+        return f"array_join(transform(split({part}, ''), ({c}, {i}) -> case {turns} else {c} end), '')"
 
-        return F.array_join(F.transform(F.split(part, ""), one), "")
+    return f"if({part} = '', {part}, {_let(_hash(key, round_, other), moved)})"
 
-    return F.when(part == "", part).otherwise(_let(_hash(key, round_, other), moved))
 
-
-def permuted_text(value: Column, key: str, letters: int = 26) -> Column:
+def permuted_text(value: str, key: str, letters: int = 26) -> str:
     """A string as another one of the same format; different strings stay different.
 
     Only the first ``letters`` letters of the alphabet are moved.
     """
-    half = (F.length(value) / 2).cast("int")
-    start = F.struct(F.substring(value, F.lit(1), half).alias("a"), F.substring(value, half + 1, F.length(value)).alias("b"))
 
-    def step(pair: Column, round_: int) -> Column:
+    def halves(v: str) -> str:
+        return f"named_struct('a', substring({v}, 1, int(length({v}) / 2)), 'b', substring({v}, int(length({v}) / 2) + 1))"
+
+    def step(pair: str, round_: int) -> str:
         if round_ % 2:
-            return _let(pair, lambda p: F.struct(_shifted(p["a"], p["b"], key, round_, letters).alias("a"), p["b"].alias("b")))
-        return _let(pair, lambda p: F.struct(p["a"].alias("a"), _shifted(p["b"], p["a"], key, round_, letters).alias("b")))
+            return _let(pair, lambda p: f"named_struct('a', {_shifted(f'{p}.a', f'{p}.b', key, round_, letters)}, 'b', {p}.b)")
+        return _let(pair, lambda p: f"named_struct('a', {p}.a, 'b', {_shifted(f'{p}.b', f'{p}.a', key, round_, letters)})")
 
-    return _let(reduce(step, range(ROUNDS), start), lambda p: F.concat(p["a"], p["b"]))
+    return _let(reduce(step, range(ROUNDS), _let(value, halves)), lambda p: f"concat({p}.a, {p}.b)")
 
 
-def permuted_number(value: Column, halves: tuple[int, int], key: str) -> Column:
+def permuted_number(value: str, halves: tuple[int, int], key: str) -> str:
     """A number below the product of ``halves`` as another one."""
     a, b = halves
-    start = F.struct((F.floor(value / b)).cast("long").alias("a"), (value % b).cast("long").alias("b"))
-    number = lambda h: F.conv(F.substring(h, 1, 12), 16, 10).cast("long")
 
-    def step(pair: Column, r: int) -> Column:
+    def number(other: str, round_: int) -> str:
+        return f"cast(conv(substring({_hash(key, round_, other)}, 1, 12), 16, 10) as bigint)"
+
+    def step(pair: str, r: int) -> str:
         if r % 2:
-            return _let(pair, lambda p: F.struct(((p["a"] + number(_hash(key, r, p["b"]))) % a).alias("a"), p["b"].alias("b")))
-        return _let(pair, lambda p: F.struct(p["a"].alias("a"), ((p["b"] + number(_hash(key, r, p["a"]))) % b).alias("b")))
+            return _let(pair, lambda p: f"named_struct('a', ({p}.a + {number(f'{p}.b', r)}) % {a}, 'b', {p}.b)")
+        return _let(pair, lambda p: f"named_struct('a', {p}.a, 'b', ({p}.b + {number(f'{p}.a', r)}) % {b})")
+
+    start = _let(value, lambda v: f"named_struct('a', cast({v} div {b} as bigint), 'b', cast({v} % {b} as bigint))")
+    return _let(reduce(step, range(ROUNDS), start), lambda p: f"({p}.a * {b} + {p}.b)")
+
 
-    return _let(reduce(step, range(ROUNDS), start), lambda p: p["a"] * b + p["b"])
+def _refilled(value: str, chars: str) -> str:
+    """``value`` with its digits replaced in order by ``chars``."""
+    x, i = _name(), _name()
+    return f"array_join(transform(split({value}, '[0-9]', -1), ({x}, {i}) -> concat({x}, substring({chars}, {i} + 1, 1))), '')"
 
 
-def _refilled(value: Column, chars: Column, kind: str) -> Column:
-    """``value`` with its characters of class ``kind`` replaced in order by those of ``chars``."""
-    pieces = F.split(value, kind, -1)  # what lies between
-    return F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.substring(chars, i + 1, F.lit(1)))), "")
+def _digits(value: str) -> str:
+    return f"regexp_replace({value}, '[^0-9]', '')"
 
 
-def _luhn(digits: Column) -> Column:
+def _luhn(digits: str) -> str:
     """Check digit that follows ``digits``."""
-    n = F.length(digits)
-    value = lambda c, i: F.when((n - i) % 2 == 1, (c.cast("int") * 2) % 10 + F.floor(c.cast("int") / 5)).otherwise(c.cast("int"))
-    total = F.aggregate(F.transform(F.split(digits, ""), value), F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.pmod(-total, F.lit(10))
+    c, i, s, x = _name(), _name(), _name(), _name()
+    doubled = f"(int({c}) * 2) % 10 + int({c}) div 5"
+    values = f"transform(split({digits}, ''), ({c}, {i}) -> cast(if((length({digits}) - {i}) % 2 = 1, {doubled}, int({c})) as bigint))"
+    return f"pmod(-aggregate({values}, 0L, ({s}, {x}) -> {s} + {x}), 10)"
 
 
-def _number(value: Column, key: str) -> Column:
+def _number(value: str, key: str) -> str:
     """Card-like numbers: all digits but the last are permuted; the last keeps its distance from the
     Luhn digit, so valid numbers become valid ones and others others."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
 
-    def done(d: Column) -> Column:
-        body = F.substring(d, F.lit(1), F.length(d) - 1)
-        off = F.right(d, F.lit(1)).cast("int") - _luhn(body)
-        fresh = lambda new: F.concat(new, F.pmod(_luhn(new) + off, F.lit(10)).cast("string"))
-        return _refilled(value, _let(permuted_text(body, f"{key}|number"), fresh), "[0-9]")
+    def done(d: str) -> str:
+        body = f"substring({d}, 1, length({d}) - 1)"
+        off = f"(int(right({d}, 1)) - {_let(body, _luhn)})"
+        fresh = _let(permuted_text(body, f"{key}|number"), lambda new: f"concat({new}, cast(pmod({_luhn(new)} + {off}, 10) as string))")
+        return _let(fresh, lambda f: _refilled(value, f))
 
-    return _let(digits, done)
+    return _let(_digits(value), done)
 
 
-def _phone(value: Column, key: str) -> Column:
+def _phone(value: str, key: str) -> str:
     """The last ten digits but the first of the area and of the exchange, whose range is fixed."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
 
-    def done(d: Column) -> Column:
-        end = F.right(d, F.lit(10))
-        free = F.concat(F.substring(end, 2, 2), F.substring(end, 5, 6))
-        before = F.substring(d, F.lit(1), F.length(d) - 10)
-        put = lambda x: F.concat(before, F.substring(end, 1, 1), F.substring(x, 1, 2), F.substring(end, 4, 1), F.substring(x, 3, 6))
-        return _refilled(value, _let(permuted_text(free, f"{key}|phone"), put), "[0-9]")
+    def done(d: str) -> str:
+        def put(x: str) -> str:
+            e = f"right({d}, 10)"
+            return f"concat(substring({d}, 1, length({d}) - 10), substring({e}, 1, 1), substring({x}, 1, 2), substring({e}, 4, 1), substring({x}, 3))"
 
-    return _let(digits, done)
+        free = f"concat(substring(right({d}, 10), 2, 2), substring(right({d}, 10), 5, 6))"
+        return _let(_let(permuted_text(free, f"{key}|phone"), put), lambda f: _refilled(value, f))
 
+    return _let(_digits(value), done)
 
-def _address(value: Column, key: str) -> Column:
-    octets = F.split(value, "\\.")
-    whole = F.aggregate(octets, F.lit(0).cast("long"), lambda s, x: s * 256 + x.cast("long"))
-    parts = lambda n: F.concat_ws(".", *(F.pmod(F.shiftright(n, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)))
+
+def _address(value: str, key: str) -> str:
+    s, x = _name(), _name()
+    whole = f"aggregate(split({value}, '[.]'), 0L, ({s}, {x}) -> {s} * 256 + cast({x} as bigint))"
+    parts = lambda n: "concat_ws('.', " + ", ".join(f"cast({n} div {256**p} % 256 as string)" for p in (3, 2, 1, 0)) + ")"
     return _let(permuted_number(whole, (1 << 16, 1 << 16), f"{key}|address"), parts)
 
 
-def _day(day: Column, key: str) -> Column:
+def _day(day: str, key: str) -> str:
     """A date of the 400-year cycle as another one; null for null or a date outside it."""
-    zero = F.lit(FIRST_DAY).cast("date")
-    at = F.datediff(day, zero).cast("long")
-    inside = (at >= 0) & (at < DAY_HALVES[0] * DAY_HALVES[1])
-    return F.when(inside, F.date_add(zero, permuted_number(at, DAY_HALVES, f"{key}|day").cast("int")))
+    a, b = DAY_HALVES
+    zero = f"date'{FIRST_DAY}'"
+    moved = lambda at: f"if({at} between 0 and {a * b - 1}, date_add({zero}, cast({permuted_number(at, DAY_HALVES, f'{key}|day')} as int)), null)"
+    return _let(f"cast(datediff({day}, {zero}) as bigint)", moved)
+
 
+def _iso_date(value: str, key: str) -> str:
+    return f"coalesce(date_format({_day(f'try_to_date({value}, {_quoted("yyyy-MM-dd")})', key)}, 'yyyy-MM-dd'), {value})"
 
-def _day_date(value: Column, key: str) -> Column:
+
+def _day_date(value: str, key: str) -> str:
     """Two digits, two digits, year: day first where that is a date, else month first.
 
     A month-first date is permuted again until it is not a day-first one, so both kinds stay apart.
     """
-    sep = F.substring(value, 3, 1)
-    iso = lambda v, d, m: F.concat(F.substring(v, 7, 4), F.lit("-"), F.substring(v, m, 2), F.lit("-"), F.substring(v, d, 2))
-    parse = lambda v, d, m: F.try_to_date(iso(v, d, m), "yyyy-MM-dd")
-    day_first = _day(parse(value, 1, 4), key)
-    form = lambda day, first, second: F.concat(F.date_format(day, first), sep, F.date_format(day, second), sep, F.date_format(day, "yyyy"))
-    walk = lambda d, _: F.when(F.isnotnull(d) & (F.dayofmonth(d) <= 12), _day(d, f"{key}|month")).otherwise(d)
-    month_first = F.aggregate(F.sequence(F.lit(1), F.lit(64)), _day(parse(value, 4, 1), f"{key}|month"), walk)
-    return F.coalesce(form(day_first, "dd", "MM"), form(month_first, "MM", "dd"), value)
-
 
-def _iso_date(value: Column, key: str) -> Column:
-    day = _day(F.try_to_date(value, "yyyy-MM-dd"), key)
-    return F.coalesce(F.date_format(day, "yyyy-MM-dd"), value)
+    def parsed(day: int, month: int) -> str:
+        iso = f"concat(substring({value}, 7), '-', substring({value}, {month}, 2), '-', substring({value}, {day}, 2))"
+        return f"try_to_date({iso}, 'yyyy-MM-dd')"
 
+    def form(first: str, second: str):
+        sep = f"substring({value}, 3, 1)"
+        return lambda day: f"concat(date_format({day}, '{first}'), {sep}, date_format({day}, '{second}'), {sep}, date_format({day}, 'yyyy'))"
 
-def _email(value: Column, key: str) -> Column:
-    """Everything but the last label of the domain."""
-    name = F.regexp_replace(value, r"\.[A-Za-z0-9-]+$", "")
-    return F.concat(permuted_text(name, f"{key}|email"), F.regexp_extract(value, r"\.[A-Za-z0-9-]+$", 0))
+    d, i = _name(), _name()
+    again = f"if({i} = 0 or dayofmonth({d}) <= 12, {_day(d, f'{key}|month')}, {d})"
+    month_first = f"aggregate(sequence(0, 64), {parsed(4, 1)}, ({d}, {i}) -> {again})"
+    return f"coalesce({_let(_day(parsed(1, 4), key), form('dd', 'MM'))}, {_let(month_first, form('MM', 'dd'))}, {value})"
 
 
-def _prefixed(value: Column, keep: int, key: str) -> Column:
-    return F.concat(F.substring(value, 1, keep), permuted_text(F.substring(value, F.lit(keep + 1), F.length(value)), key))
+def _email(value: str, key: str) -> str:
+    """Everything but the last label of the domain."""
+    last = "[.][A-Za-z0-9-]+$"
+    name = permuted_text(f"regexp_replace({value}, '{last}', '')", f"{key}|email")
+    return f"concat({name}, regexp_extract({value}, '{last}', 0))"
 
 
-def _secret(value: Column, key: str) -> Column:
-    return F.when(value.startswith("AKIA"), _prefixed(value, 4, f"{key}|key")).otherwise(permuted_text(value, f"{key}|hex", 6))
+def _prefixed(value: str, keep: int, key: str) -> str:
+    return f"concat(substring({value}, 1, {keep}), {permuted_text(f'substring({value}, {keep + 1})', key)})"
 
 
-def pseudonym(value: Column, key: str) -> Column:
+def pseudonym(value: str, key: str) -> str:
     """The pseudonym of a value in one of FORMATS."""
-    whole = {k: value.rlike(f"^(?:{v})$") for k, v in FORMATS.items()}
-    return (
-        F.when(whole["email"], _email(value, key))
-        .when(whole["address"], _address(value, key))
-        .when(whole["iso_date"], _iso_date(value, key))
-        .when(whole["day_date"], _day_date(value, key))
-        .when(whole["phone"], _phone(value, key))
-        .when(whole["tax_id"], permuted_text(value, f"{key}|tax"))
-        .when(whole["iban"], _prefixed(value, 2, f"{key}|iban"))
-        .when(whole["number"], _number(value, key))
-        .otherwise(_secret(value, key))
-    )
+    made = {
+        "email": _email(value, key),
+        "address": _address(value, key),
+        "iso_date": _iso_date(value, key),
+        "day_date": _day_date(value, key),
+        "phone": _phone(value, key),
+        "tax_id": permuted_text(value, f"{key}|tax"),
+        "iban": _prefixed(value, 2, f"{key}|iban"),
+        "number": _number(value, key),
+    }
+    tests = " ".join(f"when {value} rlike '^(?:{FORMATS[k]})$' then {v}" for k, v in made.items())
+    hexa = permuted_text(value, f"{key}|hex", 6)
+    return f"case {tests} when {value} like 'AKIA%' then {_prefixed(value, 4, f'{key}|key')} else {hexa} end"
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
@@ -210,16 +231,17 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | No
     values, an empty one and a null one stay as they are; strings that look like a date but are
     none, or lie outside 1800 to 2199, stay too. Other columns stay, whatever their names.
     """
-    body = F.col(f"`{text}`")
-    out = docs.withColumn("__has", F.coalesce(body.rlike(ANY), F.lit(False)))
-    values = F.when(F.col("__has"), F.regexp_extract_all(body, F.lit(f"({ANY})"), F.lit(0)))
-    out = out.withColumns({"__values": values, "__between": F.when(F.col("__has"), F.split(body, ANY, -1))})
-    out = out.withColumn("__new", F.transform("__values", lambda v: pseudonym(v, key)))
-    joined = F.array_join(F.transform("__between", lambda x, i: F.concat(x, F.coalesce(F.get(F.col("__new"), i), F.lit("")))), "")
-    out = out.withColumn(text, F.when(F.col("__has"), joined).otherwise(body))
-    if count:
-        out = out.withColumn(count, F.coalesce(F.size("__values"), F.lit(0)).cast("long"))
-    return out.drop("__has", "__values", "__between", "__new")
+    rows, body = renamed(docs, text)
+    out = rows.withColumn("has", F.coalesce(F.col(body).rlike(ANY), F.lit(False)))
+    values = F.when(F.col("has"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
+    out = out.withColumns({"old": values, "between": F.when(F.col("has"), F.split(body, ANY, -1))})
+    out = out.withColumn("new", F.expr(f"transform(old, value -> {pseudonym('value', key)})"))
+    joined = F.array_join(F.transform("between", lambda x, i: F.concat(x, F.coalesce(F.get(F.col("new"), i), F.lit("")))), "")
+    out = out.withColumn(body, F.when(F.col("has"), joined).otherwise(F.col(body)))
+    if not count:
+        return restored(out, docs)
+    found = F.coalesce(F.size("old"), F.lit(0)).cast("long").alias("found")
+    return out.select(*rows.columns, found).toDF(*docs.columns, count)
 
 
 def pseudonymise_documents(docs: DataFrame, key: str) -> DataFrame:
@@ -228,4 +250,4 @@ def pseudonymise_documents(docs: DataFrame, key: str) -> DataFrame:
     if "n_chars" in docs.columns:
         length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", length)
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out

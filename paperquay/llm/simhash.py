@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from xxhash import xxh64_intdigest
 
-from paperquay.llm.common import added, components, written
+from paperquay.llm.common import added, components, renamed, restored, written
 from paperquay.session import cut_lineage
 
 MAX_BITS = 2
@@ -112,10 +112,10 @@ def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
 
     Of several rows with that key and fingerprint, one stays.
     """
+    rows, id_, body = renamed(docs, key, text)
     groups = near_groups(docs, key, text, width).filter(F.col(key).eqNullSafe(F.col("component_id")))
-    stay = groups.select(F.col(key).alias("__id"), F.col("fingerprint").alias("__f")).distinct()
-    rows = with_simhash(docs, text, width).withColumn("__hex", F.lower(F.lpad(F.hex("__fp"), 16, "0")))
-    match = F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__hex") == F.col("__f"))
-    one = W.partitionBy("__hex", f"`{key}`").orderBy("__fp")
-    kept = rows.join(stay, match, "left_semi").withColumn("__n", F.row_number().over(one)).filter("__n = 1")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    stay = groups.select(F.col(key).alias("id"), F.col("fingerprint").alias("f")).distinct()
+    rows = with_simhash(rows, body, width).withColumn("hex", F.lower(F.lpad(F.hex("__fp"), 16, "0")))
+    match = F.col(id_).eqNullSafe(F.col("id")) & (F.col("hex") == F.col("f"))
+    one = W.partitionBy("hex", id_).orderBy("__fp")
+    return restored(rows.join(stay, match, "left_semi").withColumn("n", F.row_number().over(one)).filter("n = 1"), docs)
