@@ -68,36 +68,42 @@ def as_text(anchors: Column) -> Column:
     return F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
-def next_keys(docs: DataFrame) -> DataFrame:
-    """``id, h, next_id, next_h``: for each different (id, h) the one that follows; last to first.
+KEY = ["some", "id", "h"]
 
-    Null ids come first. Keys are dealt by range and written; inside a range the follower is a
-    window's lead, and at its end the first key of the next range, from one row for each range.
+
+def next_keys(keys: DataFrame) -> DataFrame:
+    """``KEY`` and ``to_`` columns: for each different key the one that follows; last to first.
+
+    Keys are dealt by range and written; inside a range the follower is a window's lead, and at its
+    end the first key of the next range, from one row for each range.
     """
-    keys = docs.select("id", "h").distinct()
-    placed = cut_lineage(keys.repartitionByRange("id", "h").withColumn("part", F.spark_partition_id()))
-    firsts = placed.groupBy("part").agg(F.min(F.struct("id", "h")).alias("first"))
+    key = F.struct(*KEY)
+    placed = cut_lineage(keys.distinct().repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()))
+    firsts = placed.groupBy("part").agg(F.min(key).alias("first"))
     over = W.orderBy("part")  # one row for each range
     round_up = F.first("first").over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     ends = firsts.select("part", F.coalesce(F.lead("first").over(over), round_up).alias("end"))
-    inside = F.lead(F.struct("id", "h")).over(W.partitionBy("part").orderBy("id", "h"))
+    inside = F.lead(key).over(W.partitionBy("part").orderBy(*KEY))
     led = placed.withColumn("lead", inside).join(ends, "part").withColumn("next", F.coalesce("lead", "end"))
-    return led.select("id", "h", F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h"))
+    return led.select(*KEY, *(F.col(f"next.{c}").alias(f"to_{c}") for c in KEY))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs`` (id, text) with ``next_text``, the text of the next document by id, last to first.
 
-    Rows equal in id are ordered by a hash of their text; rows equal in both have the same follower.
+    Null ids come first. Rows equal in id are ordered by a hash of their text; rows equal in both
+    have the same follower. Texts are shuffled by their own key, once for both sides, and by the
+    key of the follower.
     """
-    rows = docs.select("id", "text", F.xxhash64("text").alias("h"))
-    follow = next_keys(rows).select(F.col("id").alias("of_id"), F.col("h").alias("of_h"), "next_id", "next_h")
-    led = rows.join(follow, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h")))
-    nth = F.count(F.lit(1)).over(W.partitionBy("id", "h").orderBy("id").rowsBetween(W.unboundedPreceding, 0))
+    kind = docs.schema["id"].dataType
+    rows = docs.select(
+        (~F.col("id").isNull()).alias("some"), F.coalesce("id", F.lit(0).cast(kind)).alias("id"), F.xxhash64("text").alias("h"), "text"
+    )
+    led = rows.join(next_keys(rows.select(*KEY)), KEY)
+    nth = F.count(F.lit(1)).over(W.partitionBy(*KEY).orderBy("h").rowsBetween(W.unboundedPreceding, 0))
     once = rows.withColumn("nth", nth).filter("nth = 1")
-    once = once.select(F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.col("text").alias("next_text"))
-    led = led.select("id", "text", "next_id", "next_h")
-    return led.join(once, F.col("next_id").eqNullSafe(F.col("to_id")) & (F.col("next_h") == F.col("to_h"))).select("id", "text", "next_text")
+    once = once.select(*(F.col(c).alias(f"to_{c}") for c in KEY), F.col("text").alias("next_text"))
+    return led.join(once, [f"to_{c}" for c in KEY]).select(F.when(F.col("some"), F.col("id")).alias("id"), "text", "next_text")
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
