@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +32,17 @@ def build_session(app: str = "paperquay", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only where none is set."""
+    """The folder the cluster names for checkpoints.
+
+    Without one, a local session gets a temporary folder; any other fails, since its executors
+    would not see each other's files.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     current = sc.getCheckpointDir()
     if current is None:
+        if configured is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="paperquay-"))
         current = sc.getCheckpointDir()
     return configured or current
@@ -52,13 +59,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage so later branches share one evaluation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are task slots.
-
-    Text work is bound by CPU, not bytes, so a few small files would leave slots idle. An input
-    that has enough splits (any large one) is returned as it is, without a shuffle.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
