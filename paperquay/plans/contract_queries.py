@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from paperquay.operators import contract as C
 from paperquay.plans.registry import query
-from paperquay.session import cut_lineage, spread
+from paperquay.session import cut_lineage
 from paperquay.sinks import export as E
 
 ASIA, AFRICA = C.AMS_SCOPE, C.RED_SEA_SCOPE
+CARRIER = "BLUEWAVE"
 
 CTES = [
     (
@@ -22,7 +23,7 @@ CTES = [
     ),
     (
         "hd",
-        """select doc_id, case when max(page) >= 2 then concat('ATL', cast(doc_id as varchar)) else '' end as contract_id,
+        """select doc_id, case when max(page) >= case when doc_id % 8 = 6 then 13 else 2 end then concat('ATL', cast(doc_id as varchar)) else '' end as contract_id,
   case when bool_or(k % 7 = 0) then '2024-01-01' when max(page) >= 4 then '2023-03-01' else '' end as effective_date,
   case when bool_or(k % 7 = 0) then '2024-07-31' when max(page) >= 4 then '2023-12-31' else '' end as expiration_date from pg group by doc_id""",
     ),
@@ -115,16 +116,16 @@ def _tail(last: str) -> str:
 
 def _contract(lake):
     """Pages and table rows, stored once as an extraction run would leave them."""
-    return spread(cut_lineage(lake.contract_pages)), cut_lineage(lake.contract_tables)
+    return cut_lineage(lake.contract_pages), cut_lineage(lake.contract_tables)
 
 
 def _facts(lake):
-    return C.page_facts(spread(cut_lineage(lake.contract_pages)))
+    return C.page_facts(lake.contract_pages)
 
 
 @query(
     "STR13_regex_fields", "v4b",
-    """select doc_id, page, case when page = 2 then concat('ATL', cast(doc_id as varchar)) end as contract_id, case when k % 4 = 0 then pr end as commodity,
+    """select doc_id, page, case when page = case when doc_id % 8 = 6 then 13 else 2 end then concat('ATL', cast(doc_id as varchar)) end as contract_id, case when k % 4 = 0 then pr end as commodity,
   case when k % 3 = 0 then city end as origin, case when k % 6 = 1 then concat(city, ' Via') end as origin_via, case when k % 5 = 0 then city end as rate_over,
   sc as scope from pg""",
     tail=_tail("pg"),
@@ -141,7 +142,7 @@ def _(lake):
   union all select doc_id, page, 10 * (1 + p2 + o + v), 'rate_over', city from b where k % 5 = 0
   union all select doc_id, page, 10 * (1 + p2 + o + v + r + c + d + d2 + s + e), 'origin', city2 from b where k % 12 = 0) t""",
     tail=_tail("pg") + """,
-b as (select *, case when page = 2 then 1 else 0 end as p2, case when k % 3 = 0 then 1 else 0 end as o, case when k % 6 = 1 then 1 else 0 end as v,
+b as (select *, case when page = case when doc_id % 8 = 6 then 13 else 2 end then 1 else 0 end as p2, case when k % 3 = 0 then 1 else 0 end as o, case when k % 6 = 1 then 1 else 0 end as v,
   case when k % 5 = 0 then 1 else 0 end as r, case when k % 4 = 0 then 1 else 0 end as c, case when k % 7 = 0 then 1 else 0 end as d,
   case when k % 14 = 0 then 1 else 0 end as d2, case when sc is not null then 1 else 0 end as s, case when page in (3, 4) then 1 else 0 end as e from pg)""",
 )
@@ -151,9 +152,9 @@ def _(lake):
     )
 
 
-@query("AGG14_header_resolve", "v4b", "select doc_id, 'OLTEK' as carrier, contract_id, effective_date, expiration_date from hd", tail=_tail("hd"))
+@query("AGG14_header_resolve", "v4b", "select doc_id, 'BLUEWAVE' as carrier, contract_id, effective_date, expiration_date from hd", tail=_tail("hd"))
 def _(lake):
-    return C.document_header(_facts(lake))
+    return C.document_header(_facts(lake), CARRIER)
 
 
 @query(
@@ -163,7 +164,7 @@ def _(lake):
 )
 def _(lake):
     facts = cut_lineage(_facts(lake))
-    ctx = C.page_context(facts).join(C.document_header(facts), "doc_id")
+    ctx = C.page_context(facts).join(C.document_header(facts, CARRIER), "doc_id")
     return ctx.select(
         "doc_id", "page", *C.CONTEXT, F.coalesce("start", "effective_date").alias("effective_date"), F.coalesce("end", "expiration_date").alias("expiration_date")
     )
@@ -198,14 +199,14 @@ def _(lake):
 
 @query(
     "WIN04_header_carry_forward", "v4b",
-    "select doc_id, page, table_id, section, case kind when 'D' then 'destination_city' when 'P' then 'point' end as first_field from th",
+    "select doc_id, page, table_id, section, case kind when 'D' then 'destination_city|destination_via_city' when 'P' then 'point|via' end || '|cntry|cmdt|direct_call|rate20|rate40' as headers from th",
     tail=_tail("th"),
 )
 def _(lake):
     tables = C.tables_of_rows(lake.contract_tables).filter("n_rows >= 2 and first_cells is not null")
     placed = C.with_section(tables, C.section_boundaries(_facts(lake))).filter("section not in ('UNKNOWN', 'STOP')")
     return C.with_headers(cut_lineage(placed)).select(
-        "doc_id", "page", "table_id", "section", F.try_element_at("headers", F.lit(1)).alias("first_field")
+        "doc_id", "page", "table_id", "section", F.array_join("headers", "|").alias("headers")
     )
 
 
@@ -231,7 +232,7 @@ def _(lake):
 
 
 AGW_SQL = "case when origin_city is null then '' else '230' end"
-ROWS_SQL = f"""select doc_id, section, page, table_id, row_no, 'OLTEK' as carrier, contract_id, eff as effective_date, exp as expiration_date,
+ROWS_SQL = f"""select doc_id, section, page, table_id, row_no, 'BLUEWAVE' as carrier, contract_id, eff as effective_date, exp as expiration_date,
   case when section = 'RATES' then commodity else '' end as commodity,
   case section when 'RATES' then origin when 'ORIGIN_ARB' then point else '' end as origin_city,
   case section when 'RATES' then origin_via when 'ORIGIN_ARB' then rate_over else '' end as origin_via_city,
@@ -270,17 +271,17 @@ def _unified(sections):
 
 @query("ARR05_parse_contract_rows", "v2r v4b", ROWS_SQL, tail=_tail("mg"))
 def _(lake):
-    return _unified(C.contract_rows(*_contract(lake)))
+    return _unified(C.contract_rows(*_contract(lake), CARRIER))
 
 
 @query(
     "SET01_append_sentinel", "v2r v4b",
-    """select doc_id, section, row_no, 'OLTEK' as carrier, false as is_end from mg
+    """select doc_id, section, row_no, 'BLUEWAVE' as carrier, false as is_end from mg
 union all select doc_id, section, null, 'DOC END', true from hd, (values ('RATES'), ('ORIGIN_ARB'), ('DEST_ARB')) as s(section)""",
     tail=_tail("mg"),
 )
 def _(lake):
-    d = _unified(C.contract_rows(*_contract(lake), sentinel=True))
+    d = _unified(C.contract_rows(*_contract(lake), CARRIER, sentinel=True))
     return d.select("doc_id", "section", "row_no", "carrier", "is_end")
 
 
@@ -318,7 +319,7 @@ def stored_contracts(lake):
     rates = F.transform(
         lines, lambda t, i: F.struct(F.col("source").alias("Carrier"), date.alias("effective_date"), i.cast("string").alias("BaseRate 20"), t.alias("commodity"))
     )
-    arbs = F.transform(F.slice(lines, 1, 2), lambda t: F.struct(F.col("lang").alias("Carrier"), F.substring(t, 1, 9).alias("origin_city")))
+    arbs = F.transform(lines, lambda t: F.struct(F.col("lang").alias("Carrier"), t.alias("origin_city")))
     body = F.struct(
         F.when(F.col("doc_id") % 3 != 0, "CONTRACT").otherwise("OTHER").alias("type"), F.struct(F.lit("C1").alias("contractId"), F.col("source").alias("carrier")).alias("header"),
         rates.alias("rates"), arbs.alias("originArbs"), F.array().cast("array<struct<Carrier:string>>").alias("destArbs"), pages.alias("rawPages"),
@@ -351,7 +352,7 @@ def _(lake):
 @query(
     "SNK03_export_contract_sheets", "v2",
     f"""select 'rates' as sheet, 22 as columns, doc_id, row_no, carrier, effective_date, case when effective_date = '2024-02-29' then effective_date end as parsed from ({MERGED_SQL}) t
-union all select 'originArbs', 19, v.doc_id, idx, lang, '', null from v2 v join documents d on d.doc_id = v.doc_id where v.doc_id % 3 <> 0 and idx < 2""",
+union all select 'originArbs', 19, v.doc_id, idx, lang, '', null from v2 v join documents d on d.doc_id = v.doc_id where v.doc_id % 3 <> 0""",
 )
 def _(lake):
     """Three sheets written and read back; the empty one is not written."""
@@ -372,7 +373,7 @@ def _(lake):
 
 @query(
     "UDF03_doc_type_registry", "v2",
-    """select 'CONTRACT' as type, s.label, sum(case s.key when 'rates' then n when 'originArbs' then least(n, 2) else 0 end) as rows, count(*) as docs
+    """select 'CONTRACT' as type, s.label, sum(case s.key when 'rates' then n when 'originArbs' then n else 0 end) as rows, count(*) as docs
 from (select doc_id, count(*) as n from v2 where doc_id % 3 <> 0 group by doc_id) d, (values ('rates', 'Rates'), ('originArbs', 'Origin Arbitraries'), ('destArbs', 'Destination Arbitraries')) as s(key, label) group by s.label""",
 )
 def _(lake):
