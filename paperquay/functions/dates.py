@@ -80,9 +80,18 @@ def long_date(ts: Column) -> Column:
     return F.coalesce(F.date_format(ts, "MMM d, yyyy, hh:mm a"), F.lit("—"))
 
 
-def page_ranges(pages: Column, size: int = 25, unknown_limit: int = 500) -> Column:
-    """Array of struct(chunk, page_start, page_end) covering pages 1..n; unknown n covers the limit."""
-    last = F.when(F.coalesce(pages, F.lit(0)) > 0, pages).otherwise(F.lit(unknown_limit)).cast("int")
+def page_ranges(pages: Column, size: int = 25, unknown_limit: int | None = None) -> Column:
+    """Array of struct(chunk, page_start, page_end) covering pages 1..n.
+
+    An unknown n covers 1..``unknown_limit``; without such a limit it gives one range that begins at
+    page 1 and has no end.
+    """
+    known = F.coalesce(pages, F.lit(0)) > 0
+    if unknown_limit is None:
+        # The last field is null where the end is open.
+        open_range = F.array(F.struct(F.lit(1).alias("chunk"), F.lit(1).alias("page_start"), F.lit(None).cast("int").alias("page_end")))
+        return F.when(known, page_ranges(F.when(known, pages), size, 1)).otherwise(open_range)
+    last = F.when(known, pages).otherwise(F.lit(unknown_limit)).cast("int")
     chunks = F.sequence(F.lit(0), F.floor((last - 1) / size).cast("int"))
     return F.transform(
         chunks,

@@ -21,17 +21,19 @@ def parse_number(t: Column) -> Column:
     def finite(n: Column) -> Column:
         return F.when(F.abs(n) < float("inf"), n)
 
-    digits = F.substring(t, 3, 64)
+    digits = F.regexp_replace(t, "^0[xXoObB]0*(?=.)", "")
 
-    def based(pattern: str, base: int) -> Column:
-        return F.when(digits.rlike(pattern), F.conv(digits, base, 10).try_cast("double"))
+    def based(pattern: str, base: int, most: int) -> Column:
+        # ``most`` digits fit into 64 bits; a longer number is not read rather than read wrongly.
+        fits = digits.rlike(pattern) & (F.length(digits) <= most) & ~t.rlike("^..$")
+        return F.when(fits, F.conv(digits, base, 10).try_cast("double"))
 
     return (
         F.when(t == "", F.lit(0.0))
         .when(t.rlike(NUMBER), let(t.try_cast("double"), finite))
-        .when(t.rlike("^0[xX]"), based("^[0-9a-fA-F]+$", 16))
-        .when(t.rlike("^0[oO]"), based("^[0-7]+$", 8))
-        .when(t.rlike("^0[bB]"), based("^[01]+$", 2))
+        .when(t.rlike("^0[xX]"), based("^[0-9a-fA-F]+$", 16, 16))
+        .when(t.rlike("^0[oO]"), based("^[0-7]+$", 8, 21))
+        .when(t.rlike("^0[bB]"), based("^[01]+$", 2, 64))
     )
 
 

@@ -40,7 +40,7 @@ def _contains(c: str, text: str) -> Column:
 def list_documents(
     docs: DataFrame, session_id: str | None = None, status: str | None = None, search: str | None = None
 ) -> DataFrame:
-    """Listing projection of the documents that meet all given conditions."""
+    """Listing projection of the documents that meet all given conditions, newest first."""
     out = docs
     if session_id:
         out = out.filter(F.col("session_id") == session_id)
@@ -55,7 +55,7 @@ def list_documents(
         J.list_length(F.col("quality_issues")).alias("quality_issue_count"),
         "session_id", F.coalesce("extraction_type", F.lit("IMAGE")).alias("extraction_type"),
         J.answer_map(F.col("extracted_row")).alias("extracted_row"),
-    )
+    ).orderBy(F.col("created_at").desc(), "doc_id")
 
 
 def document_record(docs: DataFrame) -> DataFrame:
@@ -71,12 +71,14 @@ def document_record(docs: DataFrame) -> DataFrame:
         F.when(
             F.col("full_text") != "",
             F.struct(
-                "full_text", F.col("confidence").alias("avg_confidence"), "processing_time", "page_count",
+                "full_text", "markdown", F.from_json("text_blocks", "array<map<string,string>>").alias("blocks"),
+                F.col("confidence").alias("avg_confidence"), "processing_time", "page_count",
                 F.from_json("ocr_tables", "array<map<string,string>>").alias("tables"),
                 F.from_json("warnings", strings).alias("warnings"),
             ),
         ).alias("ocr_result"),
         J.json_or(F.col("extracted_json"), "{}").alias("extracted_json"),
+        "verified_by", "processed_at", "exported", "export_path",
     )
 
 
@@ -99,18 +101,17 @@ def sorted_by(docs: DataFrame, by: str = "created_at", desc: bool = True, tiebre
     return global_rank(docs, [F.col(by).desc() if desc else F.col(by).asc(), F.col(tiebreak).asc()])
 
 
-# A page this deep is taken by position instead of by a sorted head of offset + size rows.
-DEEP_OFFSET = 100_000
-
+def page_of(docs: DataFrame, order: Sequence[Column], page: int, size: int, keys: Sequence[str], key: str = "doc_id") -> DataFrame:
+    """One 1-based page; a page past the end gives the last page.
 
-def page_of(docs: DataFrame, order: Sequence[Column], page: int, size: int, deep: int = DEEP_OFFSET) -> DataFrame:
-    """One 1-based page; a page past the end gives the last page."""
+    ``keys`` are the columns that ``order`` reads, with the unique ``key`` among them. Only these
+    are ranked; the rows of the page are then picked by key.
+    """
     total = docs.agg(F.count(F.lit(1))).first()[0]
     last = max(1, -(-total // size))
     skip = (min(max(page, 1), last) - 1) * size
-    if skip <= deep:
-        return docs.orderBy(*order).offset(skip).limit(size)
-    return global_rank(docs, order, "__pos").filter(F.col("__pos").between(skip + 1, skip + size)).drop("__pos")
+    ranked = global_rank(docs.select(*keys), order, "__pos").filter(F.col("__pos").between(skip + 1, skip + size))
+    return docs.join(ranked.select(key), key, "left_semi").select(*docs.columns)
 
 
 def page_after(docs: DataFrame, key: str, last_seen, size: int) -> DataFrame:
@@ -154,8 +155,9 @@ def session_stats(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("session_id").isNotNull()).groupBy("session_id").agg(*_stats())
 
 
-def daily_stats(docs: DataFrame) -> DataFrame:
-    return docs.groupBy(F.to_date("created_at").alias("day")).agg(
+def daily_stats(docs: DataFrame, at: str = "processed_at") -> DataFrame:
+    """Counts and means by the day of processing; documents without one are left out."""
+    return docs.filter(F.col(at).isNotNull()).groupBy(F.to_date(at).alias("day")).agg(
         F.count_if(F.col("status").isin(PROCESSED)).alias("processed"),
         F.count_if(F.col("status") == "APPROVED").alias("approved"),
         F.count_if(F.col("status") == "REJECTED").alias("rejected"),
@@ -207,7 +209,8 @@ def reprocess(docs: DataFrame, ids: DataFrame) -> DataFrame:
     cleared = {
         "status": F.lit("QUEUED"), "full_text": F.lit(""), "ocr_tables": F.lit("[]"), "confidence": F.lit(0.0),
         "processing_time": F.lit(0.0), "page_count": F.lit(0), "warnings": F.lit("[]"), "extracted_json": F.lit("{}"),
-        "verified_at": F.lit(None),
+        "verified_at": F.lit(None), "verified_by": F.lit(""), "processed_at": F.lit(None), "markdown": F.lit(""),
+        "text_blocks": F.lit("[]"),
     }
     hit = F.col("__hit")
     kinds = dict(docs.dtypes)
@@ -236,16 +239,24 @@ def cancel(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return _marked(docs, ids).withColumn("status", F.when(hit, "QUEUED").otherwise(F.col("status"))).drop("__hit")
 
 
+RESULT_COLS = [
+    "full_text", "markdown", "text_blocks", "ocr_tables", "extracted_json", "confidence", "processing_time", "page_count", "processed_at",
+    "warnings",
+]
+
+
 def apply_results(docs: DataFrame, results: DataFrame) -> DataFrame:
-    """Store extraction results; an error gives status ERROR. Results of unknown documents are ignored."""
-    cols = ["full_text", "confidence", "processing_time", "page_count", "warnings"]
+    """Store extraction results; an error gives status ERROR. Results of unknown documents are ignored.
+
+    Every column of RESULT_COLS that both sides have is stored.
+    """
+    cols = [c for c in RESULT_COLS if c in results.columns and c in docs.columns]
     r = results.select("doc_id", "error", F.lit(True).alias("__done"), *[F.col(c).alias(f"__new_{c}") for c in cols])
     ok = F.col("__done").isNotNull() & F.col("error").isNull()
     bad = F.col("error").isNotNull()
     changes = {c: F.when(ok, F.col(f"__new_{c}")).otherwise(F.col(c)) for c in cols if c != "warnings"}
-    changes["warnings"] = (
-        F.when(bad, F.to_json(F.array("error"))).when(ok, F.col("__new_warnings")).otherwise(F.col("warnings"))
-    )
+    told = F.when(ok, F.col("__new_warnings")) if "warnings" in cols else F.when(ok, F.lit("[]"))
+    changes["warnings"] = F.when(bad, F.to_json(F.array("error"))).otherwise(F.coalesce(told, "warnings"))
     changes["status"] = F.when(bad, "ERROR").when(ok, "REVIEW").otherwise(F.col("status"))
     return docs.join(r, "doc_id", "left").withColumns(changes).select(*docs.columns)
 
@@ -261,22 +272,23 @@ def status_actions(status: Column) -> Column:
 # -- type detection and routing ----------------------------------------------------------------
 
 
-def text_density(pages: DataFrame, sample_pages: int = 3, min_chars: int = 120, min_words: int = 20) -> DataFrame:
-    """PDF_TEXT or PDF_IMAGE per document from its first pages."""
+def text_density(pages: DataFrame, sample_pages: int | None = None, min_chars: int = 120, min_words: int = 20) -> DataFrame:
+    """PDF_TEXT or PDF_IMAGE per document from its pages, or from the first ``sample_pages`` of them.
+
+    The non-blank page texts, joined by line breaks, need so many characters or words; their sums
+    say as much, so texts are not put together.
+    """
     from paperquay.functions.text import WS, strip
-    from paperquay.operators.ordered import join_in_order
-
-    text = strip(F.col("text"))
-    sample = pages.filter(F.col("page") <= sample_pages).select("doc_id", "page", F.when(text != "", text).alias("text"))
-    # The page limit bounds the pieces per document.
-    filled = join_in_order(sample, ["doc_id"], ["page"], F.col("text"), "\n", F.col("page"), "merged")
-    merged = F.coalesce("merged", F.lit(""))
-    words = F.size(F.filter(F.split(merged, WS), lambda w: w != ""))
-    known = pages.select("doc_id").distinct()
-    return known.join(filled, "doc_id", "left").select(
-        "doc_id",
-        F.when((F.length(merged) >= min_chars) | (words >= min_words), "PDF_TEXT").otherwise("PDF_IMAGE").alias("density"),
+
+    text = strip(F.coalesce("text", F.lit("")))
+    if sample_pages is not None:
+        text = F.when(F.col("page") <= sample_pages, text).otherwise("")
+    words = F.size(F.filter(F.split("__t", WS), lambda w: w != ""))
+    sums = pages.select("doc_id", text.alias("__t")).groupBy("doc_id").agg(
+        F.sum(F.length("__t")).alias("chars"), F.count_if(F.col("__t") != "").alias("n"), F.sum(words).alias("words")
     )
+    enough = (F.col("chars") + F.greatest(F.col("n") - 1, F.lit(0)) >= min_chars) | (F.col("words") >= min_words)
+    return sums.select("doc_id", F.when(enough, "PDF_TEXT").otherwise("PDF_IMAGE").alias("density"))
 
 
 def extension(filename: Column) -> Column:

@@ -72,7 +72,7 @@ def _(lake):
 
 @query(
     "AGG12_daily_stats", "v1",
-    """select strftime(to_timestamp(created_epoch) at time zone 'UTC', '%Y-%m-%d') as day,
+    """select strftime(to_timestamp(processed_epoch) at time zone 'UTC', '%Y-%m-%d') as day,
   count(*) filter (where status in ('REVIEW','APPROVED','REJECTED','EXPORTED')) as processed,
   count(*) filter (where status = 'APPROVED') as approved, count(*) filter (where status = 'REJECTED') as rejected,
   round(avg(processing_time), 6) as avg_time, round(coalesce(avg(confidence) filter (where confidence > 0), 0.0), 6) as avg_confidence
@@ -126,7 +126,8 @@ def _(lake):
     "FLT02_document_record", "v1",
     """select doc_id, session_id, extraction_type, quality_valid as valid, dpi,
   case when doc_id % 5 = 0 then 'Low DPI: 90' else '' end as issues,
-  case when full_text <> '' then length(full_text) end as text_chars,
+  case when full_text <> '' then md5(full_text) end as text_md5, case when full_text <> '' then markdown end as markdown,
+  case when full_text <> '' then notes end as block, verified_by, processed_epoch as processed, exported, export_path,
   case when full_text <> '' then doc_id % 3 end as tables,
   case when full_text <> '' then case when doc_id % 6 = 1 then 'slow' end end as warnings,
   case when doc_id % 3 = 1 then 'CONTRACT' end as doc_type from v1""",
@@ -136,7 +137,8 @@ def _(lake):
     r = F.col("ocr_result")
     return d.select(
         "doc_id", "session_id", "extraction_type", "quality.valid", "quality.dpi",
-        F.array_join("quality.issues", "; ").alias("issues"), F.length(r["full_text"]).alias("text_chars"),
+        F.array_join("quality.issues", "; ").alias("issues"), F.md5(r["full_text"]).alias("text_md5"), r["markdown"].alias("markdown"),
+        r["blocks"][0]["text"].alias("block"), "verified_by", F.unix_timestamp("processed_at").alias("processed"), "exported", "export_path",
         F.when(r.isNotNull(), F.size(r["tables"])).cast("long").alias("tables"),
         F.when(F.size(r["warnings"]) > 0, F.array_join(r["warnings"], "; ")).alias("warnings"),
         J.field(F.col("extracted_json"), "type").cast("string").alias("doc_type"),
@@ -200,8 +202,8 @@ def _(lake):
 limit 20 offset (least(3, greatest(1, cast(ceil((select count(*) from v1) / 20.0) as bigint))) - 1) * 20""",
 )
 def _(lake):
-    d = lake.docs.select("doc_id", "created_epoch")
-    return O.page_of(d, [F.col("created_epoch").desc(), F.col("doc_id").asc()], 3, 20)
+    order = [F.col("created_epoch").desc(), F.col("doc_id").asc()]
+    return O.page_of(lake.docs, order, 3, 20, ["doc_id", "created_epoch"]).select("doc_id", "created_epoch")
 
 
 @query(
@@ -301,14 +303,17 @@ HIT = "doc_id in (select doc_id from labels where quality = 1)"
 @query(
     "UPD02_reprocess", "v1",
     f"""select doc_id, notes, extracted_row, case when {HIT} then 'QUEUED' else status end as status,
-  case when {HIT} then 0 else length(full_text) end as chars, case when {HIT} then 0.0 else confidence end as confidence,
+  md5(case when {HIT} then '' else full_text end) as text_md5, case when {HIT} then '' else markdown end as markdown,
+  case when {HIT} then '[]' else text_blocks end as text_blocks, case when {HIT} then '' else verified_by end as verified_by,
+  case when not {HIT} then processed_epoch end as processed, case when {HIT} then 0.0 else confidence end as confidence,
   case when {HIT} then 0 else page_count end as page_count, case when {HIT} then '{{}}' else extracted_json end as extracted_json
 from v1""",
 )
 def _(lake):
     d = O.reprocess(lake.docs, lake.table("labels").filter("quality = 1"))
     return d.select(
-        "doc_id", "notes", "extracted_row", "status", F.length("full_text").alias("chars"), "confidence", "page_count", "extracted_json"
+        "doc_id", "notes", "extracted_row", "status", F.md5("full_text").alias("text_md5"), "markdown", "text_blocks", "verified_by",
+        F.unix_timestamp("processed_at").alias("processed"), "confidence", "page_count", "extracted_json",
     )
 
 
@@ -348,7 +353,10 @@ def _(lake):
     "UPD06_apply_results", "v1",
     """select d.doc_id, case when l.doc_id is null then d.status when l.quality = 0 then 'ERROR' else 'REVIEW' end as status,
   case when l.quality = 1 then 99.5 else d.confidence end as confidence, case when l.quality = 1 then 7 else d.page_count end as page_count,
-  case when l.quality = 0 then '["bad scan"]' when l.quality = 1 then '[]' else d.warnings end as warnings
+  case when l.quality = 0 then '["bad scan"]' when l.quality = 1 then '[]' else d.warnings end as warnings,
+  case when l.quality = 1 then '# new' else d.markdown end as markdown, case when l.quality = 1 then '[{"text":"new"}]' else d.text_blocks end as text_blocks,
+  case when l.quality = 1 then '[{"tableId":"n"}]' else d.ocr_tables end as ocr_tables, case when l.quality = 1 then '{"type":"NEW"}' else d.extracted_json end as extracted_json,
+  case when l.quality = 1 then 1709164800 else d.processed_epoch end as processed, md5(case when l.quality = 1 then 'new' else d.full_text end) as text_md5
 from v1 d left join labels l on d.doc_id = l.doc_id""",
 )
 def _(lake):
@@ -356,8 +364,13 @@ def _(lake):
     results = known.select(
         "doc_id", F.when(F.col("quality") == 0, "bad scan").alias("error"), F.lit("new").alias("full_text"),
         F.lit(99.5).alias("confidence"), F.lit(1.0).alias("processing_time"), F.lit(7).alias("page_count"), F.lit("[]").alias("warnings"),
+        F.lit("# new").alias("markdown"), F.lit('[{"text":"new"}]').alias("text_blocks"), F.lit('[{"tableId":"n"}]').alias("ocr_tables"),
+        F.lit('{"type":"NEW"}').alias("extracted_json"), F.to_timestamp(F.lit("2024-02-29")).alias("processed_at"),
+    )
+    return O.apply_results(lake.docs, results).select(
+        "doc_id", "status", "confidence", "page_count", "warnings", "markdown", "text_blocks", "ocr_tables", "extracted_json",
+        F.unix_timestamp("processed_at").alias("processed"), F.md5("full_text").alias("text_md5"),
     )
-    return O.apply_results(lake.docs, results).select("doc_id", "status", "confidence", "page_count", "warnings")
 
 
 @query(
@@ -407,12 +420,21 @@ def _(lake):
 
 # -- type detection and routing ----------------------------------------------------------------
 
-DENSITY_SQL = """select doc_id, case when length(trim(text, ' ' || chr(10))) >= 120
-  or len(regexp_extract_all(text, '\\S+')) >= 20 then 'PDF_TEXT' else 'PDF_IMAGE' end as density from documents"""
+# Pages of two lines; the first three decide.
+DENSITY_SQL = """select doc_id, case when sum(length(t)) + greatest(count(*) filter (where t <> '') - 1, 0) >= 120
+  or sum(len(regexp_extract_all(t, '\\S+'))) >= 20 then 'PDF_TEXT' else 'PDF_IMAGE' end as density
+from (select doc_id, page, case when page <= 3 then trim(string_agg(line, chr(10) order by i), ' ' || chr(10)) else '' end as t
+  from (select doc_id, i, (i - 1) // 2 + 1 as page, lines[i] as line from (select doc_id, string_split(text, chr(10)) as lines from documents) s,
+    unnest(range(1, len(lines) + 1)) as u(i)) p group by doc_id, page) q group by doc_id"""
 
 
 def _densities(lake):
-    return O.text_density(lake.texts.select("doc_id", F.lit(1).alias("page"), "text"))
+    lines = F.split("text", "\n")
+    pages = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 2).cast("int")), lambda p: F.array_join(F.slice(lines, p * 2 + 1, F.lit(2)), "\n")
+    )
+    split = lake.texts.select("doc_id", F.posexplode(pages).alias("at", "text"))
+    return O.text_density(split.withColumn("page", F.col("at") + 1), sample_pages=3)
 
 
 @query("MTH05_text_density_class", "", DENSITY_SQL)
@@ -500,9 +522,9 @@ def _(lake):
 
 @query(
     "MTH02_chunk_page_ranges", "v1",
-    """select doc_id, k + 1 as chunk, k * 25 + 1 as page_start, k * 25 + 25 as page_end
+    """select doc_id, k + 1 as chunk, k * 25 + 1 as page_start, case when doc_id % 10 <> 0 then k * 25 + 25 end as page_end
 from (select doc_id, n, unnest(range(0, (n - 1) // 25 + 1)) as k
-  from (select doc_id, case when doc_id % 10 = 0 then 500 else n_chars // 40 + 1 end as n from v1) a) b""",
+  from (select doc_id, case when doc_id % 10 = 0 then 1 else n_chars // 40 + 1 end as n from v1) a) b""",
 )
 def _(lake):
     pages = F.when(F.col("doc_id") % 10 == 0, 0).otherwise(F.floor(F.col("n_chars") / 40) + 1)
