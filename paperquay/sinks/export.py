@@ -13,6 +13,7 @@ from paperquay.functions.dates import short_datetime
 from paperquay.functions.text import sheet_name, status_label, type_label
 from paperquay.operators.contract import SECTION_COLS
 from paperquay.operators.ordered import block, running_sums
+from paperquay.session import cut_lineage
 
 # Sheet key in the stored document -> section.
 SHEETS = {"rates": "RATES", "originArbs": "ORIGIN_ARB", "destArbs": "DEST_ARB"}
@@ -27,12 +28,15 @@ def json_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def csv_rows(docs: DataFrame) -> DataFrame:
+def csv_rows(docs: DataFrame, text_chars: int | None = None) -> DataFrame:
+    """Rows of the CSV export; ``text_chars`` cuts the texts, None leaves them whole."""
+    text = F.coalesce("full_text", F.lit(""))
+    text = text.alias("Text") if text_chars is None else F.substring(text, 1, text_chars).alias("Text (truncated)")
     return docs.select(
         F.col("doc_id").cast("string").alias("ID"), F.col("filename").alias("Filename"), F.col("status").alias("Status"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("Created At"),
         N.fixed1(F.col("confidence")).alias("Confidence"), F.col("page_count").cast("string").alias("Pages"),
-        F.substring(F.coalesce("full_text", F.lit("")), 1, 500).alias("Text (truncated)"),
+        text,
         F.coalesce("notes", F.lit("")).alias("Notes"),
     )
 
@@ -146,10 +150,11 @@ def _plain_number(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), r"\.0$", "")
 
 
-def document_sheets(docs: DataFrame, grid: DataFrame) -> DataFrame:
+def document_sheets(docs: DataFrame, grid: DataFrame, tables: DataFrame) -> DataFrame:
     """Rows of the per-document sheets: doc_id, sheet, row_no (from 0), cells.
 
-    ``grid``: doc_id, table_id, row, cells (dense rows), optionally caption per row.
+    ``grid``: doc_id, table_id, row, cells (dense rows). ``tables``: doc_id, table_id, n (rows; an
+    empty table has 0 and still counts), optionally caption.
     """
     def line(*cells: Column) -> Column:
         return F.array(*cells).cast("array<string>") if cells else F.array().cast("array<string>")
@@ -162,12 +167,14 @@ def document_sheets(docs: DataFrame, grid: DataFrame) -> DataFrame:
     )
     sheet = sheet_name(F.col("filename"))
     head = docs.select("doc_id", sheet.alias("sheet"), F.posexplode(top).alias("row_no", "cells"))
-    caption = F.max("caption") if "caption" in grid.columns else F.max(F.lit(None).cast("string"))
-    tables = grid.groupBy("doc_id", "table_id").agg(F.count(F.lit(1)).alias("n"), caption.alias("caption"))
+    caption = F.col("caption") if "caption" in tables.columns else F.lit(None).cast("string").alias("caption")
+    # Four small relations below read the tables.
+    tables = cut_lineage(tables.select("doc_id", "table_id", F.col("n").cast("long").alias("n"), caption))
     lead = F.when(F.coalesce("caption", F.lit("")) != "", 2).otherwise(1)
     placed = running_sums(
         tables.withColumn("lead", lead), ["doc_id"], ["table_id"], {"end": F.col("n") + F.col("lead")}, [block("table_id")]
     ).withColumn("first", F.col("end") - F.col("n") - F.col("lead") + 8)
+    placed = cut_lineage(placed)
     named = docs.select("doc_id", sheet.alias("sheet"))
     count = tables.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tables"))
     title = named.join(count, "doc_id").select(
@@ -213,12 +220,15 @@ def history_rows(docs: DataFrame, fmt: str, path: str, now: Column) -> DataFrame
 
 
 def mark_exported(docs: DataFrame, exported: DataFrame, path: str) -> DataFrame:
-    """Registry after an export: approved documents of it become EXPORTED."""
+    """Registry after an export: approved documents of it become EXPORTED; others keep what they had."""
     hit = exported.select("doc_id").distinct().withColumn("__x", F.lit(True))
     done = F.col("__x").isNotNull() & (F.col("status") == "APPROVED")
-    return docs.join(hit, "doc_id", "left").withColumn("exported", done).withColumns(
+    was = F.coalesce("exported", F.lit(False)) if "exported" in docs.columns else F.lit(False)
+    had = F.coalesce("export_path", F.lit("")) if "export_path" in docs.columns else F.lit("")
+    return docs.join(hit, "doc_id", "left").withColumns(
         {
-            "export_path": F.when(done, F.lit(path)).otherwise(F.lit("")),
+            "exported": done | was,
+            "export_path": F.when(done, F.lit(path)).otherwise(had),
             "status": F.when(done, "EXPORTED").otherwise(F.col("status")),
         }
     ).drop("__x")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,9 +12,17 @@ Extractor = Callable[[bytes], dict]
 
 RESULT = (
     "path string, full_text string, markdown string, "
-    "blocks array<struct<text:string,block_type:string,page:int>>, "
-    "avg_confidence double, page_count int, warnings array<string>, error string"
+    "blocks array<struct<text:string,block_type:string,page:int,confidence:double,bbox:struct<x1:int,y1:int,x2:int,y2:int>>>, "
+    "tables array<struct<table_id:string,rows:int,cols:int,cells:array<struct<row:int,col:int,text:string>>>>, "
+    "avg_confidence double, processing_time double, page_count int, warnings array<string>, extra map<string,string>, error string"
 )
+BLOCK_KEYS = ["text", "block_type", "page", "confidence", "bbox"]
+TABLE_KEYS = ["table_id", "rows", "cols", "cells"]
+
+
+RESULT_COLUMNS = [
+    "path", "full_text", "markdown", "blocks", "tables", "avg_confidence", "processing_time", "page_count", "warnings", "extra", "error",
+]
 
 
 def plain_text(content: bytes) -> dict:
@@ -35,18 +44,29 @@ def register(name: str, extractor: Extractor) -> None:
 def extract(files: DataFrame, engine: str) -> DataFrame:
     """Result row per file of (path, content); an unknown engine or a failure fills ``error``."""
     fn = EXTRACTORS.get(engine)
-    empty = {"full_text": "", "markdown": "", "blocks": [], "avg_confidence": 0.0, "page_count": 0, "warnings": []}
+    empty = {
+        "full_text": "", "markdown": "", "blocks": [], "tables": [], "avg_confidence": 0.0, "processing_time": 0.0, "page_count": 0,
+        "warnings": [],
+    }
 
     def one(path: str, content: bytes) -> dict:
         if fn is None:
-            return {"path": path, **empty, "error": f"Unknown model: {engine}"}
+            return {"path": path, **empty, "extra": {}, "error": f"Unknown model: {engine}"}
         try:
-            return {"path": path, **empty, **fn(bytes(content)), "error": None}
+            began = time.perf_counter()
+            found = {"processing_time": None, **fn(bytes(content))}
+            if found["processing_time"] is None:
+                found["processing_time"] = time.perf_counter() - began
+            # What the result has beyond the schema is kept as text.
+            extra = {k: str(found.pop(k)) for k in [*found] if k not in empty}
+            for name, keys in (("blocks", BLOCK_KEYS), ("tables", TABLE_KEYS)):
+                found[name] = [{k: x.get(k) for k in keys} for x in found.get(name) or []]
+            return {"path": path, **empty, **found, "extra": extra, "error": None}
         except Exception as exc:  # a plug-in may fail in any way
-            return {"path": path, **empty, "error": f"{type(exc).__name__}: {exc}"}
+            return {"path": path, **empty, "extra": {}, "error": f"{type(exc).__name__}: {exc}"}
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", *empty, "error"]
+        columns = [*RESULT_COLUMNS]
         for pdf in frames:
             found = [one(p, c) for p, c in zip(pdf["path"], pdf["content"])]
             yield pd.DataFrame(found, columns=columns)

@@ -50,6 +50,10 @@ def register_files(listing: DataFrame, session_id: str | None, now: Column) -> D
         F.lit("[]").alias("ocr_tables"), F.lit("[]").alias("warnings"), F.lit("{}").alias("extracted_row"),
         F.lit("{}").alias("extracted_json"), F.lit(True).alias("quality_valid"), F.lit(0).alias("dpi"),
         F.lit(0).alias("width"), F.lit(0).alias("height"), F.lit("[]").alias("quality_issues"),
+        F.lit("").alias("markdown"), F.lit("[]").alias("text_blocks"), F.lit("[]").alias("tags"), F.lit("{}").alias("user_edits"),
+        F.lit(0.0).alias("blur_score"), F.lit(0.0).alias("skew_angle"), F.lit("").alias("thumbnail_path"),
+        F.lit("").alias("verified_by"), F.lit(None).cast("timestamp").alias("verified_at"),
+        F.lit(None).cast("timestamp").alias("processed_at"), F.lit(False).alias("exported"), F.lit("").alias("export_path"),
     )
 
 
