@@ -95,8 +95,8 @@ def search_filter(text: str, columns: Sequence[str]) -> Column:
 def with_mixed_keys(df: DataFrame, name: str, desc: bool = False) -> tuple[DataFrame, list[Column]]:
     """``df`` with the sort keys of a column of numbers and texts, and the order over them.
 
-    Numbers come first by value, then texts without regard to case and accents. The order is
-    total and the same on every engine: texts compare by their folded form. The keys are columns,
+    Numbers come first by value, then texts without regard to case and accents, by the root
+    collation of Unicode. The keys are columns,
     so that sampling, shuffling and sorting do not parse the cells again.
     """
     keyed = df.withColumn("__num", js_number(F.col(name).cast("string"))).withColumn(
@@ -114,13 +114,9 @@ def mixed_sort(df: DataFrame, name: str, tiebreak: Sequence[str], desc: bool = F
     return global_rank(keyed, order + [F.col(t).asc() for t in tiebreak]).drop("__num", "__text")
 
 
-# Accented Latin letters and what they fold to.
-_FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
-
-
 def fold(c: Column) -> Column:
-    return F.translate(F.lower(c), _FOLD_FROM, _FOLD_TO)
+    """``c`` as a text that compares without regard to case and accents, in any script."""
+    return F.collate(c, "UNICODE_CI_AI")
 
 
 def apply_view(
@@ -144,19 +140,14 @@ def apply_view(
 
 
 def derive_columns(rows: DataFrame, fields: str, order: Sequence[str]) -> DataFrame:
-    """Keys of a map column in first-seen order with display labels: (key, label, ord).
-
-    The aggregate has one row per key name; only those names are ordered as a whole.
-    """
-    from pyspark.sql import Window as W
-
+    """Keys of a map column in first-seen order with display labels: (key, label, ord)."""
     from paperquay.functions.text import humanise_key
 
     seen = rows.select(*order, F.posexplode(F.map_keys(fields)).alias("__at", "key"))
     first = seen.filter(~F.col("key").isin(HEADER_KEYS)).groupBy("key").agg(
         F.min(F.struct(*order, "__at")).alias("__first")
     )
-    numbered = first.withColumn("ord", F.row_number().over(W.orderBy("__first")))
+    numbered = global_rank(first, [F.col("__first").asc()], "ord")
     return numbered.select("key", humanise_key(F.col("key")).alias("label"), "ord")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperquay.operators.documents import FINISHED, PROCESSED
 from paperquay.operators.ordered import block, ranked, running_sums
+from paperquay.session import cut_lineage
 
 # Allowed codes.
 MODES = ["OCR_EXTRACT", "TABLE_EXTRACT", "PDF_EXTRACT", "JSON_EXTRACT"]
@@ -69,11 +70,28 @@ def search(
 def disambiguate(names: DataFrame, taken: DataFrame, wanted: str = "wanted", order: str = "ord") -> DataFrame:
     """A free ``name`` for every wanted one, in ``order``: "x", "x (1)", "x (2)"; blank gives "Unnamed", "Unnamed 2".
 
-    ``taken`` has a column ``name``. The n-th newcomer of a base takes the n-th suffix that is
-    not taken. The free suffix is found from the taken suffixes of that base, ranked: the one
-    ranked r at suffix k leaves k - r free suffixes before it.
-    Two bases cannot ask for the same text unless one is spelled with a suffix itself; those are
-    settled by re-running on the collisions.
+    ``taken`` has a column ``name``; ``order`` is unique. Two bases can ask for the same text if one
+    is spelled with a suffix itself: the first in order gets it, and the others choose again with
+    all names given so far taken, until no two are the same.
+    """
+    held, done, left = taken.select("name"), None, names
+    while True:
+        tried = cut_lineage(_suggested(left, held, wanted, order))
+        firsts = tried.groupBy("name").agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__c")).filter("__c > 1")
+        again = cut_lineage(tried.join(firsts, "name").filter(F.col(order) > F.col("__first")).select(*names.columns, "name"))
+        if again.isEmpty():
+            return tried if done is None else done.unionByName(tried)
+        settled = tried.join(again.select(order), order, "left_anti").select(*names.columns, "name")
+        done = settled if done is None else done.unionByName(settled)
+        held, left = taken.select("name").unionByName(done.select("name")), again.select(*names.columns)
+
+
+def _suggested(names: DataFrame, taken: DataFrame, wanted: str, order: str) -> DataFrame:
+    """Names that are free in ``taken``, and different for rows of one base.
+
+    The n-th newcomer of a base takes the n-th suffix that is not taken. The free suffix is found
+    from the taken suffixes of that base, ranked: the one ranked r at suffix k leaves k - r free
+    suffixes before it.
     """
     base = F.trim(F.col(wanted))
     new = names.withColumn("__base", F.when(base == "", "Unnamed").otherwise(base)).withColumn("__blank", base == "")

@@ -263,6 +263,10 @@ def test_mixed_sort(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
     up = [r.c for r in V.mixed_sort(df, "c", ["i"]).orderBy("pos").collect()]
     assert up == ["-1", "", "9", "10", "A", "b", "É", "e"]
+    cells = ["zbn", "žan", "Zan", "łan", "lan", "éa", "Eb"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    up = [r.c for r in V.mixed_sort(df, "c", ["i"]).orderBy("pos").collect()]
+    assert up.index("žan") < up.index("zbn") and up.index("Zan") < up.index("zbn") and up.index("éa") < up.index("Eb") < up.index("lan")
 
 
 @pytest.mark.parametrize("seed", [12, 13])
@@ -283,3 +287,9 @@ def test_free_names(spark, seed):
     new = spark.createDataFrame(wanted, "ord long, wanted string")
     old = spark.createDataFrame([(t,) for t in taken], "name string")
     assert rows_of(S.disambiguate(new, old), "ord", "name") == sorted(want, key=repr)
+
+
+def test_names_spelled_with_a_suffix(spark):
+    new = spark.createDataFrame([(i, w) for i, w in enumerate(["x", "x", "x (1)", "x", "x (1) (1)", "x (2)"])], "ord long, wanted string")
+    got = [r.name for r in S.disambiguate(new, spark.createDataFrame([("x (3)",)], "name string")).orderBy("ord").collect()]
+    assert len(set(got)) == 6 and "x (3)" not in got and got[:2] == ["x", "x (1)"]
