@@ -119,19 +119,22 @@ def block_runs(blocks: DataFrame, width: int = RUN) -> DataFrame:
     )
 
 
-# Bits of start and len in a packed rank.
-_START, _LEN = 44, 3
+# Bits of start in a packed rank.
+_START = 40
 
 
-def match_fields(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+def match_fields(blocks: DataFrame, answers: DataFrame, width: int = RUN) -> DataFrame:
     """Best run of blocks for every (doc_id, key, ord, answer): score, start, len, merged box.
 
     Texts are normalised once per block: a run's text is the joined texts of its blocks in both
     forms. Answers meet the blocks by document *and* block range, on the partitioning of the
     run window, so a long document is spread over many tasks. Score, start and len are packed in
-    one number, which makes the choice of the best a plain hash aggregate. Boxes are looked up
-    for the winners only.
+    one number, which makes the choice of the best a plain hash aggregate. Boxes are looked up for the winners only.
     """
+    if not 1 <= width < 150:
+        raise ValueError("runs of 150 blocks and more would mix the tiers of the score")
+    len_bits = width.bit_length()
+    full = (1 << len_bits) - 1
     size = 8192
     wanted = answers.withColumn("answer", strip(F.col("answer"))).select(
         "doc_id", "key", "ord",
@@ -141,7 +144,7 @@ def match_fields(blocks: DataFrame, answers: DataFrame) -> DataFrame:
         "doc_id", "idx", "page", F.col("bbox").isNotNull().alias("boxed"),
         normalize_text(F.col("text")).alias("norm"), normalize_loose(F.col("text")).alias("bare"),
     )
-    ahead = look_ahead(forms, ["doc_id"], "idx", RUN, "ahead", size, "part").filter("boxed")
+    ahead = look_ahead(forms, ["doc_id"], "idx", width, "ahead", size, "part").filter("boxed")
     ahead = ahead.withColumn("ahead", F.slice("ahead", F.lit(1), _on_page("ahead"))).drop("norm", "bare", "boxed", "page")
     parts = blocks.select("doc_id", block("idx", size).alias("part")).distinct()
     pairs = ahead.join(wanted.join(parts, "doc_id"), ["doc_id", "part"])
@@ -164,13 +167,13 @@ def match_fields(blocks: DataFrame, answers: DataFrame) -> DataFrame:
         )
     )
     first = F.lit((1 << _START) - 1) - F.col("start")
-    rank = F.shiftleft(F.shiftleft(score.cast("long"), _START) + first, _LEN) + (F.lit(7) - n)
+    rank = F.shiftleft(F.shiftleft(score.cast("long"), _START) + first, len_bits) + (F.lit(full) - n)
     best = runs.groupBy("doc_id", "key", "ord").agg(F.max(rank).alias("rank")).filter(F.col("rank").isNotNull())
-    high = F.shiftright("rank", _LEN)
+    high = F.shiftright("rank", len_bits)
     found = best.select(
         "doc_id", "key", "ord", F.shiftright(high, _START).cast("int").alias("score"),
         (F.lit((1 << _START) - 1) - high.bitwiseAND(F.lit((1 << _START) - 1))).alias("start"),
-        (F.lit(7) - F.col("rank").bitwiseAND(F.lit(7))).cast("int").alias("len"),
+        (F.lit(full) - F.col("rank").bitwiseAND(F.lit(full))).cast("int").alias("len"),
     )
     covered = found.withColumn("idx", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)))
     boxes = bbox_union(covered.join(blocks.select("doc_id", "idx", "bbox"), ["doc_id", "idx"]), ["doc_id", "key", "ord"])

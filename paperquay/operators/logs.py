@@ -27,14 +27,17 @@ def prune_deleted(queue: DataFrame, docs: DataFrame) -> DataFrame:
     return queue.join(docs.select("doc_id"), "doc_id", "left_semi")
 
 
-def log_tail(events: DataFrame, keep: int = 500, doc_id: object | None = None) -> DataFrame:
+def log_tail(events: DataFrame, keep: int = 500, doc_id: object | None = None, parts: int = 32) -> DataFrame:
     """The newest ``keep`` lines of each document, or of one.
 
-    A row-number limit is applied per map task before the shuffle, so a chatty document sends at
-    most ``keep`` lines per task.
+    The limit is applied first within hash parts of a document (and there per map task, before the
+    shuffle), then within the document: no task gets more than ``keep`` lines of each part.
     """
     d = events if doc_id is None else events.filter(F.col("doc_id") == F.lit(doc_id))
     w = W.partitionBy("doc_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    part = W.partitionBy("doc_id", "__part").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    d = d.withColumn("__part", F.pmod(F.xxhash64("event_id"), F.lit(parts)))
+    d = d.withColumn("newest", F.row_number().over(part)).filter(F.col("newest") <= keep).drop("newest", "__part")
     return d.withColumn("newest", F.row_number().over(w)).filter(F.col("newest") <= keep)
 
 

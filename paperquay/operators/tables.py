@@ -6,6 +6,9 @@ A row relation has table_id, row and cells, an array of text.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +33,12 @@ def grid_fill(cells: DataFrame, dims: DataFrame, keys: list[str], chunk: int = 4
     Cells outside the dimensions are ignored; of two cells at one place the later one wins.
     Row numbers are made in chunks that are spread over tasks before they are expanded.
     """
-    at = [*keys, "row", "col"]
-    if "cell_idx" in cells.columns:
-        single = cells.groupBy(*at).agg(F.max_by("text", "cell_idx").alias("text"))
-    else:
-        single = cells.select(*at, "text")
-    filled = single.groupBy(*keys, "row").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("__by_col")
-    )
+    # One shuffle: the cells of a row in order of place and arrival; of a place the last one counts.
+    order = [c for c in ("col", "cell_idx", "text") if c in cells.columns]
+    rows = cells.groupBy(*keys, "row").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("__cells"))
+    last = F.filter("__cells", lambda x, i: ~F.coalesce(F.get(F.col("__cells"), i + 1)["col"] == x["col"], F.lit(False)))
+    by_col = F.map_from_entries(F.transform(last, lambda x: F.struct(x["col"], x["text"])))
+    filled = rows.select(*keys, "row", by_col.alias("__by_col"))
     chunks = dims.filter((F.col("rows") > 0) & (F.col("cols") > 0)).withColumn(
         "__first", F.explode(F.expr(f"sequence(0, rows - 1, {chunk})"))
     )
@@ -113,8 +114,37 @@ def row_map(headers: Column, cells: Column) -> Column:
     return let(F.struct(headers.alias("h"), F.array_distinct(headers).alias("n"), cells.alias("c")), body)
 
 
-# HTML entities decoded in cell texts (the ampersand last).
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: Named character references of HTML, from the language's own table.
+NAMED = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
+REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def decode_references(text: Column) -> Column:
+    """Named and numeric character references as the characters they stand for; unknown ones stay.
+
+    The text is split at its references, so that what one of them gives is not read again.
+    """
+    named = F.from_json(F.lit(NAMED), "map<string,string>")
+
+    def char(code: Column) -> Column:
+        real = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        wide = F.unhex(F.lpad(F.hex(F.when(real, code).otherwise(0xFFFD)), 8, "0"))
+        return F.decode(wide, "UTF-32")
+
+    def decoded(ref: Column) -> Column:
+        name = F.substring(ref, F.lit(2), F.length(ref) - 2)
+        code = (
+            F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10))
+            .when(name.startswith("#"), F.substring(name, F.lit(2), F.length(name)))
+        )
+        return F.when(name.startswith("#"), let(code.cast("long"), char)).otherwise(F.coalesce(F.try_element_at(named, name), ref))
+
+    def joined(x: Column) -> Column:
+        value = lambda i: F.coalesce(decoded(F.get(x["refs"], i)), F.lit(""))
+        return F.array_join(F.transform(x["between"], lambda t, i: F.concat(t, value(i))), "")
+
+    parts = F.struct(F.split(text, REFERENCE, -1).alias("between"), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)).alias("refs"))
+    return F.when(text.contains("&"), let(parts, joined)).otherwise(text)
 
 
 def html_rows(html: DataFrame, source: str, row_tag: str = "tr", cell_tags: str = "td|th") -> DataFrame:
@@ -123,10 +153,7 @@ def html_rows(html: DataFrame, source: str, row_tag: str = "tr", cell_tags: str
     inner_cell = rf"(?is)<(?:{cell_tags})(?:\s[^>]*)?>(.*?)</(?:{cell_tags})\s*>"
 
     def decoded(cell):
-        text = F.regexp_replace(cell, r"(?s)<[^>]*>", "")
-        for entity, char in ENTITIES.items():
-            text = F.replace(text, F.lit(entity), F.lit(char))
-        return strip(text)
+        return strip(let(F.regexp_replace(cell, r"(?s)<[^>]*>", ""), decode_references))
 
     rows = F.regexp_extract_all(source, F.lit(inner_row), F.lit(1))
     return html.select(

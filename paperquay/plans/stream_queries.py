@@ -50,7 +50,7 @@ def _(lake):
 
 @query(
     "STM03_enqueue_dedupe", "v6",
-    """select doc_id, event_id from (select doc_id, event_id, status, lag(status) over (partition by doc_id order by event_id) as prev from v6) t
+    """select doc_id, event_id from (select doc_id, event_id, status, lag(status) over (partition by doc_id order by ts, event_id) as prev from v6) t
 where status = 'QUEUED' and (prev is null or prev not in ('QUEUED', 'PROCESSING'))""",
 )
 def _(lake):
@@ -59,7 +59,7 @@ def _(lake):
 
 @query(
     "STM04_idle_watchdog", "v6",
-    """select doc_id, event_id, round(idle, 3) as idle_s from (select doc_id, event_id, epoch(ts) - lag(epoch(ts)) over (partition by doc_id order by event_id) as idle from v6) t where idle > 7200
+    """select doc_id, event_id, round(idle, 3) as idle_s from (select doc_id, event_id, epoch(ts) - lag(epoch(ts)) over (partition by doc_id order by ts, event_id) as idle from v6) t where idle > 7200
 union all select doc_id, event_id, round(epoch(timestamp '2024-02-01') - epoch(ts), 3) from (""" + LATEST_SQL + """) l where epoch(timestamp '2024-02-01') - epoch(ts) > 7200""",
 )
 def _(lake):

@@ -51,11 +51,16 @@ def run_stateful(stream: DataFrame, step: Step, state_schema: str, root: str) ->
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         before = f"{root}/state/v={batch_id - 1}"
-        known = batch_id > 0 and _exists(session, before)[2]
-        state = session.read.schema(state_schema).parquet(before) if known else session.createDataFrame([], state_schema)
-        new_state, out = step(batch, state)
-        new_state.write.mode("overwrite").parquet(f"{root}/state/v={batch_id}")
-        out.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        if batch_id > 0 and not _exists(session, before)[2]:
+            raise RuntimeError(f"state of the batch before is missing: {before}")
+        state = session.read.schema(state_schema).parquet(before) if batch_id else session.createDataFrame([], state_schema)
+        batch = batch.persist()
+        try:
+            new_state, out = step(batch, state)
+            new_state.write.mode("overwrite").parquet(f"{root}/state/v={batch_id}")
+            out.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        finally:
+            batch.unpersist()
         # Only the version before this one can be read again.
         fs, old, there = _exists(session, f"{root}/state/v={batch_id - 2}")
         if there:
@@ -116,12 +121,13 @@ def queue_depth(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFram
 def _with_previous(batch: DataFrame, state: DataFrame) -> DataFrame:
     """Events with the event before them of the same document, in this batch or in the state.
 
-    Only the first event of a document in the batch looks into the state.
+    Events are ordered by time, then by id. Only the first event of a document in the batch looks
+    into the state; an event older than the state still counts as the next one there.
     """
-    d = batch.select("doc_id", "event_id", "ts", "status", "line")
+    d = batch.select("doc_id", "event_id", "ts", "status", "line").withColumn("__sec", F.col("ts").cast("long"))
     inside = carry_forward(
-        d, ["doc_id"], ["event_id"], {"prev": F.struct("ts", "status")}, [block("event_id")], inclusive=False
-    )
+        d, ["doc_id"], ["ts", "event_id"], {"prev": F.struct("ts", "status")}, [block("__sec")], inclusive=False
+    ).drop("__sec")
     first = inside.filter(F.col("prev").isNull()).drop("prev")
     carried = state.select("doc_id", F.struct("ts", "status").alias("prev"))
     return inside.filter(F.col("prev").isNotNull()).unionByName(first.join(carried, "doc_id", "left"))
