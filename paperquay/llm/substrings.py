@@ -95,18 +95,18 @@ class Chunk:
         self.owner = owner
         self.id_values = pc.fill_null(self.ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def keys(self, starts: np.ndarray, length: int) -> np.ndarray:
+    def keys(self, starts: np.ndarray, length: int, seed: np.uint64 = np.uint64(0)) -> np.ndarray:
         """Representatives of ``length`` words of the windows that start at ``starts``."""
-        grams, have = mixed(self.codes), 1
+        grams, have = mixed(self.codes ^ seed), 1
         while have < length:
             step = min(have, length - have)
             grams = joined(grams[: len(grams) - step], grams[step:])
             have += step
         return mixed(sliding_min(grams, self.window - length + 1)[starts])
 
-    def values(self, starts: np.ndarray, length: int, spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def values(self, starts: np.ndarray, length: int, spare: int) -> tuple[np.ndarray, ...]:
         """Different keys in order, without their ``spare`` low bits; the place of each window's key
-        among them; the first and the last document of each."""
+        among them; the first and the last document of each; the first window of each."""
         keys = self.keys(starts, length) >> np.uint64(spare)
         order = np.argsort(keys, kind="stable")
         ranked = keys[order]
@@ -116,7 +116,7 @@ class Chunk:
         first = np.flatnonzero(edge)
         last = np.append(first[1:], len(ranked)) - 1 if len(first) else first
         owners = self.owner[starts][order]
-        return ranked[first], place, owners[first], owners[last]
+        return ranked[first], place, owners[first], owners[last], starts[order[first]]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -164,7 +164,7 @@ class Plan:
                 answers[level, at] = bits
         starts = chunk.starts
         for level in range(upto):
-            values, place, first, last = chunk.values(starts, self.lengths[level], self.spare(level))
+            values, place, first, last, _ = chunk.values(starts, self.lengths[level], self.spare(level))
             names, begins = self.ranges(values, level)
             sizes = np.diff(np.append(begins, len(values)))
             flags = [_flags(answers[level, int(r)], n) for r, n in zip(names, sizes, strict=True)]
@@ -182,14 +182,15 @@ class Plan:
 
         def run(rows: pa.Table, told: pa.Table | None = None) -> pa.Table:
             chunk, starts = self.walked(rows, told, level)
-            values, _, first, last = chunk.values(starts, self.lengths[level], self.spare(level))
+            values, _, first, last, windows = chunk.values(starts, self.lengths[level], self.spare(level))
             names, begins = self.ranges(values, level)
             ends = np.append(begins, len(values))[1:]
+            second = chunk.keys(windows, self.lengths[level], _C) if final else None
             keys, more = [], []
             for i, j in zip(begins, ends, strict=True):
                 if final:
                     keys.append(values[i:j].tobytes())
-                    more.append(_planes(chunk.id_values[first[i:j]]))
+                    more.append(_planes(chunk.id_values[first[i:j]]) + second[i:j].tobytes())
                 else:
                     keys.append(values[i:j].astype(np.uint32).tobytes())
                     more.append(_bits(first[i:j] != last[i:j]))
@@ -206,13 +207,17 @@ class Plan:
         def run(asked: pa.Table) -> pa.Table:
             keys = [np.frombuffer(x, np.uint64 if final else np.uint32) for x in asked.column("keys").to_pylist()]
             more = asked.column("more").to_pylist()
-            values, place = np.unique(np.concatenate(keys), return_inverse=True)
             if final:
-                ids = np.concatenate([_numbers(x) for x in more])
-                lowest = np.full(len(values), np.iinfo(np.int64).max)
-                np.minimum.at(lowest, place, ids)
-                flags = lowest[place] < ids
+                whole = np.concatenate(keys)
+                ids = np.concatenate([_numbers(x[: len(x) // 2]) for x in more])
+                second = np.concatenate([np.frombuffer(x[len(x) // 2 :], np.uint64) for x in more])
+                order = np.lexsort((second, whole))
+                edge = np.r_[True, (np.diff(whole[order]) != 0) | (np.diff(second[order]) != 0)]
+                lowest = np.minimum.reduceat(ids[order], np.flatnonzero(edge))
+                flags = np.empty(len(ids), bool)
+                flags[order] = lowest[np.cumsum(edge) - 1] < ids[order]
             else:
+                values, place = np.unique(np.concatenate(keys), return_inverse=True)
                 count = np.bincount(place, minlength=len(values))
                 inside = np.concatenate([_flags(x, len(k)) for x, k in zip(more, keys, strict=True)])
                 several = count > 1
@@ -259,7 +264,8 @@ def remove_repeats(
     key; windows are judged on the input. ``kept_text`` (null unless ``with_text``) is the words
     that stay, joined by one space. A null text has no words; rows with a null key keep all theirs
     and remove nothing elsewhere; rows that share a key do not remove each other's words; an empty
-    table gives an empty result. Window hashes have 64 bits and are compared within hash ranges.
+    table gives an empty result. Windows of different chunks are compared by two 64-bit hashes,
+    windows of one chunk by the first of them.
     """
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
