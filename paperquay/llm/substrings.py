@@ -29,8 +29,6 @@ WINDOW = 13
 BASE = 4
 #: Bytes of text in a chunk, about.
 CHUNK = 4 << 20
-#: Word hashes that a Python worker remembers within a chunk.
-REMEMBERED = 500_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -67,12 +65,22 @@ def levels(window: int) -> list[int]:
     return out
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxh64_intdigest(word)
-        return value
+def split_words(texts: pa.ChunkedArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has (null: none)."""
+    parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()).combine_chunks())
+    words = parts.flatten()
+    solid = pc.not_equal(pc.binary_length(words), 0)  # white space at the ends of a text gives empty parts
+    upto = np.r_[0, np.cumsum(solid.to_numpy(zero_copy_only=False))]
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False))
+    return words.filter(solid), np.diff(upto[np.r_[0, ends]])
+
+
+def word_codes(words: pa.LargeStringArray) -> np.ndarray:
+    """XXH64 of each word; a word that repeats is hashed once."""
+    coded = words.dictionary_encode()
+    different = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxh64_intdigest, different), np.uint64, len(different))
+    return hashes[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 class Chunk:
@@ -81,12 +89,9 @@ class Chunk:
     def __init__(self, rows: pa.Table, window: int) -> None:
         rows = rows.take(pc.sort_indices(rows, sort_keys=[("id", "ascending")]))
         self.ids = rows.column("id").combine_chunks()
-        self.words = [(x or b"").split() for x in rows.column("text").cast(pa.binary()).to_pylist()]
-        self.window = window
-        sizes = np.array([len(x) for x in self.words], np.int64)
-        self.ends = np.cumsum(sizes)
-        hashes = _Hashes()
-        self.codes = np.fromiter((hashes[w] for x in self.words for w in x), np.uint64, int(self.ends[-1]) if len(sizes) else 0)
+        self.words, sizes = split_words(rows.column("text"))
+        self.window, self.sizes = window, sizes
+        self.codes = word_codes(self.words)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         # Null ids are neither smaller nor larger than another; their windows take no part.
         numbered = self.ids.is_valid().to_numpy(zero_copy_only=False)
@@ -108,15 +113,17 @@ class Chunk:
         """Different keys in order, without their ``spare`` low bits; the place of each window's key
         among them; the first and the last document of each; the first window of each."""
         keys = self.keys(starts, length) >> np.uint64(spare)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         ranked = keys[order]
         edge = np.r_[True, ranked[1:] != ranked[:-1]] if len(ranked) else np.empty(0, bool)
         place = np.empty(len(keys), np.int64)
         place[order] = np.cumsum(edge) - 1
-        first = np.flatnonzero(edge)
-        last = np.append(first[1:], len(ranked)) - 1 if len(first) else first
-        owners = self.owner[starts][order]
-        return ranked[first], place, owners[first], owners[last], starts[order[first]]
+        at = np.flatnonzero(edge)
+        if not len(at):
+            return ranked, place, self.owner[:0], self.owner[:0], starts[:0]
+        # Owners ascend with the starts, so the first window has the first owner.
+        first, last = np.minimum.reduceat(starts[order], at), np.maximum.reduceat(starts[order], at)
+        return ranked[at], place, self.owner[first], self.owner[last], first
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -240,16 +247,14 @@ class Plan:
             np.add.at(covered, starts, 1)
             np.add.at(covered, starts + self.window, -1)
             stays = np.cumsum(covered)[:-1] == 0
-            columns: tuple[list, list, list, list] = ([], [], [], [])
-            for words, end in zip(chunk.words, chunk.ends, strict=True):
-                left = stays[end - len(words) : end]
-                kept = b" ".join(words if left.all() else [w for w, s in zip(words, left.tolist(), strict=True) if s])
-                columns[0].append(len(words))
-                columns[1].append(len(words) - int(left.sum()))
-                columns[2].append(hashlib.sha256(kept).hexdigest())
-                columns[3].append(kept if with_text else None)
-            arrays = [chunk.ids, *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))]
-            arrays[4] = arrays[4].cast(pa.string())
+            ends = np.r_[0, np.cumsum(chunk.sizes)]
+            upto = np.r_[0, np.cumsum(stays)][ends]
+            lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), chunk.words.filter(pa.array(stays)))
+            kept = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
+            digests = [hashlib.sha256(x).hexdigest() for x in kept.cast(pa.large_binary()).to_numpy(zero_copy_only=False)]
+            text = kept.cast(pa.string()) if with_text else pa.nulls(len(kept), pa.string())
+            removed = chunk.sizes - np.diff(upto)
+            arrays = [chunk.ids, pa.array(chunk.sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), text]
             return pa.Table.from_arrays(arrays, ["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
         return run
