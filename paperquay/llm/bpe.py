@@ -21,9 +21,10 @@ from pyspark.sql import types as T
 
 from paperquay.llm.common import added
 
-#: Encodings of pieces that a Python worker remembers; beyond that it starts afresh.
-REMEMBERED = 200_000
-#: Only pieces of at most so many bytes are remembered.
+#: Encodings of pieces that a Python worker remembers in each of two generations; when the newer
+#: one is full it becomes the older one, so pieces that keep coming stay known.
+REMEMBERED = 250_000
+#: Only pieces of at most so many characters are remembered.
 SHORT = 64
 
 
@@ -97,6 +98,7 @@ class Codec:
         self.tokens = {v: k for k, v in self.ranks.items()}
         self.pieces = regex.compile(pattern).findall
         self.seen: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -104,11 +106,13 @@ class Codec:
         for piece in self.pieces(text):
             ids = seen.get(piece)
             if ids is None:
-                raw = piece.encode()
-                ids = encode_piece(raw, self.ranks)
-                if len(raw) <= SHORT:
+                ids = self.older.get(piece)
+                if ids is None:
+                    ids = encode_piece(piece.encode(), self.ranks)
+                if len(piece) <= SHORT:
                     if len(seen) >= REMEMBERED:
-                        seen.clear()
+                        self.older, self.seen = seen, {}
+                        seen = self.seen
                     seen[piece] = ids
             grow(ids)
         return out
