@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperquay.operators import contract as C
 from paperquay.plans.registry import query
-from paperquay.session import cut_lineage
+from paperquay.session import stored
 from paperquay.sinks import export as E
 
 ASIA, AFRICA = C.AMS_SCOPE, C.RED_SEA_SCOPE
@@ -116,7 +116,7 @@ def _tail(last: str) -> str:
 
 def _contract(lake):
     """Pages and table rows, stored once as an extraction run would leave them."""
-    return cut_lineage(lake.contract_pages), cut_lineage(lake.contract_tables)
+    return stored(lake.contract_pages, "pages"), stored(lake.contract_tables, "tables")
 
 
 def _facts(lake):
@@ -163,7 +163,7 @@ def _(lake):
     tail=_tail("ctx"),
 )
 def _(lake):
-    facts = cut_lineage(_facts(lake))
+    facts = stored(_facts(lake), "facts")
     ctx = C.page_context(facts).join(C.document_header(facts, CARRIER), "doc_id")
     return ctx.select(
         "doc_id", "page", *C.CONTEXT, F.coalesce("start", "effective_date").alias("effective_date"), F.coalesce("end", "expiration_date").alias("expiration_date")
@@ -193,7 +193,7 @@ from tb t join ctx c on c.doc_id = t.doc_id and c.page = t.page""",
     tail=_tail("tb"),
 )
 def _(lake):
-    d = C.with_labels(C.tables_of_rows(lake.contract_tables), cut_lineage(_facts(lake)))
+    d = C.with_labels(C.tables_of_rows(lake.contract_tables), stored(_facts(lake), "facts"))
     return d.select("doc_id", "page", "table_id", "origin", "origin_via", "rate_over")
 
 
@@ -205,15 +205,13 @@ def _(lake):
 def _(lake):
     tables = C.tables_of_rows(lake.contract_tables).filter("n_rows >= 2 and first_cells is not null")
     placed = C.with_section(tables, C.section_boundaries(_facts(lake))).filter("section not in ('UNKNOWN', 'STOP')")
-    return C.with_headers(cut_lineage(placed)).select(
+    return C.with_headers(stored(placed, "placed")).select(
         "doc_id", "page", "table_id", "section", F.array_join("headers", "|").alias("headers")
     )
 
 
 def _merged(lake):
-    pages, rows = _contract(lake)
-    tables = C.with_headers(cut_lineage(C.table_context(cut_lineage(C.page_facts(pages)), rows)))
-    return C.merge_continuations(cut_lineage(C.parsed_rows(rows, tables)))
+    return C.merged_rows(*_contract(lake))[1]
 
 
 @query(

@@ -55,6 +55,13 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """``df`` as a parquet table in the shared folder, by ``parts``: readers take only the columns and parts they need."""
+    path = run_dir(df.sparkSession, name)
+    df.write.partitionBy(*parts).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage so later branches share one evaluation."""
     shared_dir(df.sparkSession)
