@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -16,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from paperquay.llm import bpe, common, exact, html_text, langid, packing, pii, queries, simhash, syncmers
+from paperquay.llm import bpe, common, exact, html_text, langid, packing, pii, queries, simhash, substrings, syncmers
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,6 +82,23 @@ def test_bpe_long_piece():
     assert codec.encode(text) == ENC.encode_ordinary(text)
 
 
+def test_bpe_forgets(monkeypatch):
+    """Encodings don't depend on what is remembered."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    codec = bpe.Codec(open(public_tokenizers.path(queries.RANKS), "rb").read(), public_tokenizers.PATTERN)
+    text = " ".join(random.Random(4).choice(["qwxz", "zzyq", "vvkj", "the", "pqpq", "jjxx", "wqk", "xvz"]) for _ in range(500))
+    assert codec.encode(text) == ENC.encode_ordinary(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet="ab \t\n\x0b\x0c\r\x1c\x85\xa0é", max_size=12), max_size=6))
+def test_words_of_window_operator(texts):
+    words, sizes = substrings.split_words(pa.chunked_array([pa.array(texts, pa.string())]))
+    want = [WORD.findall(t or "") for t in texts]
+    assert words.to_pylist() == [w for x in want for w in x] and sizes.tolist() == [len(x) for x in want]
+    assert substrings.word_codes(words).tolist() == [xxhash.xxh64_intdigest(w) for x in want for w in x]
+
+
 def test_syncmers(results, corpus):
     by = {r.doc_id: r for r in results("op2_syncmer_fingerprints")}
     for (i, text, _), (_, after, _) in zip(corpus, corpus[1:] + corpus[:1], strict=True):
