@@ -12,11 +12,11 @@ LATEST_SQL = """select doc_id, arg_max(status, (ts, event_id)) as status, arg_ma
   arg_max(event_id, (ts, event_id)) as event_id from v6 group by doc_id"""
 
 
-def _in_rounds(lake, name, run):
+def _in_rounds(lake, name, run, clock=None):
     """``run(stream, root)`` after each of three rounds of new event files; the last result.
 
     The events of the table arrive in time order. Every round restarts the query from its
-    checkpoint.
+    checkpoint. A ``clock`` comes as one more row, without a document.
     """
     root, events = run_dir(lake.spark, name), lake.events
     lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
@@ -27,13 +27,13 @@ def _in_rounds(lake, name, run):
         part.write.parquet(f"{root}/events/round={i}")
         stream = T.event_stream(lake.spark, f"{root}/events", events.schema).drop("round")
         result = run(stream, f"{root}/run")
+    if clock is not None:
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+        lake.spark.range(1).select(*blank).withColumn("ts", clock).write.parquet(f"{root}/events/round=3")
+        result = run(stream, f"{root}/run")
     return result
 
 
-def _run(lake, step, name):
-    return _in_rounds(lake, name, lambda stream, root: T.run_stateful(stream, step, T.LATEST, root))
-
-
 @query("STM01_latest_status", "v6", f"select doc_id, event_id, status from ({LATEST_SQL}) t")
 def _(lake):
     return _in_rounds(lake, "latest", T.run_latest).select("doc_id", "event_id", "status")
@@ -44,8 +44,7 @@ def _(lake):
     f"select count(*) filter (where status = 'QUEUED') as queued, count(*) filter (where status = 'PROCESSING') as processing from ({LATEST_SQL}) t",
 )
 def _(lake):
-    depth = _run(lake, T.queue_depth, "depth")[1]
-    return depth.agg(F.max_by("queued", "batch").alias("queued"), F.max_by("processing", "batch").alias("processing"))
+    return _in_rounds(lake, "depth", T.run_queue_depth)
 
 
 @query(
@@ -54,7 +53,7 @@ def _(lake):
 where status = 'QUEUED' and (prev is null or prev not in ('QUEUED', 'PROCESSING'))""",
 )
 def _(lake):
-    return _run(lake, T.enqueue_dedupe, "enqueue")[1].select("doc_id", "event_id")
+    return _in_rounds(lake, "enqueue", T.run_enqueue_dedupe).select("doc_id", "event_id")
 
 
 @query(
@@ -64,9 +63,10 @@ union all select doc_id, event_id, round(epoch(timestamp '2024-02-01') - epoch(t
 )
 def _(lake):
     """Silences that ended, and those that last at the end."""
-    state, gaps = _run(lake, T.idle_watchdog(7200.0), "idle")
-    still = T.stalled(state, F.to_timestamp(F.lit("2024-02-01")), 7200.0)
-    return gaps.select("doc_id", "event_id", "idle_s").unionByName(still).withColumn("idle_s", F.round("idle_s", 3))
+    end = F.to_timestamp(F.lit("2024-02-01"))
+    found = _in_rounds(lake, "idle", lambda stream, root: T.run_idle_watchdog(stream, 7200.0, root), clock=end)
+    gaps = found.filter("kind = 'ended'").select("doc_id", "event_id", "idle_s")
+    return gaps.unionByName(T.stalled(found, end, 7200.0)).withColumn("idle_s", F.round("idle_s", 3))
 
 
 @query(
@@ -74,7 +74,7 @@ def _(lake):
     "select doc_id, event_id, line from (select *, row_number() over (partition by doc_id order by ts desc, event_id desc) as r from v6) t where r <= 40",
 )
 def _(lake):
-    return _run(lake, T.tail_lines(40), "tail")[0].select("doc_id", "event_id", "line")
+    return _in_rounds(lake, "tail", lambda stream, root: T.run_tail(stream, root, 40)).select("doc_id", "event_id", "line")
 
 
 @query("STM06_progress_latest", "v6", f"select doc_id, cast(regexp_extract(line, '([0-9]+)%', 1) as bigint) as percent, substr(line, 12) as message from ({LATEST_SQL}) t")
@@ -94,6 +94,5 @@ def _(lake):
 from ({LATEST_SQL}) l join v1 d on d.doc_id = l.doc_id where session_id is not null group by session_id""",
 )
 def _(lake):
-    out = _run(lake, T.session_counts(lake.docs.select("doc_id", "session_id")), "sessions")[1]
-    last = out.agg(F.max("batch").alias("batch"))
-    return out.join(last, "batch").drop("batch")
+    docs = lake.docs.select("doc_id", "session_id")
+    return _in_rounds(lake, "sessions", lambda stream, root: T.run_session_counts(stream, docs, root))

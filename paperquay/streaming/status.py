@@ -1,25 +1,28 @@
 """Structured Streaming over status and log events.
 
-Per-document state is kept as a versioned table, one version per micro-batch: a batch reads the
-version of the batch before it and overwrites its own, so a replayed batch gives the same result
-and no document's events have to pass through one task. Batches are reduced by map-side combined
-aggregates or block-wise scans before they meet the state.
+What is known of a document lives in Spark's state store (RocksDB), so a batch costs what it
+touches, and a replayed batch starts from the state it started from before. Events of a document
+are ordered by time, then by id. An event that is not newer than the document's state is late (or
+comes again): it changes nothing and gives no output. Output is written per batch and overwritten
+when a batch is replayed; depth and session counts are sums of signed changes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-
-from paperquay.operators.logs import log_tail
-from paperquay.operators.ordered import block, carry_forward
+from pyspark.sql.streaming import StatefulProcessor
 
 ACTIVE = ["QUEUED", "PROCESSING"]
 LATEST = "doc_id bigint, event_id bigint, ts timestamp, status string, line string"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+#: An event as the state holds it; ``at`` is microseconds.
+HELD = "at bigint, event_id bigint, status string, line string"
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -34,51 +37,37 @@ def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int |
     return reader.parquet(path)
 
 
-def _exists(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs, hadoop, fs.exists(hadoop)
-
-
-def run_stateful(stream: DataFrame, step: Step, state_schema: str, root: str) -> tuple[DataFrame, DataFrame]:
-    """Run ``step(batch, state) -> (new state, output)`` over what is available.
+def run_stream(found: DataFrame, root: str, reduce: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Run a stream over what is available; the outputs of all batches, with their ``batch`` number.
 
-    Returns the last state and the outputs of all batches (with their ``batch`` number). A restart
-    with the same ``root`` goes on where the last run stopped.
+    ``reduce`` is applied to what a batch gives before it is written. A restart with the same
+    ``root`` goes on where the last run stopped.
     """
-    spark = stream.sparkSession
+    spark = found.sparkSession
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        before = f"{root}/state/v={batch_id - 1}"
-        if batch_id > 0 and not _exists(session, before)[2]:
-            raise RuntimeError(f"state of the batch before is missing: {before}")
-        state = session.read.schema(state_schema).parquet(before) if batch_id else session.createDataFrame([], state_schema)
-        batch = batch.persist()
-        try:
-            new_state, out = step(batch, state)
-            new_state.write.mode("overwrite").parquet(f"{root}/state/v={batch_id}")
-            out.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-        finally:
-            batch.unpersist()
-        # Only the version before this one can be read again.
-        fs, old, there = _exists(session, f"{root}/state/v={batch_id - 2}")
-        if there:
-            fs.delete(old, True)
-
-    query = (
-        stream.writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+        out = reduce(batch) if reduce else batch
+        out.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:  # a query keeps the settings it was started with
+        query = (
+            found.writeStream.outputMode("update").foreachBatch(on_batch)
+            .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(PROVIDER, before)
     query.awaitTermination()
-    states = spark.read.schema(state_schema + ", v bigint").parquet(f"{root}/state")
-    last = states.agg(F.max("v")).first()[0]
-    return (
-        spark.read.schema(state_schema).parquet(f"{root}/state/v={last}"),
-        spark.read.parquet(f"{root}/out"),
-    )
+    return spark.read.parquet(f"{root}/out")
+
+
+def state_of(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """What the state store holds after the last batch: ``doc_id`` and the event's columns."""
+    held = spark.read.format("statestore").option("stateVarName", name).load(f"{root}/checkpoint")
+    value = "list_element" if "list_element" in held.columns else "value"
+    event = held.select("key.doc_id", f"{value}.*")
+    return event.select("doc_id", "event_id", F.timestamp_micros("at").alias("ts"), "status", "line")
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -88,102 +77,198 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 def run_latest(stream: DataFrame, root: str) -> DataFrame:
-    """Newest event per document of a stream, by Spark's own aggregation state in update mode."""
+    """Newest event per document of a stream: Spark's own aggregation, read back from its state."""
+    run_stream(latest(stream), root, lambda batch: batch.agg(F.count(F.lit(1)).alias("documents")))
+    held = stream.sparkSession.read.format("statestore").load(f"{root}/checkpoint")
+    newest = held.schema["value"].dataType.names[0]  # max_by keeps the event first, then its place
+    return held.select("key.doc_id", f"value.`{newest}`.*")
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
-    query = (
-        latest(stream).writeStream.outputMode("update").foreachBatch(on_batch)
-        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    updates = stream.sparkSession.read.parquet(f"{root}/out")
-    last = F.max_by(F.struct("event_id", "ts", "status", "line"), "batch")
-    return updates.groupBy("doc_id").agg(last.alias("e")).select("doc_id", "e.*")
+def _keyed(stream: DataFrame):
+    events = stream.select("doc_id", F.unix_micros("ts").alias("at"), "event_id", "status", "line")
+    return events.filter("at is not null and event_id is not null").groupBy("doc_id")
+
+
+def _place(event) -> tuple[int, int]:
+    return event[0], event[1]
 
 
-def _merged(batch: DataFrame, state: DataFrame) -> DataFrame:
-    cols = ["doc_id", "event_id", "ts", "status", "line"]
-    return latest(batch.select(*cols).unionByName(state.select(*cols)))
+def _event(row: Row) -> tuple:
+    return row.at, row.event_id, row.status, row.line
 
 
-def queue_depth(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """State: newest event per document. Output: how many wait and how many run after the batch."""
-    now = _merged(batch, state)
-    depth = now.agg(
-        F.count_if(F.col("status") == "QUEUED").alias("queued"),
-        F.count_if(F.col("status") == "PROCESSING").alias("processing"),
-    )
-    return now, depth
+class _Newest(StatefulProcessor):
+    """Keeps the newest event of each document."""
 
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", HELD)
 
-def _with_previous(batch: DataFrame, state: DataFrame) -> DataFrame:
-    """Events with the event before them of the same document, in this batch or in the state.
+    def close(self) -> None:
+        pass
 
-    Events are ordered by time, then by id. Only the first event of a document in the batch looks
-    into the state; an event older than the state still counts as the next one there.
+
+class _Changes(_Newest):
+    """One row for each document whose newest event changes: the status before and now."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self.newest.get()
+        now = max(map(_event, rows), key=_place)
+        if before is None or _place(now) > _place(before):
+            self.newest.update(now)
+            yield Row(doc_id=key[0], was=before[2] if before else None, now=now[2], first=before is None)
+
+
+class _Accepted(_Newest):
+    """QUEUED events of documents that neither wait nor run.
+
+    The events that a batch has of one document are put in order in memory.
     """
-    d = batch.select("doc_id", "event_id", "ts", "status", "line").withColumn("__sec", F.col("ts").cast("long"))
-    inside = carry_forward(
-        d, ["doc_id"], ["ts", "event_id"], {"prev": F.struct("ts", "status")}, [block("__sec")], inclusive=False
-    ).drop("__sec")
-    first = inside.filter(F.col("prev").isNull()).drop("prev")
-    carried = state.select("doc_id", F.struct("ts", "status").alias("prev"))
-    return inside.filter(F.col("prev").isNotNull()).unionByName(first.join(carried, "doc_id", "left"))
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = self.newest.get()
+        for event in sorted(map(_event, rows), key=_place):
+            if now is not None and _place(event) <= _place(now):
+                continue
+            if event[2] == "QUEUED" and (now is None or now[2] not in ACTIVE):
+                yield Row(doc_id=key[0], event_id=event[1], at=event[0])
+            now = event
+        self.newest.update(now)
 
-def enqueue_dedupe(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Output: accepted requests, i.e. QUEUED events of documents that neither wait nor run.
 
-    An ignored request changes nothing, and it only comes while a document is active, so the
-    event before tells whether the document is active.
+class _Silences(_Newest):
+    """Silences longer than the budget: ``lasting`` when a timer runs out, ``ended`` when the document speaks again.
+
+    No silence lies between two events of one slice of time as long as the budget, so only the
+    first and the last event of a slice are held, however much a document says.
     """
-    idle = F.col("prev").isNull() | ~F.col("prev.status").isin(ACTIVE)
-    seen = _with_previous(batch, state)
-    accepted = seen.filter((F.col("status") == "QUEUED") & idle).select("doc_id", "event_id", "ts")
-    return _merged(batch, state), accepted
 
+    def __init__(self, budget_us: int) -> None:
+        self.budget = budget_us
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if key[0] is None:
+            return
+        now = before = self.newest.get()
+        slices: dict[int, tuple] = {}
+        for event in map(_event, rows):
+            if event[0] is None or event[1] is None:
+                continue
+            if before is None or _place(event) > _place(before):
+                low, high = slices.get(event[0] // self.budget, (event, event))
+                slices[event[0] // self.budget] = min(low, event, key=_place), max(high, event, key=_place)
+        for n in sorted(slices):
+            low, high = slices[n]
+            if now is not None and low[0] - now[0] > self.budget:
+                yield Row(doc_id=key[0], event_id=low[1], kind="ended", since=now[0], since_event=now[1], idle_s=low[0] / 1e6 - now[0] / 1e6)
+            now = high
+        if now is not before:
+            if before is not None:
+                self.handle.deleteTimer(self._due(before))
+            self.handle.registerTimer(self._due(now))
+            self.newest.update(now)
 
-def idle_watchdog(budget_s: float) -> Step:
-    """Output: silences of a document longer than the budget, found when it speaks again."""
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = self.newest.get()
+        yield Row(doc_id=key[0], event_id=None, kind="lasting", since=now[0], since_event=now[1], idle_s=None)
 
-    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        gap = F.col("ts").cast("double") - F.col("prev.ts").cast("double")
-        out = _with_previous(batch, state).select("doc_id", "event_id", gap.alias("idle_s"))
-        return _merged(batch, state), out.filter(F.col("idle_s") > budget_s)
+    def _due(self, event) -> int:
+        return (event[0] + self.budget) // 1000
 
-    return step
 
+class _Tail(StatefulProcessor):
+    """Keeps the newest lines of each document."""
 
-def stalled(state: DataFrame, now, budget_s: float) -> DataFrame:
-    """Documents that have been silent for longer than the budget at ``now``."""
-    gap = now.cast("double") - F.col("ts").cast("double")
-    return state.select("doc_id", "event_id", gap.alias("idle_s")).filter(F.col("idle_s") > budget_s)
+    def __init__(self, keep: int) -> None:
+        self.keep = keep
 
+    def init(self, handle) -> None:
+        self.tail = handle.getListState("tail", HELD)
 
-def tail_lines(keep: int = 500) -> Step:
-    """State and output: the newest ``keep`` lines of each document."""
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = {_place(x): x for x in self.tail.get()}
+        n = 0
 
-    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        cols = ["doc_id", "event_id", "ts", "status", "line"]
-        kept = log_tail(batch.select(*cols).unionByName(state.select(*cols)), keep).select(*cols)
-        return kept, batch.agg(F.count(F.lit(1)).alias("lines"))
+        def fresh() -> Iterator[tuple]:
+            nonlocal n
+            for event in map(_event, rows):
+                n += 1
+                if _place(event) not in held:
+                    yield event
 
-    return step
+        kept = heapq.nlargest(self.keep, (x for part in (held.values(), fresh()) for x in part), key=_place)
+        self.tail.put(kept)
+        yield Row(doc_id=key[0], lines=n)
 
+    def close(self) -> None:
+        pass
 
-def session_counts(docs: DataFrame) -> Step:
-    """Output: documents by status per session after each batch (``docs``: doc_id, session_id)."""
+
+def status_changes(stream: DataFrame) -> DataFrame:
+    """``doc_id, was, now, first`` for each document whose newest event changes."""
+    return _keyed(stream).transformWithState(_Changes(), "doc_id bigint, was string, now string, first boolean", "Update", "None")
+
+
+def _gain(status: str):
+    """How many documents more have a status after the changes."""
+    return F.count_if(F.col("now") == status) - F.count_if(F.col("was") == status)
+
+
+def run_queue_depth(stream: DataFrame, root: str) -> DataFrame:
+    """How many documents wait and how many run at the end; one row of changes is kept per batch."""
+    gains = {"queued": _gain("QUEUED"), "processing": _gain("PROCESSING")}
+    out = run_stream(status_changes(stream), root, lambda batch: batch.agg(*(v.alias(k) for k, v in gains.items())))
+    return out.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in gains))
+
+
+def run_session_counts(stream: DataFrame, docs: DataFrame, root: str) -> DataFrame:
+    """Documents by status per session at the end (``docs``: doc_id, session_id)."""
     from paperquay.operators.documents import BUCKETS
 
-    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        now = _merged(batch, state)
-        placed = now.join(docs.select("doc_id", "session_id"), "doc_id").filter(F.col("session_id").isNotNull())
-        counts = placed.groupBy("session_id").agg(
-            F.count(F.lit(1)).alias("total"),
-            *[F.count_if(F.col("status") == s).alias(s.lower()) for s in BUCKETS],
-        )
-        return now, counts
+    counts = {"total": F.count_if("first")} | {s.lower(): _gain(s) for s in BUCKETS}
+    placed = docs.select("doc_id", "session_id").filter("session_id is not null")
+
+    def reduce(batch: DataFrame) -> DataFrame:
+        return batch.join(placed, "doc_id").groupBy("session_id").agg(*(v.alias(k) for k, v in counts.items()))
+
+    out = run_stream(status_changes(stream), root, reduce)
+    return out.groupBy("session_id").agg(*(F.sum(k).alias(k) for k in counts))
 
-    return step
+
+def run_enqueue_dedupe(stream: DataFrame, root: str) -> DataFrame:
+    """Accepted requests, i.e. QUEUED events of documents that neither wait nor run.
+
+    An ignored request changes nothing, and it only comes while a document is active, so the
+    event before tells whether the document is active.
+    """
+    found = _keyed(stream).transformWithState(_Accepted(), "doc_id bigint, event_id bigint, at bigint", "Update", "None")
+    return run_stream(found, root).select("doc_id", "event_id", F.timestamp_micros("at").alias("ts"))
+
+
+def run_idle_watchdog(stream: DataFrame, budget_s: float, root: str, late: str = "0 seconds") -> DataFrame:
+    """Silences of documents longer than the budget.
+
+    ``ended`` rows come when a document speaks again (``event_id``, and ``since_event`` before it),
+    ``lasting`` rows when event time has passed a document's last event by the budget. Rows
+    without a doc_id only move the time. Events that come more than ``late`` behind are left out.
+    """
+    # Rows without a document are not filtered here: Spark would drop them before they move the time.
+    keyed = stream.withWatermark("ts", late).select("doc_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "status", "line").groupBy("doc_id")
+    schema = "doc_id bigint, event_id bigint, kind string, since bigint, since_event bigint, idle_s double"
+    found = keyed.transformWithState(_Silences(int(budget_s * 1_000_000)), schema, "Update", "EventTime")
+    return run_stream(found, root).withColumn("since", F.timestamp_micros("since"))
+
+
+def stalled(silences: DataFrame, now, budget_s: float) -> DataFrame:
+    """Documents whose silence has not ended and is longer than the budget at ``now``."""
+    ended = silences.filter("kind = 'ended'").select("doc_id", "since_event")
+    lasting = silences.filter("kind = 'lasting'").join(ended, ["doc_id", "since_event"], "left_anti")
+    gap = now.cast("double") - F.col("since").cast("double")
+    return lasting.select("doc_id", F.col("since_event").alias("event_id"), gap.alias("idle_s")).filter(F.col("idle_s") > budget_s)
+
+
+def run_tail(stream: DataFrame, root: str, keep: int = 500) -> DataFrame:
+    """The newest ``keep`` lines of each document."""
+    found = _keyed(stream).transformWithState(_Tail(keep), "doc_id bigint, lines bigint", "Update", "None")
+    run_stream(found, root, lambda batch: batch.agg(F.sum("lines").alias("lines")))
+    return state_of(stream.sparkSession, root, "tail")
