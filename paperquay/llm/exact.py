@@ -125,7 +125,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     beside key and text play no part.
     """
     plain = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    rows = written(fingerprinted(plain).select("id", "__fp", "__sha"), "exact")
+    slim = fingerprinted(plain).select("id", "__fp", "__sha")
+    rows = written(slim.withColumn("row", F.monotonically_increasing_id()), "exact")  # numbers of rows last once written
     again = repeated_fingerprints(rows).select("__fp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     texts = fingerprinted(plain, normal=True).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     # The salt keeps the join's partitioning apart from the grouping's, so AQE may split a hot fingerprint.
@@ -135,14 +136,14 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep_id"))
         .select("__fp", "__sha", "n", "keep_id")
     )
-    ids = rows.groupBy("id", "__fp", "__sha").agg(F.count(F.lit(1)).alias("copies"))
-    out = ids.join(groups, ["__fp", "__sha"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    lasts = rows.groupBy("__fp", "__sha").agg(F.max(F.struct("id", "row")).alias("last"), F.count(F.lit(1)).alias("times"))
+    marked = groups.join(lasts.filter("times > 1").select("__fp", "__sha", "last.row"), ["__fp", "__sha"]).withColumnRenamed("row", "keep_row")
+    out = rows.join(marked, ["__fp", "__sha"], "left")
     return out.select(
         F.col("id").alias(key),
-        keep.alias("keep_id"),
-        F.coalesce("n", "copies").alias("group_size"),
-        (F.col("id").eqNullSafe(keep) & (F.col("copy") == 1)).alias("kept"),
+        F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        (F.col("keep_row").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.col("__sha").alias("text_sha256"),
     )
 

@@ -85,13 +85,19 @@ def packed(
         bucket = F.when(F.col("n_tokens") <= ends[i], F.lit(i)).otherwise(bucket)
     padded = F.element_at(F.array(*(F.lit(x) for x in ends)), F.col("bucket") + 1).cast("long")
     blocks = -(-int(counts.sum()) // BLOCK)
-    placed = rows.withColumn("bucket", bucket).withColumn("padded", padded)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id", "n_tokens"), F.lit(blocks)))
+    counted = rows.groupBy("id", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
+    # Equal rows are placed in pieces of a block at most, however many there are.
+    pieces = counted.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int"))))
+    pieces = pieces.withColumn("copies", F.least(F.col("n") - F.col("piece").cast("long") * BLOCK, F.lit(BLOCK)).cast("int"))
+    placed = pieces.withColumn("bucket", bucket).withColumn("padded", padded)
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id", "n_tokens", "piece"), F.lit(blocks)))
     before = W.partitionBy("bucket").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    starts = placed.groupBy("bucket", "block").agg(F.count(F.lit(1)).alias("n"))
+    starts = placed.groupBy("bucket", "block").agg(F.sum("copies").alias("n"))
     starts = starts.select("bucket", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(W.partitionBy("bucket", "block").orderBy("n_tokens", "id"))
-    ranked = placed.join(starts, ["bucket", "block"]).withColumn("at", F.col("start") + within - 1)
+    within = W.partitionBy("bucket", "block").orderBy("n_tokens", "id", "piece").rowsBetween(W.unboundedPreceding, -1)
+    first = F.col("start") + F.coalesce(F.sum("copies").over(within), F.lit(0))
+    ranked = placed.join(starts, ["bucket", "block"]).withColumn("first", first)
+    ranked = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("at", F.col("first") + F.col("copy"))
     room = F.greatest(F.floor(F.lit(budget) / F.greatest("padded", F.lit(1))), F.lit(1)).cast("long")
     return ranked.select(
         F.col("id").alias(key), "n_tokens", "bucket", "padded",

@@ -74,6 +74,13 @@ def test_packing(docs, none):
     assert [r.n_tokens for r in over] == [60_000] and sum(r.bucket == over[0].bucket and r.batch == over[0].batch for r in rows) == 1
 
 
+def test_packing_places_many_equal_rows(spark, monkeypatch):
+    """Copies of one row are spread over pieces, and each gets a place of its own."""
+    monkeypatch.setattr(packing, "BLOCK", 7)
+    rows = packing.packed(spark.createDataFrame([(1 if i % 3 else i, "a b c") for i in range(300)], "doc_id long, text string"), budget=30).collect()
+    assert sum(r.doc_id == 1 for r in rows) == 200 and sorted((r.batch, r.slot) for r in rows) == [(i // 10, i % 10) for i in range(300)]
+
+
 def test_bpe(docs, none):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     rows = bpe.round_trip(docs, path, pattern).collect()
