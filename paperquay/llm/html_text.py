@@ -2,11 +2,12 @@
 
 Pages of one host are written by one template. A page is read as a tree of block elements, and
 gives two sorts of tokens: element paths (tags with their class names) and whole text blocks with
-their path. The occurrence vector of a token says how often it occurs on each page of its host;
-tokens with equal vectors form an equivalence class. Vectors are compared by a digest that is
-summed up with map-side combine, so no task sees all pages of a host. A class is valid if it
-occurs on at least half of the host's pages (and on two of them) and if it has company or is an
-element, whose span nests by itself. Valid classes are nested by their paths into the template:
+their path. Pages of a host with the same texts outside menus and the like are copies of one
+content, which counts once however many urls or ids it has. The occurrence vector of a token says
+how often it occurs in each content of its host; tokens with equal vectors form an equivalence
+class. Vectors are compared by a digest that is summed up with map-side combine, so no task sees
+all pages of a host. A class is valid if it occurs in at least half of the host's contents (texts:
+in more than two) and if it has company or is an element, whose span nests by itself. Valid classes are nested by their paths into the template:
 texts in a valid class are the template's own words, and elements in a valid class are its slots.
 The slot for the main text is the deepest container that holds most of the host's text outside
 menus and the like. What a page has in this slot, without the template's words, is its main text.
@@ -155,18 +156,18 @@ def _path_ids(path: tuple[str, ...]) -> list[int]:
     return [_id("e", *path[: i + 1]) for i in range(len(path))]
 
 
-TOKENS = "host string, token long, element boolean, depth int, fits boolean, count int, chars long, mark long"
+TOKENS = "host string, content long, token long, element boolean, depth int, fits boolean, count int, chars long, mark long"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of each page with their counts; ``mark`` digests the page and the count."""
+    """Tokens of each page with their counts; ``content`` digests its texts, ``mark`` that and the count."""
     for batch in batches:
-        rows: list[list] = [[] for _ in range(8)]
-        for page_id, url, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            host, page = host_of(url), page or ""
-            me = f"{page_id}\0{url}\0{len(page)}"
+        rows: list[list] = [[] for _ in range(9)]
+        for url, page in zip(*(batch.column(c).to_pylist() for c in ("url", "html")), strict=True):
+            host, found = host_of(url), blocks(page or "")
+            content = _id("c", *(b.text for b in found if not b.apart))
             seen: dict[int, list] = {_id("page"): [True, 0, False, 1, 0]}
-            for b in blocks(page):
+            for b in found:
                 chars = 0 if b.apart else max(0, len(b.text) - b.link_chars)
                 ids = _path_ids(b.path)
                 for depth, (x, name) in enumerate(zip(ids, b.path, strict=True), 1):
@@ -176,25 +177,29 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 entry = seen.setdefault(_id("t", *b.path, b.text), [False, len(b.path) + 1, False, 0, 0])
                 entry[3] += 1
             for token, (element, depth, fits, count, chars) in seen.items():
-                for column, value in zip(rows, (host, token, element, depth, fits, count, chars, _id(me, str(count))), strict=True):
+                values = (host, content, token, element, depth, fits, count, chars, _id(str(content), str(count)))
+                for column, value in zip(rows, values, strict=True):
                     column.append(value)
-        types = [pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
-        names = ["host", "token", "element", "depth", "fits", "count", "chars", "mark"]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
+        names = ["host", "content", "token", "element", "depth", "fits", "count", "chars", "mark"]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names)
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """``host, slot, texts``: the main slot of each host and the ids of the template's texts.
 
-    ``pages`` has page_id, url and html. The list of a host's texts is at most twice as long as its
-    pages have text blocks on average, since each of them is on half of the pages.
+    ``pages`` has url and html. The list of a host's texts is at most twice as long as its contents
+    have text blocks on average, since each of them is in half of the contents.
     """
-    found = pages.mapInArrow(_tokens, TOKENS)
+    found = pages.select("url", "html").mapInArrow(_tokens, TOKENS)
+    # Copies of a content count once; where their menus differ, the greatest values stand for them.
+    parts = ("element", "depth", "fits", "count", "chars", "mark")
+    found = found.groupBy("host", "token", "content").agg(*(F.max(c).alias(c) for c in parts))
     tokens = found.groupBy("host", "token").agg(
         F.first("element").alias("element"), F.first("depth").alias("depth"), F.first("fits").alias("fits"),
         F.count(F.lit(1)).alias("pages"), F.bit_xor("mark").alias("vector"), F.sum("chars").alias("chars"),
     )
-    # Tokens on one page are in no valid class; the host's own token and its containers stay.
+    # Tokens in one content are in no valid class; the host's own token and its containers stay.
     tokens = written(tokens.filter("pages > 1 or element"), "html-tokens")
     hosts = tokens.filter(F.col("token") == _id("page")).select("host", F.col("pages").alias("all_pages"))
     mass = tokens.filter("element and depth = 1").groupBy("host").agg(F.sum("chars").alias("all_chars"))
@@ -208,18 +213,21 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def extract(page: str, slot: int | None, template_texts: frozenset[int]) -> str:
-    """Main text of one page. Where the page doesn't have the slot, all text outside menus counts."""
+    """Main text of one page. Where the page doesn't have the slot, all text outside menus counts.
+
+    Where template texts are all that is there, they are the page's content and stay.
+    """
     found = [b for b in blocks(page) if not b.apart]
     inside = [b for b in found if slot is not None and slot in _path_ids(b.path)]
     kept = [b for b in inside or found if _id("t", *b.path, b.text) not in template_texts]
-    return "\n".join(b.text for b in kept)
+    return "\n".join(b.text for b in kept or inside or found)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages`` (page_id, url, html).
 
     A null html has an empty text. Pages whose url is null or names no host share a template. A
-    host with one or two pages has no template texts, and its slot is found from them alone. Rows
+    host with one or two contents has no template texts, and its slot is found from them alone. Rows
     repeat as they do in the input; other columns are not read; an empty table gives none.
     """
     plain = pages.select("page_id", "url", "html")

@@ -331,6 +331,33 @@ def test_main_text(spark):
         assert got[i].n_chars == len(got[i].text)
 
 
+def texts_of(spark, pages):
+    """Main texts by page_id of ``(page_id, url, html)`` rows."""
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    return {r.page_id: r.text for r in html_text.main_text(df).collect()}
+
+
+COPIED = "<body><nav>{menu}</nav><p>Site words</p><p>More site words</p><article><h1>{name}</h1><p>{name} one</p><p>{name} two</p></article></body>"
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    page = lambda name, menu=0: COPIED.format(name=name, menu=menu)
+    half = [(i, f"http://half.example/a?{i}", page("same", i)) for i in range(6)] + [(i, f"http://half.example/{i}", page(f"own{i}")) for i in range(6, 12)]
+    alone = [(i, f"http://copies.example/{i}", page("copy")) for i in range(20, 25)]
+    alike = [(30 + i, "http://equal.example/", page("equal")) for i in range(4)]
+    got = texts_of(spark, half + alone + alike)
+    assert all(got[i] == "same\nsame one\nsame two" for i in range(6))
+    assert all(got[i] == f"own{i}\nown{i} one\nown{i} two" for i in range(6, 12))
+    assert all("copy\ncopy one\ncopy two" in got[i] for i in range(20, 25)) and all("equal one\nequal two" in got[i] for i in range(30, 34))
+
+
+def test_template_texts_that_are_all_a_page_has_stay(spark):
+    """Three arrangements of the same three paragraphs on one host."""
+    orders = itertools.permutations(["first", "second", "third"])
+    got = texts_of(spark, [(i, f"http://h.example/{i}", "<div>" + "".join(f"<p>{x}</p>" for x in o) + "</div>") for i, o in enumerate(orders)])
+    assert len(got) == 6 and all(sorted(t.split()) == ["first", "second", "third"] for t in got.values())
+
+
 def test_pages(results, spark):
     html = {r.page_id: r.html for r in common.table(spark, SF, "pages").collect()}
     for r in results("op8_html_main_text"):
