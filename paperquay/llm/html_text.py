@@ -8,9 +8,11 @@ how often it occurs in each content of its host; tokens with equal vectors form
 class. Vectors are compared by a digest that is summed up with map-side combine, so no task sees
 all pages of a host. A class is valid if it occurs in at least half of the host's contents (texts:
 in more than two) and if it has company or is an element, whose span nests by itself. Valid classes are nested by their paths into the template:
-texts in a valid class are the template's own words, and elements in a valid class are its slots.
-The slot for the main text is the deepest container that holds most of the host's text outside
-menus and the like. What a page has in this slot, without the template's words, is its main text.
+texts in a valid class are the template's own words, and containers in a valid class are its slots.
+A page's slot for the main text is the smallest one that holds all its text that is neither the
+template's nor in menus and the like nor mostly links; where none does, as on a page of a rare
+layout, it is the whole page. What a page has in this slot, without the template's words and menus,
+is its main text.
 """
 
 from __future__ import annotations
@@ -53,8 +55,8 @@ CLOSED_BY = {"p": frozenset({"p"}), "li": frozenset({"li"}), "tr": frozenset({"t
 SCOPE = frozenset("ul ol dl table article section div body".split())
 #: Elements that may be the slot of the main text.
 CONTAINERS = frozenset("article main section div td body html".split())
-#: Part of the host's text that the slot holds at least.
-MASS = 0.6
+#: Headlines count as main text even if they are links.
+HEADLINES = frozenset(("h1", "h2"))
 
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|(?=<body\b)|\Z)"""
@@ -156,78 +158,81 @@ def _path_ids(path: tuple[str, ...]) -> list[int]:
     return [_id("e", *path[: i + 1]) for i in range(len(path))]
 
 
-TOKENS = "host string, content long, token long, element boolean, depth int, fits boolean, count int, chars long, mark long"
+TOKENS = "host string, content long, token long, element boolean, fits boolean, count int, mark long"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of each page with their counts; ``content`` digests its texts, ``mark`` that and the count."""
     for batch in batches:
-        rows: list[list] = [[] for _ in range(9)]
+        rows: list[list] = [[] for _ in range(7)]
         for url, page in zip(*(batch.column(c).to_pylist() for c in ("url", "html")), strict=True):
             host, found = host_of(url), blocks(page or "")
             content = _id("c", *(b.text for b in found if not b.apart))
-            seen: dict[int, list] = {_id("page"): [True, 0, False, 1, 0]}
+            seen: dict[int, list] = {_id("page"): [True, False, 1]}
             for b in found:
-                chars = 0 if b.apart else max(0, len(b.text) - b.link_chars)
-                ids = _path_ids(b.path)
-                for depth, (x, name) in enumerate(zip(ids, b.path, strict=True), 1):
-                    entry = seen.setdefault(x, [True, depth, name.split(".")[0] in CONTAINERS, 0, 0])
-                    entry[3] += 1
-                    entry[4] += chars
-                entry = seen.setdefault(_id("t", *b.path, b.text), [False, len(b.path) + 1, False, 0, 0])
-                entry[3] += 1
-            for token, (element, depth, fits, count, chars) in seen.items():
-                values = (host, content, token, element, depth, fits, count, chars, _id(str(content), str(count)))
+                for x, name in zip(_path_ids(b.path), b.path, strict=True):
+                    seen.setdefault(x, [True, name.split(".")[0] in CONTAINERS, 0])[2] += 1
+                seen.setdefault(_id("t", *b.path, b.text), [False, False, 0])[2] += 1
+            for token, (element, fits, count) in seen.items():
+                values = (host, content, token, element, fits, count, _id(str(content), str(count)))
                 for column, value in zip(rows, values, strict=True):
                     column.append(value)
-        types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
-        names = ["host", "content", "token", "element", "depth", "fits", "count", "chars", "mark"]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64()]
+        names = ["host", "content", "token", "element", "fits", "count", "mark"]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, slot, texts``: the main slot of each host and the ids of the template's texts.
+    """``host, slots, texts``: the ids of each host's template containers and of the template's texts.
 
-    ``pages`` has url and html. The list of a host's texts is at most twice as long as its contents
-    have text blocks on average, since each of them is in half of the contents.
+    ``pages`` has url and html. The lists of a host are at most twice as long as its contents have
+    containers and text blocks on average, since each of them is in half of the contents.
     """
     found = pages.select("url", "html").mapInArrow(_tokens, TOKENS)
     # Copies of a content count once; where their menus differ, the greatest values stand for them.
-    parts = ("element", "depth", "fits", "count", "chars", "mark")
+    parts = ("element", "fits", "count", "mark")
     found = found.groupBy("host", "token", "content").agg(*(F.max(c).alias(c) for c in parts))
     tokens = found.groupBy("host", "token").agg(
-        F.first("element").alias("element"), F.first("depth").alias("depth"), F.first("fits").alias("fits"),
-        F.count(F.lit(1)).alias("pages"), F.bit_xor("mark").alias("vector"), F.sum("chars").alias("chars"),
+        F.first("element").alias("element"), F.first("fits").alias("fits"), F.count(F.lit(1)).alias("pages"), F.bit_xor("mark").alias("vector"),
     )
     # Tokens in one content are in no valid class; the host's own token and its containers stay.
     tokens = written(tokens.filter("pages > 1 or element"), "html-tokens")
     hosts = tokens.filter(F.col("token") == _id("page")).select("host", F.col("pages").alias("all_pages"))
-    mass = tokens.filter("element and depth = 1").groupBy("host").agg(F.sum("chars").alias("all_chars"))
     classes = tokens.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("company"))
     known = tokens.join(classes, ["host", "vector", "pages"]).join(hosts, "host")
     valid = known.filter((F.col("pages") * 2 >= F.col("all_pages")) & (F.col("element") | ((F.col("pages") > 2) & (F.col("company") > 1))))
-    slots = valid.filter("fits").join(mass, "host").filter(F.col("chars") >= MASS * F.col("all_chars"))
-    slots = slots.groupBy("host").agg(F.max_by("token", F.struct("depth", "chars", "token")).alias("slot"))
-    texts = valid.filter(~F.col("element")).groupBy("host").agg(F.collect_list("token").alias("texts"))
-    return hosts.select("host").join(slots, "host", "left").join(texts, "host", "left")
+    ids = lambda of: F.collect_list(F.when(of, F.col("token")))
+    lists = valid.groupBy("host").agg(ids(F.col("fits")).alias("slots"), ids(~F.col("element")).alias("texts"))
+    return hosts.select("host").join(lists, "host", "left")
 
 
-def extract(page: str, slot: int | None, template_texts: frozenset[int]) -> str:
-    """Main text of one page. Where the page doesn't have the slot, all text outside menus counts.
+def extract(page: str, slots: frozenset[int], template_texts: frozenset[int]) -> str:
+    """Main text of one page.
 
     Where template texts are all that is there, they are the page's content and stay.
     """
     found = [b for b in blocks(page) if not b.apart]
-    inside = [b for b in found if slot is not None and slot in _path_ids(b.path)]
-    kept = [b for b in inside or found if _id("t", *b.path, b.text) not in template_texts]
-    return "\n".join(b.text for b in kept or inside or found)
+    own = [b for b in found if _id("t", *b.path, b.text) not in template_texts]
+    sure = [b.path for b in own if 2 * b.link_chars < len(b.text) or not HEADLINES.isdisjoint(x.split(".")[0] for x in b.path)]
+    slot = _slot(sure, slots)
+    return "\n".join(b.text for b in own or found if b.path[: len(slot)] == slot)
+
+
+def _slot(paths: list[tuple[str, ...]], slots: frozenset[int]) -> tuple[str, ...]:
+    """Path of the smallest of ``slots`` around all ``paths``; an empty one, which all are in, if there is none."""
+    if not paths:
+        return ()
+    low, high = min(paths), max(paths)
+    shared = next((i for i, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))
+    ids = _path_ids(low[:shared])
+    return low[: next((i for i in range(shared, 0, -1) if ids[i - 1] in slots), 0)]
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages`` (page_id, url, html).
 
     A null html has an empty text. Pages whose url is null or names no host share a template. A
-    host with one or two contents has no template texts, and its slot is found from them alone. Rows
+    host with one or two contents has no template texts. Rows
     repeat as they do in the input; other columns are not read; an empty table gives none.
     """
     plain = pages.select("page_id", "url", "html")
@@ -237,14 +242,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, slot, ids in zip(*(batch.column(c).to_pylist() for c in ("html", "slot", "texts")), strict=True):
-                texts.append(extract(page or "", slot, frozenset(ids or ())))
+            for page, slots, ids in zip(*(batch.column(c).to_pylist() for c in ("html", "slots", "texts")), strict=True):
+                texts.append(extract(page or "", frozenset(slots or ()), frozenset(ids or ())))
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(x) for x in texts], np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     kind = plain.schema["page_id"].dataType.simpleString()
     # Spark broadcasts the templates while their written size allows it, and splits a hot host otherwise.
-    joined = named.join(found, "host", "left").select("page_id", "url", "html", "slot", "texts")
+    joined = named.join(found, "host", "left").select("page_id", "url", "html", "slots", "texts")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 

@@ -358,6 +358,25 @@ def test_template_texts_that_are_all_a_page_has_stay(spark):
     assert len(got) == 6 and all(sorted(t.split()) == ["first", "second", "third"] for t in got.values())
 
 
+NESTED = """<body><nav>Menu</nav><p>Site words</p><p>More site words</p><article><h1><a href=x>title {0}</a></h1><div class=lead>lead {0}</div>
+<div class=body><p>{1}</p><ul><li><a href=y>see {0}</a></ul></div></article><ul><li><a href=z>next {0}</a></ul></body>"""
+
+
+def test_title_and_lead_outside_the_body(spark):
+    long = {i: " ".join(f"word{i}x{j}" for j in range(40)) for i in range(6)}
+    got = texts_of(spark, [(i, f"http://h.example/{i}", NESTED.format(i, long[i])) for i in range(6)])
+    assert got == {i: f"title {i}\nlead {i}\n{long[i]}\nsee {i}" for i in range(6)}
+
+
+def test_two_layouts_on_one_host(spark):
+    """The container of the articles of one layout holds a teaser in the other."""
+    long = lambda i: " ".join(f"word{i}x{j}" for j in range(40))
+    first = "<body><p>Site words</p><p>More site words</p><div class=a><p>{1}</p></div></body>"
+    other = "<body><p>Site words</p><p>More site words</p><div class=a><p>teaser {0}</p></div><div class=b><p>{1}</p></div></body>"
+    got = texts_of(spark, [(i, f"http://h.example/{i}", (first if i < 7 else other).format(i, long(i))) for i in range(10)])
+    assert got == {i: long(i) if i < 7 else f"teaser {i}\n{long(i)}" for i in range(10)}
+
+
 def test_pages(results, spark):
     html = {r.page_id: r.html for r in common.table(spark, SF, "pages").collect()}
     for r in results("op8_html_main_text"):
