@@ -377,6 +377,28 @@ def test_two_layouts_on_one_host(spark):
     assert got == {i: long(i) if i < 7 else f"teaser {i}\n{long(i)}" for i in range(10)}
 
 
+AROUND = """{}<p>Site words</p><p>More site words</p><div class="cookie-notice">Cookies {{0}}</div><div class=related-posts>Next {{0}}</div>
+<p>one {{0}}</p><div class="entry has-comments" data-id=share data-role="search">two {{0}}</div><div id=comments><p>comment {{0}}</p></div>{}"""
+
+
+@pytest.mark.parametrize("start,end", [
+    ("<body class='with-sidebar'>", "</body>"), ("<body class=header-fixed>", "</body>"), ("<html class='no-nav has-footer'><body>", "</body></html>"),
+    ("<body><article class='post has-comments'>", "</article></body>"), ("<body><main id='search-results'>", "</main></body>"),
+    ("<body><main id=search>", "</main></body>"), ("<body><div class=search-results>", "</div></body>"),
+])
+def test_names_of_elements_around_main_text(spark, start, end):
+    got = texts_of(spark, [(i, f"http://h.example/{i}", AROUND.format(start, end).format(i)) for i in range(6)])
+    assert got == {i: f"one {i}\ntwo {i}" for i in range(6)}
+
+
+def test_text_overrides_names(spark):
+    """All own words of this host are in a block whose name says it has none."""
+    page = "<body><nav>Menu</nav><p>Site words</p><p>More site words</p><div class=widget><h2>one {0}</h2><p>{1}</p></div></body>"
+    long = {i: " ".join(f"word{i}x{j}" for j in range(60)) for i in range(6)}
+    got = texts_of(spark, [(i, f"http://h.example/{i}", page.format(i, long[i])) for i in range(6)])
+    assert got == {i: f"one {i}\n{long[i]}" for i in range(6)}
+
+
 def test_pages(results, spark):
     html = {r.page_id: r.html for r in common.table(spark, SF, "pages").collect()}
     for r in results("op8_html_main_text"):
