@@ -5,6 +5,10 @@ a keyed permutation of the format's values. The same value becomes the same pseu
 document, and different values of a format never meet. A text is split at its values, the values
 are permuted, and both are put together again.
 
+Numbers with check digits or ranges count as values only if these hold: cards the Luhn digit, bank
+numbers mod 97 and the length of their country, tax ids the ranges that are given out. Others stay.
+Pseudonyms of valid values are valid.
+
 Characters are permuted by a Feistel network over the two halves of a value: each round shifts the
 characters of one half, digits among digits and letters among letters of their case, by a keyed
 hash of the other half. Dates and addresses are numbers below a product a*b and are permuted by
@@ -26,6 +30,14 @@ from paperquay.llm.common import renamed, restored
 
 ROUNDS = 6
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Characters of bank numbers by country, from the IBAN registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(f"(?:{'|'.join(who.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, who in IBAN_LENGTHS.items())
 #: Formats, in the order in which they are tried at a place. None has a group of its own.
 FORMATS = {
     "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:[.][A-Za-z0-9-]++)++",
@@ -34,11 +46,22 @@ FORMATS = {
     "day_date": "(?<![A-Za-z0-9/.-])[0-9]{2}(?:/[0-9]{2}/|[.][0-9]{2}[.]|-[0-9]{2}-)[0-9]{4}(?![A-Za-z0-9])",
     "phone": "(?<![A-Za-z0-9.])(?:[+][0-9]{1,3}[ .-]?)?(?:[(][0-9]{3}[)] ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])",
     "tax_id": "(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
-    "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": "(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + _IBANS + ")(?![A-Za-z0-9])",
     "number": "(?<![A-Za-z0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
     "key": "(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
 }
-ANY = "|".join(f"(?:{x})" for x in FORMATS.values())
+#: Groups of digits, 13 digits or more, in which card-like numbers and other values are looked for.
+RUN = "(?<![A-Za-z0-9.])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z0-9])(?:[ -][0-9]++(?![A-Za-z0-9]))*+"
+#: Groups as cards have them.
+GROUPS = (
+    "[0-9]{13,19}", "[0-9]{4}(?:[ -][0-9]{4}){2,3}[ -][0-9]{1,3}", "[0-9]{4}(?:[ -][0-9]{4}){3}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}",
+)
+ANY = "|".join(f"(?:{x})" for x in [*(v for k, v in FORMATS.items() if k != "number"), RUN])
+#: Areas of tax ids are 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999. Those of persons without
+#: a social security number have areas from 900 and groups 50 to 65, 70 to 88, 90 to 92 and 94 to 99.
+TAX_ID = "^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
+TAX_GROUPS = [*range(50, 66), *range(70, 89), *range(90, 93), *range(94, 100)]
+TAX_ID_9 = f"^9[0-9]{{2}}-(?:{'|'.join(map(str, TAX_GROUPS))})-[0-9]{{4}}$"
 #: Days of the calendar's 400-year cycle, 1800-01-01 to 2199-12-31: 189 * 773.
 FIRST_DAY, DAY_HALVES = "1800-01-01", (189, 773)
 
@@ -112,10 +135,10 @@ def permuted_number(value: str, halves: tuple[int, int], key: str) -> str:
     return _let(reduce(step, range(ROUNDS), start), lambda p: f"({p}.a * {b} + {p}.b)")
 
 
-def _refilled(value: str, chars: str) -> str:
-    """``value`` with its digits replaced in order by ``chars``."""
+def _refilled(value: str, chars: str, of: str = "[0-9]") -> str:
+    """``value`` with its digits, or what else is ``of`` that class, replaced in order by ``chars``."""
     x, i = _name(), _name()
-    return f"array_join(transform(split({value}, '[0-9]', -1), ({x}, {i}) -> concat({x}, substring({chars}, {i} + 1, 1))), '')"
+    return f"array_join(transform(split({value}, '{of}', -1), ({x}, {i}) -> concat({x}, substring({chars}, {i} + 1, 1))), '')"
 
 
 def _digits(value: str) -> str:
@@ -143,6 +166,87 @@ def _number(value: str, key: str) -> str:
     return _let(_digits(value), done)
 
 
+def _luhn_holds(value: str) -> str:
+    return _let(_digits(value), lambda d: f"(length({d}) > 1 and int(right({d}, 1)) = {_luhn(f'substring({d}, 1, length({d}) - 1)')})")
+
+
+def _tax_id_holds(value: str) -> str:
+    return f"({value} rlike '{TAX_ID}' or {value} rlike '{TAX_ID_9}')"
+
+
+def _run(value: str, key: str) -> str:
+    """A run of digits with its valid values replaced, and how many these are: ``text, n``.
+
+    The run is a number as a whole if it has 13 to 19 digits and its Luhn digit holds. Else it is read
+    from group to group: where groups are a date, a phone, a tax id or a valid number in GROUPS, they
+    are replaced; other groups stay.
+    """
+    c, s, i = _name(), _name(), _name()
+    whole = f"if({s}.n = 0 and {s}.text = '' and {s}.rest rlike '^(?:{FORMATS['number']})$' and {_luhn_holds(f'{s}.rest')}, {s}.rest, '')"
+    at_start = lambda x: f"regexp_extract({s}.rest, '^(?:{x})(?![A-Za-z0-9])', 0)"
+    tax_id = f"filter(array({at_start(FORMATS['tax_id'])}), {c} -> {_tax_id_holds(c)})"
+    others = ", ".join(at_start(FORMATS[k]) for k in ("iso_date", "day_date", "phone"))
+    numbers = f"filter(array({', '.join(map(at_start, GROUPS))}), {c} -> {c} <> '' and {_luhn_holds(c)})"
+    first = f"filter(concat(array({whole}, {others}), {tax_id}, {numbers}), {c} -> {c} <> '')"
+    over = f"regexp_extract({s}.rest, '^[0-9]+', 0)"
+
+    def step(found: str) -> str:
+        after = f"substring({s}.rest, 1 + length(coalesce({found}, {over})))"
+        text = f"concat({s}.text, if({found} is null, {over}, {pseudonym(found, key)}), regexp_extract({after}, '^[ -]', 0))"
+        return f"named_struct('text', {text}, 'rest', regexp_replace({after}, '^[ -]', ''), 'n', {s}.n + if({found} is null, 0, 1))"
+
+    one = f"if({s}.rest = '', {s}, {_let(f'get({first}, 0)', step)})"
+    groups = f"sequence(1, size(split({value}, '[ -]', -1)))"
+    read = f"aggregate({groups}, named_struct('text', '', 'rest', {value}, 'n', 0), ({s}, {i}) -> {one})"
+    return _let(read, lambda w: f"named_struct('text', {w}.text, 'n', {w}.n)")
+
+
+def _mod97(chars: str) -> str:
+    """Remainder by 97 of a bank number's characters, letters counting 10 to 35."""
+    s, c = _name(), _name()
+    step = f"if({c} between '0' and '9', {s} * 10 + int({c}), {s} * 100 + ascii({c}) - 55) % 97"
+    return f"aggregate(split({chars}, ''), 0, ({s}, {c}) -> cast({step} as int))"
+
+
+def _iban_holds(value: str) -> str:
+    return _let(f"replace({value}, ' ', '')", lambda v: f"({_mod97(f'concat(substring({v}, 5), substring({v}, 1, 4))')} = 1)")
+
+
+def _iban(value: str, key: str) -> str:
+    """All but country and check digits are permuted; the check digits keep their distance from the right ones."""
+
+    def done(v: str) -> str:
+        country = f"substring({v}, 1, 2)"
+        right = lambda body: f"(98 - {_mod97(f'concat({body}, {country}, {_quoted("00")})')})"
+        off = f"(int(substring({v}, 3, 2)) - {right(f'substring({v}, 5)')})"
+        check = lambda new: f"lpad(cast(if({off} = 0, {right(new)}, pmod({right(new)} + {off}, 100)) as string), 2, '0')"
+        put = lambda new: f"concat({country}, {check(new)}, {new})"
+        return _let(_let(permuted_text(f"substring({v}, 5)", f"{key}|iban"), put), lambda f: _refilled(value, f, "[A-Z0-9]"))
+
+    return _let(f"replace({value}, ' ', '')", done)
+
+
+def _tax_id(value: str, key: str) -> str:
+    """A valid tax id as another one of its sort, others as others."""
+    area, group, serial = (f"int(substring({value}, {at}, {n}))" for at, n in ((1, 3), (5, 2), (8, 4)))
+    part = lambda number, n: f"lpad(cast({number} as string), {n}, '0')"
+    halves, halves_9 = (898 * 99, 9999), (100 * len(TAX_GROUPS), 10000)
+    at = f"cast((({area} - if({area} > 666, 2, 1)) * 99 + {group} - 1) * 9999L + {serial} - 1 as bigint)"
+    groups = f"array({', '.join(map(str, TAX_GROUPS))})"
+    at_9 = f"cast((({area} - 900) * {len(TAX_GROUPS)} + array_position({groups}, {group}) - 1) * 10000L + {serial} as bigint)"
+
+    def form(x: str) -> str:
+        new = f"({x} div {99 * 9999} + 1)"
+        return f"concat_ws('-', {part(f'({new} + if({new} >= 666, 1, 0))', 3)}, {part(f'({x} div 9999 % 99 + 1)', 2)}, {part(f'({x} % 9999 + 1)', 4)})"
+
+    def form_9(x: str) -> str:
+        group_ = f"{groups}[cast({x} div 10000 % {len(TAX_GROUPS)} as int)]"
+        return f"concat_ws('-', {part(f'({x} div {len(TAX_GROUPS) * 10000} + 900)', 3)}, {part(group_, 2)}, {part(f'({x} % 10000)', 4)})"
+
+    own, own_9 = _let(permuted_number(at, halves, f"{key}|tax"), form), _let(permuted_number(at_9, halves_9, f"{key}|tax9"), form_9)
+    return f"case when {value} rlike '{TAX_ID}' then {own} when {value} rlike '{TAX_ID_9}' then {own_9} else {permuted_text(value, f'{key}|tax')} end"
+
+
 def _phone(value: str, key: str) -> str:
     """The last ten digits but the first of the area and of the exchange, whose range is fixed."""
 
@@ -215,8 +319,8 @@ def pseudonym(value: str, key: str) -> str:
         "iso_date": _iso_date(value, key),
         "day_date": _day_date(value, key),
         "phone": _phone(value, key),
-        "tax_id": permuted_text(value, f"{key}|tax"),
-        "iban": _prefixed(value, 2, f"{key}|iban"),
+        "tax_id": _tax_id(value, key),
+        "iban": _iban(value, key),
         "number": _number(value, key),
     }
     tests = " ".join(f"when {value} rlike '^(?:{FORMATS[k]})$' then {v}" for k, v in made.items())
@@ -224,10 +328,19 @@ def pseudonym(value: str, key: str) -> str:
     return f"case {tests} when {value} like 'AKIA%' then {_prefixed(value, 4, f'{key}|key')} else {hexa} end"
 
 
+def replaced(value: str, key: str) -> str:
+    """What a match of ANY becomes, and how many valid values it has: ``text, n``."""
+    form = lambda k: f"{value} rlike '^(?:{FORMATS[k]})$'"
+    invalid = f"{form('tax_id')} and not {_tax_id_holds(value)} or {form('iban')} and not {_iban_holds(value)}"
+    run = f"{value} rlike '^[0-9]+(?:[ -][0-9]+)*$' and not ({' or '.join(map(form, ('iso_date', 'day_date', 'phone', 'tax_id', 'key')))})"
+    as_is, new = f"named_struct('text', {value}, 'n', 0)", f"named_struct('text', {pseudonym(value, key)}, 'n', 1)"
+    return f"case when {invalid} then {as_is} when {run} then {_run(value, key)} else {new} end"
+
+
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with the values of FORMATS in ``text`` replaced by their pseudonyms.
 
-    ``key`` is the secret; ``count`` names a column for the number of values found. A text without
+    ``key`` is the secret; ``count`` names a column for the number of valid values found, those replaced. A text without
     values, an empty one and a null one stay as they are; strings that look like a date but are
     none, or lie outside 1800 to 2199, stay too. Other columns stay, whatever their names.
     """
@@ -235,12 +348,12 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | No
     out = rows.withColumn("has", F.coalesce(F.col(body).rlike(ANY), F.lit(False)))
     values = F.when(F.col("has"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
     out = out.withColumns({"old": values, "between": F.when(F.col("has"), F.split(body, ANY, -1))})
-    out = out.withColumn("new", F.expr(f"transform(old, value -> {pseudonym('value', key)})"))
-    joined = F.array_join(F.transform("between", lambda x, i: F.concat(x, F.coalesce(F.get(F.col("new"), i), F.lit("")))), "")
+    out = out.withColumn("new", F.expr(f"transform(old, value -> {replaced('value', key)})"))
+    joined = F.array_join(F.transform("between", lambda x, i: F.concat(x, F.coalesce(F.get(F.col("new.text"), i), F.lit("")))), "")
     out = out.withColumn(body, F.when(F.col("has"), joined).otherwise(F.col(body)))
     if not count:
         return restored(out, docs)
-    found = F.coalesce(F.size("old"), F.lit(0)).cast("long").alias("found")
+    found = F.coalesce(F.expr("aggregate(new.n, 0, (s, n) -> s + n)"), F.lit(0)).cast("long").alias("found")
     return out.select(*rows.columns, found).toDF(*docs.columns, count)
 
 

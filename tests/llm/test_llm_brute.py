@@ -311,6 +311,53 @@ def test_luhn_stays_valid(spark):
     assert all(valid(r.v) == valid(r.p) and shape(r.v) == shape(r.p) and r.v != r.p for r in got)
 
 
+DECOYS = [
+    "4041894974608796", "4041-8949-7460-8796", "9780306406158", "2123465659789240", "DE89370400440532013001", "DE8937040044053201300",
+    "XX89370400440532013000", "000-45-6789", "666-45-6789", "123-00-6789", "123-45-0000", "900-12-3456",
+]
+VALID = [
+    "4041894974608795", "4337 1665 9846 4399", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "ES91 2100 0418 4502 0005 1332",
+    "GB29NWBK60161331926819", "123-45-6789", "667-01-0001", "899-99-9999", "912-70-0000",
+]
+
+
+def is_valid(v):
+    if v[0].isalpha():
+        c = v.replace(" ", "")
+        return int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1
+    if re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", v):
+        a, g, s = map(int, v.split("-"))
+        return a in range(1, 900) and a != 666 and g > 0 and s > 0 or a >= 900 and g in pii.TAX_GROUPS
+    d = [int(c) for c in reversed(v) if c.isdigit()]
+    return sum(x if i % 2 == 0 else (2 * x) % 10 + x // 5 for i, x in enumerate(d)) % 10 == 0
+
+
+def test_only_valid_numbers_are_replaced(spark):
+    card = "4041 8949 7460 8795"
+    around = [f"{card} 123", f"1234 {card}", f"{card} 4337 1665 9846 4399", "4041894974608795 12", f"1 {card} 12 2123465659789240", "12 " * 2000 + card]
+    inside = "9 743-555-3824 2024-02-29 123-45-6789 4041 8949 7460 8795 7 666-45-6789 8"
+    texts = [f"see {v}, and {v} again" for v in DECOYS + VALID] + ["pay ES91 2100 0418 4502 0005 1332 AND MORE"] + [f"card {x}." for x in around] + [inside]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(df, "secret", count="n").collect()}
+    for i, v in enumerate(DECOYS):
+        assert not (v[0].isdigit() and is_valid(v)) and (got[i].text, got[i].n) == (texts[i], 0), v
+    for i, v in enumerate(VALID, len(DECOYS)):
+        a, b = re.fullmatch(r"see (.*), and (.*) again", got[i].text).groups()
+        assert a == b != v and shape(a) == shape(v) and is_valid(v) and is_valid(a) and got[i].n == 2, (v, a)
+    at = len(DECOYS) + len(VALID)
+    new = re.fullmatch("see (.*), and .*", got[len(DECOYS) + 4].text)[1]
+    assert got[at].text == f"pay {new} AND MORE"
+    made = got[at + 1].text[5:24]
+    for i, x in enumerate(around, at + 1):
+        want = x.replace(card, made).replace("4041894974608795", made.replace(" ", ""))
+        want = want.replace("4337 1665 9846 4399", re.fullmatch("see (.*), and .*", got[len(DECOYS) + 1].text)[1])
+        assert got[i].text == f"card {want}." and got[i].n == (2 if "4337" in x else 1) and made != card
+    last = got[len(texts) - 1]
+    tax = re.fullmatch("see (.*), and .*", got[len(DECOYS) + 6].text)[1]
+    assert last.n == 4 and re.fullmatch(f"9 7..-5..-.... ....-..-.. {tax} {made} 7 666-45-6789 8", last.text)
+    assert not any(x in last.text for x in ("743-555-3824", "2024-02-29"))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class="post"><p>Written by the team of this site</p><h1>{title}</h1><p>{one} &amp; caf&eacute;&nbsp;{two}<br>next
 line<p>{three}</div><form><input name=q>Search</form><section id="comments"><p>{comment}</p></section><aside>More</aside><script>var a="<p>no</p>"</script>
