@@ -4,7 +4,8 @@ The letters are words. A k-mer is k consecutive words, and it is an anchor (a cl
 the smallest of the hashes of its inner s-mers lies at its first or last place. Whether a k-mer is
 chosen depends on its own words alone, so an edit elsewhere neither moves nor hides an anchor, and
 texts that share a passage share the anchors inside it, in the same order. A document's fingerprint
-is the list of its different anchors in order of place, none left out.
+is the list of its different anchors in order of place, none left out. A text with words in which no
+k-mer is an anchor has one fingerprint entry for the whole of it.
 """
 
 from __future__ import annotations
@@ -21,17 +22,21 @@ K = 5
 S = 2
 
 
-def with_anchors(df: DataFrame, texts: dict[str, str], k: int = K, s: int = S) -> DataFrame:
+def with_anchors(df: DataFrame, texts: dict[str, str], k: int = K, s: int = S, always: bool = False) -> DataFrame:
     """``df`` with an array of anchors (longs, different, in order of place) for each text column.
 
     ``texts`` maps new columns to text columns. A text of fewer than ``k`` words is one anchor as
-    a whole; a null text or one without words has none. Each step is a projection of its own, so
+    a whole; a null text or one without words has none. With
+    ``always``, a longer text in which no k-mer is closed is one anchor as a whole, too. Each step is a projection of its own, so
     that an array is made once and not for every element that looks at it.
     """
     names = {into: (f"__w_{into}", f"__s_{into}") for into in texts}
     out = df.withColumns({w: words_of(F.col(texts[into])) for into, (w, _) in names.items()})
     out = out.withColumns({sm: _smers(w, s) for w, sm in names.values()})
     out = out.withColumns({into: _anchors(w, sm, k, s) for into, (w, sm) in names.items()})
+    if always:
+        none = {into: (F.size(into) == 0) & (F.size(w) > 0) for into, (w, _) in names.items()}
+        out = out.withColumns({into: F.when(none[into], _whole(w)).otherwise(F.col(into)) for into, (w, _) in names.items()})
     return out.drop(*(x for pair in names.values() for x in pair))
 
 
@@ -41,6 +46,11 @@ def _smers(words: str, s: int) -> Column:
     return F.slice(grams, 1, F.greatest(F.size(words) - (s - 1), F.lit(0)))
 
 
+def _whole(words: str) -> Column:
+    """The one anchor of a text that is taken as a whole."""
+    return F.array(F.xxhash64(F.array_join(words, " ")))
+
+
 def _anchors(words: str, smers: str, k: int, s: int) -> Column:
     n, last = F.size(words), k - s
     places = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
@@ -53,8 +63,7 @@ def _anchors(words: str, smers: str, k: int, s: int) -> Column:
 
     cover = [*range(0, last, s), last]  # inner strings that hold every word of the k-mer
     found = F.transform(F.filter(places, closed), lambda i: F.xxhash64(*(at(i, j) for j in cover)))
-    whole = F.array(F.xxhash64(F.array_join(words, " ")))
-    return F.when(n >= k, F.array_distinct(found)).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= k, F.array_distinct(found)).when(n > 0, _whole(words)).otherwise(F.array().cast("array<bigint>"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -121,7 +130,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         "edited": F.concat(F.expr("substring(text, 1, length(text) - int(length(text) / 2))"), F.substring("next_text", F.lit(1), half)),
     })
     rows = rows.select("id", "n_chars", "text", "edited", "next_text")
-    found = with_anchors(rows, {"own": "text", "changed": "edited", "next": "next_text"})
+    found = with_anchors(rows, {"own": "text", "changed": "edited", "next": "next_text"}, always=True)
     own, changed = F.col("own"), F.col("changed")
     return found.select(
         F.col("id").alias(key), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),

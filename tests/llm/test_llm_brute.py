@@ -134,6 +134,21 @@ def test_anchors_are_closed_syncmers(spark):
         assert len(got[i]) == len(set(chosen))
 
 
+def test_every_text_with_words_has_an_anchor(spark):
+    """Unrelated short texts of all lengths from 1 to 8 words share nothing, and equal ones everything."""
+    from pyspark.sql import functions as F
+
+    texts = [(n, i, " ".join(f"w{n}x{i}x{j}" for j in range(n))) for n in range(9) for i in range(60)]
+    found = syncmers.with_anchors(spark.createDataFrame(texts, "n int, i int, t string"), {"a": "t"}, always=True)
+    assert found.filter("(size(a) = 0) <> (n = 0)").count() == 0
+    pairs = found.alias("x").join(found.alias("y"), F.expr("x.n > 0 and y.n in (0, x.n) and y.i = (x.i + 1) % 60"))
+    docs = spark.createDataFrame([(n * 60 + i, t) for n, i, t in texts if n > 0], "doc_id int, text string")
+    got = syncmers.edited_fingerprints(docs).collect()
+    assert len(got) == len(docs.collect()) and all(r.fingerprint and r.near_next < 1 for r in got)
+    like = pairs.select("x.n", syncmers.likeness(F.col("x.a"), F.col("y.a")).alias("l"))
+    assert like.count() == 8 * 60 * 2 and like.filter("l > 0").count() == 0
+
+
 def test_packing_boundaries():
     rng = random.Random(5)
     for _ in range(30):
