@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from paperquay.session import cut_lineage, run_dir
 
@@ -79,3 +84,71 @@ def components(edges: DataFrame) -> DataFrame:
 def _checksum(labels: DataFrame) -> tuple:
     """Labels only ever get smaller, so an equal sum means equal labels."""
     return tuple(labels.agg(F.count(F.lit(1)), F.sum(F.col("label").cast("decimal(38,0)"))).first())
+
+
+#: Bytes from which a piece of a joined text is closed.
+PIECE_BYTES = 1 << 20
+
+
+def pieces_of(rows: DataFrame, keys: list[str], part: Column, order: list[str], text: str, sep: str) -> DataFrame:
+    """``keys, part, piece, body``: the texts of each key and ``part``, joined in ``order``.
+
+    ``part`` is a number that follows the order, so a key with very many rows is joined in as many
+    tasks as it has parts. A piece is closed at about a megabyte.
+    """
+    mark = sep.encode()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, held, size = None, 0, [], 0
+        for batch in batches:
+            out: list[tuple] = []
+            *names, bodies = (c.to_pylist() for c in batch.columns)
+            for *key, body in zip(*names, bodies, strict=True):
+                if key != now or size >= PIECE_BYTES:
+                    if held:
+                        out.append((*now, number, mark.join(held)))
+                    now, number, held, size = key, number + 1, [], 0
+                held.append(body)
+                size += len(body)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((*now, number, mark.join(held)), schema, strict=True)], schema=schema)
+
+    parts = [*keys, "part"]
+    placed = rows.withColumn("part", part).repartition(*parts).sortWithinPartitions(*parts, *order)
+    slim = placed.select(*parts, F.encode(text, "UTF-8").alias("body"))
+    kinds = T.StructType([*(slim.schema[c] for c in parts), T.StructField("piece", T.LongType()), T.StructField("body", T.BinaryType())])
+    schema = to_arrow_schema(kinds)
+    return slim.mapInArrow(join, kinds)
+
+
+def digests_of(pieces: DataFrame, keys: list[str], sep: str) -> DataFrame:
+    """``keys, sha256``: lower-case digest of each key's pieces in order, with ``sep`` between them.
+
+    SHA-256 is sequential, so one task reads all pieces of a key; it holds one of them at a time.
+    """
+    mark = sep.encode()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, hashlib.sha256()
+        for batch in batches:
+            out: list[tuple] = []
+            *names, bodies = (c.to_pylist() for c in batch.columns)
+            for *key, body in zip(*names, bodies, strict=True):
+                if key == now:
+                    state.update(mark)
+                else:
+                    if now is not None:
+                        out.append((*now, state.hexdigest()))
+                    now, state = key, hashlib.sha256()
+                state.update(body)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((*now, state.hexdigest()), schema, strict=True)], schema=schema)
+
+    placed = pieces.repartition(*keys).sortWithinPartitions(*keys, "part", "piece").select(*keys, "body")
+    kinds = T.StructType([*(placed.schema[c] for c in keys), T.StructField("sha256", T.StringType())])
+    schema = to_arrow_schema(kinds)
+    return placed.mapInArrow(digest, kinds)

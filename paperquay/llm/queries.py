@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperquay.llm import bpe, exact, html_text, langid, packing, pii, simhash, substrings, syncmers, warc
+from paperquay.llm import bpe, exact, html_text, langid, packing, pii, simhash, substrings, syncmers, trie, warc
 from paperquay.llm.common import table
 from paperquay.session import run_dir
 
@@ -120,3 +120,40 @@ from rows join groups using (norm)
 )
 def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of the decimal digits of column ``c``, bit by bit.
+CRC_SQL = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length(c::varchar) + 1), lambda i: ascii(substr(c::varchar, i, 1))::bigint)),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, k: xor(x >> 1, case when x & 1 = 1 then 3988292384::bigint else 0::bigint end))), 4294967295::bigint)"""
+
+
+@query(
+    "op11_prefix_trie",
+    f"""
+with turns as (select conv_id as c, turn, md5(coalesce(role, '') || chr(31) || coalesce(text, '')) as t, length(coalesce(text, ''))::bigint as chars from conversations),
+own as (select c, list(t order by turn nulls first) as ts, list(chars order by turn nulls first) as ns from turns group by c),
+parts as (select c, ts, ns, c - c % 100 as base, ({CRC_SQL} % 6)::bigint as h from own),
+rebuilt as (
+  select x.c, list_concat(coalesce(o.ts[1:h], []), x.ts[h + 1:]) as ts, list_concat(coalesce(o.ns[1:h], []), x.ns[h + 1:]) as ns
+  from parts x left join own o on o.c = x.base),
+steps as (select c, ts, ns, unnest(range(0, len(ts) + 1)) as depth from rebuilt),
+named as (
+  select c, depth, array_to_string(ts[1:depth], ',') as p, array_to_string(ts[1:depth - 1], ',') as up, ts[1:depth] as path,
+    case when depth > 0 then ns[depth] else 0 end as chars, depth = len(ts) as ends from steps),
+nodes as (
+  select depth, p, max(up) as up, any_value(path) as path, min(c) as conv_id, count(*) as n_convs, max(chars) as chars,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as ends_sha256
+  from named group by depth, p),
+kids as (select depth - 1 as depth, up as p, count(*) as n_children from nodes where depth > 0 group by all),
+full_nodes as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join kids using (depth, p)),
+tops as (
+  select unnest(range(0, depth + 1)) as depth, path, n_children, (n_convs - 1) * chars as saved from full_nodes),
+sums as (
+  select depth, array_to_string(path[1:depth], ',') as p, sum((n_children = 0)::bigint) as n_leaves, sum(saved) as saved_tokens from tops group by all)
+select n.conv_id, depth::bigint as depth, u.conv_id as parent_conv_id, n.n_convs::bigint as n_convs, n.n_children::bigint as n_children,
+  n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, n.ends_sha256
+from full_nodes n join sums using (depth, p) left join (select depth + 1 as depth, p as up, conv_id from nodes) u using (depth, up)
+""",
+)
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
