@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperquay.llm import bpe, exact, html_text, langid, packing, pii, simhash, substrings, syncmers, trie, warc
+from paperquay.llm import bpe, exact, html_text, langid, packing, pii, simhash, substrings, syncmers, token_files, trie, warc
 from paperquay.llm.common import table
 from paperquay.session import run_dir
 
@@ -18,6 +18,7 @@ ORACLE: dict[str, str] = {}
 #: Secret of the pseudonyms in the registered query and the pipeline; a deployment passes its own.
 PSEUDONYM_KEY = "registered query"
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
 #: ASCII white space for DuckDB's regular expressions.
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -157,3 +158,10 @@ from full_nodes n join sums using (depth, p) left join (select depth + 1 as dept
 )
 def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_orc_token_files")
+def orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents"), run_dir(spark, "tokens")
+    token_files.write_tokens(docs, public_tokenizers.path(WORD_BPE), folder)
+    return token_files.with_crc(token_files.read_tokens(spark, folder, docs.schema["doc_id"].dataType))

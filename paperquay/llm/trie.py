@@ -44,12 +44,12 @@ NODE = ["depth", "a", "b"]
 def turns_in_order(
     convs: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
-    """``id, n, content, chars``: turns numbered from 1, the digest of role and text, code points of the text."""
+    """``id, n, content, chars``: turns numbered from 1, 128 bits of the SHA-256 of role and text, code points of the text."""
     name, body = (F.coalesce(F.col(c), F.lit("")) for c in (role, text))
     plain = convs.select(
         F.coalesce(F.col(conv).cast("long"), F.lit(LEAST)).alias("id"),
         F.coalesce(F.col(turn).cast("long"), F.lit(LEAST)).alias("turn"),
-        F.sha2(F.concat(F.char_length(name).cast("string"), F.lit(":"), name, body), 256).alias("content"),
+        F.unhex(F.left(F.sha2(F.concat(F.char_length(name).cast("string"), F.lit(":"), name, body), 256), F.lit(32))).alias("content"),
         F.char_length(body).cast("long").alias("chars"),
     )
     # Shifted, so that the block of the least turn is a number, too.
@@ -83,7 +83,7 @@ def shared_starts(turns: DataFrame, most: int = 6, group: int = 100) -> DataFram
     starts = members.filter("taken > 0").join(heads, "base").filter("depth <= h").select(*out)
     rest = turns.join(members.select("id", "h", "taken", "size"), "id").filter("n > h")
     rest = rest.withColumn("depth", F.col("n") - F.col("h") + F.col("taken")).select(*out)
-    tops = members.select("id", F.lit(0).cast("long").alias("depth"), "size", F.lit("").alias("content"), F.lit(0).cast("long").alias("chars"))
+    tops = members.select("id", F.lit(0).cast("long").alias("depth"), "size", F.unhex(F.lit("")).alias("content"), F.lit(0).cast("long").alias("chars"))
     return tops.unionByName(starts).unionByName(rest)
 
 
