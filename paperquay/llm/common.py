@@ -96,6 +96,13 @@ def pieces_of(rows: DataFrame, keys: list[str], part: Column, order: list[str],
     ``part`` is a number that follows the order, so a key with very many rows is joined in as many
     tasks as it has parts. A piece is closed at about a megabyte.
     """
+    parts = [*keys, "part"]
+    placed = rows.withColumn("part", part).repartition(*parts).sortWithinPartitions(*parts, *order)
+    return joined_pieces(placed.select(*parts, F.encode(text, "UTF-8").alias("body")), sep)
+
+
+def joined_pieces(placed: DataFrame, sep: str) -> DataFrame:
+    """``pieces_of`` for rows (keys, part, body) that are together and in order in their partitions."""
     mark = sep.encode()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,16 +118,18 @@ def pieces_of(rows: DataFrame, keys: list[str], part: Column, order: list[str],
                 held.append(body)
                 size += len(body)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield batch_of(out, schema)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((*now, number, mark.join(held)), schema, strict=True)], schema=schema)
+            yield batch_of([(*now, number, mark.join(held))], schema)
 
-    parts = [*keys, "part"]
-    placed = rows.withColumn("part", part).repartition(*parts).sortWithinPartitions(*parts, *order)
-    slim = placed.select(*parts, F.encode(text, "UTF-8").alias("body"))
-    kinds = T.StructType([*(slim.schema[c] for c in parts), T.StructField("piece", T.LongType()), T.StructField("body", T.BinaryType())])
+    kinds = T.StructType([*placed.schema.fields[:-1], T.StructField("piece", T.LongType()), T.StructField("body", T.BinaryType())])
     schema = to_arrow_schema(kinds)
-    return slim.mapInArrow(join, kinds)
+    return placed.mapInArrow(join, kinds)
+
+
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """An Arrow batch of at least one row."""
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def digests_of(pieces: DataFrame, keys: list[str], sep: str) -> DataFrame:
@@ -144,9 +153,9 @@ def digests_of(pieces: DataFrame, keys: list[str], sep: str) -> DataFrame:
                     now, state = key, hashlib.sha256()
                 state.update(body)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield batch_of(out, schema)
         if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((*now, state.hexdigest()), schema, strict=True)], schema=schema)
+            yield batch_of([(*now, state.hexdigest())], schema)
 
     placed = pieces.repartition(*keys).sortWithinPartitions(*keys, "part", "piece").select(*keys, "body")
     kinds = T.StructType([*(placed.schema[c] for c in keys), T.StructField("sha256", T.StringType())])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperquay.llm import bpe, exact, html_text, langid, packing, pii, simhash, substrings, syncmers, token_files, trie, warc
+from paperquay.llm import bpe, exact, html_text, langid, packing, pii, repair, simhash, substrings, syncmers, token_files, trie, warc
 from paperquay.llm.common import table
 from paperquay.session import run_dir
 
@@ -165,3 +165,8 @@ def orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), run_dir(spark, "tokens")
     token_files.write_tokens(docs, public_tokenizers.path(WORD_BPE), folder)
     return token_files.with_crc(token_files.read_tokens(spark, folder, docs.schema["doc_id"].dataType))
+
+
+@query("op13_conversation_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
