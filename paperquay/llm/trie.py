@@ -75,7 +75,7 @@ def shared_starts(turns: DataFrame, most: int = 6, group: int = 100) -> DataFram
     base = F.when(F.col("id") == LEAST, F.col("id")).otherwise(F.col("id") - F.col("id") % group)
     members = members.withColumn("h", h).withColumn("base", base)
     sizes = members.select(F.col("id").alias("base"), F.col("own").alias("theirs"))
-    taken = F.coalesce(F.least("h", "theirs"), F.lit(0))
+    taken = F.least("h", F.coalesce("theirs", F.lit(0)))
     members = members.join(sizes, "base", "left").withColumn("taken", taken)
     members = cut_lineage(members.withColumn("size", F.col("taken") + F.greatest(F.col("own") - F.col("h"), F.lit(0))))
     heads = turns.filter(F.col("n") < most).select(F.col("id").alias("base"), F.col("n").alias("depth"), "content", "chars")
