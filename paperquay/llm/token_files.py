@@ -13,9 +13,11 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator, Sequence
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,21 +30,128 @@ END = 1
 STRIPE_BYTES = 64 << 20
 #: Rows that one entry of the row index, and one Bloom filter, stands for.
 STRIDE = 10_000
-#: Texts that are encoded at once.
-TOGETHER = 256
-
-_TOKENIZERS: dict[str, object] = {}
-
+#: Bytes of text that are encoded at once, about.
+TOGETHER = 8 << 20
+#: Encodings of words that a Python worker remembers in each of two generations; when the newer
+#: one is full it becomes the older one, so words that keep coming stay known.
+REMEMBERED = 500_000
+#: Combining marks, with which small and capital letters may be composed differently.
+MARKS = "[\u0300-\u036f]"
+#: Punctuation that ends words; what is before it is encoded by itself.
+TAIL = ".,;:!?"
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+class Encoder:
+    """The ids of whole texts by the tokenizers library, which is asked about each different word once.
+
+    The library replaces white space, composes, lower-cases, and then cuts a text into runs of
+    letters, single digits and runs of other signs before any merge. So no token crosses white space,
+    or the end of a letter or digit before closing punctuation, and the ids of a text are those of the
+    pieces in between. Capital ASCII letters may be lowered first, but for texts with combining
+    marks, which are given to the library whole.
+    """
 
-def tokenizer(path: str):
-    """The tokenizer of a file that every machine has at ``path``; read once per process."""
-    if path not in _TOKENIZERS:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-        _TOKENIZERS[path].encode_special_tokens = True  # their names in a text are text
-    return _TOKENIZERS[path]
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True  # their names in a text are text
+        # Words that are asked about together stand between special tokens, which nothing crosses.
+        self.marked = Tokenizer.from_file(path)
+        self.mark = next((t.content for t in self.marked.get_added_tokens_decoder().values() if t.special), None)
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as the library gives them, as 32-bit integers."""
+        return [np.array(x.ids, np.int32).tobytes() for x in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ask(self, words: list[str]) -> None:
+        """Make words known."""
+        if self.mark is None or any(self.mark[0] in w for w in words):
+            odd = [w for w in words if self.mark is None or self.mark[0] in w]
+            self.known.update(zip(odd, self.whole(odd), strict=True))
+            words = [w for w in words if w not in self.known]
+        if not words:
+            return
+        text = self.mark.join(words)
+        ids = np.array(self.marked.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        cuts = np.flatnonzero(ids == self.marked.token_to_id(self.mark)).tolist()
+        raw = memoryview(ids.tobytes())
+        for word, i, j in zip(words, [-1, *cuts], [*cuts, len(ids)], strict=True):
+            self.known[word] = bytes(raw[4 * i + 4 : 4 * j])
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of different words without white space."""
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {"": b""}
+        known, older = self.known, self.older
+        cut, new = {}, set()
+        for word in words:
+            if word in known:
+                continue
+            if word in older:
+                known[word] = older[word]
+                continue
+            stem = word.rstrip(TAIL)
+            if len(stem) < len(word) and stem and normalize("NFC", stem[-1]).lower()[-1].isalnum():
+                cut[word] = (stem, word[len(stem) :])
+                for part in cut[word]:
+                    if part not in known:
+                        if part in older:
+                            known[part] = older[part]
+                        else:
+                            new.add(part)
+            else:
+                new.add(word)
+        if new:
+            self.ask(sorted(new))
+        return [known[w] if w not in cut else known[cut[w][0]] + known[cut[w][1]] for w in words]
+
+    def texts(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, each text's followed by ``end``, and their number for each text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        composed = pc.match_substring_regex(texts, MARKS)
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(composed, "", texts)))
+        coded = parts.flatten().dictionary_encode()
+        found = [*self.words(coded.dictionary.to_pylist()), np.int32(end).tobytes()]
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = np.insert(at, ends, len(found) - 1)
+        odd = np.flatnonzero(composed.to_numpy(zero_copy_only=False))
+        if len(odd):
+            # An empty text is one empty word before its end mark; the whole text's ids take its place.
+            at[ends[odd] + odd - 1] = len(found) + np.arange(len(odd))
+            found += self.whole([texts[int(i)].as_py() for i in odd])
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(found), np.int32)
+        each = sizes[at]
+        upto = np.cumsum(each)
+        ids = flat[np.repeat(firsts[at] - (upto - each), each) + np.arange(upto[-1])]
+        last = upto[ends + np.arange(len(ends))]
+        return ids, np.diff(np.r_[0, last])
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer file that every machine has at ``path``; read once per process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def by_size(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes in a text column, at least one row each."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    of = np.cumsum(sizes) // most
+    cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    for i, j in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+        yield batch.slice(i, j - i)
 
 
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
@@ -57,20 +166,16 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     placed = plain.repartitionByRange(parallelism(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_batch_fast
+        own = encoder(path)
         part, before = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(at, TOGETHER)
-                found = encode([x or "" for x in batch.column(1).to_pylist()], add_special_tokens=False)
-                ids = [np.array([*x.ids, end], np.int32) for x in found]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                ends = np.cumsum(sizes)
-                values = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.concatenate(ids)))
-                parts = pa.array(np.full(len(ids), part, np.int32))
-                columns = [batch.column(0), parts, pa.array(before + ends - sizes), pa.array(sizes), values]
+            for batch in by_size(whole, 1, TOGETHER):
+                ids, sizes = own.texts(batch.column(1), end)
+                upto = np.cumsum(sizes)
+                values = pa.ListArray.from_arrays(pa.array(np.r_[0, upto].astype(np.int32)), pa.array(ids))
+                columns = [batch.column(0), pa.array(np.full(len(sizes), part, np.int32)), pa.array(before + upto - sizes), pa.array(sizes), values]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "offset", "n_tokens", "ids"])
-                before += int(ends[-1])
+                before += int(upto[-1])
 
     kinds = T.StructType([
         placed.schema["doc_id"], T.StructField("part", T.IntegerType()), T.StructField("offset", T.LongType()),
