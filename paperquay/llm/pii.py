@@ -9,21 +9,21 @@ Numbers with check digits or ranges count as values only if these hold: cards th
 numbers mod 97 and the length of their country, tax ids the ranges that are given out. Others stay.
 Pseudonyms of valid values are valid.
 
-Characters are permuted by a Feistel network over the two halves of a value: each round shifts the
-characters of one half, digits among digits and letters among letters of their case, by a keyed
-hash of the other half. Dates and addresses are numbers below a product a*b and are permuted by
-the same network with its halves below a and below b.
-
-The functions below return SQL text: one expression holds the whole network, and Spark reads it at
-once, where building it call by call would take longer than many a run.
+Every value is first brought to a list of places, each with the number of symbols it can hold: 10 for
+a digit, 26 for a letter, 256 for a part of an address, and so on. One Feistel network permutes such lists,
+whatever their format: each round shifts the places of one half by a keyed hash of the other half. The
+value is then put together again by its format. Capital letters of an e-mail address are folded first and
+put back at their places, so addresses that differ in case only stay linked.
+
+The secret is a one-row table that is read when the query runs; no plan holds it. The functions
+below return SQL text, which Spark reads at once.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import count as counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperquay.llm.common import renamed, restored
@@ -50,6 +50,14 @@ FORMATS = {
     "number": "(?<![A-Za-z0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
     "key": "(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
 }
+#: How a match of these formats is told from others; what is none of them is a run of digits.
+KINDS = {
+    "email": "@", "address": "^[0-9]+(?:[.][0-9]+){3}$", "iso": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "day": "^[0-9]{2}([/.-])[0-9]{2}\\1[0-9]{4}$",
+    "tax": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "phone": "^[+(]|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$", "iban": "^[A-Z]{2}[0-9]", "key": "^AKIA",
+    "hex": "^[0-9a-f]{32,64}$",
+}
+#: Characters of a run that are looked at from a group on: more than any value in it has.
+WINDOW = 64
 #: Groups of digits, 13 digits or more, in which card-like numbers and other values are looked for.
 RUN = "(?<![A-Za-z0-9.])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z0-9])(?:[ -][0-9]++(?![A-Za-z0-9]))*+"
 #: Groups as cards have them.
@@ -62,6 +70,8 @@ ANY = "|".join(f"(?:{x})" for x in [*(v for k, v in FORMATS.items() if k != "num
 TAX_ID = "^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
 TAX_GROUPS = [*range(50, 66), *range(70, 89), *range(90, 93), *range(94, 100)]
 TAX_ID_9 = f"^9[0-9]{{2}}-(?:{'|'.join(map(str, TAX_GROUPS))})-[0-9]{{4}}$"
+#: Last label of an e-mail address, which stays.
+LAST_LABEL = "[.][A-Za-z0-9-]+$"
 #: Days of the calendar's 400-year cycle, 1800-01-01 to 2199-12-31: 189 * 773.
 FIRST_DAY, DAY_HALVES = "1800-01-01", (189, 773)
 
@@ -83,62 +93,29 @@ def _let(value: str, use) -> str:
     return f"transform(array({value}), {v} -> {use(v)})[0]"
 
 
-def _hash(key: str, round_: int, other: str) -> str:
-    return f"sha2(concat({_quoted(f'{key}|{round_}|')}, cast({other} as string)), 256)"
-
-
-def _shifted(part: str, other: str, key: str, round_: int, letters: int) -> str:
-    """Characters of ``part`` moved within their class by a keyed hash of ``other``."""
-
-    def moved(stream: str) -> str:
-        c, i = _name(), _name()
-        by = f"cast(conv(substring({stream}, ({i} % 16) * 4 + 1, 4), 16, 10) as int)"
-        turns = " ".join(
-            f"when {c} between '{chr(low)}' and '{chr(low + n - 1)}' then char({low} + (ascii({c}) - {low} + {by}) % {n})"
-            for low, n in ((48, 10), (97, letters), (65, letters))
-        )
-        return f"array_join(transform(split({part}, ''), ({c}, {i}) -> case {turns} else {c} end), '')"
+def _case(of: str, choices: dict[str, str], otherwise: str) -> str:
+    """``choices`` by the value of ``of``; names with a blank between them share a choice."""
+    tests = (f"when {of} in ({', '.join(map(_quoted, k.split()))}) then {v}" for k, v in choices.items())
+    return f"case {' '.join(tests)} else {otherwise} end"
 
-    return f"if({part} = '', {part}, {_let(_hash(key, round_, other), moved)})"
 
+def permuted(places: str, sizes: str, tweak: str, secret: str = "secret") -> str:
+    """``places`` (array of int, each below its size) as another such array, by a Feistel network.
 
-def permuted_text(value: str, key: str, letters: int = 26) -> str:
-    """A string as another one of the same format; different strings stay different.
-
-    Only the first ``letters`` letters of the alphabet are moved.
+    A round shifts the left half by a keyed hash of the right one and changes sides; after an even
+    number of rounds every place is where it was.
     """
+    s, r, x, i = (_name() for _ in range(4))
+    half = f"int(size({places}) / 2)"
+    start = f"named_struct('l', slice({places}, 1, {half}), 'm', slice({sizes}, 1, {half}), 'r', slice({places}, {half} + 1, size({places})), 'n', slice({sizes}, {half} + 1, size({sizes})))"
 
-    def halves(v: str) -> str:
-        return f"named_struct('a', substring({v}, 1, int(length({v}) / 2)), 'b', substring({v}, int(length({v}) / 2) + 1))"
-
-    def step(pair: str, round_: int) -> str:
-        if round_ % 2:
-            return _let(pair, lambda p: f"named_struct('a', {_shifted(f'{p}.a', f'{p}.b', key, round_, letters)}, 'b', {p}.b)")
-        return _let(pair, lambda p: f"named_struct('a', {p}.a, 'b', {_shifted(f'{p}.b', f'{p}.a', key, round_, letters)})")
-
-    return _let(reduce(step, range(ROUNDS), _let(value, halves)), lambda p: f"concat({p}.a, {p}.b)")
-
+    def moved(h: str) -> str:
+        by = f"cast(conv(substring({h}, ({i} % 16) * 4 + 1, 4), 16, 10) as int)"
+        return f"transform({s}.l, ({x}, {i}) -> cast(({x} + {by}) % {s}.m[{i}] as int))"
 
-def permuted_number(value: str, halves: tuple[int, int], key: str) -> str:
-    """A number below the product of ``halves`` as another one."""
-    a, b = halves
-
-    def number(other: str, round_: int) -> str:
-        return f"cast(conv(substring({_hash(key, round_, other)}, 1, 12), 16, 10) as bigint)"
-
-    def step(pair: str, r: int) -> str:
-        if r % 2:
-            return _let(pair, lambda p: f"named_struct('a', ({p}.a + {number(f'{p}.b', r)}) % {a}, 'b', {p}.b)")
-        return _let(pair, lambda p: f"named_struct('a', {p}.a, 'b', ({p}.b + {number(f'{p}.a', r)}) % {b})")
-
-    start = _let(value, lambda v: f"named_struct('a', cast({v} div {b} as bigint), 'b', cast({v} % {b} as bigint))")
-    return _let(reduce(step, range(ROUNDS), start), lambda p: f"({p}.a * {b} + {p}.b)")
-
-
-def _refilled(value: str, chars: str, of: str = "[0-9]") -> str:
-    """``value`` with its digits, or what else is ``of`` that class, replaced in order by ``chars``."""
-    x, i = _name(), _name()
-    return f"array_join(transform(split({value}, '{of}', -1), ({x}, {i}) -> concat({x}, substring({chars}, {i} + 1, 1))), '')"
+    keyed = f"sha2(concat_ws('|', {secret}, {tweak}, cast({r} as string), array_join(cast({s}.r as array<string>), ',')), 256)"
+    step = f"named_struct('l', {s}.r, 'm', {s}.n, 'r', {_let(keyed, moved)}, 'n', {s}.m)"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, ({s}, {r}) -> {step}, {s} -> concat({s}.l, {s}.r))"
 
 
 def _digits(value: str) -> str:
@@ -147,60 +124,12 @@ def _digits(value: str) -> str:
 
 def _luhn(digits: str) -> str:
     """Check digit that follows ``digits``."""
-    c, i, s, x = _name(), _name(), _name(), _name()
+    c, i, s, x = (_name() for _ in range(4))
     doubled = f"(int({c}) * 2) % 10 + int({c}) div 5"
     values = f"transform(split({digits}, ''), ({c}, {i}) -> cast(if((length({digits}) - {i}) % 2 = 1, {doubled}, int({c})) as bigint))"
     return f"pmod(-aggregate({values}, 0L, ({s}, {x}) -> {s} + {x}), 10)"
 
 
-def _number(value: str, key: str) -> str:
-    """Card-like numbers: all digits but the last are permuted; the last keeps its distance from the
-    Luhn digit, so valid numbers become valid ones and others others."""
-
-    def done(d: str) -> str:
-        body = f"substring({d}, 1, length({d}) - 1)"
-        off = f"(int(right({d}, 1)) - {_let(body, _luhn)})"
-        fresh = _let(permuted_text(body, f"{key}|number"), lambda new: f"concat({new}, cast(pmod({_luhn(new)} + {off}, 10) as string))")
-        return _let(fresh, lambda f: _refilled(value, f))
-
-    return _let(_digits(value), done)
-
-
-def _luhn_holds(value: str) -> str:
-    return _let(_digits(value), lambda d: f"(length({d}) > 1 and int(right({d}, 1)) = {_luhn(f'substring({d}, 1, length({d}) - 1)')})")
-
-
-def _tax_id_holds(value: str) -> str:
-    return f"({value} rlike '{TAX_ID}' or {value} rlike '{TAX_ID_9}')"
-
-
-def _run(value: str, key: str) -> str:
-    """A run of digits with its valid values replaced, and how many these are: ``text, n``.
-
-    The run is a number as a whole if it has 13 to 19 digits and its Luhn digit holds. Else it is read
-    from group to group: where groups are a date, a phone, a tax id or a valid number in GROUPS, they
-    are replaced; other groups stay.
-    """
-    c, s, i = _name(), _name(), _name()
-    whole = f"if({s}.n = 0 and {s}.text = '' and {s}.rest rlike '^(?:{FORMATS['number']})$' and {_luhn_holds(f'{s}.rest')}, {s}.rest, '')"
-    at_start = lambda x: f"regexp_extract({s}.rest, '^(?:{x})(?![A-Za-z0-9])', 0)"
-    tax_id = f"filter(array({at_start(FORMATS['tax_id'])}), {c} -> {_tax_id_holds(c)})"
-    others = ", ".join(at_start(FORMATS[k]) for k in ("iso_date", "day_date", "phone"))
-    numbers = f"filter(array({', '.join(map(at_start, GROUPS))}), {c} -> {c} <> '' and {_luhn_holds(c)})"
-    first = f"filter(concat(array({whole}, {others}), {tax_id}, {numbers}), {c} -> {c} <> '')"
-    over = f"regexp_extract({s}.rest, '^[0-9]+', 0)"
-
-    def step(found: str) -> str:
-        after = f"substring({s}.rest, 1 + length(coalesce({found}, {over})))"
-        text = f"concat({s}.text, if({found} is null, {over}, {pseudonym(found, key)}), regexp_extract({after}, '^[ -]', 0))"
-        return f"named_struct('text', {text}, 'rest', regexp_replace({after}, '^[ -]', ''), 'n', {s}.n + if({found} is null, 0, 1))"
-
-    one = f"if({s}.rest = '', {s}, {_let(f'get({first}, 0)', step)})"
-    groups = f"sequence(1, size(split({value}, '[ -]', -1)))"
-    read = f"aggregate({groups}, named_struct('text', '', 'rest', {value}, 'n', 0), ({s}, {i}) -> {one})"
-    return _let(read, lambda w: f"named_struct('text', {w}.text, 'n', {w}.n)")
-
-
 def _mod97(chars: str) -> str:
     """Remainder by 97 of a bank number's characters, letters counting 10 to 35."""
     s, c = _name(), _name()
@@ -208,156 +137,167 @@ def _mod97(chars: str) -> str:
     return f"aggregate(split({chars}, ''), 0, ({s}, {c}) -> cast({step} as int))"
 
 
-def _iban_holds(value: str) -> str:
-    return _let(f"replace({value}, ' ', '')", lambda v: f"({_mod97(f'concat(substring({v}, 5), substring({v}, 1, 4))')} = 1)")
-
-
-def _iban(value: str, key: str) -> str:
-    """All but country and check digits are permuted; the check digits keep their distance from the right ones."""
+def _day(value: str, kind: str) -> str:
+    """Day of the cycle, from 0, that a date of kind iso, day (day first) or month (month first) names; else null."""
+    parts = ((7, 4, 1), (7, 1, 4))
+    by = [f"concat(substring({value}, {y}), '-', substring({value}, {m}, 2), '-', substring({value}, {d}, 2))" for y, m, d in parts]
+    day = f"datediff(try_to_date({_case(kind, {'iso': value, 'day': by[0]}, by[1])}, 'yyyy-MM-dd'), date'{FIRST_DAY}')"
+    x = _name()
+    return f"get(filter(array({day}), {x} -> {x} between 0 and {DAY_HALVES[0] * DAY_HALVES[1] - 1}), 0)"
 
-    def done(v: str) -> str:
-        country = f"substring({v}, 1, 2)"
-        right = lambda body: f"(98 - {_mod97(f'concat({body}, {country}, {_quoted("00")})')})"
-        off = f"(int(substring({v}, 3, 2)) - {right(f'substring({v}, 5)')})"
-        check = lambda new: f"lpad(cast(if({off} = 0, {right(new)}, pmod({right(new)} + {off}, 100)) as string), 2, '0')"
-        put = lambda new: f"concat({country}, {check(new)}, {new})"
-        return _let(_let(permuted_text(f"substring({v}, 5)", f"{key}|iban"), put), lambda f: _refilled(value, f, "[A-Z0-9]"))
 
-    return _let(f"replace({value}, ' ', '')", done)
-
-
-def _tax_id(value: str, key: str) -> str:
-    """A valid tax id as another one of its sort, others as others."""
-    area, group, serial = (f"int(substring({value}, {at}, {n}))" for at, n in ((1, 3), (5, 2), (8, 4)))
-    part = lambda number, n: f"lpad(cast({number} as string), {n}, '0')"
-    halves, halves_9 = (898 * 99, 9999), (100 * len(TAX_GROUPS), 10000)
-    at = f"cast((({area} - if({area} > 666, 2, 1)) * 99 + {group} - 1) * 9999L + {serial} - 1 as bigint)"
-    groups = f"array({', '.join(map(str, TAX_GROUPS))})"
-    at_9 = f"cast((({area} - 900) * {len(TAX_GROUPS)} + array_position({groups}, {group}) - 1) * 10000L + {serial} as bigint)"
+def _holds(value: str, kind: str) -> str:
+    """Whether a value of a kind is valid: check digits, ranges, dates of the calendar."""
+    luhn = _let(_digits(value), lambda d: f"(length({d}) > 1 and int(right({d}, 1)) = {_luhn(f'substring({d}, 1, length({d}) - 1)')})")
+    iban = _let(f"replace({value}, ' ', '')", lambda v: f"({_mod97(f'concat(substring({v}, 5), substring({v}, 1, 4))')} = 1)")
+    tests = {"number": luhn, "iban": iban, "tax": f"{value} rlike '{TAX_ID}'", "tax9": f"{value} rlike '{TAX_ID_9}'"}
+    return _case(kind, tests | {"iso day month": f"{_day(value, kind)} is not null"}, "true")
 
-    def form(x: str) -> str:
-        new = f"({x} div {99 * 9999} + 1)"
-        return f"concat_ws('-', {part(f'({new} + if({new} >= 666, 1, 0))', 3)}, {part(f'({x} div 9999 % 99 + 1)', 2)}, {part(f'({x} % 9999 + 1)', 4)})"
 
-    def form_9(x: str) -> str:
-        group_ = f"{groups}[cast({x} div 10000 % {len(TAX_GROUPS)} as int)]"
-        return f"concat_ws('-', {part(f'({x} div {len(TAX_GROUPS) * 10000} + 900)', 3)}, {part(group_, 2)}, {part(f'({x} % 10000)', 4)})"
+def found(value: str) -> str:
+    """The valid values in a match of ANY: an array of ``at, size, kind``, in order.
 
-    own, own_9 = _let(permuted_number(at, halves, f"{key}|tax"), form), _let(permuted_number(at_9, halves_9, f"{key}|tax9"), form_9)
-    return f"case when {value} rlike '{TAX_ID}' then {own} when {value} rlike '{TAX_ID_9}' then {own_9} else {permuted_text(value, f'{key}|tax')} end"
-
-
-def _phone(value: str, key: str) -> str:
-    """The last ten digits but the first of the area and of the exchange, whose range is fixed."""
-
-    def done(d: str) -> str:
-        def put(x: str) -> str:
-            e = f"right({d}, 10)"
-            return f"concat(substring({d}, 1, length({d}) - 10), substring({e}, 1, 1), substring({x}, 1, 2), substring({e}, 4, 1), substring({x}, 3))"
-
-        free = f"concat(substring(right({d}, 10), 2, 2), substring(right({d}, 10), 5, 6))"
-        return _let(_let(permuted_text(free, f"{key}|phone"), put), lambda f: _refilled(value, f))
-
-    return _let(_digits(value), done)
-
-
-def _address(value: str, key: str) -> str:
-    s, x = _name(), _name()
-    whole = f"aggregate(split({value}, '[.]'), 0L, ({s}, {x}) -> {s} * 256 + cast({x} as bigint))"
-    parts = lambda n: "concat_ws('.', " + ", ".join(f"cast({n} div {256**p} % 256 as string)" for p in (3, 2, 1, 0)) + ")"
-    return _let(permuted_number(whole, (1 << 16, 1 << 16), f"{key}|address"), parts)
-
-
-def _day(day: str, key: str) -> str:
-    """A date of the 400-year cycle as another one; null for null or a date outside it."""
-    a, b = DAY_HALVES
-    zero = f"date'{FIRST_DAY}'"
-    moved = lambda at: f"if({at} between 0 and {a * b - 1}, date_add({zero}, cast({permuted_number(at, DAY_HALVES, f'{key}|day')} as int)), null)"
-    return _let(f"cast(datediff({day}, {zero}) as bigint)", moved)
-
-
-def _iso_date(value: str, key: str) -> str:
-    return f"coalesce(date_format({_day(f'try_to_date({value}, {_quoted("yyyy-MM-dd")})', key)}, 'yyyy-MM-dd'), {value})"
-
-
-def _day_date(value: str, key: str) -> str:
-    """Two digits, two digits, year: day first where that is a date, else month first.
-
-    A month-first date is permuted again until it is not a day-first one, so both kinds stay apart.
+    A run is a number as a whole if it has 13 to 19 digits and its Luhn digit holds. Else it is read
+    from group to group: where groups are a date, a phone, a tax id or a valid number in GROUPS, they
+    are a value; other groups stay.
     """
-
-    def parsed(day: int, month: int) -> str:
-        iso = f"concat(substring({value}, 7), '-', substring({value}, {month}, 2), '-', substring({value}, {day}, 2))"
-        return f"try_to_date({iso}, 'yyyy-MM-dd')"
-
-    def form(first: str, second: str):
-        sep = f"substring({value}, 3, 1)"
-        return lambda day: f"concat(date_format({day}, '{first}'), {sep}, date_format({day}, '{second}'), {sep}, date_format({day}, 'yyyy'))"
-
-    d, i = _name(), _name()
-    again = f"if({i} = 0 or dayofmonth({d}) <= 12, {_day(d, f'{key}|month')}, {d})"
-    month_first = f"aggregate(sequence(0, 64), {parsed(4, 1)}, ({d}, {i}) -> {again})"
-    return f"coalesce({_let(_day(parsed(1, 4), key), form('dd', 'MM'))}, {_let(month_first, form('MM', 'dd'))}, {value})"
-
-
-def _email(value: str, key: str) -> str:
-    """Everything but the last label of the domain."""
-    last = "[.][A-Za-z0-9-]+$"
-    name = permuted_text(f"regexp_replace({value}, '{last}', '')", f"{key}|email")
-    return f"concat({name}, regexp_extract({value}, '{last}', 0))"
-
-
-def _prefixed(value: str, keep: int, key: str) -> str:
-    return f"concat(substring({value}, 1, {keep}), {permuted_text(f'substring({value}, {keep + 1})', key)})"
-
-
-def pseudonym(value: str, key: str) -> str:
-    """The pseudonym of a value in one of FORMATS."""
-    made = {
-        "email": _email(value, key),
-        "address": _address(value, key),
-        "iso_date": _iso_date(value, key),
-        "day_date": _day_date(value, key),
-        "phone": _phone(value, key),
-        "tax_id": _tax_id(value, key),
-        "iban": _iban(value, key),
-        "number": _number(value, key),
+    s, g, c = (_name() for _ in range(3))
+    as_ = lambda text, *kinds: [f"named_struct('text', {text}, 'kind', {_quoted(k)})" for k in kinds]
+    at_start = lambda head, x: f"regexp_extract({head}, '^(?:{x})(?![A-Za-z0-9])', 0)"
+    whole = f"if({s}.at = 1 and {value} rlike '^(?:{FORMATS['number']})$', {value}, '')"
+
+    def in_run(head: str) -> str:
+        more = [*as_(whole, "number"), *as_(at_start(head, FORMATS["iso_date"]), "iso"), *as_(at_start(head, FORMATS["day_date"]), "day", "month")]
+        more += [*as_(at_start(head, FORMATS["phone"]), "phone"), *as_(at_start(head, FORMATS["tax_id"]), "tax", "tax9")]
+        return f"array({', '.join([*more, *(as_(at_start(head, x), 'number')[0] for x in GROUPS)])})"
+
+    def read(kind: str) -> str:
+        single = f"transform({_case(kind, {'day': "array('day', 'month')", 'tax': "array('tax', 'tax9')"}, f'array({kind})')}, {c} -> named_struct('text', {value}, 'kind', {c}))"
+        choices = f"if({kind} = 'run', {_let(f'substring({value}, {s}.at, {WINDOW})', in_run)}, {single})"
+        first = f"get(filter({choices}, {c} -> {c}.text <> '' and {_holds(f'{c}.text', f'{c}.kind')}), 0)"
+        after = f"int({s}.at + length({g}) + 1)"
+        skip = f"named_struct('at', {after}, 'next', {s}.next, 'out', {s}.out)"
+        take = lambda f: f"if({f} is null, {skip}, named_struct('at', {after}, 'next', int({s}.at + length({f}.text)), 'out', concat({s}.out, array(named_struct('at', {s}.at, 'size', length({f}.text), 'kind', {f}.kind)))))"
+        step = f"if({s}.at < {s}.next, {skip}, {_let(first, take)})"
+        groups = f"if({kind} = 'run', split({value}, '[ -]', -1), array({value}))"
+        zero = "named_struct('at', 1, 'next', 1, 'out', cast(array() as array<struct<at: int, size: int, kind: string>>))"
+        return f"aggregate({groups}, {zero}, ({s}, {g}) -> {step}, {s} -> {s}.out)"
+
+    tests = " ".join(f"when {value} rlike {_quoted(x)} then {_quoted(k)}" for k, x in KINDS.items())
+    return _let(f"case {tests} else 'run' end", read)
+
+
+def pseudonym(value: str, kind: str, secret: str = "secret") -> str:
+    """The pseudonym of a valid value of a kind."""
+    ten = f"right({_digits(value)}, 10)"
+    bodies = {
+        "email": f"lower(regexp_replace({value}, '{LAST_LABEL}', ''))",
+        "key": f"substring({value}, 5)",
+        "hex": value,
+        "phone": f"concat(substring({ten}, 2, 2), substring({ten}, 5, 6))",
+        "number": _let(_digits(value), lambda d: f"substring({d}, 1, length({d}) - 1)"),
+        "iban": f"substring(replace({value}, ' ', ''), 5)",
     }
-    tests = " ".join(f"when {value} rlike '^(?:{FORMATS[k]})$' then {v}" for k, v in made.items())
-    hexa = permuted_text(value, f"{key}|hex", 6)
-    return f"case {tests} when {value} like 'AKIA%' then {_prefixed(value, 4, f'{key}|key')} else {hexa} end"
-
-
-def replaced(value: str, key: str) -> str:
-    """What a match of ANY becomes, and how many valid values it has: ``text, n``."""
-    form = lambda k: f"{value} rlike '^(?:{FORMATS[k]})$'"
-    invalid = f"{form('tax_id')} and not {_tax_id_holds(value)} or {form('iban')} and not {_iban_holds(value)}"
-    run = f"{value} rlike '^[0-9]+(?:[ -][0-9]+)*$' and not ({' or '.join(map(form, ('iso_date', 'day_date', 'phone', 'tax_id', 'key')))})"
-    as_is, new = f"named_struct('text', {value}, 'n', 0)", f"named_struct('text', {pseudonym(value, key)}, 'n', 1)"
-    return f"case when {invalid} then {as_is} when {run} then {_run(value, key)} else {new} end"
-
-
-def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
+    a, b = DAY_HALVES
+    groups = f"array({', '.join(map(str, TAX_GROUPS))})"
+    area, group, serial = (f"int(substring({value}, {at}, {n}))" for at, n in ((1, 3), (5, 2), (8, 4)))
+    c, d, i = (_name() for _ in range(3))
+    dates = "iso day month"
+
+    def made(body: str) -> str:
+        letters = f"if({kind} = 'hex', 6, 26)"
+        kinds = lambda digit, small, large, other: f"case when {c} between '0' and '9' then {digit} when {c} between 'a' and 'z' then {small} when {c} between 'A' and 'Z' then {large} else {other} end"
+        chars = f"split({body}, '')"
+        places = {
+            "address": f"transform(split({value}, '[.]'), {c} -> int({c}))",
+            dates: _let(_day(value, kind), lambda x: f"array(int({x} div {b}), int({x} % {b}))"),
+            "tax": f"array({area} - if({area} > 666, 2, 1), {group} - 1, {serial} - 1)",
+            "tax9": f"array({area} - 900, int(array_position({groups}, {group})) - 1, {serial})",
+        }
+        sizes = {"address": "array(256, 256, 256, 256)", dates: f"array({a}, {b})", "tax": "array(898, 99, 9999)", "tax9": f"array(100, {len(TAX_GROUPS)}, 10000)"}
+        own = _case(kind, places, f"transform({chars}, {c} -> {kinds(f'ascii({c}) - 48', f'ascii({c}) - 97', f'ascii({c}) - 65', '0')})")
+        own_sizes = _case(kind, sizes, f"transform({chars}, {c} -> {kinds('10', letters, letters, '1')})")
+        tweak = _case(kind, {"iso day": "'day'"}, kind)
+        day = lambda x: f"date_add(date'{FIRST_DAY}', {x}[0] * {b} + {x}[1])"
+
+        def through(pair: str) -> str:
+            # A month-first date is permuted again until it is not a day-first one, so both kinds stay apart.
+            again = f"if({i} = 0 or dayofmonth({day(d)}) <= 12, {permuted(d, f'{pair}.sizes', tweak, secret)}, {d})"
+            return f"aggregate(sequence(0, if({kind} = 'month', 256, 0)), {pair}.places, ({d}, {i}) -> {again})"
+
+        def put(new: str) -> str:
+            part = lambda number, n: f"lpad(cast({number} as string), {n}, '0')"
+            tax = [f"({new}[0] + if({new}[0] >= 665, 2, 1))", f"({new}[1] + 1)", f"({new}[2] + 1)"]
+            tax9 = [f"({new}[0] + 900)", f"{groups}[{new}[1]]", f"{new}[2]"]
+            joined = lambda parts: f"concat_ws('-', {', '.join(part(x, n) for x, n in zip(parts, (3, 2, 4), strict=True))})"
+            sep = f"substring({value}, 3, 1)"
+            form = lambda *x: f"concat({f', {sep}, '.join(f'date_format({day(new)}, {_quoted(y)})' for y in x)})"
+            text = f"array_join(zip_with({chars}, {new}, ({c}, {d}) -> {kinds(f'char(48 + {d})', f'char(97 + {d})', f'char(65 + {d})', c)}), '')"
+
+            def of_text(t: str) -> str:
+                country = f"substring({value}, 1, 2)"
+                check = f"lpad(cast(98 - {_mod97(f'concat({t}, {country}, {_quoted("00")})')} as string), 2, '0')"
+                fill = {
+                    "phone": f"concat({_let(_digits(value), lambda x: f'substring({x}, 1, length({x}) - 9)')}, substring({t}, 1, 2), substring({ten}, 4, 1), substring({t}, 3))",
+                    "number": f"concat({t}, {_luhn(t)})",
+                    "iban": f"concat({country}, {check}, {t})",
+                }
+                x = _name()
+                refilled = _let(_case(kind, fill, "''"), lambda f: f"array_join(transform(split({value}, if({kind} = 'iban', '[A-Z0-9]', '[0-9]'), -1), ({x}, {i}) -> concat({x}, substring({f}, {i} + 1, 1))), '')")
+                cased = f"array_join(zip_with(split({t}, ''), split(left({value}, length({t})), ''), ({x}, {c}) -> if({c} between 'A' and 'Z', upper({x}), {x})), '')"
+                return _case(kind, {"email": f"concat({cased}, regexp_extract({value}, '{LAST_LABEL}', 0))", "key": f"concat(left({value}, 4), {t})", "hex": t}, refilled)
+
+            forms = {
+                "address": f"array_join(cast({new} as array<string>), '.')", "iso": f"date_format({day(new)}, 'yyyy-MM-dd')",
+                "day": form("dd", "MM", "yyyy"), "month": form("MM", "dd", "yyyy"), "tax": joined(tax), "tax9": joined(tax9),
+            }
+            return _case(kind, forms, _let(text, of_text))
+
+        return _let(_let(f"named_struct('places', {own}, 'sizes', {own_sizes})", through), put)
+
+    return _let(_case(kind, bodies, "''"), made)
+
+
+def replaced(value: str, values: str, secret: str = "secret") -> str:
+    """A match of ANY with the values that ``found`` names replaced."""
+    f, i = _name(), _name()
+    start = f"coalesce(get({values}, {i} - 1).at + get({values}, {i} - 1).size, 1)"
+    new = _let(f"substring({value}, {f}.at, {f}.size)", lambda v: pseudonym(v, f"{f}.kind", secret))
+    parts = f"transform({values}, ({f}, {i}) -> concat(substring({value}, {start}, {f}.at - {start}), {new}))"
+    rest = f"substring({value}, coalesce(get({values}, size({values}) - 1).at + get({values}, size({values}) - 1).size, 1))"
+    return f"concat(array_join({parts}, ''), {rest})"
+
+
+def secret_table(spark: SparkSession, key: str) -> DataFrame:
+    """A one-row table for a secret that is at hand as text; a deployment reads one from its store."""
+    return spark.createDataFrame([(key,)], "secret string")
+
+
+def pseudonymised(docs: DataFrame, key: str | DataFrame, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with the values of FORMATS in ``text`` replaced by their pseudonyms.
 
-    ``key`` is the secret; ``count`` names a column for the number of valid values found, those replaced. A text without
+    ``key`` is the secret, as text or as a table of one row and one column; ``count`` names a column
+    for the number of valid values found, those replaced. A text without
     values, an empty one and a null one stay as they are; strings that look like a date but are
-    none, or lie outside 1800 to 2199, stay too. Other columns stay, whatever their names.
+    none, or lie outside 1800 to 2199, stay too and are not counted. Other columns stay, whatever their names.
     """
+    secrets = secret_table(docs.sparkSession, key) if isinstance(key, str) else key
     rows, body = renamed(docs, text)
-    out = rows.withColumn("has", F.coalesce(F.col(body).rlike(ANY), F.lit(False)))
-    values = F.when(F.col("has"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
-    out = out.withColumns({"old": values, "between": F.when(F.col("has"), F.split(body, ANY, -1))})
-    out = out.withColumn("new", F.expr(f"transform(old, value -> {replaced('value', key)})"))
-    joined = F.array_join(F.transform("between", lambda x, i: F.concat(x, F.coalesce(F.get(F.col("new.text"), i), F.lit("")))), "")
-    out = out.withColumn(body, F.when(F.col("has"), joined).otherwise(F.col(body)))
+    old = F.coalesce(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
+    out = rows.withColumn("old", old).withColumn("values", F.expr(f"transform(old, value -> {found('value')})"))
+    some = F.exists("values", lambda x: F.size(x) > 0)
+    out = out.withColumn("some", some).withColumn("secret", F.when(F.col("some"), secrets.toDF("secret").scalar()))
+    out = out.withColumn("new", F.expr(f"if(some, zip_with(old, values, (value, places) -> {replaced('value', 'places')}), null)"))
+    between = F.split(body, ANY, -1)
+    joined = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get("new", i), F.lit("")))), "")
+    out = out.withColumn(body, F.when(F.col("some"), joined).otherwise(F.col(body)))
     if not count:
         return restored(out, docs)
-    found = F.coalesce(F.expr("aggregate(new.n, 0, (s, n) -> s + n)"), F.lit(0)).cast("long").alias("found")
-    return out.select(*rows.columns, found).toDF(*docs.columns, count)
+    total = F.aggregate("values", F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias("total")
+    return out.select(*rows.columns, total).toDF(*docs.columns, count)
 
 
-def pseudonymise_documents(docs: DataFrame, key: str) -> DataFrame:
+def pseudonymise_documents(docs: DataFrame, key: str | DataFrame) -> DataFrame:
     """Documents with pseudonyms for personal values; ``n_chars`` follows the new text where there is one."""
     out = pseudonymised(docs, key)
     if "n_chars" in docs.columns:
