@@ -56,7 +56,8 @@ class Trees:
     langs: list[str]
     keys: list[np.ndarray]
     costs: list[np.ndarray]  # (strings, languages)
-    escapes: list[np.ndarray]  # of the strings as contexts: (strings, languages); level 0: the empty context
+    contexts: list[np.ndarray]  # the first k bytes of the strings in ``keys[k]``, those before a text's start included
+    escapes: list[np.ndarray]  # of these contexts: (contexts, languages)
 
     @classmethod
     def grown(cls, counts: list[tuple[str, int, int, int]]) -> Trees:
@@ -72,6 +73,7 @@ class Trees:
             keys.append(names)
             tables.append(table)
         costs: list[np.ndarray] = []
+        contexts: list[np.ndarray] = []
         escapes: list[np.ndarray] = []
         lower = np.full((256, len(langs)), 8.0)  # below the empty context
         lower_keys = np.arange(256, dtype=np.uint64)
@@ -88,18 +90,10 @@ class Trees:
             rest = keys[k] & np.uint64((1 << 8 * max(k, 1)) - 1)  # the string without its first byte
             down = lower[np.searchsorted(lower_keys, rest)]
             costs.append(np.where(tables[k] > 0, direct, leave[place] + down))
+            contexts.append(known)
             escapes.append(leave)
             lower, lower_keys = costs[k], keys[k]
-        # An escape is looked up by the context's place among the strings one level up. Contexts
-        # that reach into the zero bytes before a text are no such strings; leaving them is free.
-        spread = [escapes[0]]
-        for k in range(1, ORDER + 1):
-            full = np.zeros((len(keys[k - 1]), len(langs)))
-            known = np.unique(keys[k] >> np.uint64(8))
-            listed = np.isin(known, keys[k - 1])
-            full[np.searchsorted(keys[k - 1], known[listed])] = escapes[k][listed]
-            spread.append(full)
-        return cls(langs, keys, [x.astype(np.float32) for x in costs], [x.astype(np.float32) for x in spread])
+        return cls(langs, keys, [x.astype(np.float32) for x in costs], contexts, [x.astype(np.float32) for x in escapes])
 
     def position_costs(self, data: np.ndarray) -> np.ndarray:
         """Bits for each byte from position ORDER on: (positions, languages)."""
@@ -118,8 +112,8 @@ class Trees:
                 out[left] += self.escapes[0][0] + np.float32(8)
                 return out
             context = want >> np.uint64(8)
-            at = np.minimum(np.searchsorted(self.keys[k - 1], context), len(self.keys[k - 1]) - 1)
-            knows = self.keys[k - 1][at] == context
+            at = np.minimum(np.searchsorted(self.contexts[k], context), len(self.contexts[k]) - 1)
+            knows = self.contexts[k][at] == context
             out[left[knows]] += self.escapes[k][at[knows]]
         return out
 
@@ -227,6 +221,13 @@ def train_and_predict(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language can't be told; all columns stay."""
-    rows, body = renamed(docs, "text")
-    return restored(predicted(rows, learned(docs.filter(fold() != 1)), body).filter(F.col("lang_pred") != UNKNOWN), docs)
+    """``docs`` without the rows whose language can't be told: those without a letter; all columns stay.
+
+    A null ``lang`` becomes the language predicted; labels stay as they are. Where no row is
+    labelled, nothing is learned: every text with a letter stays, and ``lang`` stays null.
+    """
+    rows, body, lang = renamed(docs, "text", "lang")
+    trees = learned(docs.filter(fold() != 1))
+    known = F.col("lang_pred") != UNKNOWN if trees else F.col(body).rlike(r"\p{L}")
+    out = predicted(rows, trees, body).filter(known)
+    return restored(out.withColumn(lang, F.coalesce(lang, F.nullif("lang_pred", F.lit(UNKNOWN)))), docs)

@@ -98,8 +98,12 @@ def test_language(docs, none):
     assert langid.train_and_predict(none).count() == 0
     unlabelled = docs.withColumn("lang", docs.source)
     assert {r.lang_pred for r in langid.train_and_predict(unlabelled).collect()} == {"und"}
-    kept = langid.keep_known(docs)
-    assert kept.columns == docs.columns and kept.count() == len(TEXTS) - 5
+    for frame, langs in ((docs, {"en"}), (unlabelled, {None}), (docs.withColumn("lang", docs.lang.substr(1, 2)), {"en"})):
+        kept = langid.keep_known(frame)
+        assert kept.columns == docs.columns and kept.count() == len(TEXTS) - 5
+        assert {r.lang for r in kept.collect()} == langs
+    some = docs.selectExpr("doc_id", "text", "if(doc_id = 1, null, lang) as lang")
+    assert {r.lang for r in langid.keep_known(some).filter("doc_id = 1").collect()} == {"en"}
 
 
 def test_pii(docs, none):
@@ -163,3 +167,13 @@ def test_stages_keep_columns(spark, docs, none):
         frame = stage(spark, frame, "")
         assert frame.columns == docs.columns
         assert stage(spark, none, "").count() == 0
+
+
+def test_pipeline_without_labels_or_rows(spark, docs, tmp_path):
+    plain = docs.select("doc_id", "text", "source", "n_chars").withColumn("lang", docs.source)
+    for name, frame in (("unlabelled", plain), ("empty", plain.limit(0))):
+        frame.write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert (len(out) > 0) == (name == "unlabelled")
+        if out:
+            assert {r.doc_id for r in out} == {2, 5, 6, 9}  # prose: its greatest id, whatever its case
