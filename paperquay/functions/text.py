@@ -226,11 +226,14 @@ def paragraphs(c: Column, delimiter: str = "\n\n") -> Column:
 
 def word_chunks(c: Column, words: int = 850, overlap: int = 120) -> Column:
     """Array of overlapping word windows; a short text is its own only chunk, unchanged."""
-    tokens = F.filter(F.split(c, WS), lambda w: w != "")
-    n, step = F.size(tokens), max(1, words - overlap)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
-    pieces = F.transform(starts, lambda s: F.array_join(F.slice(tokens, s + 1, F.lit(words)), " "))
-    return F.when(n <= words, F.array(c)).otherwise(pieces)
+    step = max(1, words - overlap)
+
+    def cut(tokens: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(step))
+        pieces = F.transform(starts, lambda s: F.array_join(F.slice(tokens, s + 1, F.lit(words)), " "))
+        return F.when(F.size(tokens) <= words, F.array(c)).otherwise(pieces)
+
+    return let(F.filter(F.split(c, WS), lambda w: w != ""), cut)
 
 
 def block_type(element: Column, text: Column | None = None) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperquay.functions import json_cols as J
 from paperquay.functions.numbers import percent_of
-from paperquay.operators.ordered import global_rank
+from paperquay.operators.ordered import block, carry_forward, global_rank
 
 # Status groups.
 PROCESSED = ["REVIEW", "APPROVED", "REJECTED", "EXPORTED"]
@@ -178,19 +178,58 @@ def processing_totals(docs: DataFrame, scan: Column, ask: Column, wall: Column)
 # -- status changes ----------------------------------------------------------------------------
 
 
-def review_decisions(docs: DataFrame, decisions: DataFrame, now: Column, guard: bool = False) -> DataFrame:
-    """Apply (doc_id, decision, reason); ``guard`` also checks that the status allows it."""
-    d = docs.join(decisions.select("doc_id", "decision", "reason"), "doc_id", "left")
-    approve, reject = F.col("decision") == "APPROVE", F.col("decision") == "REJECT"
+def _in_order(changes: DataFrame, order: str | None, *ties: str) -> tuple[DataFrame, Column]:
+    """``changes`` of known documents with ``__at``, and what puts several changes of one document in order.
+
+    ``order`` is an integer or a time. Changes of equal ``order``, and all if there is none, go by ``ties``, null first.
+    """
+    at = F.lit(0) if order is None else F.col(order)
+    if order is not None and dict(changes.dtypes)[order].startswith("timestamp"):
+        at = F.unix_micros(F.col(order).cast("timestamp"))
+    rows = changes.withColumn("__at", F.coalesce(at.cast("long"), F.lit(-(1 << 62)))).filter(F.col("doc_id").isNotNull())
+    return rows, F.struct("__at", *ties)
+
+
+def review_decisions(docs: DataFrame, decisions: DataFrame, now: Column, guard: bool = False, order: str | None = None) -> DataFrame:
+    """Apply (doc_id, decision, reason); ``guard`` also checks that the status allows each of them.
+
+    A document may have several decisions. They are applied by ``order``, equal ones by decision and
+    reason, and the document stays one row. What a sequence does to a status is settled before the
+    documents are joined: after any decision on a reviewable document its status is that decision's, and a
+    decision does something if it differs from the one before it, or, as the first, from the status. So a
+    document's decisions shrink to their first, their last and the last reason that counts.
+    """
+    known = decisions.select("doc_id", "decision", F.coalesce("reason", F.lit("")).alias("reason"), *([order] if order else []))
+    rows, at = _in_order(known.filter(F.col("decision").isin("APPROVE", "REJECT")), order, "decision", "reason")
+    rows = rows.withColumn("__seq", at)
     if guard:
-        approve &= F.col("status").isin("REVIEW", "REJECTED")
-        reject &= F.col("status").isin("REVIEW", "APPROVED")
-    approve, reject = F.coalesce(approve, F.lit(False)), F.coalesce(reject, F.lit(False))
+        # A scan in blocks of the order, so that a document with very many decisions is no single task.
+        levels = [block("__at")] if order else [F.lit(0).cast("long")]
+        rows = carry_forward(rows, ["doc_id"], ["__seq"], {"__before": F.col("decision")}, levels, inclusive=False)
+        counts = F.col("__before").isNotNull() & (F.col("__before") != F.col("decision"))
+    else:
+        counts = F.lit(True)
+    said = counts & (F.col("decision") == "REJECT") & (F.col("reason") != "")
+    last = rows.groupBy("doc_id").agg(
+        F.min_by(F.struct("decision", "reason"), "__seq").alias("__first"), F.max_by("decision", "__seq").alias("__last"),
+        F.max(counts).alias("__later"), F.max_by("reason", F.when(said, F.col("__seq"))).alias("__reason"),
+    )
+    d = docs.join(last, "doc_id", "left")
+    opens = F.lit(True)
+    if guard:
+        first = F.col("__first.decision")
+        opens = F.col("status").isin("REVIEW", "APPROVED", "REJECTED")
+        starts = (first == "APPROVE") & F.col("status").isin("REVIEW", "REJECTED") | (first == "REJECT") & F.col("status").isin("REVIEW", "APPROVED")
+        early = F.when(starts & (first == "REJECT"), F.nullif("__first.reason", F.lit("")))
+        done = starts | opens & F.col("__later")
+    else:
+        early, done = F.lit(None), F.col("__last").isNotNull()
+    done = F.coalesce(done, F.lit(False))
     return d.select(
         *[c for c in docs.columns if c not in ("status", "notes", "verified_at")],
-        F.when(approve, "APPROVED").when(reject, "REJECTED").otherwise(F.col("status")).alias("status"),
-        F.when(reject & (F.coalesce("reason", F.lit("")) != ""), F.col("reason")).otherwise(F.col("notes")).alias("notes"),
-        F.when(approve | reject, now).otherwise(_or_null(docs, "verified_at", "timestamp")).alias("verified_at"),
+        F.when(done, F.when(F.col("__last") == "APPROVE", "APPROVED").otherwise("REJECTED")).otherwise(F.col("status")).alias("status"),
+        F.coalesce(F.when(opens, F.col("__reason")), early, "notes").alias("notes"),
+        F.when(done, now).otherwise(_or_null(docs, "verified_at", "timestamp")).alias("verified_at"),
     )
 
 
@@ -220,13 +259,18 @@ def reprocess(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return _marked(docs, ids).withColumns(changes).drop("__hit")
 
 
-def patch(docs: DataFrame, patches: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Overwrite the supplied fields: ``patches`` has doc_id, a ``set`` array of names, and values."""
-    p = patches.select("doc_id", "set", *[F.col(f).alias(f"__new_{f}") for f in fields])
-    supplied = {
-        f: F.when(F.array_contains("set", f), F.col(f"__new_{f}")).otherwise(F.col(f)) for f in fields
-    }
-    return docs.join(p, "doc_id", "left").withColumns(supplied).select(*docs.columns)
+def patch(docs: DataFrame, patches: DataFrame, fields: Sequence[str], order: str | None = None) -> DataFrame:
+    """Overwrite the supplied fields: ``patches`` has doc_id, a ``set`` array of names, and values.
+
+    Of several patches of a document the last by ``order`` that supplies a field sets it, equal ones by their values,
+    null first; the document stays one row.
+    """
+    rows, at = _in_order(patches, order, *fields)
+    last = rows.groupBy("doc_id").agg(
+        *(F.max_by(F.struct(F.col(f).alias("v")), F.when(F.array_contains("set", f), at)).alias(f"__new_{f}") for f in fields)
+    )
+    new = {f: F.when(F.col(f"__new_{f}").isNotNull(), F.col(f"__new_{f}.v")).otherwise(F.col(f)) for f in fields}
+    return docs.join(last, "doc_id", "left").withColumns(new).select(*docs.columns)
 
 
 def recover_transient(docs: DataFrame) -> DataFrame:
@@ -245,20 +289,32 @@ RESULT_COLS = [
 ]
 
 
-def apply_results(docs: DataFrame, results: DataFrame) -> DataFrame:
+def apply_results(docs: DataFrame, results: DataFrame, order: str | None = None) -> DataFrame:
     """Store extraction results; an error gives status ERROR. Results of unknown documents are ignored.
 
-    Every column of RESULT_COLS that both sides have is stored.
+    Every column of RESULT_COLS that ``results`` has is stored; a column that is none of these, or that
+    the documents lack, is an error. Of several results of a document the last by ``order``, equal ones by
+    error and values, gives the status; fields are those of the last result without an error, warnings those of
+    the last result that has some or an error. The document stays one row.
     """
-    cols = [c for c in RESULT_COLS if c in results.columns and c in docs.columns]
-    r = results.select("doc_id", "error", F.lit(True).alias("__done"), *[F.col(c).alias(f"__new_{c}") for c in cols])
-    ok = F.col("__done").isNotNull() & F.col("error").isNull()
-    bad = F.col("error").isNotNull()
-    changes = {c: F.when(ok, F.col(f"__new_{c}")).otherwise(F.col(c)) for c in cols if c != "warnings"}
-    told = F.when(ok, F.col("__new_warnings")) if "warnings" in cols else F.when(ok, F.lit("[]"))
-    changes["warnings"] = F.when(bad, F.to_json(F.array("error"))).otherwise(F.coalesce(told, "warnings"))
-    changes["status"] = F.when(bad, "ERROR").when(ok, "REVIEW").otherwise(F.col("status"))
-    return docs.join(r, "doc_id", "left").withColumns(changes).select(*docs.columns)
+    stray = sorted(set(results.columns) - {"doc_id", "error", order or "error", *RESULT_COLS})
+    lost = sorted(set(results.columns) & set(RESULT_COLS) - set(docs.columns))
+    if stray or lost:
+        raise ValueError(f"results have columns that can't be stored: {', '.join(stray + lost)}")
+    cols = [c for c in RESULT_COLS if c in results.columns]
+    rows, at = _in_order(results, order, "error", *cols)
+    good = [c for c in cols if c != "warnings"]
+    told = F.col("warnings") if "warnings" in cols else F.lit("[]")
+    told = F.when(F.col("error").isNotNull(), F.to_json(F.array("error"))).otherwise(told)
+    last = rows.groupBy("doc_id").agg(
+        F.max_by(F.struct(F.col("error").alias("v")), at).alias("__last"),
+        F.max_by(F.struct(*good, F.lit(True).alias("__ok")), F.when(F.col("error").isNull(), at)).alias("__new"),
+        F.max_by(told, F.when(told.isNotNull(), at)).alias("__told"),
+    )
+    new = {c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)) for c in good}
+    new["warnings"] = F.coalesce("__told", "warnings")
+    new["status"] = F.when(F.col("__last.v").isNotNull(), "ERROR").when(F.col("__last").isNotNull(), "REVIEW").otherwise(F.col("status"))
+    return docs.join(last, "doc_id", "left").withColumns(new).select(*docs.columns)
 
 
 def status_actions(status: Column) -> Column:

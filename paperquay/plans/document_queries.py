@@ -300,6 +300,40 @@ def _(lake):
 HIT = "doc_id in (select doc_id from labels where quality = 1)"
 
 
+#: Events as decisions on documents, several for most of them; some decide nothing.
+DECISIONS = """select event_id, user_id as doc_id, case event_type when 'click' then 'APPROVE' when 'purchase' then 'APPROVE' when 'view' then 'REJECT'
+  when 'signup' then 'REJECT' else 'NOTE' end as decision, case when event_id % 3 = 0 then '' else concat('r', event_id) end as reason from events"""
+
+
+def _decided(guard: bool) -> str:
+    """Decisions folded one by one, in order, over the status of each document."""
+    approve = "x.decision = 'APPROVE'" + (" and a.status in ('REVIEW', 'REJECTED')" if guard else "")
+    reject = "x.decision = 'REJECT'" + (" and a.status in ('REVIEW', 'APPROVED')" if guard else "")
+    step = f"""{{decision: '', reason: '', status: case when {approve} then 'APPROVED' when {reject} then 'REJECTED' else a.status end,
+    notes: case when {reject} and x.reason <> '' then x.reason else a.notes end, verified: a.verified or ({approve}) or ({reject})}}"""
+    return f"""select d.doc_id, r.status, r.notes, r.verified from (
+  select d.doc_id, list_reduce(list_prepend({{decision: '', reason: '', status: d.status, notes: d.notes, verified: false}}, coalesce(e.made, [])), lambda a, x: {step}) as r
+  from v1 d left join (
+    select doc_id, list({{decision: decision, reason: reason, status: '', notes: '', verified: false}} order by event_id) as made from ({DECISIONS}) t group by doc_id) e
+  on e.doc_id = d.doc_id) d"""
+
+
+def _decide(lake, guard: bool):
+    made = lake._sql(DECISIONS, events=lake.table("events"))
+    out = O.review_decisions(lake.docs, made, F.to_timestamp(F.lit("2024-02-01")), guard, "event_id")
+    return out.select("doc_id", "status", "notes", F.col("verified_at").isNotNull().alias("verified"))
+
+
+@query("UPD01_several_decisions", "v1", _decided(False))
+def _(lake):
+    return _decide(lake, False)
+
+
+@query("UPD01_guarded_decisions", "v1", _decided(True))
+def _(lake):
+    return _decide(lake, True)
+
+
 @query(
     "UPD02_reprocess", "v1",
     f"""select doc_id, notes, extracted_row, case when {HIT} then 'QUEUED' else status end as status,
@@ -331,6 +365,23 @@ def _(lake):
     return O.patch(lake.docs, p, ["notes", "extraction_type"]).select("doc_id", "notes", "extraction_type")
 
 
+PATCHES = """select event_id, user_id as doc_id, event_type in ('click', 'view') as sets_notes, event_type in ('view', 'purchase') as sets_type,
+  case when event_id % 4 = 0 then null else concat('n', event_id) end as notes, concat('T', event_id % 7) as extraction_type from events"""
+
+
+@query(
+    "UPD03_several_patches", "v1",
+    f"""select d.doc_id, case when n.doc_id is null then d.notes else n.v end as notes, case when t.doc_id is null then d.extraction_type else t.v end as extraction_type
+from v1 d left join (select doc_id, notes as v from ({PATCHES}) x where sets_notes qualify row_number() over (partition by doc_id order by event_id desc) = 1) n on n.doc_id = d.doc_id
+left join (select doc_id, extraction_type as v from ({PATCHES}) x where sets_type qualify row_number() over (partition by doc_id order by event_id desc) = 1) t on t.doc_id = d.doc_id""",
+)
+def _(lake):
+    p = lake._sql(PATCHES, events=lake.table("events"))
+    names = F.filter(F.array(F.when(F.col("sets_notes"), F.lit("notes")), F.when(F.col("sets_type"), F.lit("extraction_type"))), lambda x: x.isNotNull())
+    patches = p.select("event_id", "doc_id", names.alias("set"), "notes", "extraction_type")
+    return O.patch(lake.docs, patches, ["notes", "extraction_type"], "event_id").select("doc_id", "notes", "extraction_type")
+
+
 @query(
     "UPD04_recover_transient", "v1",
     """select doc_id, status in ('CANCELLING','SCANNING','PROCESSING') as recovered,
@@ -373,6 +424,25 @@ def _(lake):
     )
 
 
+RESULTS = """select ts, event_id, user_id as doc_id, case when event_type in ('click', 'signup') then concat('failed ', event_id) end as error, concat('text ', event_id) as full_text,
+  cast(event_id % 100 as double) as confidence, case when event_id % 3 = 0 then null else concat('["w', event_id, '"]') end as warnings from events"""
+
+
+@query(
+    "UPD06_several_results", "v1",
+    f"""select d.doc_id, case when l.doc_id is null then d.status when l.error is null then 'REVIEW' else 'ERROR' end as status,
+  md5(case when g.doc_id is null then d.full_text else g.full_text end) as text_md5, case when g.doc_id is null then d.confidence else g.confidence end as confidence,
+  coalesce(w.told, d.warnings) as warnings
+from v1 d left join (select * from ({RESULTS}) x qualify row_number() over (partition by doc_id order by event_id desc) = 1) l on l.doc_id = d.doc_id
+left join (select * from ({RESULTS}) x where error is null qualify row_number() over (partition by doc_id order by event_id desc) = 1) g on g.doc_id = d.doc_id
+left join (select doc_id, case when error is null then warnings else concat('["', error, '"]') end as told from ({RESULTS}) x where error is not null or warnings is not null
+  qualify row_number() over (partition by doc_id order by event_id desc) = 1) w on w.doc_id = d.doc_id""",
+)
+def _(lake):
+    results = lake._sql(RESULTS, events=lake.table("events")).drop("ts")
+    return O.apply_results(lake.docs, results, "event_id").select("doc_id", "status", F.md5("full_text").alias("text_md5"), "confidence", "warnings")
+
+
 @query(
     "UPD07_duplicate_session", "v0 v1",
     """select 'session' as kind, session_id as source, concat(name, ' (Copy)') as label, status from v0 where mode = 'TABLE_EXTRACT'
