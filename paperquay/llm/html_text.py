@@ -12,7 +12,8 @@ texts in a valid class are the template's own words, and containers in a valid c
 A page's slot for the main text is the smallest one that holds all its text that is neither the
 template's nor in menus and the like nor mostly links; where none does, as on a page of a rare
 layout, it is the whole page. What a page has in this slot, without the template's words and menus,
-is its main text. Menus and the like are known by their tags and names; names don't count on a host
+is its main text. Menus and the like are known by their tags and names; headers of articles, figures with their
+captions and formulas are main text, and the template's words are taken off them, too. Names don't count on a host
 whose own words are nearly all in blocks with such names.
 """
 
@@ -33,9 +34,9 @@ from xxhash import xxh64_intdigest
 from paperquay.llm.common import written
 
 #: Elements whose content is no text of a page.
-RAW = "script|style|template|noscript|iframe|svg|math|object|audio|video|canvas|textarea|title|head"
+RAW = "script|style|template|noscript|iframe|svg|object|audio|video|canvas|textarea|title"
 #: Elements that hold no main text.
-APART = frozenset("nav header footer aside form menu dialog button select fieldset figure".split())
+APART = frozenset("nav header footer aside form menu dialog button select fieldset".split())
 #: Classes, ids and roles of blocks without main text; such a word may also end a longer name.
 APART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies "
@@ -48,6 +49,9 @@ PARTS = frozenset(
     "outer panel post posts right section sections slot thread title top unit widget widgets wrap wrapper".split()
 )
 ABOUT = frozenset("has have hide hides is no not show shows with without".split())
+#: Elements whose headers are headers of main text, and words of names that say so of a header by itself.
+OWN_HEADERS = frozenset(("article", "main"))
+OF_MAIN_TEXT = frozenset("article articles blog content entry news page post story".split())
 #: Elements around main text, whatever their names.
 NEVER_APART = frozenset("html body main article".split())
 #: Part of a host's own words that must be outside blocks with names in APART_WORDS, or these names don't count.
@@ -55,7 +59,8 @@ LEAST_OUTSIDE = 0.1
 #: Elements that are part of the line they stand in.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output progress q ruby rb rp rt s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+    "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a start tag of the same set closes.
@@ -118,7 +123,7 @@ def blocks(page: str) -> list[Block]:
                 in_link = not m["end"]
             if tag in ("br", "img", "wbr"):
                 held.append(" ")
-            elif not m["end"] and tag == "span" and _apart(rest):
+            elif not m["end"] and tag == "span" and _apart(rest, False):
                 held.append(" ")
             continue
         flush()
@@ -141,7 +146,9 @@ def blocks(page: str) -> list[Block]:
         label = _words(rest)
         name = ".".join([tag, *sorted(label)]) if label else tag
         if not rest.rstrip().endswith("/"):
-            stack.append((tag, name, tag in APART, tag not in NEVER_APART and _apart(rest)))
+            own = not OWN_HEADERS.isdisjoint(x[0] for x in stack)
+            by_tag = tag in APART and not (tag == "header" and (own or not OF_MAIN_TEXT.isdisjoint(label)))
+            stack.append((tag, name, by_tag, tag not in NEVER_APART and _apart(rest, own)))
     flush()
     return out
 
@@ -153,8 +160,11 @@ def _words(rest: str) -> frozenset[str]:
     return frozenset(w for m in _LABEL.finditer(rest) for w in _WORD.findall(m[1].lower()))
 
 
-def _apart(rest: str) -> bool:
-    """Whether a class, id or role of an element says that it holds no main text."""
+def _apart(rest: str, own: bool) -> bool:
+    """Whether a class, id or role of an element says that it holds no main text.
+
+    A header does not if it is in an article (``own``), or if its name says that it is an article's.
+    """
     if "=" not in rest:
         return False
     for m in _LABEL.finditer(rest):
@@ -164,6 +174,8 @@ def _apart(rest: str) -> bool:
                 continue
             while len(words) > 1 and words[-1] in PARTS and words[-1] not in APART_WORDS:
                 words.pop()
+            if words[-1] == "header" and (own or not OF_MAIN_TEXT.isdisjoint(words)):
+                continue
             if words[-1] in APART_WORDS:
                 return True
     return False

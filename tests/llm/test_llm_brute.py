@@ -547,6 +547,32 @@ def test_text_overrides_names(spark):
     assert got == {i: f"one {i}\n{long[i]}" for i in range(6)}
 
 
+WHOLE = """<html><head><title>T</title><meta charset=utf-8>{}<body><header><p>Site name</p></header><div class=page-nav>Menu</div>
+<article><header class="entry-header"><h1>title {{0}}</h1><p>lead {{0}}</p></header><p>It is <math><mi>x</mi> = {{0}}</math> here.</p>
+<figure><img src=a><table><tr><td>cell {{0}}</td></tr></table><figcaption>caption {{0}}</figcaption></figure><blockquote>said {{0}}</blockquote></article>
+<footer>End</footer></body></html>"""
+
+
+@pytest.mark.parametrize("end", ["</head>", "", "<style>p {{}}</style><script>x</script>"])
+def test_titles_captions_and_formulas_stay(spark, end):
+    """Also on pages whose head is not closed."""
+    got = texts_of(spark, [(i, f"http://h.example/{i}", WHOLE.format(end).format(i)) for i in range(6)])
+    want = "title {0}\nlead {0}\nIt is x = {0} here.\ncell {0}\ncaption {0}\nsaid {0}"
+    assert got == {i: want.format(i) for i in range(6)}
+
+
+@pytest.mark.parametrize("name", ["post-header", "entry-header", "article-header"])
+def test_headers_of_posts_stay(spark, name):
+    page = f"<body><div class=site-header>Site name</div><div class=post><div class={name}><h1>title {{0}}</h1></div><p>text {{0}}</p></div></body>"
+    got = texts_of(spark, [(i, f"http://h.example/{i}", page.format(i)) for i in range(6)])
+    assert got == {i: f"title {i}\ntext {i}" for i in range(6)}
+
+
+def test_page_without_head_end_or_body(spark):
+    got = texts_of(spark, [(i, f"http://h.example/{i}", f"<html><head><title>T</title><p>text {i}<p>more {i}") for i in range(4)])
+    assert got == {i: f"text {i}\nmore {i}" for i in range(4)}
+
+
 def test_pages(results, spark):
     html = {r.page_id: r.html for r in common.table(spark, SF, "pages").collect()}
     for r in results("op8_html_main_text"):
