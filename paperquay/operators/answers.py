@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperquay.functions.json_cols import ANSWERS
 from paperquay.functions.numbers import half_up
+from paperquay.functions.text import word_chunks
 
 PENDING = ["QUEUED", "SCANNING", "PROCESSING"]
 
@@ -78,3 +80,22 @@ def ask(docs: DataFrame, columns: Sequence[Mapping[str, str]], answerer: Answere
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "context").mapInPandas(batches, f"doc_id {kind}, answers string, error string")
+
+
+def ask_texts(
+    docs: DataFrame, columns: Sequence[Mapping[str, str]], answerer: Answerer = label_lines, text: str = "full_text", words: int = 850, overlap: int = 120
+) -> DataFrame:
+    """Best answer to each column over the whole text of each document: doc_id, key, answer, score, error.
+
+    A text is cut into overlapping word windows, each of them is asked for itself, and the best
+    answer wins (``best_answer``); so a long text is spread over tasks. ``error`` is that of the first
+    window that failed, if any; the others still answer. A null text is asked as an empty one.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    chunks = docs.select("doc_id", F.posexplode(word_chunks(whole, words, overlap)).alias("chunk_no", "context"))
+    spread = chunks.repartition("doc_id", "chunk_no").withColumn("doc_id", F.struct("doc_id", "chunk_no"))
+    asked = ask(spread, columns, answerer).select("doc_id.doc_id", "doc_id.chunk_no", "answers", "error")
+    found = asked.select("doc_id", "chunk_no", "error", F.explode(F.from_json("answers", ANSWERS)).alias("key", "a"))
+    best = best_answer(found.select("doc_id", "chunk_no", "key", "a.answer", "a.score"))
+    errors = found.groupBy("doc_id", "key").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("chunk_no"))).alias("error"))
+    return best.join(errors, ["doc_id", "key"])

@@ -59,13 +59,17 @@ def list_documents(
 
 
 def document_record(docs: DataFrame) -> DataFrame:
-    """Nested record: quality and OCR structs, parsed JSON columns."""
+    """Nested record: quality and OCR structs, tags, the user's edits, parsed JSON columns.
+
+    Columns that ``docs`` lacks are null; tags that are no list of texts are null, too.
+    """
     strings = "array<string>"
     return docs.select(
         "doc_id", "filename", "status", "created_at", "notes", "session_id",
         F.coalesce("extraction_type", F.lit("AUTO")).alias("extraction_type"),
         F.struct(
             F.col("quality_valid").alias("valid"), "dpi", "width", "height",
+            *(_or_null(docs, c, "double").alias(c) for c in ("blur_score", "skew_angle")),
             F.from_json("quality_issues", strings).alias("issues"),
         ).alias("quality"),
         F.when(
@@ -78,7 +82,10 @@ def document_record(docs: DataFrame) -> DataFrame:
             ),
         ).alias("ocr_result"),
         J.json_or(F.col("extracted_json"), "{}").alias("extracted_json"),
-        "verified_by", "processed_at", "exported", "export_path",
+        _or_null(docs, "thumbnail_path", "string").alias("thumbnail_path"),
+        F.from_json(_or_null(docs, "tags", "string"), strings).alias("tags"),
+        F.from_json(_or_null(docs, "user_edits", "string"), "map<string,string>").alias("user_edits"),
+        "verified_by", _or_null(docs, "verified_at", "timestamp").alias("verified_at"), "processed_at", "exported", "export_path",
     )
 
 

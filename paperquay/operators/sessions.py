@@ -15,12 +15,16 @@ SOURCES = ["FILES", "FOLDER"]
 
 
 def with_counts(sessions: DataFrame, docs: DataFrame) -> DataFrame:
-    """Sessions with the number of all and of processed documents (0 when none)."""
+    """Sessions, newest first, with the number of all and of processed documents (0 when none).
+
+    Sessions of one time go by id; without ``created_at`` all do.
+    """
     counts = docs.filter(F.col("session_id").isNotNull()).groupBy("session_id").agg(
         F.count(F.lit(1)).alias("document_count"),
         F.count_if(F.col("status").isin(PROCESSED)).alias("processed_count"),
     )
-    return sessions.join(counts, "session_id", "left").fillna(0, ["document_count", "processed_count"])
+    out = sessions.join(counts, "session_id", "left").fillna(0, ["document_count", "processed_count"])
+    return out.orderBy(*([F.col("created_at").desc()] if "created_at" in sessions.columns else []), "session_id")
 
 
 def documents_with_session(docs: DataFrame, sessions: DataFrame) -> DataFrame:

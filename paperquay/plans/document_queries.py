@@ -61,6 +61,17 @@ def _(lake):
     )
 
 
+@query(
+    "JON01_newest_first", "v0 v1",
+    f"""select session_id, document_count, row_number() over (order by created desc, session_id) as pos
+from (select session_id, document_count, first_doc_id % 7 as created from ({COUNTS_SQL}) c) t""",
+)
+def _(lake):
+    made = lake.sessions.withColumn("created_at", F.timestamp_seconds(F.col("first_doc_id") % 7))
+    listed = S.with_counts(made, lake.docs).withColumn("at", F.monotonically_increasing_id())  # follows the order of the rows
+    return global_rank(listed, [F.col("at")]).select("session_id", "document_count", "pos")
+
+
 @query(
     "AGG04_session_progress_pct", "v0 v1",
     f"select session_id, case when document_count > 0 then cast(floor(processed_count * 100.0 / document_count + 0.5) as bigint) else 0 end as pct from ({COUNTS_SQL}) t",
@@ -124,22 +135,30 @@ def _(lake):
 
 @query(
     "FLT02_document_record", "v1",
-    """select doc_id, session_id, extraction_type, quality_valid as valid, dpi,
-  case when doc_id % 5 = 0 then 'Low DPI: 90' else '' end as issues,
+    """select doc_id, session_id, extraction_type, quality_valid as valid, dpi, n_chars % 9 / 4.0 as blur_score, n_chars % 5 / 2.0 as skew_angle,
+  case when doc_id % 5 = 0 then 'Low DPI: 90' else '' end as issues, concat('thumbs/', doc_id, '.png') as thumbnail_path,
+  case when doc_id % 4 = 0 then 'new; ' || notes when doc_id % 4 = 1 then '' end as tags, case when doc_id % 3 = 0 then notes end as edited,
   case when full_text <> '' then md5(full_text) end as text_md5, case when full_text <> '' then markdown end as markdown,
-  case when full_text <> '' then notes end as block, verified_by, processed_epoch as processed, exported, export_path,
+  case when full_text <> '' then notes end as block, verified_by, case when doc_id % 2 = 0 then processed_epoch end as verified, processed_epoch as processed, exported, export_path,
   case when full_text <> '' then doc_id % 3 end as tables,
   case when full_text <> '' then case when doc_id % 6 = 1 then 'slow' end end as warnings,
   case when doc_id % 3 = 1 then 'CONTRACT' end as doc_type from v1""",
 )
 def _(lake):
-    d = O.document_record(lake.docs)
+    by = lambda n: F.col("doc_id") % n
+    d = O.document_record(lake.docs.withColumns({
+        "blur_score": F.col("n_chars") % 9 / 4.0, "skew_angle": F.col("n_chars") % 5 / 2.0, "thumbnail_path": F.concat(F.lit("thumbs/"), "doc_id", F.lit(".png")),
+        "tags": F.when(by(4) == 0, F.to_json(F.array(F.lit("new"), "notes"))).when(by(4) == 1, "[]").otherwise("oops"),
+        "user_edits": F.when(by(3) == 0, F.to_json(F.struct(F.col("notes").alias("lang")))).otherwise("{}"),
+        "verified_at": F.when(by(2) == 0, F.col("processed_at")),
+    }))
     r = F.col("ocr_result")
     return d.select(
-        "doc_id", "session_id", "extraction_type", "quality.valid", "quality.dpi",
-        F.array_join("quality.issues", "; ").alias("issues"), F.md5(r["full_text"]).alias("text_md5"), r["markdown"].alias("markdown"),
-        r["blocks"][0]["text"].alias("block"), "verified_by", F.unix_timestamp("processed_at").alias("processed"), "exported", "export_path",
-        F.when(r.isNotNull(), F.size(r["tables"])).cast("long").alias("tables"),
+        "doc_id", "session_id", "extraction_type", "quality.valid", "quality.dpi", "quality.blur_score", "quality.skew_angle", "thumbnail_path",
+        F.array_join("quality.issues", "; ").alias("issues"), F.array_join("tags", "; ").alias("tags"), F.col("user_edits")["lang"].alias("edited"),
+        F.md5(r["full_text"]).alias("text_md5"), r["markdown"].alias("markdown"),
+        r["blocks"][0]["text"].alias("block"), "verified_by", F.unix_timestamp("verified_at").alias("verified"), F.unix_timestamp("processed_at").alias("processed"),
+        "exported", "export_path", F.when(r.isNotNull(), F.size(r["tables"])).cast("long").alias("tables"),
         F.when(F.size(r["warnings"]) > 0, F.array_join(r["warnings"], "; ")).alias("warnings"),
         J.field(F.col("extracted_json"), "type").cast("string").alias("doc_type"),
     )

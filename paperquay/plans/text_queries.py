@@ -89,14 +89,16 @@ def _(lake):
 
 @query(
     "WIN07_block_runs", "v2",
-    """select a.doc_id, a.idx as start, count(*) as runs, sum(n) as total_len, sum(case when n = 6 then 1 else 0 end) as full_runs
-from (select doc_id, idx, page from v2) a join (select doc_id, idx, page, idx as j from v2) b on a.doc_id = b.doc_id and b.j between a.idx and a.idx + 5 and b.page = a.page,
-  lateral (select b.j - a.idx + 1 as n) x group by a.doc_id, a.idx""",
+    """select doc_id, start, len, md5(string_agg(text, chr(10) order by j)) as texts_md5, min(j) as first_idx, max(j) as last_idx, min(page) as page from (
+  select a.doc_id, a.idx as start, unnest(range(1, count(b.idx) + 1)) as len from v2 a join v2 b on a.doc_id = b.doc_id and b.idx between a.idx and a.idx + 5 and b.page = a.page group by a.doc_id, a.idx) r
+join (select doc_id as d, idx as j, text, page from v2) b on b.d = r.doc_id and b.j between r.start and r.start + r.len - 1 group by doc_id, start, len""",
 )
 def _(lake):
     runs = B.block_runs(lake.blocks)
-    return runs.groupBy("doc_id", "start").agg(
-        F.count(F.lit(1)).alias("runs"), F.sum(F.size("run")).alias("total_len"), F.count_if(F.col("len") == 6).alias("full_runs")
+    texts = F.array_join(F.transform("run", lambda b: b["text"]), "\n")
+    return runs.select(
+        "doc_id", "start", F.col("len").cast("long").alias("len"), F.md5(texts).alias("texts_md5"),
+        F.array_min(F.transform("run", lambda b: b["idx"])).alias("first_idx"), F.array_max(F.transform("run", lambda b: b["idx"])).alias("last_idx"), "page",
     )
 
 
@@ -591,6 +593,29 @@ def _(lake):
     return d.select("doc_id", F.explode(m).alias("key", "a")).select("doc_id", "key", "a.answer", "a.score")
 
 
+def _longest(context, columns):
+    """An answerer for whole texts: the length of the longest run of what each column's label is a class of."""
+    import re
+
+    found = {c["key"]: max(map(len, re.findall(f"[{c['label']}]+", context)), default=0) for c in columns}
+    return {k: {"answer": str(n), "score": n / 1000} for k, n in found.items()}
+
+
+RUNS = {"letters": "a-z", "digits": "0-9", "dashes": "="}
+
+
+@query(
+    "UDF02_answers_over_texts", "v1",
+    " union all ".join(
+        f"""select doc_id, '{key}' as key, case when n > 0 then cast(n as varchar) else '' end as answer, round(n / 1000.0, 6) as score, null as error
+from (select doc_id, coalesce(list_max(list_transform(regexp_extract_all(full_text, '[{chars}]+'), lambda x: length(x))), 0) as n from v1) t"""
+        for key, chars in RUNS.items()
+    ),
+)
+def _(lake):
+    return A.ask_texts(lake.docs, [{"key": k, "label": v} for k, v in RUNS.items()], _longest, words=200, overlap=20)
+
+
 SPAN_SQL = """select doc_id, chunk_no, s as start_idx, e as end_idx,
   1.0 / list_sum(list_transform(emb, lambda x: exp(x - mx))) * exp(rev[e + 1] - mx) / list_sum(list_transform(emb, lambda x: exp(x - mx))) as score
 from (select *, least(greatest(list_position(rev, mx) - 1, s), s + 24) as e
