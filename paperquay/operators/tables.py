@@ -6,13 +6,17 @@ A row relation has table_id, row and cells, an array of text.
 
 from __future__ import annotations
 
-import json
+import re
+from collections.abc import Iterator
 from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from paperquay.functions.text import dedupe_headers, let, strip
+from paperquay.functions.text import WS, dedupe_headers, let
 from paperquay.operators.ordered import block, join_in_order
 
 
@@ -114,51 +118,104 @@ def row_map(headers: Column, cells: Column) -> Column:
     return let(F.struct(headers.alias("h"), F.array_distinct(headers).alias("n"), cells.alias("c")), body)
 
 
-#: Named character references of HTML, from the language's own table.
-NAMED = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
 REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+_REFERENCE, _TAG, _EDGES = re.compile(REFERENCE), re.compile("(?s)<[^>]*>"), re.compile(f"^{WS}|{WS}$")
 
 
-def decode_references(text: Column) -> Column:
-    """Named and numeric character references as the characters they stand for; unknown ones stay.
+def _character(ref: re.Match) -> str:
+    """What a named or numeric character reference stands for; unknown ones stay."""
+    name = ref[0][1:-1]
+    if not name.startswith("#"):
+        return html5.get(name + ";", ref[0])
+    code = int(name[2:], 16) if name[1] in "xX" else int(name[1:])
+    return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code <= 0xDFFF else "\ufffd"
 
-    The text is split at its references, so that what one of them gives is not read again.
+
+def read_tables(text: str, events: re.Pattern) -> list[list]:
+    """Rows of an HTML text in order of their starts: [table, parent row, parent cell, cells].
+
+    One pass over the tags. Every open table is a frame with its number, its open row and the text of its
+    open cell; the next row or cell, or the end of the table, closes what was left open. Text belongs
+    to the innermost open cell. Where no tag stands for tables, every row opens a frame of its own.
     """
-    named = F.from_json(F.lit(NAMED), "map<string,string>")
-
-    def char(code: Column) -> Column:
-        real = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        wide = F.unhex(F.lpad(F.hex(F.when(real, code).otherwise(0xFFFD)), 8, "0"))
-        return F.decode(wide, "UTF-32")
-
-    def decoded(ref: Column) -> Column:
-        name = F.substring(ref, F.lit(2), F.length(ref) - 2)
-        code = (
-            F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10))
-            .when(name.startswith("#"), F.substring(name, F.lit(2), F.length(name)))
-        )
-        return F.when(name.startswith("#"), let(code.cast("long"), char)).otherwise(F.coalesce(F.try_element_at(named, name), ref))
-
-    def joined(x: Column) -> Column:
-        value = lambda i: F.coalesce(decoded(F.get(x["refs"], i)), F.lit(""))
-        return F.array_join(F.transform(x["between"], lambda t, i: F.concat(t, value(i))), "")
-
-    parts = F.struct(F.split(text, REFERENCE, -1).alias("between"), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)).alias("refs"))
-    return F.when(text.contains("&"), let(parts, joined)).otherwise(text)
-
-
-def html_rows(html: DataFrame, source: str, row_tag: str = "tr", cell_tags: str = "td|th") -> DataFrame:
-    """Rows of the tables in an HTML column: adds row and cells (nested tables are out of scope)."""
-    inner_row = rf"(?is)<(?:{row_tag})(?:\s[^>]*)?>(.*?)</(?:{row_tag})\s*>"
-    inner_cell = rf"(?is)<(?:{cell_tags})(?:\s[^>]*)?>(.*?)</(?:{cell_tags})\s*>"
-
-    def decoded(cell):
-        return strip(let(F.regexp_replace(cell, r"(?s)<[^>]*>", ""), decode_references))
-
-    rows = F.regexp_extract_all(source, F.lit(inner_row), F.lit(1))
-    return html.select(
-        *[c for c in html.columns if c != source], F.posexplode(rows).alias("row", "__html")
-    ).select(
-        *[c for c in html.columns if c != source], "row",
-        F.transform(F.regexp_extract_all("__html", F.lit(inner_cell), F.lit(1)), decoded).alias("cells"),
-    )
+    rows: list[list] = []
+    frames: list[list] = [[None, None, None]]
+    tables, last, lists = 0, 0, "table" not in events.groupindex
+
+    def end_cell() -> None:
+        _, row, held = frames[-1]
+        if held is not None:
+            plain = _TAG.sub("", "".join(held))
+            rows[row][3].append(_EDGES.sub("", _REFERENCE.sub(_character, plain) if "&" in plain else plain))
+            frames[-1][2] = None
+
+    def end_row() -> None:
+        end_cell()
+        frames[-1][1] = None
+
+    for m in events.finditer(text):
+        if frames[-1][2] is not None and last < m.start():
+            frames[-1][2].append(text[last : m.start()])
+        last = m.end()
+        starts = not m["end"]
+        if m["cell"]:
+            end_cell()
+            if starts and frames[-1][1] is not None:
+                frames[-1][2] = []
+        elif m["row"]:
+            if lists and starts:
+                frames.append([None, None, None])
+            end_row()
+            if starts:
+                around = next((f for f in reversed(frames[:-1]) if f[2] is not None), None)
+                rows.append([frames[-1][0], around and around[1], around and len(rows[around[1]][3]), []])
+                frames[-1][1] = len(rows) - 1
+            elif lists and len(frames) > 1:
+                frames.pop()
+        elif not lists and m["table"]:
+            if starts:
+                frames.append([tables, None, None])
+                tables += 1
+            elif len(frames) > 1:
+                end_row()
+                frames.pop()
+    if frames[-1][2] is not None:
+        frames[-1][2].append(text[last:])
+    while frames:
+        end_row()
+        frames.pop()
+    return rows
+
+
+def html_rows(html: DataFrame, source: str, row_tag: str = "tr", cell_tags: str = "td|th", table_tag: str | None = "table") -> DataFrame:
+    """Rows of the tables in an HTML column: adds row, table, parent_row, parent_cell and cells.
+
+    ``row`` numbers the rows of one HTML text in order of their starts, ``table`` its tables (null outside
+    any). A table in a cell is a table of its own; its rows name the row and cell they stand in, and
+    the cell keeps only its own text. Without ``table_tag`` (lists) a row in a cell nests by itself.
+    Tags of a cell's text go, character references are decoded, white space at the ends goes. A null text has no rows.
+    """
+    kinds = {"cell": cell_tags, "row": row_tag} | ({"table": table_tag} if table_tag else {})
+    tags = "|".join(f"(?P<{k}>{v})" for k, v in kinds.items())
+    pattern = rf"(?is)<!--.*?(?:-->|\Z)|<(?P<end>/?)(?:{tags})(?:[\s/][^>]*)?>"
+    others = [c for c in html.columns if c != source]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        events = re.compile(pattern)
+        for batch in batches:
+            found: list[list] = [[], [], [], [], []]
+            owner = []
+            for i, text in enumerate(batch.column(len(others)).to_pylist()):
+                for n, row in enumerate(read_tables(text, events) if text else ()):
+                    owner.append(i)
+                    for column, value in zip(found, (n, *row), strict=True):
+                        column.append(value)
+            kept = batch.select(range(len(others))).take(pa.array(owner, pa.int64()))
+            ints = [pa.array(x, pa.int32()) for x in found[:4]]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *ints, pa.array(found[4], pa.list_(pa.string()))], schema=schema)
+
+    new = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("row", "table", "parent_row", "parent_cell")), T.StructField("cells", T.ArrayType(T.StringType()))])
+    slim = html.select(*others, source)
+    kind = T.StructType([*slim.schema.fields[:-1], *new.fields])
+    schema = to_arrow_schema(kind)
+    return slim.mapInArrow(read, kind)

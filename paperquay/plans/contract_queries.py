@@ -272,6 +272,16 @@ def _(lake):
     return _unified(C.contract_rows(*_contract(lake), CARRIER))
 
 
+@query(
+    "ARR05_parser_warnings", "v4b",
+    f"""select distinct doc_id, null as page, null as table_id, '{C.NO_BOUNDARIES}' as warning from v4b where doc_id % 10 = 7
+union all select doc_id, page, table_id, 'Page ' || page || ': skipped continuation table in ' || section || ' with no prior headers' from th where kind is null""",
+    tail=_tail("th"),
+)
+def _(lake):
+    return C.contract_rows(*_contract(lake), CARRIER, warnings=True)["WARNINGS"]
+
+
 @query(
     "SET01_append_sentinel", "v2r v4b",
     """select doc_id, section, row_no, 'BLUEWAVE' as carrier, false as is_end from mg

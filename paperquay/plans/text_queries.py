@@ -358,10 +358,32 @@ def _(lake):
     body = join_in_order(lake.table_rows, ["table_id"], ["row"], tr, "\n", block("row", 4096), "rows")
     html = body.select(F.lit("table").alias("kind"), F.col("table_id").alias("id"), F.concat(F.lit("<table>"), F.col("rows"), F.lit("</table>")).alias("html"))
     lists = lake.table("pages").select(F.lit("list").alias("kind"), F.col("page_id").alias("id"), "html")
-    found = T.html_rows(html, "html").unionByName(T.html_rows(lists, "html", "ul", "li"))
+    found = T.html_rows(html, "html").unionByName(T.html_rows(lists, "html", "ul", "li", None))
     return found.select("kind", "id", F.col("row").cast("long").alias("row"), F.array_join("cells", "|").alias("cells"))
 
 
+@query(
+    "ARR06_nested_tables", "v3r",
+    """select doc_id, inner_no, tag, "row", parent_cell, cells from (
+  select table_id as doc_id, 0 as inner_no, 'outer' as tag, (select count(*) from v3r x where x.table_id = t.table_id and x."row" < t."row") * 2 as "row", null as parent_cell, array_to_string(list_transform(cells, lambda c: trim(c)), '|') as cells from v3r t
+  union all select table_id, 1 + "row", 'inner', (select count(*) from v3r x where x.table_id = t.table_id and x."row" < t."row") * 2 + 1, 1, concat('in ', "row", '|', trim(cells[1])) from v3r t) u""",
+)
+def _(lake):
+    """Each row's second cell holds a table that says the row's number and repeats its first cell."""
+    inside = F.concat(F.lit("<table><tr><td>in "), F.col("row").cast("string"), F.lit("<td>"), F.element_at("cells", 1), F.lit("</table>"))
+    td = F.transform("cells", lambda c, i: F.concat(F.lit("<td>"), c, F.when(i == 1, inside).otherwise(""), F.when(i != 1, "</td>").otherwise("")))
+    tr = F.concat(F.lit("<tr>"), F.array_join(td, ""), F.lit("</tr>"))
+    body = join_in_order(lake.table_rows, ["table_id"], ["row"], tr, "\n", block("row", 4096), "rows")
+    html = body.select(F.col("table_id").alias("doc_id"), F.concat(F.lit("<table>"), F.col("rows"), F.lit("</table>")).alias("html"))
+    found = T.html_rows(html, "html")
+    number = F.regexp_extract(F.element_at("cells", 1), "^in ([0-9]+)$", 1)
+    inner = F.col("parent_row").isNotNull()
+    return found.select(
+        "doc_id", F.when(inner, number.try_cast("long") + 1).otherwise(0).cast("long").alias("inner_no"), F.when(inner, "inner").otherwise("outer").alias("tag"),
+        F.col("row").cast("long").alias("row"), "parent_cell", F.array_join("cells", "|").alias("cells"),
+    )
+
+
 # -- names, cities, dates ----------------------------------------------------------------------
 
 TITLE = "array_to_string(list_transform(regexp_extract_all(lower({0}), '[a-z]+|[^a-z]+'), lambda s: concat(upper(s[1]), s[2:])), '')"
