@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from paperquay.llm.common import parallelism
+
 WINDOW = 13
 BASE = 4
-#: Bytes of text in a chunk, about.
-CHUNK = 4 << 20
+#: Bytes of text in a chunk, about: a partition's share of the text, within these bounds.
+CHUNK = (4 << 20, 64 << 20)
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -261,7 +263,7 @@ class Plan:
 
 
 def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, chunk: int = CHUNK, with_text: bool = True
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, chunk: tuple[int, int] = CHUNK, with_text: bool = True
 ) -> DataFrame:
     """``key, n_words, n_removed, kept_sha256, kept_text``: each document without its repeated windows.
 
@@ -269,15 +271,17 @@ def remove_repeats(
     key; windows are judged on the input. ``kept_text`` (null unless ``with_text``) is the words
     that stay, joined by one space. A null text has no words; rows with a null key keep all theirs
     and remove nothing elsewhere; rows that share a key do not remove each other's words; an empty
-    table gives an empty result. Windows of different chunks are compared by two 64-bit hashes,
+    table gives an empty result. The number of partitions is that of shuffles, whatever the size of the
+    text; a task works on its chunks one after the other. Windows of different chunks are compared by two 64-bit hashes,
     windows of one chunk by the first of them.
     """
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, math.ceil(size / chunk))
+    parts = parallelism(docs.sparkSession)
+    chunks = max(1, math.ceil(size / min(max(size / parts, chunk[0]), chunk[1])))
     plan = Plan(window, min(30, max(3, math.ceil(math.log2(chunks)))))
     at = F.pmod(F.xxhash64("id", "text"), F.lit(chunks))
-    texts = plain.select(at.alias("chunk"), "id", "text").repartition(chunks, "chunk")
+    texts = plain.select(at.alias("chunk"), "id", "text").repartition(parts, "chunk")
     told = None
     for level in range(len(plan.lengths)):
         if told is None:
