@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from paperquay.functions.text import WS, dedupe_headers, let
+from paperquay.functions.text import WS, dedupe_headers, let, strip
 from paperquay.operators.ordered import block, join_in_order
 
 
