@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperquay.functions.numbers import round_even
-from paperquay.functions.text import markdown_row, normalize_loose, normalize_text, strip
+from paperquay.functions.text import markdown_row, normalize_loose, strip
 from paperquay.operators.ordered import block, carry_forward, join_in_order, look_ahead, running_sums
+from paperquay.session import cut_lineage
 
 RUN = 6
 
@@ -121,63 +122,143 @@ def block_runs(blocks: DataFrame, width: int = RUN) -> DataFrame:
 
 # Bits of start in a packed rank.
 _START = 40
+# Characters of a gram, and of the head of a run. Answers shorter than two grams hold no whole one for sure.
+_GRAM, _HEAD = 8, 10
+_SHORT = 2 * _GRAM - 1
+# Answers of a document that are tested against a block at once.
+_PACK = 64
+
+
+def _gram(kind: int, text: Column) -> Column:
+    return F.xxhash64(F.lit(kind), text)
+
+
+def _answer_grams(wanted: DataFrame, width: int) -> DataFrame:
+    """Grams by which blocks find answers: doc_id, gram, key, ord, back.
+
+    A run that holds an answer has one of the answer's first grams at the start of a gram of its blocks, at most
+    ``back`` blocks after the run's own start. A run that is part of an answer has its head somewhere in it.
+    """
+    keys = ["doc_id", "key", "ord"]
+    firsts = F.transform(F.sequence(F.lit(1), F.lit(_GRAM)), lambda i: _gram(0, F.substring("loose", i, F.lit(_GRAM))))
+    holds = wanted.filter(F.length("loose") >= _SHORT).select(*keys, F.explode(firsts).alias("gram"), F.lit(width - 1).alias("back"))
+    # Long answers are walked in pieces: a place in a text is found by counting from its start.
+    pieces = F.regexp_extract_all("loose", F.lit(".{1,512}"), F.lit(0))
+    cut = wanted.filter(F.length("loose") > _HEAD).select(*keys, pieces.alias("pieces")).select(*keys, "pieces", F.posexplode("pieces").alias("i", "piece"))
+    cut = cut.select(*keys, F.concat("piece", F.coalesce(F.left(F.try_element_at("pieces", F.col("i") + 2), F.lit(_HEAD - 1)), F.lit(""))).alias("piece"))
+    heads = F.transform(F.sequence(F.lit(1), F.length("piece") - _HEAD + 1), lambda i: _gram(1, F.substring("piece", i, F.lit(_HEAD))))
+    within = cut.filter(F.length("piece") >= _HEAD).select(*keys, F.explode(heads).alias("gram"), F.lit(0).alias("back"))
+    return holds.unionByName(within).distinct()
 
 
 def match_fields(blocks: DataFrame, answers: DataFrame, width: int = RUN) -> DataFrame:
     """Best run of blocks for every (doc_id, key, ord, answer): score, start, len, merged box.
 
-    Texts are normalised once per block: a run's text is the joined texts of its blocks in both
-    forms. Answers meet the blocks by document *and* block range, on the partitioning of the
-    run window, so a long document is spread over many tasks. Score, start and len are packed in
-    one number, which makes the choice of the best a plain hash aggregate. Boxes are looked up for the winners only.
+    Texts are compared by their letters and digits; texts that are equal, or hold each other, with
+    their spaces and signs do so without them. No answer meets a block it shares no gram with:
+    blocks are cut into grams from their start, and hashed grams that an answer of the document
+    has, too, name the runs that are built and compared. Answers too short for grams are looked
+    for in the block and the edges of those after it: what a later block with a box holds inside is found
+    at that block, with a better score. Score, start and len are packed in one number, which makes the choice of the best
+    a plain hash aggregate. Answers without letters and digits give no row; blocks without text count as empty.
     """
     if not 1 <= width < 150:
         raise ValueError("runs of 150 blocks and more would mix the tiers of the score")
-    len_bits = width.bit_length()
-    full = (1 << len_bits) - 1
-    size = 8192
-    wanted = answers.withColumn("answer", strip(F.col("answer"))).select(
-        "doc_id", "key", "ord",
-        normalize_text(F.col("answer")).alias("target"), normalize_loose(F.col("answer")).alias("loose"),
-    ).filter(F.col("loose") != "")
-    forms = blocks.select(
-        "doc_id", "idx", "page", F.col("bbox").isNotNull().alias("boxed"),
-        normalize_text(F.col("text")).alias("norm"), normalize_loose(F.col("text")).alias("bare"),
-    )
-    ahead = look_ahead(forms, ["doc_id"], "idx", width, "ahead", size, "part").filter("boxed")
-    ahead = ahead.withColumn("ahead", F.slice("ahead", F.lit(1), _on_page("ahead"))).drop("norm", "bare", "boxed", "page")
+    len_bits, size, keys = width.bit_length(), 8192, ["doc_id", "key", "ord"]
+    full, last = (1 << len_bits) - 1, (1 << _START) - 1
+    wanted = answers.select(*keys, normalize_loose(F.col("answer")).alias("loose")).filter(F.col("loose") != "")
+
+    def bare(text: str) -> Column:
+        return F.coalesce(normalize_loose(F.col(text)), F.lit(""))
+
+    def best_rank(loose: Column, start: Column, count: Column, text) -> Column:
+        def rank(n: Column) -> Column:
+            run = text(n)
+            score = (
+                F.when(run == loose, 1000 - n).when(run.contains(loose), 850 - n)
+                .when((F.length(run) >= F.least(F.lit(_HEAD), F.length(loose))) & loose.contains(run), 700 - n)
+            )
+            return F.shiftleft(F.shiftleft(score.cast("long"), _START) + last - start, len_bits) + (full - n)
+
+        return F.array_max(F.transform(F.sequence(F.lit(1), count), rank))
+
+    # What answers are looked for in a block.
+    short = F.length("loose") < _SHORT
+    many = wanted.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / _PACK).alias("packs"))
+    firsts = F.transform(F.sequence(F.lit(1), F.lit(_GRAM)), lambda i: _gram(0, F.substring("loose", i, F.lit(_GRAM))))
+    packs = wanted.join(many, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("key", "ord"), "packs").alias("pack")).agg(
+        F.collect_list(F.when(short, F.struct("key", "ord", "loose"))).alias("shorts"),
+        F.flatten(F.collect_list(F.when(~short, firsts))).alias("longs"),
+    )
     parts = blocks.select("doc_id", block("idx", size).alias("part")).distinct()
-    pairs = ahead.join(wanted.join(parts, "doc_id"), ["doc_id", "part"])
-
-    def run_text(form: str, sep: str, n: Column) -> Column:
-        pieces = F.transform(F.slice("ahead", F.lit(1), n), lambda b: b[form])
-        return F.array_join(F.filter(pieces, lambda t: t != ""), sep)
-
-    runs = pairs.withColumn("len", F.explode(F.sequence(F.lit(1), F.size("ahead")))).select(
-        "doc_id", "key", "ord", "target", "loose", F.col("idx").alias("start"), "len",
-        run_text("norm", " ", F.col("len")).alias("r_norm"), run_text("bare", "", F.col("len")).alias("r_loose"),
-    )
-    n = F.col("len")
-    score = (
-        F.when((F.col("r_loose") == F.col("loose")) | (F.col("r_norm") == F.col("target")), 1000 - n)
-        .when(F.col("r_loose").contains(F.col("loose")) | F.col("r_norm").contains(F.col("target")), 850 - n)
-        .when(
-            (F.length("r_loose") >= F.least(F.lit(10), F.length("loose"))) & F.col("loose").contains(F.col("r_loose")),
-            700 - n,
+
+    forms = blocks.select("doc_id", "idx", "page", F.col("bbox").isNotNull().alias("boxed"), bare("text").alias("bare"))
+    inner = F.col("boxed") & (F.length("bare") > 2 * _SHORT)
+    ends = F.concat(F.left("bare", F.lit(_SHORT)), F.lit(" "), F.right("bare", F.lit(_SHORT)))
+    forms = forms.withColumn("edge", F.when(inner, ends).otherwise(F.col("bare")))
+    near = look_ahead(forms, ["doc_id"], "idx", width, "ahead", size, "part", ["page", "edge"])
+    near = near.withColumn("rest", F.transform(F.slice("ahead", F.lit(2), _on_page("ahead") - 1), lambda b: b["edge"]))
+    begins = F.array_join(F.transform("rest", lambda t: F.left(t, F.lit(_HEAD))), "")
+    head = F.left(F.concat(F.left("bare", F.lit(_HEAD)), begins), F.lit(_HEAD))
+    chunks = F.regexp_extract_all(F.concat("bare", F.left(begins, F.lit(_GRAM - 1))), F.lit(".{%d}" % _GRAM), F.lit(0))
+    near = near.select(
+        "doc_id", "part", "idx", "boxed", "bare", "rest", F.concat("bare", F.array_join("rest", "")).alias("whole"),
+        F.transform(chunks, lambda g: _gram(0, g)).alias("grams"), F.when(F.col("boxed") & (F.length(head) == _HEAD), _gram(1, head)).alias("head"),
+    )
+
+    def find(gram, key, ord_, at, rank) -> Column:
+        types = dict(wanted.select("key", "ord").dtypes)
+        return F.struct(
+            gram.cast("long").alias("gram"), key.cast(types["key"]).alias("key"), ord_.cast(types["ord"]).alias("ord"),
+            at.cast("long").alias("at"), rank.cast("long").alias("rank"),
         )
+
+    none = F.lit(None)
+    named = F.transform(
+        F.filter("shorts", lambda a: F.col("boxed") & F.col("whole").contains(a["loose"])),
+        lambda a: find(none, a["key"], a["ord"], none, best_rank(
+            a["loose"], F.col("idx"), F.size("rest") + 1, lambda n: F.concat("bare", F.array_join(F.slice("rest", F.lit(1), n - 1), "")))),
+    )
+    hashed = F.transform(
+        F.concat(F.array_intersect("grams", "longs"), F.filter(F.array("head"), lambda g: g.isNotNull())),
+        lambda g: find(g, none, none, F.col("idx"), none),
+    )
+    finds = near.join(packs.join(parts, "doc_id"), ["doc_id", "part"]).select("doc_id", F.explode(F.concat(named, hashed)).alias("f"))
+    finds = finds.select("doc_id", "f.*").groupBy("doc_id", "gram", "key", "ord", "at").agg(F.max("rank").alias("rank"))
+    grams = _answer_grams(wanted, width).withColumnsRenamed({"key": "__key", "ord": "__ord"})
+    hits = cut_lineage(
+        finds.join(grams, ["doc_id", "gram"], "left")
+        .select("doc_id", F.coalesce("key", "__key").alias("key"), F.coalesce("ord", "__ord").alias("ord"), "at", "back", "rank")
+        .filter("rank is not null or back is not null")
+    )
+
+    # Runs that share a gram with an answer, built and compared.
+    starts = F.sequence(F.greatest(F.col("at") - F.col("back"), F.lit(0)), F.col("at"))
+    tried = hits.filter("back is not null").select(*keys, F.explode(starts).alias("start")).distinct()
+    spread = tried.withColumn("idx", F.explode(F.sequence("start", F.col("start") + width - 1)))
+    pieces = spread.join(blocks.select("doc_id", "idx", "page", "bbox", "text"), ["doc_id", "idx"]).select(
+        *keys, "start", F.struct("idx", "page", F.col("bbox").isNotNull().alias("boxed"), bare("text").alias("bare")).alias("b")
+    )
+    runs = pieces.groupBy(*keys, "start").agg(F.sort_array(F.collect_list("b")).alias("ahead")).filter(
+        (F.col("ahead")[0]["idx"] == F.col("start")) & F.col("ahead")[0]["boxed"]
     )
-    first = F.lit((1 << _START) - 1) - F.col("start")
-    rank = F.shiftleft(F.shiftleft(score.cast("long"), _START) + first, len_bits) + (F.lit(full) - n)
-    best = runs.groupBy("doc_id", "key", "ord").agg(F.max(rank).alias("rank")).filter(F.col("rank").isNotNull())
+    runs = runs.withColumn("page", F.col("ahead")[0]["page"]).join(wanted, keys)
+    texts = F.transform(F.slice("ahead", F.lit(1), _on_page("ahead")), lambda b: b["bare"])
+    runs = runs.select(*keys, "start", "loose", texts.alias("texts"))
+    compared = runs.select(*keys, best_rank(
+        F.col("loose"), F.col("start"), F.size("texts"), lambda n: F.array_join(F.slice("texts", F.lit(1), n), "")).alias("rank"))
+    ranks = hits.select(*keys, "rank").unionByName(compared).filter(F.col("rank").isNotNull())
+
+    best = ranks.groupBy(*keys).agg(F.max("rank").alias("rank"))
     high = F.shiftright("rank", len_bits)
     found = best.select(
-        "doc_id", "key", "ord", F.shiftright(high, _START).cast("int").alias("score"),
-        (F.lit((1 << _START) - 1) - high.bitwiseAND(F.lit((1 << _START) - 1))).alias("start"),
+        *keys, F.shiftright(high, _START).cast("int").alias("score"),
+        (F.lit(last) - high.bitwiseAND(F.lit(last))).alias("start"),
         (F.lit(full) - F.col("rank").bitwiseAND(F.lit(full))).cast("int").alias("len"),
     )
     covered = found.withColumn("idx", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)))
-    boxes = bbox_union(covered.join(blocks.select("doc_id", "idx", "bbox"), ["doc_id", "idx"]), ["doc_id", "key", "ord"])
-    return found.join(boxes, ["doc_id", "key", "ord"])
+    boxes = bbox_union(covered.join(blocks.select("doc_id", "idx", "bbox"), ["doc_id", "idx"]), keys)
+    return found.join(boxes, keys)
 
 
 def block_fields(matches: DataFrame) -> DataFrame:

@@ -157,16 +157,19 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "pos") -> Da
 
 
 def look_ahead(
-    df: DataFrame, keys: Sequence[str], idx: str, width: int, into: str, size: int = BLOCK, part: str | None = None
+    df: DataFrame, keys: Sequence[str], idx: str, width: int, into: str, size: int = BLOCK, part: str | None = None,
+    of: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add the array of this row and up to ``width - 1`` following rows of the key, in ``idx`` order.
 
+    The array holds the columns ``of`` (all but the keys).
+
     ``idx`` must be dense per key. The first rows of a block are copied to the block before, so
     the frame can cross the block edge while each task still sees a bounded block. ``part`` keeps
     the block number as a column; rows stay partitioned by it and the keys.
     """
     keys = list(keys)
-    payload = [c for c in df.columns if c not in keys]
+    payload = list(of or [c for c in df.columns if c not in keys])
     own = block(idx, size)
     edge = F.pmod(F.col(idx), F.lit(size)) < width - 1
     blocks = F.when(edge & (own > 0), F.array(own, own - size)).otherwise(F.array(own))

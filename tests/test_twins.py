@@ -110,10 +110,14 @@ def best_match(blocks, answer):
     return found
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_best_match(spark, seed):
+TINY = ["a", "ab", "b-c", "C", "x  y", "", "12", "!"]
+# Texts that repeat inside, shorter and longer than the grams answers are found by.
+LONG = TINY + ["abcabcabcabc", "Northern-line", "invoice no. 2024/17 due 30 days", "ab " * 30, "x" * 15, "x" * 40]
+
+
+@pytest.mark.parametrize(("seed", "words"), [(4, TINY), (5, TINY), (15, LONG), (16, LONG)])
+def test_best_match(spark, seed, words):
     rng = random.Random(seed)
-    words = ["a", "ab", "b-c", "C", "x  y", "", "12", "!"]
     blocks, answers, want = [], [], []
     for doc in range(80):
         n = rng.randint(1, 14)
@@ -125,7 +129,10 @@ def test_best_match(spark, seed):
         blocks += [(doc, i, p, box, t) for i, (p, box, t) in enumerate(mine)]
         for k in range(3):
             at = rng.randint(0, n - 1)
-            text = rng.choice([" ".join(b[2] for b in mine[at : at + rng.randint(1, 3)]).upper() + ".", rng.choice(words), " - "])
+            whole = " ".join(b[2] for b in mine[at : at + rng.randint(1, 7)])
+            cut = sorted(rng.randint(0, len(whole)) for _ in range(2))
+            texts = [" ".join(b[2] for b in mine[at : at + rng.randint(1, 3)]).upper() + ".", rng.choice(words), " - "]
+            text = rng.choice(texts + [whole[cut[0] : cut[1]], f"{rng.choice(words)} {whole} {rng.choice(words)}"])
             answers.append((doc, f"k{k}", k, text))
             m = best_match(mine, text.strip())
             if m:
@@ -136,6 +143,20 @@ def test_best_match(spark, seed):
     assert got == sorted(want, key=repr)
 
 
+def test_matches_of_odd_rows(spark):
+    """Blocks without text count as empty; a long answer, many answers of one document, no rows at all."""
+    shape = "doc_id long, idx long, page long, bbox struct<x1:int,y1:int,x2:int,y2:int>, text string"
+    box, long = (0, 0, 9, 9), " ".join(f"word{i}" for i in range(3000))
+    b = spark.createDataFrame([(1, 0, 1, box, None), (1, 1, 1, box, "Total: 12,50 EUR"), (1, 2, 1, box, long)], shape)
+    rows = [(1, f"k{i}", i, "12.50 eur" if i % 2 else "nowhere") for i in range(150)]
+    rows += [(1, "long", 150, long[7000:].upper()), (1, "all", 151, f"before {long} after"), (1, "null", 152, None), (2, "k", 0, "total")]
+    a = spark.createDataFrame(rows, "doc_id long, key string, ord int, answer string")
+    got = rows_of(B.match_fields(b, a), "key", "score", "start", "len")
+    want = [(f"k{i}", 849, 1, 1) for i in range(1, 150, 2)] + [("long", 849, 2, 1), ("all", 699, 2, 1)]
+    assert got == sorted(want, key=repr)
+    assert B.match_fields(b.limit(0), a).isEmpty() and B.match_fields(b, a.limit(0)).isEmpty()
+
+
 @pytest.mark.parametrize("seed", [6])
 def test_merge_consecutive(spark, seed):
     rng = random.Random(seed)
