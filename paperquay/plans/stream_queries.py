@@ -12,11 +12,12 @@ LATEST_SQL = """select doc_id, arg_max(status, (ts, event_id)) as status, arg_ma
   arg_max(event_id, (ts, event_id)) as event_id from v6 group by doc_id"""
 
 
-def _in_rounds(lake, name, run, clock=None):
+def _in_rounds(lake, name, run, clock=None, moves=None):
     """``run(stream, root)`` after each of three rounds of new event files; the last result.
 
     The events of the table arrive in time order. Every round restarts the query from its
-    checkpoint. A ``clock`` comes as one more row, without a document.
+    checkpoint. A ``clock`` comes as one more row, without a document. ``moves`` arrive a third each
+    round, in any order of time, as a second stream that ``run`` gets, too.
     """
     root, events = run_dir(lake.spark, name), lake.events
     lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
@@ -25,12 +26,15 @@ def _in_rounds(lake, name, run, clock=None):
         part = events.filter(F.col("ts") >= F.lit(lo + i * step)) if i else events
         part = part.filter(F.col("ts") < F.lit(lo + (i + 1) * step)) if i < 2 else part
         part.write.parquet(f"{root}/events/round={i}")
-        stream = T.event_stream(lake.spark, f"{root}/events", events.schema).drop("round")
-        result = run(stream, f"{root}/run")
+        streams = [T.event_stream(lake.spark, f"{root}/events", events.schema).drop("round")]
+        if moves is not None:
+            moves.filter(F.pmod("move_id", F.lit(3)) == i).write.parquet(f"{root}/moves/round={i}")
+            streams.append(T.event_stream(lake.spark, f"{root}/moves", moves.schema).drop("round"))
+        result = run(*streams, f"{root}/run")
     if clock is not None:
         blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
         lake.spark.range(1).select(*blank).withColumn("ts", clock).write.parquet(f"{root}/events/round=3")
-        result = run(stream, f"{root}/run")
+        result = run(*streams, f"{root}/run")
     return result
 
 
@@ -86,13 +90,21 @@ def _(lake):
     return d.select("doc_id", log_metrics(line)["percent"].cast("long").alias("percent"), log_line(line).alias("message"))
 
 
+# A document starts in its session, and every 23rd event moves its document: to another session, or out of any.
+MOVES_SQL = """select doc_id, -1 - doc_id as move_id, timestamp '2000-01-01' as ts, session_id from v1
+union all select doc_id, event_id, ts, case when event_id % 46 = 0 then null else concat('moved', event_id % 5) end from v6 where event_id % 23 = 0"""
+
+
 @query(
     "STM07_stream_session_stats", "v1 v6",
     f"""select session_id, count(*) as total, count(*) filter (where l.status = 'QUEUED') as queued, count(*) filter (where l.status = 'PROCESSING') as processing,
   count(*) filter (where l.status = 'REVIEW') as review, count(*) filter (where l.status = 'APPROVED') as approved, count(*) filter (where l.status = 'REJECTED') as rejected,
   count(*) filter (where l.status = 'EXPORTED') as exported, count(*) filter (where l.status = 'ERROR') as error
-from ({LATEST_SQL}) l join v1 d on d.doc_id = l.doc_id where session_id is not null group by session_id""",
+from ({LATEST_SQL}) l join (select doc_id, session_id from ({MOVES_SQL}) m qualify row_number() over (partition by doc_id order by ts desc, move_id desc) = 1) d
+  on d.doc_id = l.doc_id where session_id is not null group by session_id""",
 )
 def _(lake):
-    docs = lake.docs.select("doc_id", "session_id")
-    return _in_rounds(lake, "sessions", lambda stream, root: T.run_session_counts(stream, docs, root))
+    first = lake.docs.select("doc_id", (-1 - F.col("doc_id")).alias("move_id"), F.to_timestamp(F.lit("2000-01-01")).alias("ts"), "session_id")
+    place = F.when(F.col("event_id") % 46 != 0, F.concat(F.lit("moved"), (F.col("event_id") % 5).cast("string")))
+    later = lake.events.filter("event_id % 23 = 0").select("doc_id", F.col("event_id").alias("move_id"), "ts", place.alias("session_id"))
+    return _in_rounds(lake, "sessions", T.run_session_counts, moves=first.unionByName(later))

@@ -204,6 +204,30 @@ class _Tail(StatefulProcessor):
         pass
 
 
+class _Placed(StatefulProcessor):
+    """Keeps the newest status and the newest session of each document; one row if either changes."""
+
+    def init(self, handle) -> None:
+        held = "at bigint, id bigint, value string"
+        self.status, self.session = handle.getValueState("status", held), handle.getValueState("session", held)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        was = now = {False: self.status.get(), True: self.session.get()}
+        for row in rows:
+            other = row.at, row.id, row.session_id if row.moves else row.status
+            if now[row.moves] is None or _place(other) > _place(now[row.moves]):
+                now = now | {row.moves: other}
+        for moves, state in ((False, self.status), (True, self.session)):
+            if now[moves] is not was[moves]:
+                state.update(now[moves])
+        old, new = ([side[m][2] if side[m] else None for m in (True, False)] for side in (was, now))
+        if old != new:
+            yield Row(was_session=old[0], was=old[1], now_session=new[0], now=new[1])
+
+    def close(self) -> None:
+        pass
+
+
 def status_changes(stream: DataFrame) -> DataFrame:
     """``doc_id, was, now, first`` for each document whose newest event changes."""
     return _keyed(stream).transformWithState(_Changes(), "doc_id bigint, was string, now string, first boolean", "Update", "None")
@@ -221,18 +245,36 @@ def run_queue_depth(stream: DataFrame, root: str) -> DataFrame:
     return out.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in gains))
 
 
-def run_session_counts(stream: DataFrame, docs: DataFrame, root: str) -> DataFrame:
-    """Documents by status per session at the end (``docs``: doc_id, session_id)."""
-    from paperquay.operators.documents import BUCKETS
+def session_changes(stream: DataFrame, moves: DataFrame) -> DataFrame:
+    """``was_session, was, now_session, now`` for each document whose newest status or newest session changes."""
+    events = stream.select("doc_id", F.unix_micros("ts").alias("at"), F.col("event_id").alias("id"), "status", F.lit(None).cast("string").alias("session_id"), F.lit(False).alias("moves"))
+    placed = moves.select("doc_id", F.unix_micros("ts").alias("at"), F.col("move_id").alias("id"), F.lit(None).cast("string").alias("status"), "session_id", F.lit(True).alias("moves"))
+    both = events.unionByName(placed).filter("doc_id is not null and at is not null and id is not null")
+    schema = "was_session string, was string, now_session string, now string"
+    return both.groupBy("doc_id").transformWithState(_Placed(), schema, "Update", "None")
 
-    counts = {"total": F.count_if("first")} | {s.lower(): _gain(s) for s in BUCKETS}
-    placed = docs.select("doc_id", "session_id").filter("session_id is not null")
 
-    def reduce(batch: DataFrame) -> DataFrame:
-        return batch.join(placed, "doc_id").groupBy("session_id").agg(*(v.alias(k) for k, v in counts.items()))
+def run_session_counts(stream: DataFrame, moves: DataFrame, root: str) -> DataFrame:
+    """Documents by status per session at the end; sessions without any are left out.
 
-    out = run_stream(status_changes(stream), root, reduce)
-    return out.groupBy("session_id").agg(*(F.sum(k).alias(k) for k in counts))
+    ``moves`` is a stream of doc_id, move_id, ts, session_id: the newest move says where a document
+    is (null: in no session). A document counts once it has a session and a status, in whatever
+    order they come, and a moved one leaves the counts of its old session.
+    """
+    from paperquay.operators.documents import BUCKETS
+
+    def reduce(batch: DataFrame) -> DataFrame:
+        sides = F.inline(F.array(
+            F.struct(F.col("was_session").alias("session_id"), F.col("was").alias("status"), F.lit(-1).alias("n")),
+            F.struct(F.col("now_session").alias("session_id"), F.col("now").alias("status"), F.lit(1).alias("n")),
+        ))
+        counts = {s.lower(): F.sum(F.when(F.col("status") == s, F.col("n")).otherwise(0)) for s in BUCKETS}
+        held = batch.select(sides).filter("session_id is not null and status is not null")
+        return held.groupBy("session_id").agg(F.sum("n").alias("total"), *(v.alias(k) for k, v in counts.items()))
+
+    out = run_stream(session_changes(stream, moves), root, reduce)
+    names = [c for c in out.columns if c not in ("session_id", "batch")]
+    return out.groupBy("session_id").agg(*(F.sum(k).alias(k) for k in names)).filter("total > 0")
 
 
 def run_enqueue_dedupe(stream: DataFrame, root: str) -> DataFrame:
