@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperquay.functions import json_cols as J
 from paperquay.functions.numbers import percent_of
-from paperquay.operators.ordered import block, carry_forward, global_rank
+from paperquay.operators.ordered import Listing, block, carry_forward, global_rank
 
 # Status groups.
 PROCESSED = ["REVIEW", "APPROVED", "REJECTED", "EXPORTED"]
@@ -102,7 +102,7 @@ def ids_in(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def sorted_by(docs: DataFrame, by: str = "created_at", desc: bool = True, tiebreak: str = "doc_id") -> DataFrame:
-    """Documents with their position ``pos`` in the order of a checked column."""
+    """Documents with their position ``pos`` in the order of a checked column"""
     if by not in docs.columns:
         raise ValueError(f"cannot sort by {by!r}; columns are {docs.columns}")
     return global_rank(docs, [F.col(by).desc() if desc else F.col(by).asc(), F.col(tiebreak).asc()])
@@ -111,14 +111,10 @@ def sorted_by(docs: DataFrame, by: str = "created_at", desc: bool = True, tiebre
 def page_of(docs: DataFrame, order: Sequence[Column], page: int, size: int, keys: Sequence[str], key: str = "doc_id") -> DataFrame:
     """One 1-based page; a page past the end gives the last page.
 
-    ``keys`` are the columns that ``order`` reads, with the unique ``key`` among them. Only these
-    are ranked; the rows of the page are then picked by key.
+    ``keys`` are the columns that ``order`` reads, with the unique ``key`` among them. A reader of
+    several pages makes one ``Listing`` and asks that.
     """
-    total = docs.agg(F.count(F.lit(1))).first()[0]
-    last = max(1, -(-total // size))
-    skip = (min(max(page, 1), last) - 1) * size
-    ranked = global_rank(docs.select(*keys), order, "__pos").filter(F.col("__pos").between(skip + 1, skip + size))
-    return docs.join(ranked.select(key), key, "left_semi").select(*docs.columns)
+    return Listing(docs, order, keys, key).page(docs, page, size)
 
 
 def page_after(docs: DataFrame, key: str, last_seen, size: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperquay.session import cut_lineage
+from paperquay.session import cut_lineage, stored
 
 BLOCK = 1 << 16
 
@@ -156,6 +156,49 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "pos") -> Da
     )
 
 
+class Listing:
+    """Rows in one order, to be read page by page: an index of keys in written ranges.
+
+    The index is made once, by one range shuffle of ``key`` (unique) and the columns ``reads`` of the
+    order. The driver keeps one number per range, as many as shuffles have partitions; a page reads
+    only the ranges it lies in, and sorts nothing. Later changes of the rows are not seen.
+    """
+
+    def __init__(self, df: DataFrame, order: Sequence[Column], reads: Sequence[str], key: str) -> None:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = df.select(*dict.fromkeys([key, *reads])).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        at = F.monotonically_increasing_id()
+        self.key = key
+        self.index = stored(
+            ranges.select(key, at.alias("__id")).select(
+                key, F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"), F.shiftright("__id", 33).cast("int").alias("range")
+            ),
+            "listing", "range",
+        )
+        sizes = self.index.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()
+        self.starts, self.total = [], 0
+        for r in sorted(sizes):
+            self.starts.append((r["range"], self.total, r["n"]))
+            self.total += r["n"]
+
+    def keys(self, page: int, size: int) -> DataFrame:
+        """Keys of a 1-based page; a page past the end gives the last page."""
+        last = max(1, -(-self.total // size))
+        skip = (min(max(page, 1), last) - 1) * size
+        mine = [(r, skip - start) for r, start, n in self.starts if start < skip + size and start + n > skip]
+        low = F.lit(0)
+        for r, first in mine:
+            low = F.when(F.col("range") == r, first).otherwise(low)
+        return (
+            self.index.filter(F.col("range").isin([r for r, _ in mine]))
+            .filter((F.col("at") >= low) & (F.col("at") < low + size)).select(self.key)
+        )
+
+    def page(self, df: DataFrame, page: int, size: int) -> DataFrame:
+        """The rows of a page, in no order."""
+        return df.join(self.keys(page, size), self.key, "left_semi").select(*df.columns)
+
+
 def look_ahead(
     df: DataFrame, keys: Sequence[str], idx: str, width: int, into: str, size: int = BLOCK, part: str | None = None,
     of: Sequence[str] | None = None,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperquay.operators import documents as O
 from paperquay.operators import filters as V
 from paperquay.operators import logs as L
+from paperquay.operators.ordered import Listing
 from paperquay.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -72,3 +73,16 @@ def test_deep_page_is_the_same(spark):
     assert got == sorted(map(tuple, d.orderBy(*order).offset(150).limit(25).collect()))
     past = O.page_of(d, order, 10**6, 40, keys, "o_orderkey").collect()
     assert len(past) == (d.count() - 1) % 40 + 1
+
+
+def test_pages_read_their_ranges_and_sort_nothing(spark):
+    d = spark.read.parquet(f"{FOLDER}/orders.parquet").select("o_orderkey", "o_totalprice")
+    order = [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()]
+    listing = Listing(d, order, ["o_totalprice"], "o_orderkey")
+    want = [r.o_orderkey for r in d.orderBy(*order).collect()]
+    for page, size in ((1, 10), (2, 10), (3, 500), (10**6, 40)):
+        skip = (min(page, -(-len(want) // size)) - 1) * size
+        assert {r.o_orderkey for r in listing.page(d, page, size).collect()} == set(want[skip : skip + size])
+    p = plan(listing.keys(2, 10))
+    assert "Sort" not in p and "Exchange" not in p and "PartitionFilters: [" in p and "PartitionFilters: []" not in p
+    assert Listing(d.limit(0), order, ["o_totalprice"], "o_orderkey").page(d, 1, 10).isEmpty()

@@ -41,11 +41,36 @@ def test_counts_are_sums_of_changes(spark, tmp_path):
         [(1, 3, 3, "PROCESSING"), (1, 4, 1, "ERROR"), (3, 5, 5, "REVIEW")],
         [(2, 6, 6, "REVIEW"), (1, 3, 3, "PROCESSING")],
     ]
-    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (9, "c"), (4, None)], "doc_id long, session_id string")
     depth = rounds(spark, tmp_path / "d", T.run_queue_depth, *parts).first()
     assert (depth.queued, depth.processing) == (1, 1)
-    got = rounds(spark, tmp_path / "s", lambda stream, root: T.run_session_counts(stream, docs, root), *parts)
-    assert {r.session_id: (r.total, r.queued, r.processing, r.review) for r in got.collect()} == {"a": (2, 0, 1, 1), "b": (1, 0, 0, 1)}
+
+
+def test_session_counts_follow_moves(spark, tmp_path):
+    parts = [
+        [(1, 0, 0, "QUEUED"), (2, 1, 1, "QUEUED"), (None, 2, 2, "QUEUED")],
+        [(1, 3, 3, "PROCESSING"), (1, 4, 1, "ERROR"), (3, 5, 5, "REVIEW"), (5, 8, 5, "ERROR")],
+        [(2, 6, 6, "REVIEW"), (1, 3, 3, "PROCESSING")],
+    ]
+    moves = [  # the third part has a late move and a repeated one
+        [(1, 0, 0, "a"), (2, 1, 0, "a"), (9, 2, 0, "c"), (4, 3, 0, None), (5, 9, 0, "d")],
+        [(3, 4, 9, "b"), (1, 5, 9, "b"), (1, 6, 8, "z")],
+        [(2, 7, 9, "b"), (2, 8, 10, "a"), (1, 6, 8, "z"), (1, 5, 9, "b"), (5, 10, 9, None)],
+    ]
+    shape, seen = "doc_id long, move_id long, ts timestamp, session_id string", []
+
+    def run(stream, root):
+        rows = [(d, i, T0 + timedelta(seconds=s), to) for d, i, s, to in moves[len(seen)]]
+        spark.createDataFrame(rows, shape).coalesce(1).write.parquet(f"{tmp_path}/moves/round={len(seen)}")
+        stream_of_moves = T.event_stream(spark, f"{tmp_path}/moves", spark.createDataFrame([], shape).schema)
+        out = T.run_session_counts(stream, stream_of_moves, root)
+        seen.append({r.session_id: (r.total, r.queued, r.processing, r.review, r.error) for r in out.collect()})
+
+    rounds(spark, tmp_path, run, *parts)
+    assert seen == [
+        {"a": (2, 2, 0, 0, 0)},
+        {"a": (1, 1, 0, 0, 0), "b": (2, 0, 1, 1, 0), "d": (1, 0, 0, 0, 1)},
+        {"a": (1, 0, 0, 1, 0), "b": (2, 0, 1, 1, 0)},
+    ]
 
 
 def test_watchdog_finds_silences_that_last(spark, tmp_path):
