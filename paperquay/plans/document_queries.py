@@ -14,6 +14,7 @@ from paperquay.operators import documents as O
 from paperquay.operators import filters as V
 from paperquay.operators import logs as L
 from paperquay.operators import sessions as S
+from paperquay.operators.grams import TextIndex
 from paperquay.operators.ordered import global_rank
 from paperquay.plans.registry import query
 
@@ -708,6 +709,15 @@ def _(lake):
     return lake.rates.filter(V.search_filter("  RING ", RATE_COLS)).select(*KEYS)
 
 
+@query(
+    "FLT06_search_by_grams", "v1",
+    "select doc_id, filename from v1 where contains(lower(filename), 'c1_10') or contains(lower(full_text), 'c1_10')",
+)
+def _(lake):
+    texts = lake.docs.select("doc_id", "filename", "full_text")
+    return TextIndex(texts, ["filename", "full_text"], [F.col("doc_id")]).search("  C1_10 ").select("doc_id", "filename")
+
+
 CLAUSES = [
     {"field": "rate20", "op": "between", "value": "30", "valueTo": "10", "enabled": True},
     {"field": "destination_city", "op": "in", "value": "nation_1, NATION_2 ,,", "enabled": True},
