@@ -7,12 +7,13 @@ bbox struct<x1,y1,x2,y2> (nullable) and text.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperquay.functions.numbers import round_even
 from paperquay.functions.text import markdown_row, normalize_loose, strip
-from paperquay.operators.ordered import block, carry_forward, join_in_order, look_ahead, running_sums
-from paperquay.session import cut_lineage
+from paperquay.operators.ordered import block, join_in_order, look_ahead
+from paperquay.session import cut_lineage, stored
 
 RUN = 6
 
@@ -84,22 +85,43 @@ def quad_box(points: Column) -> Column:
 
 
 def merge_consecutive(blocks: DataFrame) -> DataFrame:
-    """Paragraphs that follow each other on a page become one; other blocks stand alone."""
-    kept = blocks.withColumn("text", strip(F.col("text"))).filter(F.col("text") != "")
-    kept = kept.select("doc_id", "idx", "page", "block_type", "text")
-    levels = [block("idx")]
-    prev = carry_forward(
-        kept, ["doc_id"], ["idx"], {"prev": F.struct("page", "block_type")}, levels, inclusive=False
-    )
-    joins = (
-        (F.col("block_type") == "paragraph")
-        & (F.col("prev.block_type") == "paragraph")
-        & (F.col("prev.page") == F.col("page"))
-    )
-    starts = F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)
-    numbered = running_sums(prev, ["doc_id"], ["idx"], {"block_no": starts}, levels)
+    """Paragraphs that follow each other on a page become one; other blocks stand alone.
+
+    Blank blocks don't count. A document is cut into ranges of ``idx``; each is read once, merged
+    and numbered by itself and written. How many a range adds, and whether its first goes on
+    from the range before, comes from one row per range; only texts that cross a range are
+    grouped again.
+    """
+    kept = blocks.select("doc_id", "idx", "page", "block_type", strip(F.col("text")).alias("text"), block("idx", 8192).alias("lv"))
+    kept = kept.filter(F.col("text") != "")
+    w = W.partitionBy("doc_id", "lv").orderBy("idx")
+
+    def goes_on(prev: str) -> Column:
+        same = (F.col(f"{prev}.page") == F.col("page")) & (F.col(f"{prev}.block_type") == "paragraph")
+        return F.coalesce(same & (F.col("block_type") == "paragraph"), F.lit(False))
+
+    local = kept.withColumn("prev", F.lag(F.struct("page", "block_type")).over(w))
+    local = local.withColumn("no", F.sum(F.when(goes_on("prev"), 0).otherwise(1)).over(w))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda e: e["text"]), " ")
+    first = [F.min_by(c, "idx").alias(c) for c in ("page", "block_type")]
+    pieces = stored(local.groupBy("doc_id", "lv", "no").agg(*first, text.alias("text")), "merged")
+
+    # One row per range: what it ends with, whether it goes on from the one before, and how many come before it.
+    kind, along = F.struct("page", "block_type"), W.partitionBy("doc_id").orderBy("lv")
+    ranges = pieces.groupBy("doc_id", "lv").agg(F.max("no").alias("n"), F.min_by(kind, "no").alias("head"), F.max_by(kind, "no").alias("tail"))
+    ranges = ranges.withColumn("prev", F.lag("tail").over(along)).select("doc_id", "lv", "n", "head.*", "prev")
+    ranges = ranges.select("doc_id", "lv", "n", goes_on("prev").cast("int").alias("joins"))
+    before = F.coalesce(F.sum(F.col("n") - F.col("joins")).over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("doc_id", "lv", "n", "joins", before.alias("before"), F.coalesce(F.lead("joins").over(along), F.lit(0)).alias("joined"))
+
+    numbered = pieces.join(ranges, ["doc_id", "lv"])
+    crosses = ((F.col("no") == 1) & (F.col("joins") == 1)) | ((F.col("no") == F.col("n")) & (F.col("joined") == 1))
     keys = ["doc_id", "block_no", "page", "block_type"]
-    return join_in_order(numbered, keys, ["idx"], F.col("text"), " ", block("idx", 4096), "text")
+    numbered = numbered.select(
+        "doc_id", (F.col("before") + F.col("no") - F.col("joins")).alias("block_no"), "page", "block_type", "text", "lv", crosses.alias("crosses")
+    )
+    whole = join_in_order(numbered.filter("crosses"), keys, ["lv"], F.col("text"), " ", F.col("lv"), "text")
+    return numbered.filter("not crosses").select(*keys, "text").unionByName(whole)
 
 
 def _on_page(ahead: str) -> Column:

@@ -134,3 +134,15 @@ def test_span(spark):
 @pytest.mark.parametrize("text, want", [("valid from 2024-01-01 to 20240630 VALID 5 Jan 2024 thru 6 Jan, 2024 valid 2024-01-01 through 2024-06-30", 2), ("invalid", 0)])
 def test_date_pairs(spark, text, want):
     assert len(apply(spark, D.date_pairs, [text])[0]) == want
+
+
+def test_white_space_at_ends_and_inside(spark):
+    """All white space of Unicode, in both forms: trimmed, and each run as one space."""
+    import re
+
+    rng, spaces = random.Random(8), [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    texts = ["", " ", "\n", "a", "a \n", "\u200b a \u180e", None]
+    texts += ["".join(rng.choices([*spaces, " ", " ", "a", "\u00e9", "\U0001f600", "\u200b"], k=rng.randint(1, 12))) for _ in range(600)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.s, r.c) for r in df.select("i", X.strip(F.col("t")).alias("s"), X.collapse(F.col("t")).alias("c")).collect()}
+    assert got == {i: (None, None) if t is None else (t.strip(), re.sub(r"\s+", " ", t).strip()) for i, t in enumerate(texts)}
