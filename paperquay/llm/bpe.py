@@ -4,7 +4,8 @@ Leaves stand for byte positions. A leaf holds (rank, position) of the pair that
 token, or nothing; an inner node holds the smaller of its children, so the root is the leftmost
 pair of lowest rank. A merge drops one position from the chain of live neighbours and updates the
 leaves of the merged token, of the one before it, and of the one that went: O(log n) each, so a
-piece of n bytes takes O(n log n) whatever its merges are.
+piece of n bytes takes O(n log n) whatever its merges are. A node has up to FAN children, whose
+smallest one call finds; short pieces are one node.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -24,6 +26,8 @@ from paperquay.llm.common import added
 #: Encodings of pieces that a Python worker remembers in each of two generations; when the newer
 #: one is full it becomes the older one, so pieces that keep coming stay known.
 REMEMBERED = 250_000
+#: Children of a node of the segment tree.
+FAN = 32
 #: Only pieces of at most so many characters are remembered.
 SHORT = 64
 
@@ -39,50 +43,39 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
-    size = 1 << (n - 1).bit_length()
     none = 1 << 62
-    shift = size.bit_length()
-    tree = [none] * (2 * size)
+    shift = n.bit_length()
     rank = ranks.get
 
     # leaf values: rank << shift | position
+    leaves = [none] * max(n, 1)
     for i in range(n - 1):
         if (r := rank(piece[i : i + 2])) is not None:
-            tree[size + i] = r << shift | i
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
-
-    def put(at: int, value: int) -> None:
-        at += size
-        if tree[at] == value:
-            return
-        tree[at] = value
-        while at > 1:
-            other = tree[at ^ 1]
-            if other < value:
-                value = other
-            at >>= 1
-            if tree[at] == value:
-                return
-            tree[at] = value
+            leaves[i] = r << shift | i
+    levels = [leaves]
+    while len(low := levels[-1]) > FAN:
+        levels.append([min(low[i : i + FAN]) for i in range(0, len(low), FAN)])
+    inner, top = list(zip(levels, levels[1:])), levels[-1]
 
     after = list(range(1, n + 2))  # start of the next live token; n is the end
     before = list(range(-1, n))
-    while (best := tree[1]) != none:
+    while (best := min(top)) != none:
         i = best & (1 << shift) - 1
         gone = after[i]
         end = after[i] = after[gone]
-        put(gone, none)
+        leaves[gone] = leaves[i] = none
         if end < n:
             before[end] = i
-            r = rank(piece[i : after[end]])
-            put(i, none if r is None else r << shift | i)
-        else:
-            put(i, none)
+            if (r := rank(piece[i : after[end]])) is not None:
+                leaves[i] = r << shift | i
         if (p := before[i]) >= 0:
             r = rank(piece[p:end])
-            put(p, none if r is None else r << shift | p)
+            leaves[p] = none if r is None else r << shift | p
+        changed = {i, gone, max(p, 0)} if inner else ()
+        for low, high in inner:
+            changed = {at // FAN for at in changed}
+            for at in changed:
+                high[at] = min(low[at * FAN : at * FAN + FAN])
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -90,36 +83,45 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Known(dict):
+    """Ids by piece; a piece that is not known is encoded when it is asked for."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self.ranks, self.older = ranks, {}
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = encode_piece(piece.encode(), self.ranks)
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder for one rank file; special tokens are ordinary text."""
 
     def __init__(self, data: bytes, pattern: str) -> None:
         self.ranks = read_ranks(data)
         self.tokens = {v: k for k, v in self.ranks.items()}
+        self.digits = {v: str(v) for v in self.tokens}
         self.pieces = regex.compile(pattern).findall
-        self.seen: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.seen = Known(self.ranks)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        seen, grow = self.seen, out.extend
-        for piece in self.pieces(text):
-            ids = seen.get(piece)
-            if ids is None:
-                ids = self.older.get(piece)
-                if ids is None:
-                    ids = encode_piece(piece.encode(), self.ranks)
-                if len(piece) <= SHORT:
-                    if len(seen) >= REMEMBERED:
-                        self.older, self.seen = seen, {}
-                        seen = self.seen
-                    seen[piece] = ids
-            grow(ids)
-        return out
+        return [*chain.from_iterable(map(self.seen.__getitem__, self.pieces(text)))]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def listed(self, ids: list[int]) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join(map(self.digits.__getitem__, ids))
+
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 
@@ -170,7 +172,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
             for x in batch.column(1).to_pylist():
                 ids = bpe.encode(x or "")
                 rows[0].append(len(ids))
-                rows[1].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                rows[1].append(hashlib.sha256(bpe.listed(ids).encode()).hexdigest())
                 rows[2].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             columns = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
