@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 _SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WS = _SPACE + "+"
 # The same characters, to be trimmed; and runs of them that are not one plain space.
-_SPACES = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACES = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _RUNS = f"{_SPACE}{{2,}}|[" + _SPACE[1:-1] + "&&[^ ]]"
 _NOT_SPACE = "[^" + _SPACE[1:]
 # Needs cleaning: white space at an end, two in a row, or any but the plain space.
@@ -108,7 +108,7 @@ def lookup(mapping: Mapping[str, str], c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.trim(c, F.lit(_SPACES))
+    return F.trim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from paperquay.functions.text import WS, dedupe_headers, let, strip
+from paperquay.functions.text import SPACES, dedupe_headers, let, strip
 from paperquay.operators.ordered import block, join_in_order
 
 
@@ -119,7 +119,7 @@ def row_map(headers: Column, cells: Column) -> Column:
 
 
 REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-_REFERENCE, _TAG, _EDGES = re.compile(REFERENCE), re.compile("(?s)<[^>]*>"), re.compile(f"^{WS}|{WS}$")
+_REFERENCE, _TAG = re.compile(REFERENCE), re.compile("(?s)<[^>]*>")
 
 
 def _character(ref: re.Match) -> str:
@@ -145,8 +145,12 @@ def read_tables(text: str, events: re.Pattern) -> list[list]:
     def end_cell() -> None:
         _, row, held = frames[-1]
         if held is not None:
-            plain = _TAG.sub("", "".join(held))
-            rows[row][3].append(_EDGES.sub("", _REFERENCE.sub(_character, plain) if "&" in plain else plain))
+            plain = "".join(held)
+            if "<" in plain:
+                plain = _TAG.sub("", plain)
+            if "&" in plain:
+                plain = _REFERENCE.sub(_character, plain)
+            rows[row][3].append(plain.strip(SPACES))
             frames[-1][2] = None
 
     def end_row() -> None:
@@ -154,15 +158,16 @@ def read_tables(text: str, events: re.Pattern) -> list[list]:
         frames[-1][1] = None
 
     for m in events.finditer(text):
-        if frames[-1][2] is not None and last < m.start():
-            frames[-1][2].append(text[last : m.start()])
-        last = m.end()
-        starts = not m["end"]
-        if m["cell"]:
+        start, stop = m.span()
+        if frames[-1][2] is not None and last < start:
+            frames[-1][2].append(text[last:start])
+        last = stop
+        kind, starts = m.lastgroup, not m["end"]
+        if kind == "cell":
             end_cell()
             if starts and frames[-1][1] is not None:
                 frames[-1][2] = []
-        elif m["row"]:
+        elif kind == "row":
             if lists and starts:
                 frames.append([None, None, None])
             end_row()
@@ -172,7 +177,7 @@ def read_tables(text: str, events: re.Pattern) -> list[list]:
                 frames[-1][1] = len(rows) - 1
             elif lists and len(frames) > 1:
                 frames.pop()
-        elif not lists and m["table"]:
+        elif kind == "table":
             if starts:
                 frames.append([tables, None, None])
                 tables += 1
