@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from paperquay.functions import text as X
 from paperquay.operators import contract as C
 from paperquay.operators import tables as T
+from paperquay.plans.catalog import QUERIES
 
+SMALL = "/root/testdata/sf0.001"
 ROWS = [
     ["a", "b c", ""], ["", "", ""], [" a", "b"], ["a ", None], [None, None], ["a  b", " x "], ["　", "\t"], ["é x", "nä "], [],
     ["a\x01b", "\x01", " \x01"], ["Destination", "x"], ["  DESTINATION city"], ["  Point"], ["destinatio", "n"], None, ["a\nb", "a\n"], ["x", "\0"],
@@ -66,3 +68,8 @@ def test_field_names_come_with_the_tables(spark):
     rows = spark.createDataFrame([(1, 1, 1, 0, 0, ["Destination", "20'", "20'"]), (1, 1, 1, 0, 1, ["x", "1", "2"]), (1, 2, 2, 0, 1, ["y", "1", "2"])], "doc_id int, page int, table_id int, y int, row_no int, cells array<string>")
     got = {r["table_id"]: r["own_headers"] for r in C.tables_of_rows(rows).collect()}
     assert got == {1: ["destination_city", "rate20", "rate20_2"], 2: None}
+
+
+def test_cells_of_sheets_are_written_as_columns(spark):
+    scans = [x for x in plan(QUERIES["SNK07_export_document_sheet_rows"](spark, SMALL)).splitlines() if "LogicalRDD" in x or "ExistingRDD" in x]
+    assert not [x for x in scans if "text#" in x]
