@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperquay.functions import text as X
 from paperquay.operators import contract as C
 from paperquay.operators import tables as T
+from paperquay.operators.grams import _grams
 from paperquay.plans.catalog import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -70,6 +71,14 @@ def test_field_names_come_with_the_tables(spark):
     assert got == {1: ["destination_city", "rate20", "rate20_2"], 2: None}
 
 
+def test_grams_in_one_pass(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("ab\né\U0001f600", k=rnd.randint(0, 40))) for _ in range(200)] + ["", "ab", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(_grams(F.col("t")))
+    assert "lambda" not in plan(df)
+    assert [r[0] for r in df.collect()] == [t if t is None else list(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2))) for t in texts]
+
+
 def test_cells_of_sheets_are_written_as_columns(spark):
     scans = [x for x in plan(QUERIES["SNK07_export_document_sheet_rows"](spark, SMALL)).splitlines() if "LogicalRDD" in x or "ExistingRDD" in x]
     assert not [x for x in scans if "text#" in x]
