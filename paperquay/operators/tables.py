@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from paperquay.functions.text import SPACES, dedupe_headers, let, strip
+from paperquay.functions.text import SPACES, dedupe_headers, let, strip_cells
 from paperquay.operators.ordered import block, join_in_order
 
 
@@ -59,8 +59,8 @@ def grid_fill(cells: DataFrame, dims: DataFrame, keys: list[str], chunk: int = 4
 
 def compact_rows(rows: DataFrame) -> DataFrame:
     """Header row and non-blank data rows, trimmed."""
-    trimmed = rows.withColumn("cells", F.transform("cells", strip))
-    return trimmed.filter((F.col("row") == 0) | F.exists("cells", lambda c: c != ""))
+    trimmed = rows.withColumn("cells", strip_cells(F.col("cells")))
+    return trimmed.filter((F.col("row") == 0) | (F.array_join("cells", "") != ""))
 
 
 def compact_tables(rows: DataFrame, keys: list[str]) -> DataFrame:

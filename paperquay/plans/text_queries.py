@@ -294,7 +294,8 @@ left join (select doc_id, string_agg(tables, ',' order by table_id) as tables fr
 )
 def _(lake):
     merged = B.merge_consecutive(lake.blocks)
-    tables = T.compact_tables(_doc_rows(lake).select("doc_id", "table_id", "row", "cells"), ["doc_id", "table_id"])
+    # A table has one document, so tables are put together by their own key, by which their rows lie already.
+    tables = T.compact_tables(lake.table_rows, ["table_id"]).withColumn("doc_id", lake.document_of("table_id"))
     return T.compact_document(merged, tables, B.page_count(lake.blocks))
 
 

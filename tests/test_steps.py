@@ -82,3 +82,9 @@ def test_grams_in_one_pass(spark):
 def test_cells_of_sheets_are_written_as_columns(spark):
     scans = [x for x in plan(QUERIES["SNK07_export_document_sheet_rows"](spark, SMALL)).splitlines() if "LogicalRDD" in x or "ExistingRDD" in x]
     assert not [x for x in scans if "text#" in x]
+
+
+def test_compact_tables_move_by_table_alone(spark):
+    spark_plan = QUERIES["ARR03_compact_document"](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in spark_plan.splitlines() if "Join" in x and "table_id#" in x]
+    assert joins and not [x for x in joins if "doc_id#" in x]
