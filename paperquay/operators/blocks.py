@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperquay.functions.numbers import round_even
-from paperquay.functions.text import markdown_row, normalize_loose, strip
+from paperquay.functions.text import markdown_row, normalize_loose, strip, strip_cells
 from paperquay.operators.ordered import block, join_in_order, look_ahead
 from paperquay.session import cut_lineage, stored
 
@@ -28,8 +28,8 @@ def text_parts(blocks: DataFrame, rows: DataFrame) -> DataFrame:
     ``rows``: doc_id, page, table_id, row, cells. A table's part is its non-blank cells joined by
     " | "; a table without any has no part.
     """
-    words = F.filter(F.transform("cells", lambda c: strip(F.coalesce(c, F.lit("")))), lambda c: c != "")
-    line = F.when(F.size(words) > 0, F.array_join(words, " | "))
+    # Joining leaves nulls out; texts that are there are not blank.
+    line = F.nullif(F.array_join(F.array_remove(strip_cells(F.col("cells")), ""), " | "), F.lit(""))
     tables = join_in_order(
         rows, ["doc_id", "page", "table_id"], ["row"], line, " | ", block("row", 4096), "part"
     ).filter(F.col("part") != "")
