@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperquay.functions import dates as D
@@ -245,10 +246,15 @@ def _(lake):
 
 # Some cells missing, some given twice, some out of range.
 def _sparse(lake):
-    c = lake.cells.filter((F.col("row") * 7 + F.col("col")) % 5 != 4).withColumn("cell_idx", F.lit(0))
-    twice = c.filter(F.col("col") == 2).withColumns({"text": F.concat(F.lit("new "), F.col("text")), "cell_idx": F.lit(1)})
-    far = c.filter(F.col("col") == 1).withColumns({"col": F.col("col") + 50, "cell_idx": F.lit(2)})
-    return c.unionByName(twice).unionByName(far)
+    c = lake.cells.filter((F.col("row") * 7 + F.col("col")) % 5 != 4)
+
+    def cell(col: Column, text: Column, idx: int) -> Column:
+        return F.struct(col.alias("col"), text.alias("text"), F.lit(idx).alias("cell_idx"))
+
+    col, text = F.col("col"), F.col("text")
+    own, twice, far = cell(col, text, 0), cell(col, F.concat(F.lit("new "), text), 1), cell(col + 50, text, 2)
+    given = F.when(col == 2, F.array(own, twice)).when(col == 1, F.array(own, far)).otherwise(F.array(own))
+    return c.select("table_id", "row", F.inline(given))
 
 
 GRID_SQL = """select table_id, "row", string_agg(case when ("row" * 7 + col) % 5 = 4 then '' when col = 2 then concat('new ', text) else text end, '|' order by col) as cells

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from paperquay.functions import text as X
 from paperquay.operators import contract as C
 from paperquay.operators import tables as T
-from paperquay.operators.grams import _grams
 from paperquay.plans.catalog import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -79,6 +78,11 @@ def test_grams_in_one_pass(spark):
     assert [r[0] for r in df.collect()] == [t if t is None else list(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2))) for t in texts]
 
 
+def test_sparse_cells_read_the_rates_once(spark):
+    # Once for the cells and once for the dimensions.
+    assert plan(QUERIES["ARR01_grid_fill"](spark, SMALL)).count("Window [") <= 2
+
+
 def test_cells_of_sheets_are_written_as_columns(spark):
     scans = [x for x in plan(QUERIES["SNK07_export_document_sheet_rows"](spark, SMALL)).splitlines() if "LogicalRDD" in x or "ExistingRDD" in x]
     assert not [x for x in scans if "text#" in x]
