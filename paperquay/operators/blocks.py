@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperquay.functions.numbers import round_even
-from paperquay.functions.text import markdown_row, normalize_loose, strip, strip_cells
+from paperquay.functions.text import let, markdown_row, normalize_loose, strip, strip_cells
 from paperquay.operators.ordered import block, join_in_order, look_ahead
-from paperquay.session import cut_lineage, stored
+from paperquay.session import stored
 
 RUN = 6
 
@@ -124,9 +124,10 @@ def merge_consecutive(blocks: DataFrame) -> DataFrame:
     return numbered.filter("not crosses").select(*keys, "text").unionByName(whole)
 
 
-def _on_page(ahead: str) -> Column:
+def _on_page(ahead: Column | str, page: Column | str = "page") -> Column:
     """How many of the blocks ahead stand on the page of the first."""
-    other = F.array_position(F.transform(ahead, lambda b: b["page"] != F.col("page")), True)
+    first = F.col(page) if isinstance(page, str) else page
+    other = F.array_position(F.transform(ahead, lambda b: b["page"] != first), True)
     return F.when(other > 0, other - 1).otherwise(F.size(ahead)).cast("int")
 
 
@@ -144,42 +145,19 @@ def block_runs(blocks: DataFrame, width: int = RUN) -> DataFrame:
 
 # Bits of start in a packed rank.
 _START = 40
-# Characters of a gram, and of the head of a run. Answers shorter than two grams hold no whole one for sure.
-_GRAM, _HEAD = 8, 10
-_SHORT = 2 * _GRAM - 1
+# Characters of the head of a run, and of the first part of an answer; shorter answers are looked for as a whole.
+_HEAD, _SHORT = 10, 15
 # Answers of a document that are tested against a block at once.
 _PACK = 64
 
 
-def _gram(kind: int, text: Column) -> Column:
-    return F.xxhash64(F.lit(kind), text)
-
-
-def _answer_grams(wanted: DataFrame, width: int) -> DataFrame:
-    """Grams by which blocks find answers: doc_id, gram, key, ord, back.
-
-    A run that holds an answer has one of the answer's first grams at the start of a gram of its blocks, at most
-    ``back`` blocks after the run's own start. A run that is part of an answer has its head somewhere in it.
-    """
-    keys = ["doc_id", "key", "ord"]
-    firsts = F.transform(F.sequence(F.lit(1), F.lit(_GRAM)), lambda i: _gram(0, F.substring("loose", i, F.lit(_GRAM))))
-    holds = wanted.filter(F.length("loose") >= _SHORT).select(*keys, F.explode(firsts).alias("gram"), F.lit(width - 1).alias("back"))
-    # Long answers are walked in pieces: a place in a text is found by counting from its start.
-    pieces = F.regexp_extract_all("loose", F.lit(".{1,512}"), F.lit(0))
-    cut = wanted.filter(F.length("loose") > _HEAD).select(*keys, pieces.alias("pieces")).select(*keys, "pieces", F.posexplode("pieces").alias("i", "piece"))
-    cut = cut.select(*keys, F.concat("piece", F.coalesce(F.left(F.try_element_at("pieces", F.col("i") + 2), F.lit(_HEAD - 1)), F.lit(""))).alias("piece"))
-    heads = F.transform(F.sequence(F.lit(1), F.length("piece") - _HEAD + 1), lambda i: _gram(1, F.substring("piece", i, F.lit(_HEAD))))
-    within = cut.filter(F.length("piece") >= _HEAD).select(*keys, F.explode(heads).alias("gram"), F.lit(0).alias("back"))
-    return holds.unionByName(within).distinct()
-
-
 def match_fields(blocks: DataFrame, answers: DataFrame, width: int = RUN) -> DataFrame:
     """Best run of blocks for every (doc_id, key, ord, answer): score, start, len, merged box.
 
     Texts are compared by their letters and digits; texts that are equal, or hold each other, with
-    their spaces and signs do so without them. No answer meets a block it shares no gram with:
-    blocks are cut into grams from their start, and hashed grams that an answer of the document
-    has, too, name the runs that are built and compared. Answers too short for grams are looked
+    their spaces and signs do so without them. Blocks are read once, in ranges of ``idx``, each with the blocks
+    around it; answers of a document come to its ranges in packs. Runs are built and compared only where the first
+    part of an answer begins in a block, or the head of a run is found in an answer. Short answers are looked
     for in the block and the edges of those after it: what a later block with a box holds inside is found
     at that block, with a better score. Score, start and len are packed in one number, which makes the choice of the best
     a plain hash aggregate. Answers without letters and digits give no row; blocks without text count as empty.
@@ -188,7 +166,9 @@ def match_fields(blocks: DataFrame, answers: DataFrame, width: int = RUN) -> Dat
         raise ValueError("runs of 150 blocks and more would mix the tiers of the score")
     len_bits, size, keys = width.bit_length(), 8192, ["doc_id", "key", "ord"]
     full, last = (1 << len_bits) - 1, (1 << _START) - 1
-    wanted = answers.select(*keys, normalize_loose(F.col("answer")).alias("loose")).filter(F.col("loose") != "")
+    # Counted first, then dealt: their source is read once.
+    wanted = answers.select(*keys, normalize_loose(F.col("answer")).alias("loose")).dropna(subset=keys)
+    wanted = stored(wanted, "answers").filter(F.col("loose") != "")
 
     def bare(text: str) -> Column:
         return F.coalesce(normalize_loose(F.col(text)), F.lit(""))
@@ -205,82 +185,78 @@ def match_fields(blocks: DataFrame, answers: DataFrame, width: int = RUN) -> Dat
         return F.array_max(F.transform(F.sequence(F.lit(1), count), rank))
 
     # What answers are looked for in a block.
-    short = F.length("loose") < _SHORT
     many = wanted.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / _PACK).alias("packs"))
-    firsts = F.transform(F.sequence(F.lit(1), F.lit(_GRAM)), lambda i: _gram(0, F.substring("loose", i, F.lit(_GRAM))))
+    answer = F.struct("key", "ord", "loose", F.left("loose", F.lit(_SHORT)).alias("first"))
     packs = wanted.join(many, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("key", "ord"), "packs").alias("pack")).agg(
-        F.collect_list(F.when(short, F.struct("key", "ord", "loose"))).alias("shorts"),
-        F.flatten(F.collect_list(F.when(~short, firsts))).alias("longs"),
+        F.collect_list(F.when(F.length("loose") < _SHORT, answer)).alias("shorts"),
+        F.collect_list(F.when(F.length("loose") > _HEAD, answer)).alias("longs"),
     )
     parts = blocks.select("doc_id", block("idx", size).alias("part")).distinct()
 
+    # Blocks at the edges of a range are copied to the range they reach into.
     forms = blocks.select("doc_id", "idx", "page", F.col("bbox").isNotNull().alias("boxed"), bare("text").alias("bare"))
     inner = F.col("boxed") & (F.length("bare") > 2 * _SHORT)
     ends = F.concat(F.left("bare", F.lit(_SHORT)), F.lit(" "), F.right("bare", F.lit(_SHORT)))
     forms = forms.withColumn("edge", F.when(inner, ends).otherwise(F.col("bare")))
-    near = look_ahead(forms, ["doc_id"], "idx", width, "ahead", size, "part", ["page", "edge"])
+    reach = [F.greatest(F.col("idx") + d, F.lit(0)) for d in (0, 1 - width, width - 1)]
+    placed = forms.withColumn("part", F.explode(F.array_distinct(F.array(*[block(i, size) for i in reach]))))
+    w = W.partitionBy("doc_id", "part").orderBy("idx")
+    near = placed.withColumns({
+        "ahead": F.collect_list(F.struct("page", "edge")).over(w.rowsBetween(0, width - 1)),
+        "around": F.collect_list(F.struct("idx", "page", "boxed", "bare")).over(w.rangeBetween(1 - width, width - 1)),
+    }).filter(F.col("part") == block("idx", size))
     near = near.withColumn("rest", F.transform(F.slice("ahead", F.lit(2), _on_page("ahead") - 1), lambda b: b["edge"]))
-    begins = F.array_join(F.transform("rest", lambda t: F.left(t, F.lit(_HEAD))), "")
+    begins = F.array_join(F.transform("rest", lambda t: F.left(t, F.lit(_SHORT))), "")
     head = F.left(F.concat(F.left("bare", F.lit(_HEAD)), begins), F.lit(_HEAD))
-    chunks = F.regexp_extract_all(F.concat("bare", F.left(begins, F.lit(_GRAM - 1))), F.lit(".{%d}" % _GRAM), F.lit(0))
     near = near.select(
-        "doc_id", "part", "idx", "boxed", "bare", "rest", F.concat("bare", F.array_join("rest", "")).alias("whole"),
-        F.transform(chunks, lambda g: _gram(0, g)).alias("grams"), F.when(F.col("boxed") & (F.length(head) == _HEAD), _gram(1, head)).alias("head"),
+        "doc_id", "part", "idx", "boxed", "bare", "rest", "around", F.concat("bare", F.array_join("rest", "")).alias("whole"),
+        F.concat("bare", F.left(begins, F.lit(_SHORT - 1))).alias("begun"), F.when(F.col("boxed") & (F.length(head) == _HEAD), head).alias("head"),
     )
 
-    def find(gram, key, ord_, at, rank) -> Column:
-        types = dict(wanted.select("key", "ord").dtypes)
-        return F.struct(
-            gram.cast("long").alias("gram"), key.cast(types["key"]).alias("key"), ord_.cast(types["ord"]).alias("ord"),
-            at.cast("long").alias("at"), rank.cast("long").alias("rank"),
-        )
+    def found_in(a: Column, rank: Column) -> Column:
+        return F.struct(a["key"].alias("key"), a["ord"].alias("ord"), rank.cast("long").alias("rank"))
+
+    def run_text(n: Column) -> Column:
+        return F.concat("bare", F.array_join(F.slice("rest", F.lit(1), n - 1), ""))
 
-    none = F.lit(None)
+    # A block that holds an answer is the shortest run that does.
     named = F.transform(
         F.filter("shorts", lambda a: F.col("boxed") & F.col("whole").contains(a["loose"])),
-        lambda a: find(none, a["key"], a["ord"], none, best_rank(
-            a["loose"], F.col("idx"), F.size("rest") + 1, lambda n: F.concat("bare", F.array_join(F.slice("rest", F.lit(1), n - 1), "")))),
-    )
-    hashed = F.transform(
-        F.concat(F.array_intersect("grams", "longs"), F.filter(F.array("head"), lambda g: g.isNotNull())),
-        lambda g: find(g, none, none, F.col("idx"), none),
-    )
-    finds = near.join(packs.join(parts, "doc_id"), ["doc_id", "part"]).select("doc_id", F.explode(F.concat(named, hashed)).alias("f"))
-    finds = finds.select("doc_id", "f.*").groupBy("doc_id", "gram", "key", "ord", "at").agg(F.max("rank").alias("rank"))
-    grams = _answer_grams(wanted, width).withColumnsRenamed({"key": "__key", "ord": "__ord"})
-    hits = cut_lineage(
-        finds.join(grams, ["doc_id", "gram"], "left")
-        .select("doc_id", F.coalesce("key", "__key").alias("key"), F.coalesce("ord", "__ord").alias("ord"), "at", "back", "rank")
-        .filter("rank is not null or back is not null")
+        lambda a: found_in(a, best_rank(
+            a["loose"], F.col("idx"), F.when(F.col("bare").contains(a["loose"]), 1).otherwise(F.size("rest") + 1), run_text)),
     )
 
-    # Runs that share a gram with an answer, built and compared.
-    starts = F.sequence(F.greatest(F.col("at") - F.col("back"), F.lit(0)), F.col("at"))
-    tried = hits.filter("back is not null").select(*keys, F.explode(starts).alias("start")).distinct()
-    spread = tried.withColumn("idx", F.explode(F.sequence("start", F.col("start") + width - 1)))
-    pieces = spread.join(blocks.select("doc_id", "idx", "page", "bbox", "text"), ["doc_id", "idx"]).select(
-        *keys, "start", F.struct("idx", "page", F.col("bbox").isNotNull().alias("boxed"), bare("text").alias("bare")).alias("b")
-    )
-    runs = pieces.groupBy(*keys, "start").agg(F.sort_array(F.collect_list("b")).alias("ahead")).filter(
-        (F.col("ahead")[0]["idx"] == F.col("start")) & F.col("ahead")[0]["boxed"]
+    def rank_at(start: Column, loose: Column) -> Column:
+        """Rank of the runs from ``start``, which must have a box."""
+
+        def ranked(ahead: Column) -> Column:
+            texts = F.transform(F.slice(ahead, F.lit(1), _on_page(ahead, ahead[0]["page"])), lambda b: b["bare"])
+            best = let(texts, lambda t: best_rank(loose, start, F.size(t), lambda n: F.array_join(F.slice(t, F.lit(1), n), "")))
+            return F.when((F.get(ahead, 0)["idx"] == start) & F.get(ahead, 0)["boxed"], best)
+
+        return let(F.sort_array(F.filter("around", lambda b: b["idx"].between(start, start + width - 1))), ranked)
+
+    def begins_here(a: Column) -> Column:
+        return (F.length(a["loose"]) >= _SHORT) & F.col("begun").contains(a["first"])
+
+    # A run that holds an answer starts at most ``width - 1`` blocks before the one where the answer begins.
+    starts = F.sequence(F.greatest(F.col("idx") - (width - 1), F.lit(0)), F.col("idx"))
+    compared = F.transform(
+        F.filter("longs", lambda a: begins_here(a) | F.coalesce(a["loose"].contains(F.col("head")), F.lit(False))),
+        lambda a: found_in(a, F.array_max(F.transform(
+            F.when(begins_here(a), starts).otherwise(F.array("idx")), lambda s: rank_at(s, a["loose"])))),
     )
-    runs = runs.withColumn("page", F.col("ahead")[0]["page"]).join(wanted, keys)
-    texts = F.transform(F.slice("ahead", F.lit(1), _on_page("ahead")), lambda b: b["bare"])
-    runs = runs.select(*keys, "start", "loose", texts.alias("texts"))
-    compared = runs.select(*keys, best_rank(
-        F.col("loose"), F.col("start"), F.size("texts"), lambda n: F.array_join(F.slice("texts", F.lit(1), n), "")).alias("rank"))
-    ranks = hits.select(*keys, "rank").unionByName(compared).filter(F.col("rank").isNotNull())
-
-    best = ranks.groupBy(*keys).agg(F.max("rank").alias("rank"))
+    ranks = near.join(packs.join(parts, "doc_id"), ["doc_id", "part"]).select("doc_id", F.explode(F.concat(named, compared)).alias("f"))
+    best = ranks.select("doc_id", "f.*").filter(F.col("rank").isNotNull()).groupBy(*keys).agg(F.max("rank").alias("rank"))
     high = F.shiftright("rank", len_bits)
     found = best.select(
         *keys, F.shiftright(high, _START).cast("int").alias("score"),
         (F.lit(last) - high.bitwiseAND(F.lit(last))).alias("start"),
         (F.lit(full) - F.col("rank").bitwiseAND(F.lit(full))).cast("int").alias("len"),
     )
+    # The first block of a run has a box, so that no run is lost here.
     covered = found.withColumn("idx", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)))
-    boxes = bbox_union(covered.join(blocks.select("doc_id", "idx", "bbox"), ["doc_id", "idx"]), keys)
-    return found.join(boxes, keys)
+    return bbox_union(covered.join(blocks.select("doc_id", "idx", "bbox"), ["doc_id", "idx"]), [*keys, "score", "start", "len"])
 
 
 def block_fields(matches: DataFrame) -> DataFrame:

@@ -110,11 +110,10 @@ LOW = "abcdefghijklmnopqrstuvwxyz"
 def _answers(lake):
     b = lake.blocks
     n = b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    pick = n.select("doc_id", (F.col("doc_id") % F.col("n")).alias("idx"), "n")
-    one = pick.join(b.select("doc_id", "idx", "text"), ["doc_id", "idx"])
-    two = one.withColumn("nxt", F.col("idx") + 1).join(
-        b.select("doc_id", F.col("idx").alias("nxt"), F.col("text").alias("more")), ["doc_id", "nxt"], "left"
-    )
+    pick = n.select("doc_id", F.posexplode(F.array(F.col("doc_id") % F.col("n"), F.col("doc_id") % F.col("n") + 1)).alias("nth", "idx"))
+    texts = [F.collect_list(F.when(F.col("nth") == k, F.col("text"))).alias(c) for k, c in enumerate(["text", "more"])]
+    picked = pick.join(b.select("doc_id", "idx", "text"), ["doc_id", "idx"]).groupBy("doc_id").agg(*texts)
+    two = picked.select("doc_id", F.explode("text").alias("text"), "more").select("doc_id", "text", F.explode_outer("more").alias("more"))
     text = F.when((F.col("doc_id") % 3 == 0) & F.col("more").isNotNull(), F.concat_ws(" - ", "text", "more")).otherwise(F.col("text"))
     long = two.select("doc_id", F.lit("body").alias("key"), F.lit(0).alias("ord"), F.concat(F.lit("  "), F.translate(text, LOW, LOW.upper()), F.lit(" !")).alias("answer"))
     short = lake.docs.select("doc_id", F.lit("lang").alias("key"), F.lit(1).alias("ord"), F.col("notes").alias("answer"))

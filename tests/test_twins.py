@@ -157,6 +157,33 @@ def test_matches_of_odd_rows(spark):
     assert B.match_fields(b.limit(0), a).isEmpty() and B.match_fields(b, a.limit(0)).isEmpty()
 
 
+def test_match_reads_texts_once(spark):
+    """Answers, and the texts of blocks, are computed once, also where runs cross the ranges blocks are read in."""
+    counts = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def counted(acc):
+        def same(text):
+            acc.add(1)
+            return text
+
+        return F.udf(same, "string")
+
+    idx = range(8180, 8205)
+    texts = {i: f"line {i} of the long contract, part {i * 7919}" for i in idx}
+    shape = "doc_id long, idx long, page long, bbox struct<x1:int,y1:int,x2:int,y2:int>, text string"
+    b = spark.createDataFrame([(1, i, 1, None if i == 8192 else (i, 0, i, 1), texts[i]) for i in idx], shape)
+    rows = [(1, "over", 0, " - ".join(texts[i] for i in (8190, 8191, 8192))), (1, "boxless", 1, texts[8192].upper() + texts[8193])]
+    rows += [(1, "within", 2, f"see {texts[8193]} there"), (1, "end", 3, texts[8191][-9:] + texts[8192][:4]), (1, "no", 4, "line 8190 of another contract")]
+    a = spark.createDataFrame(rows, "doc_id long, key string, ord int, answer string")
+    got = rows_of(
+        B.match_fields(b.withColumn("text", counted(counts[0])("text")), a.withColumn("answer", counted(counts[1])("answer"))),
+        "key", "score", "start", "len", "x1", "x2",
+    )
+    want = [("over", 997, 8190, 3, 8190, 8191), ("boxless", 847, 8191, 3, 8191, 8193), ("within", 699, 8193, 1, 8193, 8193), ("end", 848, 8191, 2, 8191, 8191)]
+    assert got == sorted(want, key=repr)
+    assert [c.value for c in counts] == [len(idx), len(rows)]
+
+
 @pytest.mark.parametrize("seed", [6])
 def test_merge_consecutive(spark, seed):
     rng = random.Random(seed)
