@@ -156,8 +156,8 @@ def match_fields(blocks: DataFrame, answers: DataFrame, width: int = RUN) -> Dat
 
     Texts are compared by their letters and digits; texts that are equal, or hold each other, with
     their spaces and signs do so without them. Blocks are read once, in ranges of ``idx``, each with the blocks
-    around it; answers of a document come to its ranges in packs. Runs are built and compared only where the first
-    part of an answer begins in a block, or the head of a run is found in an answer. Short answers are looked
+    after it; answers of a document come to its ranges in packs. Runs are built and compared only where the first
+    part of an answer begins in a block with a box or those without one after it, or the head of a run is found in an answer. Short answers are looked
     for in the block and the edges of those after it: what a later block with a box holds inside is found
     at that block, with a better score. Score, start and len are packed in one number, which makes the choice of the best
     a plain hash aggregate. Answers without letters and digits give no row; blocks without text count as empty.
@@ -173,17 +173,6 @@ def match_fields(blocks: DataFrame, answers: DataFrame, width: int = RUN) -> Dat
     def bare(text: str) -> Column:
         return F.coalesce(normalize_loose(F.col(text)), F.lit(""))
 
-    def best_rank(loose: Column, start: Column, count: Column, text) -> Column:
-        def rank(n: Column) -> Column:
-            run = text(n)
-            score = (
-                F.when(run == loose, 1000 - n).when(run.contains(loose), 850 - n)
-                .when((F.length(run) >= F.least(F.lit(_HEAD), F.length(loose))) & loose.contains(run), 700 - n)
-            )
-            return F.shiftleft(F.shiftleft(score.cast("long"), _START) + last - start, len_bits) + (full - n)
-
-        return F.array_max(F.transform(F.sequence(F.lit(1), count), rank))
-
     # What answers are looked for in a block.
     many = wanted.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / _PACK).alias("packs"))
     answer = F.struct("key", "ord", "loose", F.left("loose", F.lit(_SHORT)).alias("first"))
@@ -193,61 +182,72 @@ def match_fields(blocks: DataFrame, answers: DataFrame, width: int = RUN) -> Dat
     )
     parts = blocks.select("doc_id", block("idx", size).alias("part")).distinct()
 
-    # Blocks at the edges of a range are copied to the range they reach into.
+    # The first blocks of a range are copied to the range before. Only what is collected is shuffled.
     forms = blocks.select("doc_id", "idx", "page", F.col("bbox").isNotNull().alias("boxed"), bare("text").alias("bare"))
-    inner = F.col("boxed") & (F.length("bare") > 2 * _SHORT)
+    inner = F.col("boxed") & (F.octet_length("bare") > 2 * _SHORT)
     ends = F.concat(F.left("bare", F.lit(_SHORT)), F.lit(" "), F.right("bare", F.lit(_SHORT)))
     forms = forms.withColumn("edge", F.when(inner, ends).otherwise(F.col("bare")))
-    reach = [F.greatest(F.col("idx") + d, F.lit(0)) for d in (0, 1 - width, width - 1)]
-    placed = forms.withColumn("part", F.explode(F.array_distinct(F.array(*[block(i, size) for i in reach]))))
+    reach = [F.greatest(F.col("idx") + d, F.lit(0)) for d in (0, 1 - width)]
+    placed = forms.select(
+        "doc_id", "idx", F.struct("page", "boxed", "edge").alias("slim"), F.struct("idx", "page", "boxed", "bare").alias("block"),
+        F.explode(F.array_distinct(F.array(*[block(i, size) for i in reach]))).alias("part"),
+    )
     w = W.partitionBy("doc_id", "part").orderBy("idx")
     near = placed.withColumns({
-        "ahead": F.collect_list(F.struct("page", "edge")).over(w.rowsBetween(0, width - 1)),
-        "around": F.collect_list(F.struct("idx", "page", "boxed", "bare")).over(w.rangeBetween(1 - width, width - 1)),
-    }).filter(F.col("part") == block("idx", size))
-    near = near.withColumn("rest", F.transform(F.slice("ahead", F.lit(2), _on_page("ahead") - 1), lambda b: b["edge"]))
-    begins = F.array_join(F.transform("rest", lambda t: F.left(t, F.lit(_SHORT))), "")
-    head = F.left(F.concat(F.left("bare", F.lit(_HEAD)), begins), F.lit(_HEAD))
+        "ahead": F.collect_list("slim").over(w.rowsBetween(0, width - 1)),
+        "run": F.collect_list("block").over(w.rangeBetween(0, width - 1)),
+    }).filter((F.col("part") == block("idx", size)) & F.col("block.boxed"))
+    near = near.withColumn("rest", F.slice("ahead", F.lit(2), _on_page("ahead", "slim.page") - 1)).select(
+        "doc_id", "part", "idx", "block.bare", "run", F.transform("rest", lambda b: b["edge"]).alias("rest"),
+        F.array_position(F.transform("rest", lambda b: b["boxed"]), True).cast("int").alias("next"),
+    )
+    # A run that holds an answer starts where the answer begins, or with the last block before that has a box.
+    boxless = F.when(F.col("next") > 0, F.col("next") - 1).otherwise(F.size("rest"))
+    begins = F.transform("rest", lambda t: F.left(t, F.lit(_SHORT)))
+    after = F.left(F.array_join(F.slice(begins, boxless + 1, F.lit(width)), ""), F.lit(_SHORT - 1))
+    head = F.left(F.concat(F.left("bare", F.lit(_HEAD)), F.array_join(begins, "")), F.lit(_HEAD))
     near = near.select(
-        "doc_id", "part", "idx", "boxed", "bare", "rest", "around", F.concat("bare", F.array_join("rest", "")).alias("whole"),
-        F.concat("bare", F.left(begins, F.lit(_SHORT - 1))).alias("begun"), F.when(F.col("boxed") & (F.length(head) == _HEAD), head).alias("head"),
+        "doc_id", "part", "idx", "bare", "rest", "run", F.concat("bare", F.array_join("rest", "")).alias("whole"),
+        F.concat("bare", F.array_join(F.slice("rest", F.lit(1), boxless), ""), after).alias("begun"),
+        F.when(F.octet_length(head) == _HEAD, head).alias("head"),
     )
 
-    def found_in(a: Column, rank: Column) -> Column:
-        return F.struct(a["key"].alias("key"), a["ord"].alias("ord"), rank.cast("long").alias("rank"))
-
-    def run_text(n: Column) -> Column:
-        return F.concat("bare", F.array_join(F.slice("rest", F.lit(1), n - 1), ""))
+    def hit(a: Column, texts: Column) -> Column:
+        return F.struct(a["key"].alias("key"), a["ord"].alias("ord"), a["loose"].alias("loose"), texts.alias("texts"))
 
     # A block that holds an answer is the shortest run that does.
+    block_or_edges = F.concat(F.array("bare"), F.col("rest"))
     named = F.transform(
-        F.filter("shorts", lambda a: F.col("boxed") & F.col("whole").contains(a["loose"])),
-        lambda a: found_in(a, best_rank(
-            a["loose"], F.col("idx"), F.when(F.col("bare").contains(a["loose"]), 1).otherwise(F.size("rest") + 1), run_text)),
+        F.filter("shorts", lambda a: F.col("whole").contains(a["loose"])),
+        lambda a: hit(a, F.when(F.col("bare").contains(a["loose"]), F.array("bare")).otherwise(block_or_edges)),
     )
 
-    def rank_at(start: Column, loose: Column) -> Column:
-        """Rank of the runs from ``start``, which must have a box."""
-
-        def ranked(ahead: Column) -> Column:
-            texts = F.transform(F.slice(ahead, F.lit(1), _on_page(ahead, ahead[0]["page"])), lambda b: b["bare"])
-            best = let(texts, lambda t: best_rank(loose, start, F.size(t), lambda n: F.array_join(F.slice(t, F.lit(1), n), "")))
-            return F.when((F.get(ahead, 0)["idx"] == start) & F.get(ahead, 0)["boxed"], best)
-
-        return let(F.sort_array(F.filter("around", lambda b: b["idx"].between(start, start + width - 1))), ranked)
-
-    def begins_here(a: Column) -> Column:
-        return (F.length(a["loose"]) >= _SHORT) & F.col("begun").contains(a["first"])
-
-    # A run that holds an answer starts at most ``width - 1`` blocks before the one where the answer begins.
-    starts = F.sequence(F.greatest(F.col("idx") - (width - 1), F.lit(0)), F.col("idx"))
-    compared = F.transform(
-        F.filter("longs", lambda a: begins_here(a) | F.coalesce(a["loose"].contains(F.col("head")), F.lit(False))),
-        lambda a: found_in(a, F.array_max(F.transform(
-            F.when(begins_here(a), starts).otherwise(F.array("idx")), lambda s: rank_at(s, a["loose"])))),
+    def on_page(run: Column) -> Column:
+        return F.transform(F.slice(run, F.lit(1), _on_page(run, run[0]["page"])), lambda b: b["bare"])
+
+    def meets(a: Column) -> Column:
+        begins = (F.octet_length(a["loose"]) >= _SHORT) & F.col("begun").contains(a["first"])
+        return begins | F.coalesce(a["loose"].contains(F.col("head")), F.lit(False))
+
+    compared = F.transform(F.filter("longs", meets), lambda a: hit(a, let(F.sort_array("run"), on_page)))
+    hits = near.join(packs.join(parts, "doc_id"), ["doc_id", "part"]).select("doc_id", "idx", F.inline(F.concat(named, compared)))
+
+    # A run is the beginning of every longer one, so the shortest that reaches far enough is the best of its tier.
+    # Texts are ASCII here: their bytes are their characters.
+    counts = F.sequence(F.lit(1), F.size("texts"))
+    ranks = hits.withColumns({
+        "run": F.array_join("texts", ""), "size": F.octet_length("loose"),
+        "ends": F.transform(counts, lambda n: F.octet_length(F.array_join(F.slice("texts", F.lit(1), n), ""))),
+    }).withColumn("at", F.position("loose", "run"))
+    far = F.when(F.col("at") > 0, F.col("at") - 1 + F.col("size")).otherwise(F.least(F.lit(_HEAD), F.col("size")))
+    ranks = ranks.withColumn("far", far).withColumn("n", F.array_position(F.transform("ends", lambda e: e >= F.col("far")), True).cast("int"))
+    ranks = ranks.filter(F.col("n") > 0).withColumn("end", F.get("ends", F.col("n") - 1))
+    score = F.when((F.col("at") == 1) & (F.col("end") == F.col("size")), 1000).when(F.col("at") > 0, 850).when(
+        F.col("loose").contains(F.left("run", F.col("end"))), 700
     )
-    ranks = near.join(packs.join(parts, "doc_id"), ["doc_id", "part"]).select("doc_id", F.explode(F.concat(named, compared)).alias("f"))
-    best = ranks.select("doc_id", "f.*").filter(F.col("rank").isNotNull()).groupBy(*keys).agg(F.max("rank").alias("rank"))
+    rank = F.shiftleft(F.shiftleft((score - F.col("n")).cast("long"), _START) + last - F.col("idx"), len_bits) + (full - F.col("n"))
+    ranks = ranks.select(*keys, rank.alias("rank"))
+    best = ranks.filter(F.col("rank").isNotNull()).groupBy(*keys).agg(F.max("rank").alias("rank"))
     high = F.shiftright("rank", len_bits)
     found = best.select(
         *keys, F.shiftright(high, _START).cast("int").alias("score"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperquay.functions import dates as D
@@ -108,11 +109,12 @@ LOW = "abcdefghijklmnopqrstuvwxyz"
 
 # A long answer: the text of one block (two for every third document), shouted and punctuated.
 def _answers(lake):
-    b = lake.blocks
-    n = b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    pick = n.select("doc_id", F.posexplode(F.array(F.col("doc_id") % F.col("n"), F.col("doc_id") % F.col("n") + 1)).alias("nth", "idx"))
-    texts = [F.collect_list(F.when(F.col("nth") == k, F.col("text"))).alias(c) for k, c in enumerate(["text", "more"])]
-    picked = pick.join(b.select("doc_id", "idx", "text"), ["doc_id", "idx"]).groupBy("doc_id").agg(*texts)
+    lines = lake.texts.filter(F.col("text").isNotNull()).select("doc_id", F.split("text", "\n").alias("lines"))
+    # Rows of one document count together.
+    n = F.sum(F.size("lines")).over(W.partitionBy("doc_id"))
+    at = lines.withColumn("at", (F.col("doc_id") % n).cast("int"))
+    texts = [F.collect_list(F.get("lines", F.col("at") + k)).alias(c) for k, c in enumerate(["text", "more"])]
+    picked = at.groupBy("doc_id").agg(*texts)
     two = picked.select("doc_id", F.explode("text").alias("text"), "more").select("doc_id", "text", F.explode_outer("more").alias("more"))
     text = F.when((F.col("doc_id") % 3 == 0) & F.col("more").isNotNull(), F.concat_ws(" - ", "text", "more")).otherwise(F.col("text"))
     long = two.select("doc_id", F.lit("body").alias("key"), F.lit(0).alias("ord"), F.concat(F.lit("  "), F.translate(text, LOW, LOW.upper()), F.lit(" !")).alias("answer"))

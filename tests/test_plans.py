@@ -12,6 +12,8 @@ from paperquay.operators import filters as V
 from paperquay.operators import logs as L
 from paperquay.operators.ordered import Listing
 from paperquay.plans.catalog import QUERIES
+from paperquay.plans.fixtures import Lake
+from paperquay.plans.text_queries import _answers
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables are not here")
@@ -65,6 +67,29 @@ def test_no_products_and_no_single_task_windows(spark, name):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p and "SinglePartition" not in p
 
 
+def test_block_to_field_moves_a_text_once(spark):
+    """JON08: what a block is compared with lies ahead of it, its text is shuffled once, and the table is read once for the answers' texts."""
+    p = plan(QUERIES["JON08_block_to_field"](spark, FOLDER))
+    frames = [line for line in p.splitlines() if "collect_list(" in line and "specifiedwindowframe" in line]
+    assert frames and not any("RangeFrame, -" in f or "RowFrame, -" in f for f in frames)
+    # A window that gathers an expression has it shuffled beside its columns.
+    assert "collect_list(_w" not in p
+    lake = Lake(spark, FOLDER)
+    assert plan(_answers(lake).filter("key = 'body'")).count("split(") == plan(lake.blocks).count("split(")
+
+
+def test_answers_of_documents_that_come_twice(spark, tmp_path):
+    """Rows with one id count as one document, and each gives a block; null texts and ids give none."""
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(4, "a\nb\nc", "en"), (9, "d\ne", "de"), (9, "f\ng\nh\ni", "de"), (3, "k", "en"), (5, None, "en"), (None, "l", "en"), (6, "m\n\nn", "en")]
+    docs = spark.createDataFrame([(*r, "src_1", 1) for r in rows], shape)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = _answers(Lake(spark, str(tmp_path))).filter("key = 'body'").select("doc_id", "answer").collect()
+    # 9 % 6 = 3 is in the longer text alone, and nothing follows it.
+    assert sorted(map(tuple, got)) == [(3, "  K !"), (4, "  B !"), (6, "  M -  !"), (9, "  I !")]
+
+
 def test_deep_page_is_the_same(spark):
     d = spark.read.parquet(f"{FOLDER}/orders.parquet").select("o_orderkey", "o_totalprice")
     order = [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()]

@@ -184,6 +184,21 @@ def test_match_reads_texts_once(spark):
     assert [c.value for c in counts] == [len(idx), len(rows)]
 
 
+def test_matches_that_begin_without_a_box(spark):
+    """An answer that begins in blocks without a box is found from the last block before them that has one, on its page and within reach."""
+    shape = "doc_id long, idx long, page long, bbox struct<x1:int,y1:int,x2:int,y2:int>, text string"
+    text = [f"part {i} of some long contract {i * 7919}" for i in range(24)]
+    text[4], text[5] = "", "-"
+    boxed = {0, 1, 7, 15, 16, 17}
+    b = spark.createDataFrame([(1, i, 1 + (i > 15), (i, 0, i, 1) if i in boxed else None, text[i]) for i in range(24)], shape)
+    rows = [("two", text[2] + text[3]), ("far", text[3] + text[6]), ("beyond", text[6] + text[7]), ("last", text[12]), ("never", text[13] + text[14])]
+    rows += [("page", text[15] + text[16]), ("next", text[17][-9:] + text[18]), ("all", "".join(text[1:7])), ("spaced", text[1] + text[2][:8])]
+    a = spark.createDataFrame([(1, k, i, t) for i, (k, t) in enumerate(rows)], "doc_id long, key string, ord int, answer string")
+    got = rows_of(B.match_fields(b, a), "key", "score", "start", "len")
+    want = [("two", 847, 1, 3), ("far", 844, 1, 6), ("beyond", 699, 7, 1), ("last", 844, 7, 6), ("page", 699, 15, 1), ("next", 848, 17, 2), ("all", 994, 1, 6), ("spaced", 848, 1, 2)]
+    assert got == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("seed", [6])
 def test_merge_consecutive(spark, seed):
     rng = random.Random(seed)
