@@ -317,7 +317,8 @@ def apply_results(docs: DataFrame, results: DataFrame, order: str | None = None)
     new = {c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)) for c in good}
     new["warnings"] = F.coalesce("__told", "warnings")
     new["status"] = F.when(F.col("__last.v").isNotNull(), "ERROR").when(F.col("__last").isNotNull(), "REVIEW").otherwise(F.col("status"))
-    return docs.join(last, "doc_id", "left").withColumns(new).select(*docs.columns)
+    # Results hold whole texts, and what a plug-in makes is estimated far too small: they are never sent to the driver.
+    return docs.join(last.hint("merge"), "doc_id", "left").withColumns(new).select(*docs.columns)
 
 
 def status_actions(status: Column) -> Column:

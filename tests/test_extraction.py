@@ -41,6 +41,15 @@ def test_results_fit_what_is_stored(spark):
     assert row.text_blocks == '[{"text":"one","block_type":"paragraph","page":1},{"text":"two","block_type":"paragraph","page":1}]'
 
 
+def test_results_are_not_broadcast(spark, tmp_path):
+    # The few bytes of the files that are read say nothing of the texts that come out.
+    spark.createDataFrame([("p", b"one")], "path string, content binary").write.parquet(f"{tmp_path}/files")
+    results = X.as_results(X.extract(spark.read.parquet(f"{tmp_path}/files"), "plain_text"), F.current_timestamp())
+    docs = results.select("doc_id", F.lit("QUEUED").alias("status"), *(F.lit(None).cast(t).alias(c) for c, t in results.drop("doc_id", "error").dtypes))
+    plan = O.apply_results(docs, results)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_answers_come_from_any_window(spark):
     far = " ".join(["word"] * 3000) + " Total 42 " + " ".join(["word"] * 3000)
 
