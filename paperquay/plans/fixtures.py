@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperquay.operators.ordered import block, ranked
-from paperquay.session import stored
+from paperquay.session import passing, stored
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -182,25 +182,27 @@ class Lake:
 
     @cached_property
     def rates(self) -> DataFrame:
-        d = (
-            self.table("lineitem").join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-            .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        )
+        """Written in two steps, so that the shuffles of one don't stay beside those of the next or of what reads them."""
         order = _ORDER_ALL.split(", ")
+        lines = self.table("lineitem").join(self.table("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", *order, "p_name")
+        places = (
+            self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "n_name", "r_name")
+        )
         # An order has a handful of lines, so a plain window numbers them.
         numbered = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)).cast("long")
-        d = d.select("l_orderkey", *order, "n_name", "r_name", "p_name").withColumn("row_no", numbered)
         key = F.col("l_orderkey")
-        return d.select(
-            "l_orderkey", "row_no", F.col("n_name").alias("destination_city"),
-            F.when(F.col("l_partkey") % 3 == 0, F.col("r_name")).otherwise("").alias("destination_via_city"),
-            F.col("p_name").alias("commodity"), F.when(F.col("l_suppkey") % 4 == 0, "EUR").otherwise("USD").alias("cur"),
-            F.when(F.col("l_linenumber") % 2 == 0, "Y").otherwise("").alias("direct_call"),
-            F.when(key % 11 == 0, "").when(key % 13 == 0, "included").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("rate20"),
-            F.floor("l_extendedprice").cast("string").alias("rate40"),
-        )
+        with passing(lines, "lines") as named:
+            d = named.join(places, F.col("l_suppkey") == F.col("s_suppkey")).withColumn("row_no", numbered)
+            d = d.select(
+                "l_orderkey", "row_no", F.col("n_name").alias("destination_city"),
+                F.when(F.col("l_partkey") % 3 == 0, F.col("r_name")).otherwise("").alias("destination_via_city"),
+                F.col("p_name").alias("commodity"), F.when(F.col("l_suppkey") % 4 == 0, "EUR").otherwise("USD").alias("cur"),
+                F.when(F.col("l_linenumber") % 2 == 0, "Y").otherwise("").alias("direct_call"),
+                F.when(key % 11 == 0, "").when(key % 13 == 0, "included").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("rate20"),
+                F.floor("l_extendedprice").cast("string").alias("rate40"),
+            )
+            return stored(d, "rates")
 
     HEADER = ["Destination", "Destination Via", "Cmdt", "Cur", "Direct Call", "20'", "20'"]
 
