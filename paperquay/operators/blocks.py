@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from paperquay.functions.numbers import round_even
 from paperquay.functions.text import let, markdown_row, normalize_loose, strip, strip_cells
 from paperquay.operators.ordered import block, join_in_order, look_ahead
-from paperquay.session import stored
+from paperquay.session import passing, stored
 
 RUN = 6
 
@@ -104,22 +104,22 @@ def merge_consecutive(blocks: DataFrame) -> DataFrame:
     local = local.withColumn("no", F.sum(F.when(goes_on("prev"), 0).otherwise(1)).over(w))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda e: e["text"]), " ")
     first = [F.min_by(c, "idx").alias(c) for c in ("page", "block_type")]
-    pieces = stored(local.groupBy("doc_id", "lv", "no").agg(*first, text.alias("text")), "merged")
-
-    # One row per range: what it ends with, whether it goes on from the one before, and how many come before it.
-    kind, along = F.struct("page", "block_type"), W.partitionBy("doc_id").orderBy("lv")
-    ranges = pieces.groupBy("doc_id", "lv").agg(F.max("no").alias("n"), F.min_by(kind, "no").alias("head"), F.max_by(kind, "no").alias("tail"))
-    ranges = ranges.withColumn("prev", F.lag("tail").over(along)).select("doc_id", "lv", "n", "head.*", "prev")
-    ranges = ranges.select("doc_id", "lv", "n", goes_on("prev").cast("int").alias("joins"))
-    before = F.coalesce(F.sum(F.col("n") - F.col("joins")).over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select("doc_id", "lv", "n", "joins", before.alias("before"), F.coalesce(F.lead("joins").over(along), F.lit(0)).alias("joined"))
-
-    numbered = pieces.join(ranges, ["doc_id", "lv"])
-    crosses = ((F.col("no") == 1) & (F.col("joins") == 1)) | ((F.col("no") == F.col("n")) & (F.col("joined") == 1))
+    pieces = local.groupBy("doc_id", "lv", "no").agg(*first, text.alias("text"))
     keys = ["doc_id", "block_no", "page", "block_type"]
-    numbered = numbered.select(
-        "doc_id", (F.col("before") + F.col("no") - F.col("joins")).alias("block_no"), "page", "block_type", "text", "lv", crosses.alias("crosses")
-    )
+    with passing(pieces, "pieces") as pieces:
+        # One row per range: what it ends with, whether it goes on from the one before, and how many come before it.
+        kind, along = F.struct("page", "block_type"), W.partitionBy("doc_id").orderBy("lv")
+        ranges = pieces.groupBy("doc_id", "lv").agg(F.max("no").alias("n"), F.min_by(kind, "no").alias("head"), F.max_by(kind, "no").alias("tail"))
+        ranges = ranges.withColumn("prev", F.lag("tail").over(along)).select("doc_id", "lv", "n", "head.*", "prev")
+        ranges = ranges.select("doc_id", "lv", "n", goes_on("prev").cast("int").alias("joins"))
+        before = F.coalesce(F.sum(F.col("n") - F.col("joins")).over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        ranges = ranges.select("doc_id", "lv", "n", "joins", before.alias("before"), F.coalesce(F.lead("joins").over(along), F.lit(0)).alias("joined"))
+        crosses = ((F.col("no") == 1) & (F.col("joins") == 1)) | ((F.col("no") == F.col("n")) & (F.col("joined") == 1))
+        numbered = pieces.join(ranges, ["doc_id", "lv"]).select(
+            "doc_id", (F.col("before") + F.col("no") - F.col("joins")).alias("block_no"), "page", "block_type", "text", "lv", crosses.alias("crosses")
+        )
+        # Both branches below read it, so the texts are shuffled once.
+        numbered = stored(numbered, "merged", "crosses")
     whole = join_in_order(numbered.filter("crosses"), keys, ["lv"], F.col("text"), " ", F.col("lv"), "text")
     return numbered.filter("not crosses").select(*keys, "text").unionByName(whole)
 

@@ -15,6 +15,7 @@ from paperquay.operators import blocks as B
 from paperquay.operators import tables as T
 from paperquay.operators.ordered import block, join_in_order
 from paperquay.plans.registry import query
+from paperquay.session import stored
 
 # -- blocks ------------------------------------------------------------------------------------
 
@@ -302,7 +303,7 @@ left join (select doc_id, string_agg(tables, ',' order by table_id) as tables fr
 def _(lake):
     merged = B.merge_consecutive(lake.blocks)
     # A table has one document, so tables are put together by their own key, by which their rows lie already.
-    tables = T.compact_tables(lake.table_rows, ["table_id"]).withColumn("doc_id", lake.document_of("table_id"))
+    tables = stored(T.compact_tables(lake.table_rows, ["table_id"]), "compact").withColumn("doc_id", lake.document_of("table_id"))
     return T.compact_document(merged, tables, B.page_count(lake.blocks))
 
 
